@@ -2,10 +2,11 @@
 
 A source's target divided by its size is the expected number of copies of each of its documents. The whole part is taken
 as it is; the fractions are rounded by the pivotal method: two documents meet, one takes as much of the other's mass as
-leaves one of them at 0 or 1, at random so that each keeps its expectation, and the other goes on. The sum of the masses
-never changes, so a source ends within one document of its target number of copies; as neighbours are of similar size,
-its words end near the target too. Groups of about FAN documents are folded at once, and what each leaves over meets the
-others' rest on the next level of a reduction tree, whose depth is the logarithm of the number of documents.
+leaves one of them at 0 or 1, at random so that each keeps its expectation, and the other goes on. Mass is counted in
+words (the fraction times the size), and its sum never changes, so a source ends within one document of its target; as
+long documents go first and what is left of them meets short ones, that one is mostly short. Groups of about FAN
+documents are folded at once, and what each leaves over meets the others' rest on the next level of a reduction tree,
+whose depth is the logarithm of the number of documents.
 
 Defined results: a null text has size 0; a null source is a source of its own, ranked last; sources of size 0 get target 0;
 repeated rows are rounded one by one; empty input gives no rows. Coin tosses are hashes of the doc_ids that meet, so reruns
@@ -24,7 +25,8 @@ WEIGHTS, SHARE, CAP, FAN, SEED = (3, 1, 2), 1.5, 2.0, 64, 20
 #: Sizes within a factor of 2 ** (1 / BINS) are in one bin.
 BINS = 4
 EPS = 1e-9
-ITEM = "struct<bin:int,h:bigint,doc_id:bigint,size:bigint,whole:int,p:double,source_size:bigint,target:double>"
+ITEM = "struct<size:bigint,h:bigint,doc_id:bigint,whole:int,p:double,source_size:bigint,target:double>"
+FIELDS = [f.split(":")[0] for f in ITEM[7:-1].split(",")]
 
 
 def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -47,19 +49,26 @@ def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
 
 
 def _fold() -> str:
-    """SQL that meets the items of an array one after the other: struct(done: items with `extra` 0 or 1, carry: an item or null)."""
+    """SQL that lets the items of an array meet one after the other: struct(done: items with `extra` 0 or 1, carry: an item or null).
+
+    carry and x hold p * size words each. Up, x gives words to carry until carry is at 1 or x at 0; down, the other way
+    round. Tossing up with the chance down / (up + down) leaves both expectations as they were, and the words always.
+    """
     done = ITEM[:-1] + ",extra:int>"
-    s = "(acc.carry.p + x.p)"
-    u = f"((xxhash64({SEED}, acc.carry.h, x.h, acc.carry.size) & 9007199254740991) / 9007199254740992D)"
-    carry_up = f"(CASE WHEN {s} < 1 THEN {u} * {s} < acc.carry.p ELSE {u} * (2 - {s}) < 1 - x.p END)"
-    fields = [f.split(":")[0] for f in ITEM[7:-1].split(",")]
 
     def item(of: str, p: str = "", extra: str = "") -> str:
-        body = ", ".join(f"'{f}', {p if f == 'p' and p else f'{of}.{f}'}" for f in fields)
+        body = ", ".join(f"'{f}', {p if f == 'p' and p else f'{of}.{f}'}" for f in FIELDS)
         return f"named_struct({body}{f', {chr(39)}extra{chr(39)}, {extra}' if extra else ''})"
 
-    ended = f"named_struct('done', concat(acc.done, array(CASE WHEN {carry_up} = ({s} >= 1) THEN {item('acc.carry', '', f'int({s} >= 1)')} ELSE {item('x', '', f'int({s} >= 1)')} END)), 'carry', CASE WHEN {carry_up} = ({s} < 1) THEN {item('acc.carry', f'({s} - int({s} >= 1))')} ELSE {item('x', f'({s} - int({s} >= 1))')} END)"
-    step = f"CASE WHEN acc.carry IS NULL THEN named_struct('done', acc.done, 'carry', x) ELSE {ended} END"
+    u = f"(xxhash64({SEED}, acc.carry.h, x.h, acc.carry.size) & 9007199254740991) / 9007199254740992D"
+    up, down = "least((1 - acc.carry.p) * acc.carry.size, x.p * x.size)", "least(acc.carry.p * acc.carry.size, (1 - x.p) * x.size)"
+    # y: the words that carry gets, and which of the two has come to an end.
+    moved = f"named_struct('up', {up}, 'down', {down})"
+    moved = f"element_at(transform(array({moved}), m -> IF({u} * (m.up + m.down) < m.down, named_struct('got', m.up, 'first', (1 - acc.carry.p) * acc.carry.size <= x.p * x.size, 'up', true), named_struct('got', -m.down, 'first', acc.carry.p * acc.carry.size <= (1 - x.p) * x.size, 'up', false))), 1)"
+    ended = f"IF(y.first, {item('acc.carry', '', 'int(y.up)')}, {item('x', '', 'int(NOT y.up)')})"
+    goes_on = f"IF(y.first, {item('x', 'x.p - y.got / x.size')}, {item('acc.carry', 'acc.carry.p + y.got / acc.carry.size')})"
+    meet = f"element_at(transform(array({moved}), y -> named_struct('done', concat(acc.done, array({ended})), 'carry', {goes_on})), 1)"
+    step = f"CASE WHEN acc.carry IS NULL THEN named_struct('done', acc.done, 'carry', x) ELSE {meet} END"
     settle = f"CASE WHEN acc.carry.p < {EPS} OR acc.carry.p > 1 - {EPS} THEN named_struct('done', concat(acc.done, array({item('acc.carry', '', 'int(acc.carry.p > 0.5)')})), 'carry', CAST(NULL AS {ITEM})) ELSE acc END"
     return f"aggregate(items, named_struct('done', CAST(array() AS array<{done}>), 'carry', CAST(NULL AS {ITEM})), (acc, x) -> {step}, acc -> {settle})"
 
@@ -73,26 +82,26 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
     source = F.when(F.col("source_key") != "-", F.expr("substring(source_key, 2)")).alias("source")
     sizes = cells.groupBy("source_key").agg(F.sum("cell_size").alias("source_size")).select("source_key", source, "source_size")
     n_groups = F.ceil(F.col("n") / FAN)
-    first = F.sum(n_groups).over(W.partitionBy("source_key").orderBy("bin")) - n_groups
+    first = F.sum(n_groups).over(W.partitionBy("source_key").orderBy(F.desc("bin"))) - n_groups
     cells = cut(cells.join(targets(sizes, share, weights, cap), "source_key").withColumns({"n_groups": n_groups, "first": first}).drop("cell_size"), "cells")
     total, widest = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.col("first") + F.col("n_groups")), F.lit(0))).first()
     h = F.xxhash64(F.lit(SEED), "doc_id", "size")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = lookup_join(rows, cells, ["source_key", "bin"], "n", total).withColumns({"h": h, "whole": F.floor(rate).cast("int"), "p": rate - F.floor(rate)})
     rows = rows.withColumn("g", F.col("first") + F.pmod("h", "n_groups"))
-    fields = [f.split(":")[0] for f in ITEM[7:-1].split(",")]
-    out = [rows.where(~(F.col("p") > 0)).select("source_key", *fields, F.lit(0).alias("extra"))]
-    level = rows.where("p > 0").select("source_key", "g", F.struct(*fields).alias("item"))
+    toss = f"int((xxhash64({SEED}, {{0}}h) & 9007199254740991) / 9007199254740992D < {{0}}p)"
+    open_ = (F.col("p") > 0) & (F.col("size") > 0)
+    out = [rows.where(~open_).select("source_key", *FIELDS, F.expr(toss.format("")).alias("extra"))]
+    level = rows.where(open_).select("source_key", "g", F.struct(*FIELDS).alias("item"))
     while True:
-        folded = level.groupBy("source_key", "g").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        folded = level.groupBy("source_key", "g").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
         folded = cut(folded.select("source_key", "g", F.expr(_fold()).alias("f")).select("source_key", "g", "f.done", "f.carry"), "pivots")
         out.append(folded.select("source_key", F.explode("done").alias("d")).select("source_key", "d.*"))
         level = folded.where("carry IS NOT NULL").select("source_key", F.floor(F.col("g") / FAN).alias("g"), F.col("carry").alias("item"))
         if widest <= 1:
             break
         widest = -(-widest // FAN)
-    last = F.expr(f"int((xxhash64({SEED}, item.h) & 9007199254740991) / 9007199254740992D < item.p)")
-    out.append(level.select("source_key", "item.*", last.alias("extra")))
+    out.append(level.select("source_key", "item.*", F.expr(toss.format("item.")).alias("extra")))
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)

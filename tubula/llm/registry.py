@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("langid", "licenses", "chat_format", "exact_dedup", "near_dedup", "media", "mixing", "quality", "bpe", "substring_dedup")
+MODULES = ("chat_format", "exact_dedup", "mixing")
 
 
 def _all(kind: str) -> dict:
