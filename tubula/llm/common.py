@@ -24,20 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, so that a lost executor costs no
-    recomputation, and every reader sees the same rows. The files go when the driver's JVM exits, or by drop()."""
+    recomputation, and every reader sees the same rows. The files go when the driver's JVM exits, or by drop().
+
+    With a column as `bucket` the table is bucketed by it, so that grouping or joining by that column needs no shuffle.
+    Each task writes a file for each bucket it has rows of: for tables of few rows a task, or dealt out by the column."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # the shuffle files behind a table that is written are of no more use
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        to = df.write.option("compression", "zstd")
+        if bucket:
+            table = f"{name}_{uuid.uuid4().hex}"
+            to.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket).format("parquet").saveAsTable(table)
+        else:
+            to.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.table(table) if bucket else spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 

@@ -12,7 +12,8 @@ U = np.uint64
 #: Texts are worked on in runs of about this many bytes, so that the arrays made for them stay small.
 RUN = 1 << 21
 _rng = np.random.default_rng(20)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
+_KEY = _rng.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
+_BYTE = _KEY.copy()
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE[_SPACE] = 0
@@ -32,7 +33,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-def runs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def runs(texts: pa.Array, run: int = RUN) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of the rows in them), for runs of rows; null counts as empty."""
     texts = pc.fill_null(texts, "")
     if not len(texts):
@@ -42,17 +43,29 @@ def runs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + RUN, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + run, "right")) - 1)
         yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words [^\\x20\\x09-\\x0D]+ of a run: start byte, end byte, hash; and each row's first word's number (one more at the end)."""
+def table_of(chars: bytes, lower: bool = False, high: bool = True) -> np.ndarray:
+    """A table for words() whose words are made of these ASCII characters and, if `high`, of all others beyond ASCII."""
+    out = np.where(np.isin(np.arange(256), list(chars)) | (np.arange(256) >= 128) & high, _KEY, U(0))
+    if lower:
+        out[65:91] = out[97:123]
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of a run: start byte, end byte, hash; and each row's first word's number (one more at the end).
+
+    Words are made of the bytes that `table` doesn't give 0; unless one is given, words are [^\\x20\\x09-\\x0D]+."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none.astype(U), np.zeros(len(offsets), np.int64)
-    ink = ~_SPACE[data]
+    if table is None:
+        table = _LOWER if lower else _BYTE
+    ink = table[data] != 0
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first = ink.copy()
@@ -66,7 +79,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     spans = np.diff(np.append(starts, len(data)))
     inside = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
     powers = np.cumprod(np.full(int((ends - starts).max()) + 1, _BASE, U))
-    values = (_LOWER if lower else _BYTE)[data[starts[0] :]]
+    values = table[data[starts[0] :]]
     np.minimum(inside, len(powers) - 1, out=inside)
     values = values * powers[inside]
     return starts, ends, mixed(np.add.reduceat(values, starts - starts[0]) + (ends - starts).astype(U)), bounds
