@@ -34,6 +34,8 @@ from .common import cut, documents, drop
 
 PER_LANGUAGE, SPAN, SHARDS, ROUNDS, SEED = 250, 40, 8, 3, 21
 GRAMS, AFFIXES, LEXICON = 1 << 14, 1 << 12, 2000
+#: Below this score accepted() takes a text's language for unknown.
+LEAST = 0.3
 RUN = 1 << 23
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -296,6 +298,28 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, PREDICTED_SQL)
 
 
+def accepted(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
+    """The rows of docs, all columns, whose language is known with a score of `least` at least. Texts without a letter go;
+    code-switched texts, whose languages share the score, stay. Without a model all rows with a letter stay."""
+    names = docs.columns
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(names.index("text"))
+            for at, data, offsets in T.runs(texts, RUN):
+                n = len(offsets) - 1
+                stay = np.array([bool(LETTER.search(t.as_py() or "")) for t in texts.slice(at, n)])
+                if model:
+                    w = words_of(data, offsets)
+                    count = np.diff(w.bounds)
+                    prob = forward_backward(model.scores(w), w.bounds, model.moves)
+                    row = np.repeat(np.arange(n), count)
+                    stay &= np.max([np.bincount(row, c, n) for c in prob.T], axis=0) >= least * count
+                yield b.slice(at, n).filter(pa.array(stay))
+
+    return docs.mapInArrow(of, docs.schema)
+
+
 def held_out():
     """Whether crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
