@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, drop
 
 #: Characters of text in a chunk: what a task holds at once while it puts ids to the chunk's documents.
-CHUNK = 12_000_000
+CHUNK = 32_000_000
 #: How byte-level tokenizers split texts; in this module's reading exact for the characters below ODD only.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 ODD = regex.compile(r"[^\x00-ɏ]")
@@ -77,16 +77,32 @@ def splitter(content: str) -> Callable[[str], list[str]]:
     return split
 
 
+def _numbers_packed(x: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, which compress better apart."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def _chunks(content: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         split, part, n = splitter(content), TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=1).compress
         codes, ids, sizes, flat, chars = {}, [], [], [], 0
 
         def done() -> pa.RecordBatch:
-            row = [[f"{part}-{n}"], [ids], [sizes], [pack(np.concatenate(flat).tobytes())], [list(codes)]]
+            numbers = np.concatenate(flat)
+            order = np.argsort(-np.bincount(numbers, minlength=len(codes)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            words = list(codes)
+            row = [[f"{part}-{n}"], [ids], [sizes], [_numbers_packed(rank[numbers])], [[words[i] for i in order.tolist()]]]
             kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "sizes", "codes", "words"])
 
@@ -135,39 +151,81 @@ def pieces(spark: SparkSession, content: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
-def decode(rows: DataFrame, content: str, ids: str = "ids", to: str = "bytes") -> DataFrame:
-    """rows with a column more: the bytes that its ids stand for, by a join of ids to pieces. Ids that the vocabulary lacks
-    stand for nothing, as null or empty arrays do."""
-    spark = rows.sparkSession
-    rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()), "ids")
-    each = rows.select("__row", F.posexplode(ids).alias("at", "id"))
-    named = each.join(F.broadcast(pieces(spark, content)), "id")  # as large as the vocabulary
-    text = F.expr("aggregate(array_sort(collect_list(struct(at, piece))), X'', (all, x) -> concat(all, x.piece))")
-    joined = named.groupBy("__row").agg(text.alias(to))
-    return rows.join(joined, "__row", "left").withColumn(to, F.coalesce(to, F.lit(b""))).drop("__row")
-
-
-def _assembled(key: tuple, chunk: pa.Table, words: pa.Table) -> pa.Table:
-    import zstandard
-
-    order = np.argsort(words.column("code").to_numpy())
-    ids = words.column("ids").combine_chunks()
-    start, flat = ids.offsets.to_numpy().astype(np.int64), ids.flatten().to_numpy().astype("<u4")
-    start, count = (start - start[0])[:-1][order], np.diff(start)[order]
-    text = words.column("bytes").to_pylist()
-    text = [text[i] for i in order.tolist()]
+def decode(rows: DataFrame, content: str, key: str = "doc_id") -> DataFrame:
+    """rows(key, ids, ...), one per key, with a column more: `bytes`, what the ids stand for, by a join of ids to pieces. Ids
+    that the vocabulary lacks stand for nothing, as null or empty arrays do. Rows bucketed by the key are not shuffled."""
+    each = rows.select(key, "ids", F.posexplode_outer("ids").alias("at", "id"))
+    named = each.join(F.broadcast(pieces(rows.sparkSession, content)), "id", "left")  # as large as the vocabulary
+    text = F.expr("aggregate(array_sort(collect_list(struct(at, piece))), X'', (all, x) -> concat(all, coalesce(x.piece, X'')))")
+    return named.groupBy(key).agg(F.first("ids").alias("ids"), text.alias("bytes"))
+
+
+#: Words that a task gathers before it packs them by chunk.
+GATHER = 400_000
+PACK = pa.schema([("of", pa.string()), ("codes", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
+
+
+def _flat(lists: pa.Array, order: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Lengths and values of lists, or of binary values, taken in this order."""
+    lists = lists.take(pa.array(order))
+    if pa.types.is_list(lists.type):
+        return np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+    return np.diff(ends), np.frombuffer(lists.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their ids and bytes, packed by chunk for the shuffle."""
+
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        of = t.column("of").combine_chunks().dictionary_encode()
+        number = of.indices.to_numpy()
+        order = np.argsort(number, kind="stable")
+        ends = np.cumsum(np.bincount(number, minlength=len(of.dictionary)))
+        codes = t.column("code").to_numpy()[order].astype("<u4")
+        count, ids = _flat(t.column("ids").combine_chunks(), order)
+        size, text = _flat(t.column("bytes").combine_chunks(), order)
+        id_ends, text_ends = np.cumsum(count)[ends - 1], np.cumsum(size)[ends - 1]
+
+        def parts(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+            return pa.array([p.tobytes() for p in np.split(x, ends[:-1])], pa.binary())
+
+        cols = [of.dictionary, parts(codes, ends), parts(count.astype("<u4"), ends), parts(ids.astype("<u4"), id_ends), parts(size.astype("<u4"), ends), parts(text, text_ends)]
+        return pa.RecordBatch.from_arrays(cols, schema=PACK)
+
+    held, n = [], 0
+    for b in batches:
+        if len(b):
+            held.append(b)
+            n += len(b)
+        if n >= GATHER:
+            yield done(held)
+            held, n = [], 0
+    if held:
+        yield done(held)
+
+
+def _assembled(key: tuple, chunk: pa.Table, packs: pa.Table) -> pa.Table:
+    joined = lambda name, kind: np.frombuffer(b"".join(packs.column(name).to_pylist()), kind)
+    order = np.argsort(joined("codes", "<u4"))
+    count, flat = joined("counts", "<u4").astype(np.int64), joined("ids", "<u4")
+    start, count = (np.cumsum(count) - count)[order], count[order]
+    size, text = joined("sizes", "<u4").astype(np.int64), b"".join(packs.column("text").to_pylist())
+    first = (np.cumsum(size) - size)[order].tolist()
+    text = [text[x : x + n] for x, n in zip(first, size[order].tolist(), strict=True)]
     names = ["doc_id", "n_tokens", "ids", "decoded"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
     out: list[list] = [[], [], [], []]
     for row in chunk.select(["ids", "sizes", "codes"]).to_pylist():
-        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint32)
+        codes = _numbers(row["codes"])
         at = 0
-        for doc, size in zip(row["ids"], row["sizes"], strict=True):
-            own = codes[at : at + size]
-            at += size
+        for doc, words in zip(row["ids"], row["sizes"], strict=True):
+            own = codes[at : at + words]
+            at += words
             n = count[own]
             ends = np.cumsum(n)
-            total = int(ends[-1]) if size else 0
+            total = int(ends[-1]) if words else 0
             places = np.arange(total) + np.repeat(start[own] - ends + n, n)
             out[0].append(doc)
             out[1].append(total)
@@ -182,11 +240,13 @@ def encode(docs: DataFrame, content: str | None = None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = cut(texts.mapInArrow(_chunks(content), "chunk string, ids array<long>, sizes array<long>, codes binary, words array<string>"), "chunks", "chunk")
     words = chunks.select(F.explode("words").alias("word")).distinct()
-    table = cut(words.mapInArrow(_encoded(content), "word string, ids array<int>"), "words")
-    table = cut(decode(table, content), "pieces")
+    ids = cut(words.mapInArrow(_encoded(content), "word string, ids array<int>"), "words", "word")
+    table = cut(decode(ids, content, "word"), "pieces", "word")
+    drop(ids)
     placed = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("code", "word")).join(table, "word").select("of", "code", "ids", "bytes")
+    packs = placed.mapInArrow(_packed, "of string, codes binary, counts binary, ids binary, sizes binary, text binary")
     known = chunks.select("chunk", "ids", "sizes", "codes").groupBy("chunk")
-    return known.cogroup(placed.groupBy("of")).applyInArrow(_assembled, "doc_id long, n_tokens long, ids binary, decoded string")
+    return known.cogroup(packs.groupBy("of")).applyInArrow(_assembled, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

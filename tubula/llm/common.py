@@ -31,7 +31,7 @@ def cut(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     With a column as `bucket` the table is bucketed by it, so that grouping or joining by that column needs no shuffle.
     Each task writes a file for each bucket it has rows of: for tables of few rows a task, or dealt out by the column."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, table = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", None
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # the shuffle files behind a table that is written are of no more use
     try:
@@ -46,7 +46,7 @@ def cut(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.table(table) if bucket else spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
+    out._cut_path, out._cut_table = path, table
     return out
 
 
@@ -54,6 +54,8 @@ def drop(*tables: DataFrame) -> None:
     """Deletes tables that cut() wrote and that nothing reads any more."""
     for t in tables:
         spark = t.sparkSession
+        if t._cut_table:
+            spark.sql(f"DROP TABLE IF EXISTS {t._cut_table}")
         where = spark._jvm.org.apache.hadoop.fs.Path(t._cut_path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
