@@ -1,10 +1,11 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
 Texts are split into words inside Spark tasks. About CHUNK characters of texts form a chunk: a row with its documents, its
-distinct words and, for every word of every document, the word's number in that list. The chunks' words together make the
-distinct-word table, in which each word is encoded once and decoded once, the latter by joining its ids to the table of
-pieces. Ids and pieces then go back to the chunks by word and number, and each document takes them up by position. Only
-distinct words of chunks are shuffled, never all words or tokens; the chunks stay where they are, in a bucketed table.
+distinct words and, for every word of every document, the word's number in that list. The chunks' words are dealt out by word
+once, into a bucketed table, and there make the distinct-word table, in which each word is encoded once and decoded once, the
+latter by joining its ids to the table of pieces. Ids and pieces then go back to the chunks by word and number, packed by
+chunk, and each document takes them up by position. Only distinct words of chunks are shuffled, never all words or tokens; the
+chunks stay where they are, in a bucketed table.
 
 Works for tokenizer files of the byte-level BPE kind without normalizer, whose added tokens are plain strings; such a string
 in a text becomes its id. The file's truncation and padding are not used.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents, drop
 
 #: Characters of text in a chunk: what a task holds at once while it puts ids to the chunk's documents.
-CHUNK = 32_000_000
+CHUNK = 16_000_000
 #: How byte-level tokenizers split texts; in this module's reading exact for the characters below ODD only.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 ODD = regex.compile(r"[^\x00-ɏ]")
@@ -176,6 +177,9 @@ def _flat(lists: pa.Array, order: np.ndarray) -> tuple[np.ndarray, pa.Array]:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with their ids and bytes, packed by chunk for the shuffle."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
 
     def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -183,15 +187,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = of.indices.to_numpy()
         order = np.argsort(number, kind="stable")
         ends = np.cumsum(np.bincount(number, minlength=len(of.dictionary)))
-        codes = t.column("code").to_numpy()[order].astype("<u4")
+        codes = t.column("code").to_numpy()[order]
         count, ids = _flat(t.column("ids").combine_chunks(), order)
         size, text = _flat(t.column("bytes").combine_chunks(), order)
         id_ends, text_ends = np.cumsum(count)[ends - 1], np.cumsum(size)[ends - 1]
 
         def parts(x: np.ndarray, ends: np.ndarray) -> pa.Array:
-            return pa.array([p.tobytes() for p in np.split(x, ends[:-1])], pa.binary())
+            return pa.array([_numbers_packed(p) for p in np.split(x, ends[:-1])], pa.binary())
 
-        cols = [of.dictionary, parts(codes, ends), parts(count.astype("<u4"), ends), parts(ids.astype("<u4"), id_ends), parts(size.astype("<u4"), ends), parts(text, text_ends)]
+        cols = [of.dictionary, parts(codes, ends), parts(count, ends), parts(ids, id_ends), parts(size, ends), pa.array([pack(p.tobytes()) for p in np.split(text, text_ends[:-1])], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, schema=PACK)
 
     held, n = [], 0
@@ -207,11 +211,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _assembled(key: tuple, chunk: pa.Table, packs: pa.Table) -> pa.Table:
-    joined = lambda name, kind: np.frombuffer(b"".join(packs.column(name).to_pylist()), kind)
-    order = np.argsort(joined("codes", "<u4"))
-    count, flat = joined("counts", "<u4").astype(np.int64), joined("ids", "<u4")
+    import zstandard
+
+    joined = lambda name: np.concatenate([np.zeros(0, "<u4"), *map(_numbers, packs.column(name).to_pylist())])
+    order = np.argsort(joined("codes"))
+    count, flat = joined("counts").astype(np.int64), joined("ids")
     start, count = (np.cumsum(count) - count)[order], count[order]
-    size, text = joined("sizes", "<u4").astype(np.int64), b"".join(packs.column("text").to_pylist())
+    size, text = joined("sizes").astype(np.int64), b"".join(map(zstandard.ZstdDecompressor().decompress, packs.column("text").to_pylist()))
     first = (np.cumsum(size) - size)[order].tolist()
     text = [text[x : x + n] for x, n in zip(first, size[order].tolist(), strict=True)]
     names = ["doc_id", "n_tokens", "ids", "decoded"]
@@ -239,12 +245,13 @@ def encode(docs: DataFrame, content: str | None = None) -> DataFrame:
     content = content or vocabulary()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = cut(texts.mapInArrow(_chunks(content), "chunk string, ids array<long>, sizes array<long>, codes binary, words array<string>"), "chunks", "chunk")
-    words = chunks.select(F.explode("words").alias("word")).distinct()
-    ids = cut(words.mapInArrow(_encoded(content), "word string, ids array<int>"), "words", "word")
+    placed = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("code", "word"))
+    placed = cut(placed.repartition("word").sortWithinPartitions("word"), "placed", "word")
+    ids = cut(placed.select("word").distinct().mapInArrow(_encoded(content), "word string, ids array<int>"), "words", "word")
     table = cut(decode(ids, content, "word"), "pieces", "word")
     drop(ids)
-    placed = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("code", "word")).join(table, "word").select("of", "code", "ids", "bytes")
-    packs = placed.mapInArrow(_packed, "of string, codes binary, counts binary, ids binary, sizes binary, text binary")
+    named = placed.join(table.withColumnRenamed("word", "w"), F.col("word") == F.col("w")).select("of", "code", "ids", "bytes")
+    packs = named.mapInArrow(_packed, ", ".join(f"{f.name} {'string' if f.name == 'of' else 'binary'}" for f in PACK))
     known = chunks.select("chunk", "ids", "sizes", "codes").groupBy("chunk")
     return known.cogroup(packs.groupBy("of")).applyInArrow(_assembled, "doc_id long, n_tokens long, ids binary, decoded string")
 
