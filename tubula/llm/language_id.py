@@ -36,7 +36,8 @@ PER_LANGUAGE, SPAN, SHARDS, ROUNDS, SEED = 250, 40, 8, 3, 21
 GRAMS, AFFIXES, LEXICON = 1 << 14, 1 << 12, 2000
 #: Below this score accepted() takes a text's language for unknown.
 LEAST = 0.3
-RUN = 1 << 23
+#: Words whose features are weighed at once, and bytes of texts whose features, and whose probabilities, are held at once.
+SOME, PART, RUN = 1 << 15, 1 << 20, 1 << 22
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 TABLE = T.table_of(b"abcdefghijklmnopqrstuvwxyz", lower=True)
@@ -106,15 +107,28 @@ class Model:
         return np.where((self.lexicon[at] == hashes)[:, None], self.members[at], none)
 
     def scores(self, w: Words) -> np.ndarray:
-        if not len(w.hashes):
-            return np.zeros((0, len(self.languages)), np.float32)
-        out = np.add.reduceat(self.weights[w.grams], w.first, axis=0)
-        for column in w.affixes.T:
-            out += self.weights[column]
-        for column in self.in_lexicon(w.hashes).T:
-            out += self.weights[column]
+        out = np.zeros((len(w.hashes), len(self.languages)), np.float32)
+        ends = np.append(w.first, len(w.grams))
+        for a in range(0, len(out), SOME):
+            b = min(a + SOME, len(out))
+            part = np.add.reduceat(self.weights[w.grams[ends[a] : ends[b]]], ends[a:b] - ends[a], axis=0)
+            for column in w.affixes[a:b].T:
+                part += self.weights[column]
+            for column in self.in_lexicon(w.hashes[a:b]).T:
+                part += self.weights[column]
+            out[a:b] = part
         return out
 
+    def probabilities(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words of texts: each text's first word (one more at the end), each word's probability of each language."""
+        scores, counts = [np.zeros((0, len(self.languages)), np.float32)], [np.zeros(0, np.int64)]
+        for _, data, offsets in T.runs(texts, PART):
+            w = words_of(data, offsets)
+            scores.append(self.scores(w))
+            counts.append(np.diff(w.bounds))
+        bounds = np.append(0, np.cumsum(np.concatenate(counts)))
+        return bounds, forward_backward(np.concatenate(scores), bounds, self.moves)
+
 
 def forward_backward(scores: np.ndarray, bounds: np.ndarray, moves: np.ndarray, pairs: bool = False):
     """Each word's probability of each language; with `pairs`, also the expected number of each move."""
@@ -275,9 +289,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     count = np.zeros(n, np.int64)
                     langs, score, ends, spans = [UNKNOWN] * n, np.zeros(n), np.zeros(n + 1, np.int32), (count[:0], count[:0], count[:0])
                 else:
-                    w = words_of(data, offsets)
-                    count = np.diff(w.bounds)
-                    prob = forward_backward(model.scores(w), w.bounds, model.moves)
+                    bounds, prob = model.probabilities(texts)
+                    count = np.diff(bounds)
                     row = np.repeat(np.arange(n), count)
                     mean = np.stack([np.bincount(row, c, n) for c in prob.T], axis=1) / np.maximum(count, 1)[:, None]
                     best = mean.argmax(axis=1)
@@ -288,9 +301,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     new[1:] = (label[1:] != label[:-1]) | (row[1:] != row[:-1])
                     new &= known[row]
                     first = np.flatnonzero(new)
-                    stop = np.minimum(np.append(first[1:], len(label)), w.bounds[row[first] + 1])
+                    stop = np.minimum(np.append(first[1:], len(label)), bounds[row[first] + 1])
                     ends = np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32)
-                    spans = (first - w.bounds[row[first]], stop - first, label[first])
+                    spans = (first - bounds[row[first]], stop - first, label[first])
                 each = pa.StructArray.from_arrays([pa.array(spans[0]), pa.array(spans[1]), pa.array(spans[2].astype(np.int32))], names=["start", "n", "language"])
                 cols = [ids, pa.array(langs), pa.array(score), pa.array(count), pa.ListArray.from_arrays(pa.array(ends), each)]
                 yield pa.RecordBatch.from_arrays(cols, schema=PREDICTED)
@@ -310,9 +323,8 @@ def accepted(docs: DataFrame, model: Model | None, least: float = LEAST) -> Data
                 n = len(offsets) - 1
                 stay = np.array([bool(LETTER.search(t.as_py() or "")) for t in texts.slice(at, n)])
                 if model:
-                    w = words_of(data, offsets)
-                    count = np.diff(w.bounds)
-                    prob = forward_backward(model.scores(w), w.bounds, model.moves)
+                    bounds, prob = model.probabilities(texts.slice(at, n))
+                    count = np.diff(bounds)
                     row = np.repeat(np.arange(n), count)
                     stay &= np.max([np.bincount(row, c, n) for c in prob.T], axis=0) >= least * count
                 yield b.slice(at, n).filter(pa.array(stay))

@@ -29,6 +29,8 @@ PAD, TAIL, RATE = 192, 16, 8000
 #: A chunk has LEAST bytes at least and MOST at most; beyond LEAST each byte ends it with a chance of one in 1 << BITS.
 LEAST, MOST, BITS = 512, 16384, 11
 _GEAR = np.random.default_rng(6).integers(0, 2**32, 256, dtype=np.uint32)
+#: Expected texts that the dictionary for compressing chunks on their way is made from, its bytes, and the level.
+SAMPLE, DICTIONARY, LEVEL = 1000, 1 << 16, 9
 HEAD = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -80,13 +82,45 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "medium", "chunks"])
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunks of the media, each once in a batch: digest, times it occurs, bytes (compressed for the shuffle)."""
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for big in batches:
-        for b in (big.slice(i, 2048) for i in range(0, len(big), 2048)):
+    texts = [(t or "").encode() for b in batches for t in b.column(0).to_pylist()]
+    try:
+        made = zstandard.train_dictionary(DICTIONARY, texts).as_bytes()
+    except zstandard.ZstdError:  # too few texts
+        made = b""
+    yield pa.RecordBatch.from_arrays([pa.array([made])], names=["dictionary"])
+
+
+class Packing:
+    """Compresses chunks for shuffles, with a dictionary from a bounded sample of texts; values come out as they went in."""
+
+    def __init__(self, docs: DataFrame, sample: int = SAMPLE):
+        rate = min(1.0, sample / max(docs.count(), 1))
+        draw = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+        made = docs.where(draw < rate).select("text").repartition(1).mapInArrow(_trained, "dictionary binary").first()
+        self.dictionary = bytes(made[0]) if made else b""
+
+    def _dictionary(self):
+        import zstandard
+
+        return {"dict_data": zstandard.ZstdCompressionDict(self.dictionary)} if self.dictionary else {}
+
+    def pack(self):
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=LEVEL, **self._dictionary()).compress
+
+    def unpack(self):
+        import zstandard
+
+        return zstandard.ZstdDecompressor(**self._dictionary()).decompress
+
+    def chunked(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunks of the texts' media, each once in a batch: digest, times it occurs, bytes."""
+        pack = self.pack()
+        for b in batches:
             times: dict[bytes, int] = {}
             packed: dict[bytes, bytes] = {}
             for text in b.column("text"):
@@ -99,21 +133,29 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     times[d] = times.get(d, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(times.keys(), pa.binary()), pa.array(times.values(), pa.int64()), pa.array(packed.values(), pa.binary())], names=["digest", "n", "chunk"])
 
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    for b in batches:
-        un = zstandard.ZstdDecompressor().decompress
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([un(x) for x in b.column(2).to_pylist()], pa.binary())], names=b.schema.names)
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(x) for x in b.column(2).to_pylist()], pa.binary())], names=b.schema.names)
+    def unpacked(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        un = self.unpack()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([un(x) for x in b.column(2).to_pylist()], pa.binary())], names=b.schema.names)
+
+    def packed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = self.pack()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(x) for x in b.column(2).to_pylist()], pa.binary())], names=b.schema.names)
+
+    def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Media put together from their chunks and verified, with the values read from them."""
+        un = self.unpack()
+        for b in batches:
+            rows = []
+            for name, parts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                parts = sorted((p["at"], p["chunk"]) for p in parts.as_py())
+                file = b"".join(un(p) for _, p in parts)
+                if hashlib.sha256(file).digest() != name:
+                    raise ValueError(f"medium {name.hex()} is damaged")
+                samples = payload(file)
+                rows.append((name, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(file), name.hex(), len(parts), features(samples)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(READ), READ.types, strict=True)], schema=READ)
 
 
 def features(samples: bytes) -> str:
@@ -129,31 +171,16 @@ def features(samples: bytes) -> str:
 READ = pa.schema([("medium", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_chunks", pa.int32()), ("feature", pa.string())])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    for b in batches:
-        un = zstandard.ZstdDecompressor().decompress
-        rows = []
-        for name, parts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            parts = sorted((p["at"], p["chunk"]) for p in parts.as_py())
-            file = b"".join(un(p) for _, p in parts)
-            if hashlib.sha256(file).digest() != name:
-                raise ValueError(f"medium {name.hex()} is damaged")
-            samples = payload(file)
-            rows.append((name, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(file), name.hex(), len(parts), features(samples)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(READ), READ.types, strict=True)], schema=READ)
-
-
 class MediaStore:
     """Media of documents as rows(doc_id, n_bytes, medium, chunks), and chunks(digest, n, chunk), each chunk once."""
 
     def __init__(self, docs: DataFrame):
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.rows = cut(docs.mapInArrow(_listed, "doc_id long, n_bytes long, medium binary, chunks array<binary>"), "media")
-        each = docs.select("text").mapInArrow(_chunked, "digest binary, n long, chunk binary")
+        self.packing = Packing(docs)
+        each = docs.select("text").mapInArrow(self.packing.chunked, "digest binary, n long, chunk binary")
         once = each.groupBy("digest").agg(F.sum("n").alias("n"), F.first("chunk").alias("chunk"))
-        self.chunks = cut(once.mapInArrow(_unpacked, "digest binary, n long, chunk binary"), "chunks", "digest")
+        self.chunks = cut(once.mapInArrow(self.packing.unpacked, "digest binary, n long, chunk binary"), "chunks", "digest")
 
     def read(self) -> DataFrame:
         """Each distinct medium, read back from the store: the columns of READ."""
@@ -161,9 +188,9 @@ class MediaStore:
         lists = self.rows.where("chunks IS NOT NULL").groupBy("medium").agg(F.first("chunks").alias("chunks"))
         refs = lists.select("medium", F.posexplode("chunks").alias("at", "digest"))
         found = lookup_join(refs, self.chunks, ["digest"], "n", total).select("medium", "at", "chunk")
-        found = found.mapInArrow(_packed, "medium binary, at int, chunk binary")
+        found = found.mapInArrow(self.packing.packed, "medium binary, at int, chunk binary")
         whole = found.groupBy("medium").agg(F.collect_list(F.struct("at", "chunk")).alias("parts"))
-        return whole.mapInArrow(_read, ", ".join(f"{f.name} {_SQL[f.type]}" for f in READ))
+        return whole.mapInArrow(self.packing.read, ", ".join(f"{f.name} {_SQL[f.type]}" for f in READ))
 
 
 _SQL = {pa.binary(): "binary", pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}
