@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tubula.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from tubula.llm.common import cut, documents, drop
+from tubula.llm.common import cut, documents, drop, small_batches
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the model learns from documents of the same table."""
+    small_batches(spark)
     return language_id.accepted(docs, language_id.learn(language_id.to_learn(docs)))
 
 
