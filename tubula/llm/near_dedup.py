@@ -11,8 +11,10 @@ the likelihood bound REFUTED leaves out such a pair with one of about 1e-6; more
 
 Not all pairs of a bucket are looked at. Documents with equal sets are one class from the start. Every member of a bucket
 is first paired with the bucket's leader, of which each bucket has one by either of two random orders; the confirmed pairs
-make components. Only then are members of different components in one bucket paired; a large bucket is split before
-by its members' other bands, which true neighbours share as well.
+make components. Only then are members of different components in one bucket paired, in buckets of up to SMALL members.
+Members of larger buckets, as of many documents that share much but not enough, get an exact way instead: two sets with
+J >= 0.75 have one of each other's rarest quarter of shingles in common, so that sets meet at those shingles only, once more a
+leader first and then members of different components, if what follows the shingle in both can still be enough.
 
 Defined results: no words or null text: an empty set, linked with nothing; fewer than 5 words: one shingle of all. Rows
 that share a doc_id are one document with the links of each. A null doc_id is linked with nothing and stays. Empty input
@@ -39,7 +41,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 #: log-likelihood by which the best J of all may beat the best J >= 0.75 before a candidate is left out.
 REFUTED = 12.0
 #: Members of a bucket of at most this size are paired directly.
-SMALL = 32
+SMALL = 8
 SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sketch", pa.binary())])
 SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -149,6 +151,28 @@ def _split(members: DataFrame) -> DataFrame:
     return lookup_join(members, size, ["key"], "n", total)
 
 
+def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows(rep, ...) with comp, the component so far."""
+    known = labels.select(F.col("node").alias("rep"), "component")
+    return rows.join(known, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def _rare(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, rep, place, size): of each of these sets, the shingles that a set with J >= PERCENT % could meet it at first when
+    all go by (number of these sets that hold it, hash): place is the shingle's rank from 1, size the set's. Shingles of one
+    set alone are left out."""
+    each = sets.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    each = cut(each.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size"), F.explode("shingles").alias("key")), "shingles")
+    times = cut(each.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    shared = lookup_join(each, times, ["key"], "times", each.count())
+    # Shingles of one set alone come first in its order: there are as many as the set has more than shared ones.
+    ranked = shared.groupBy("rep", "size").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("some"))
+    most = F.expr(f"CAST(size - ceil({PERCENT} * size / 100.0D) + 1 AS int)")
+    alone = F.col("size") - F.size("some")
+    ranked = ranked.where(most > alone).select("rep", "size", alone.alias("alone"), F.posexplode(F.slice("some", F.lit(1), most - alone)).alias("at", "one"))
+    return ranked.select("one.key", "rep", (F.col("alone") + F.col("at") + 1).alias("place"), "size")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -168,23 +192,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = cut(_confirmed(pairs, reps, sets), "links")
     labels = cut(components(links), "labels")
     # What is left to look at: members of one bucket whose components differ.
-    placed = members.select("key", "rep").join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ = cut(_split(placed), "open")
-    large = open_.where(F.col("n") > SMALL).select("key", "rep", "comp")
-    large = large.join(bands.withColumnRenamed("key", "key2"), "rep").where("key <> key2").select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "rep", "comp").distinct()
-    rest = open_.where(F.col("n") <= SMALL).select("key", "rep", "comp").unionByName(_split(large).select("key", "rep", "comp"))
-    rest = cut(rest, "rest")
-    other = rest.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
-    more = rest.join(other, "key").where("rep < rep2 AND comp <> comp2")
-    more = cut(_pairs(more, "rep", "rep2").join(pairs, ["a", "b"], "left_anti"), "more")
-    links = links.unionByName(_confirmed(more, reps, sets))
+    open_ = cut(_split(_placed(members.select("key", "rep"), labels)), "open")
+    small = open_.where(F.col("n") <= SMALL)
+    other = small.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
+    more = _pairs(small.join(other, "key").where("rep < rep2 AND comp <> comp2"), "rep", "rep2")
+    rare = cut(_rare(open_.where(F.col("n") > SMALL).select("rep").distinct(), sets), "rare")
+    leads = rare.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("place", "rep"))["rep"].alias("leader")).where("times > 1")
+    leads = cut(leads, "leads")
+    met = lookup_join(rare.select("key", "rep"), leads, ["key"], "times", rare.count())
+    links = cut(links.unionByName(_confirmed(cut(more.unionByName(_pairs(met, "rep", "leader")).distinct(), "more"), reps, sets)), "links")
+    labels = cut(components(links), "labels")
+    meeting = cut(_split(_placed(rare, labels)), "meeting")
+    other = meeting.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "comp", "place", "size")))
+    enough = F.expr(f"{100 + PERCENT} * (1 + least(size - place, size2 - place2)) >= {PERCENT} * (size + size2)")
+    last = meeting.join(other, "key").where(F.expr("rep < rep2 AND comp <> comp2") & enough)
+    links = links.unionByName(_confirmed(cut(_pairs(last, "rep", "rep2"), "last"), reps, sets))
     labels = components(links)
     named = reps.join(labels, reps["rep"] == labels["node"], "left").select("set_id", "n", F.coalesce("component", "rep").alias("component_id"))
     named = cut(named, "named")
     rows = lookup_join(table.where(linked).select("doc_id", "n_shingles", "set_id"), named, ["set_id"], "n", n_rows)
     alone = table.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    drop(buckets, members, sets, open_, rest)
+    drop(buckets, members, open_, leads)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
