@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, bucket: str | None = None, level: int = 3) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, so that a lost executor costs no
     recomputation, and every reader sees the same rows. The files go when the driver's JVM exits, or by drop().
 
@@ -45,7 +45,7 @@ def cut(df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # the shuffle files behind a table that is written are of no more use
     try:
-        to = df.write.option("compression", "zstd")
+        to = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level))
         if bucket:
             table = f"{name}_{uuid.uuid4().hex}"
             to.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket).format("parquet").saveAsTable(table)

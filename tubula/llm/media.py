@@ -27,7 +27,7 @@ from .common import cut, documents, lookup_join
 
 PAD, TAIL, RATE = 192, 16, 8000
 #: A chunk has LEAST bytes at least and MOST at most; beyond LEAST each byte ends it with a chance of one in 1 << BITS.
-LEAST, MOST, BITS = 512, 16384, 11
+LEAST, MOST, BITS = 1024, 32768, 12
 _GEAR = np.random.default_rng(6).integers(0, 2**32, 256, dtype=np.uint32)
 #: Expected texts that the dictionary for compressing chunks on their way is made from, its bytes, and the level.
 SAMPLE, DICTIONARY, LEVEL = 1000, 1 << 16, 9
@@ -180,7 +180,7 @@ class MediaStore:
         self.packing = Packing(docs)
         each = docs.select("text").mapInArrow(self.packing.chunked, "digest binary, n long, chunk binary")
         once = each.groupBy("digest").agg(F.sum("n").alias("n"), F.first("chunk").alias("chunk"))
-        self.chunks = cut(once.mapInArrow(self.packing.unpacked, "digest binary, n long, chunk binary"), "chunks", "digest")
+        self.chunks = cut(once.mapInArrow(self.packing.unpacked, "digest binary, n long, chunk binary"), "chunks", "digest", level=LEVEL)
 
     def read(self) -> DataFrame:
         """Each distinct medium, read back from the store: the columns of READ."""
