@@ -42,6 +42,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 REFUTED = 12.0
 #: Members of a bucket of at most this size are paired directly.
 SMALL = 8
+#: Bits of the filter through which texts pass before those with candidates are shuffled; 2 ** BITS / 64 rows at most.
+BITS = 24
 SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sketch", pa.binary())])
 SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -143,6 +145,14 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
 
 
+def _likely_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text) whose id is among ids, and some others: by a bit map of hashed ids, of bounded size."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS))
+    mark = {"word": F.floor(h / 64), "bit": F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {1 << BITS}L) % 64 AS INT))")}
+    table = ids.select("doc_id").withColumns(mark).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return docs.withColumns(mark).join(F.broadcast(table), "word").where("bits & bit <> 0").select(*docs.columns)
+
+
 def _split(members: DataFrame) -> DataFrame:
     """members(key, rep, comp) of the buckets that hold several components, with the bucket's size n."""
     size = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "n")
@@ -188,7 +198,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = cut(lookup_join(bands, buckets, ["key"], "n", n_reps * BANDS), "members")
     pairs = cut(_pairs(members, "rep", "leader"), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+    ids = cut(ids, "ids")
+    sets = cut(_likely_in(docs, ids).join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
     links = cut(_confirmed(pairs, reps, sets), "links")
     labels = cut(components(links), "labels")
     # What is left to look at: members of one bucket whose components differ.
