@@ -2,12 +2,286 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ()
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import components, detect, graph, grid
+from . import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+AT = "study, z, y, x"
+OFF = "(SELECT dz, dy, dx FROM (SELECT unnest([-1, 0, 1]) AS dz), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx) WHERE {})"
+ALL_26, FACES = OFF.format("abs(dz) + abs(dy) + abs(dx) > 0"), OFF.format("abs(dz) + abs(dy) + abs(dx) = 1")
+NEAR = "m.study = n.study AND n.z = m.z + o.dz AND n.y = m.y + o.dy AND n.x = m.x + o.dx"
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _rounded(df: DataFrame, *cols: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in cols})
+
+
+HIST = f"WITH {V.GREY}, h AS (SELECT s.study, b.bin, count(g.v) AS n FROM (SELECT DISTINCT study FROM grey) s CROSS JOIN (SELECT unnest(range(256)) AS bin) b LEFT JOIN grey g ON g.study = s.study AND g.v = b.bin GROUP BY ALL)"
+THRESHOLD = HIST + """, c AS (SELECT *, sum(n) OVER (PARTITION BY study ORDER BY bin DESC) AS c, floor(sum(n) OVER (PARTITION BY study) * 0.005e0) AS target FROM h),
+t AS (SELECT study, greatest(30, max(bin)) AS threshold FROM c WHERE c >= target GROUP BY study)"""
+
+
+@query("v2_histogram", HIST + " SELECT study, CAST(bin AS INT) AS bin, n FROM h")
+def _(s, d):
+    return grid.histogram(V.grey(s, d))
+
+
+@query("v3_percentile_threshold", THRESHOLD + " SELECT study, CAST(threshold AS INT) AS threshold FROM t")
+def _(s, d):
+    return grid.percentile_threshold(V.grey(s, d))
+
+
+@query("v4_binarise", THRESHOLD + f" SELECT {AT}, CASE WHEN v >= threshold THEN 255 ELSE 0 END AS v FROM grey JOIN t USING (study)")
+def _(s, d):
+    return grid.binarise(V.grey(s, d), grid.percentile_threshold(V.grey(s, d)))
+
+
+@query("j6_normalise", f"WITH {V.GREY} SELECT {AT}, CAST(trunc(greatest(0e0, least(255e0, v / max(v) OVER (PARTITION BY study) * 255))) AS INT) AS v FROM grey")
+def _(s, d):
+    return grid.normalised(V.grey(s, d))
+
+
+
+
+@query("jn1_degree_26", f"WITH {V.MASK} SELECT m.study, m.z, m.y, m.x, count(n.x) AS n FROM mask m CROSS JOIN {ALL_26} o LEFT JOIN mask n ON {NEAR} GROUP BY ALL")
+def _(s, d):
+    return grid.degrees(V.mask(s, d))
+
+
+@query("n2_node_kinds", f"WITH {V.MASK}, d AS (SELECT m.study, m.z, m.y, m.x, count(n.x) AS n FROM mask m CROSS JOIN {ALL_26} o LEFT JOIN mask n ON {NEAR} GROUP BY ALL) SELECT *, CASE WHEN n = 1 THEN 'ENDPOINT' WHEN n >= 3 THEN 'BIFURCATION' ELSE 'PATH' END AS kind FROM d WHERE n > 0")
+def _(s, d):
+    return grid.node_kinds(V.mask(s, d))
+
+
+OPEN = f"WITH {V.MASK}, f AS (SELECT m.*, o.* FROM mask m CROSS JOIN {FACES} o LEFT JOIN mask n ON {NEAR} WHERE n.x IS NULL)"
+
+
+@query("f1_surface", OPEN + f" SELECT DISTINCT {AT} FROM f")
+def _(s, d):
+    return grid.surface(V.mask(s, d))
+
+
+@query("a10_shape_metrics", OPEN + """, a AS (SELECT study, sum(CASE WHEN dx <> 0 THEN 0.6e0 WHEN dy <> 0 THEN 0.6e0 ELSE 0.25e0 END) AS area FROM f GROUP BY study), v AS (SELECT study, count(*) * 0.3e0 AS volume FROM mask GROUP BY study)
+SELECT study, round(volume, 4) AS volume, round(area, 4) AS area, round(pow(pi(), 1e0 / 3) * pow(6 * volume, 2e0 / 3) / area, 4) AS sphericity, round(volume / area, 4) AS volume_by_area FROM v JOIN a USING (study)""")
+def _(s, d):
+    return _rounded(grid.shape_metrics(V.mask(s, d), (0.5, 0.5, 1.2)), "volume", "area", "sphericity", "volume_by_area")
+
+
+def _extreme(of: str, agg: str, r: int, to: str) -> str:
+    off = f"(SELECT dz, dy, dx FROM (SELECT unnest(range(-{r}, {r + 1})) AS dz), (SELECT unnest(range(-{r}, {r + 1})) AS dy), (SELECT unnest(range(-{r}, {r + 1})) AS dx) WHERE dz * dz + dy * dy + dx * dx <= {r * r})"
+    return f"{to} AS (SELECT m.study, m.z, m.y, m.x, {agg}(n.v) AS v FROM {of} m CROSS JOIN {off} o JOIN {of} n ON {NEAR} GROUP BY ALL)"
+
+
+@query("m1_erode", f"WITH {V.GREY}, {_extreme('grey', 'min', 2, 'e')} SELECT * FROM e")
+def _(s, d):
+    return grid.eroded(V.grey(s, d), grid.ellipsoid(2, 2, 2))
+
+
+@query("m1_dilate", f"WITH {V.GREY}, {_extreme('grey', 'max', 2, 'e')} SELECT * FROM e")
+def _(s, d):
+    return grid.dilated(V.grey(s, d), grid.ellipsoid(2, 2, 2))
+
+
+@query("v5_closing", f"WITH {V.GREY}, {_extreme('grey', 'max', 2, 'a')}, {_extreme('a', 'min', 2, 'e')} SELECT * FROM e")
+def _(s, d):
+    return grid.closed(V.grey(s, d), 2.0, (1.0, 1.0, 1.0))
+
+
+@query("w1_top_hat", f"WITH {V.GREY}, {_extreme('grey', 'min', 2, 'a')}, {_extreme('a', 'max', 2, 'e')} SELECT study, z, y, x, greatest(0, grey.v - e.v) AS v FROM grey JOIN e USING (study, z, y, x)")
+def _(s, d):
+    return grid.top_hat(V.grey(s, d), 2)
+
+
+def _reach(mask: str, off: str) -> str:
+    return f"""WITH RECURSIVE {V.VOX}, p AS (SELECT study, z, y, x FROM {mask}), m AS (SELECT *, (z * 64 + y) * 64 + x AS id FROM p),
+l AS (SELECT m.study, m.id AS a, n.id AS b FROM m CROSS JOIN {off} o JOIN m n ON {NEAR}),
+r(study, id, seen) AS (SELECT study, id, id FROM m UNION SELECT r.study, r.id, l.b FROM r JOIN l ON l.study = r.study AND l.a = r.seen),
+c AS (SELECT study, id, min(seen) AS comp FROM r GROUP BY ALL), s AS (SELECT *, count(*) OVER (PARTITION BY study, comp) AS size FROM c)"""
+
+
+@query("n9_components_26", _reach("vox WHERE v > 0.18", ALL_26) + " SELECT study, m.z, m.y, m.x, CAST(comp // 4096 AS INT) AS comp_z, CAST(comp // 64 % 64 AS INT) AS comp_y, CAST(comp % 64 AS INT) AS comp_x, size FROM m JOIN s USING (study, id)")
+def _(s, d):
+    out = components.voxel_components(V.mask(s, d))
+    return out.select(*grid.AT, *(F.col(f"component.{a}").alias(f"comp_{a}") for a in "zyx"), "size")
+
+
+@query("v7_without_small", _reach("vox WHERE v > 0.18", ALL_26) + " SELECT study, m.z, m.y, m.x FROM m JOIN s USING (study, id) WHERE size >= 4")
+def _(s, d):
+    return components.without_small(V.mask(s, d), 4)
+
+
+HESSIAN_AXIS = {"x": "PARTITION BY study, z, y ORDER BY x", "y": "PARTITION BY study, z, x ORDER BY y", "z": "PARTITION BY study, y, x ORDER BY z"}
+
+
+def _side(v: str, a: str, f: str) -> str:
+    return f"coalesce({f}({v}) OVER ({HESSIAN_AXIS[a]}), {v})"
+
+
+def _hessian(of: str, spacing=(1.0, 1.0, 1.0)) -> str:
+    s = dict(zip("xyz", spacing, strict=True))
+    sides = ", ".join(f"{_side('v', a, f)} AS {n}_{a}" for a in "xyz" for f, n in (("lead", "up"), ("lag", "down")))
+    two = ", ".join(f"(up_{a} - 2 * v + down_{a}) / {s[a] ** 2}e0 AS {a}{a}" for a in "xyz")
+    mixed = ", ".join(f"(({_side(f'up_{a}', b, 'lead')} - {_side(f'up_{a}', b, 'lag')}) - ({_side(f'down_{a}', b, 'lead')} - {_side(f'down_{a}', b, 'lag')})) / {4 * s[a] * s[b]}e0 AS {a}{b}" for a, b in ("xy", "xz", "yz"))
+    return f"n1 AS (SELECT {AT}, v, {sides} FROM {of}), hs AS (SELECT {AT}, v, up_x, up_y, up_z, down_x, down_y, down_z, {two}, {mixed} FROM n1)"
+
+
+SIX = ("xx", "yy", "zz", "xy", "xz", "yz")
+
+
+@query("j1_hessian", f"WITH {V.VOX}, {_hessian('vox', (0.5, 0.5, 1.0))} SELECT {AT}, {', '.join(f'round({c}, 4) + 0e0 AS {c}' for c in SIX)} FROM hs")
+def _(s, d):
+    return _rounded(grid.hessian(V.vox(s, d), 1.0, (0.5, 0.5, 1.0)).drop("v"), *SIX)
+
+
+EIGEN = _hessian("vox") + """, q AS (SELECT *, (xx + yy + zz) / 3 AS q, xy * xy + xz * xz + yz * yz AS off FROM hs),
+p AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * off) / 6) AS p FROM q), w AS (SELECT *, CASE WHEN p > 0 THEN p ELSE 1 END AS w FROM p),
+f AS (SELECT *, acos(greatest(-1e0, least(1e0, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (w * w * w) / 2))) / 3 AS phi FROM w),
+g AS (SELECT *, q + 2 * p * cos(phi) AS big, q + 2 * p * cos(phi + 2 * pi() / 3) AS small FROM f),
+e AS (SELECT *, CASE WHEN off = 0 THEN [xx, yy, zz] ELSE [big, 3 * q - big - small, small] END AS l FROM g),
+ev AS (SELECT study, z, y, x, list_transform(list_sort(list_transform(l, lambda v: {'s': abs(v), 'v': v})), lambda r: r.v) AS l FROM e)"""
+
+
+@query("j2_eigenvalues", f"WITH {V.VOX}, {EIGEN} SELECT {AT}, round(abs(l[1]), 3) + 0e0 AS a1, round(abs(l[2]), 3) + 0e0 AS a2, round(abs(l[3]), 3) + 0e0 AS a3 FROM ev")
+def _(s, d):
+    e = grid.eigenvalues(grid.hessian(V.vox(s, d)))
+    return _rounded(e.select(*grid.AT, *(F.abs(f"e{i}").alias(f"a{i}") for i in (1, 2, 3))), "a1", "a2", "a3", digits=3)
+
+
+@query("j4_tube_response", f"""WITH {V.VOX}, {EIGEN}, k AS (SELECT {AT}, -l[2] AS l2, -l[3] AS l3, greatest(0, max(-l[3]) OVER (PARTITION BY study)) * 0.75e0 AS fl FROM ev),
+h AS (SELECT *, CASE WHEN l3 <= fl THEN fl ELSE l3 END AS rho FROM k)
+SELECT {AT}, round(CASE WHEN l2 > 0 AND l3 > 0 THEN l3 * CASE WHEN l2 >= rho / 2 THEN 1 WHEN pow(l2 + rho, 3) > 1e-12 THEN 27 * l2 * l2 * (rho - l2) / pow(l2 + rho, 3) ELSE 0 END ELSE 0 END, 3) + 0e0 AS v FROM h""")
+def _(s, d):
+    return _rounded(grid.vesselness(V.vox(s, d), (1.0,), blur=False), "v", digits=3)
+
+
+@query("j5_vesselness")
+def _(s, d):
+    return grid.normalised(grid.vesselness(V.grey(s, d)))
+
+
+@query("b1_gaussian_blur")
+def _(s, d):
+    return _rounded(grid.blurred(V.grey(s, d), 1.5), "v")
+
+
+@query("f2_curvature")
+def _(s, d):
+    return _rounded(grid.curvature(grid.blurred(V.grey(s, d), 1.5)), "k", "si")
+
+
+@query("v6_fill_holes")
+def _(s, d):
+    return components.filled(V.vox(s, d).select(*grid.AT, F.when(F.col("v") > -0.05, 255).otherwise(0).alias("v")))
+
+
+
+
+@query("x1_chamfer_distance", f"""WITH {V.VOX}, f AS (SELECT * FROM vox WHERE v > -0.05), b AS (SELECT * FROM vox WHERE NOT v > -0.05),
+p AS (SELECT f.study, f.z, f.y, f.x, abs(f.x - b.x) AS a, abs(f.y - b.y) AS b, abs(f.z - b.z) AS c FROM f JOIN b USING (study)),
+q AS (SELECT {AT}, least(a, b, c) AS lo, greatest(a, b, c) AS hi, a + b + c - least(a, b, c) - greatest(a, b, c) AS mid FROM p)
+SELECT {AT}, round(min(sqrt(3) * lo + sqrt(2) * (mid - lo) + (hi - mid)), 4) AS mm FROM q GROUP BY ALL UNION ALL SELECT {AT}, 0 AS mm FROM b""")
+def _(s, d):
+    return _rounded(grid.distance(V.vox(s, d).withColumn("v", F.when(F.col("v") > -0.05, 1).otherwise(0))), "mm")
+
+
+CAND = f"""WITH {V.CENTRELINE}, f AS (SELECT *, br >= 1.35 AND si >= 0.65 AND k > 0 AS flag FROM centreline),
+g AS (SELECT *, idx - row_number() OVER (PARTITION BY branch_id, flag ORDER BY idx) AS run FROM f),
+c AS (SELECT branch_id, min(idx) AS first, count(*) AS n_points, greatest(0, max(br)) AS max_br, greatest(0, max(si)) AS max_si, greatest(0, max(k)) AS max_k, arg_max(idx, row(br, -idx)) AS peak
+FROM g WHERE flag GROUP BY branch_id, run HAVING count(*) >= 3)"""
+SCORE = "100 / (1 + exp(-10 * ((0.35 * greatest(0, least(1, (max_si - 0.65) / 0.35)) + 0.35 * greatest(0, least(1, (max_br - 1.35) / 3.65))) / 0.70 - 0.5)))"
+COLS = "branch_id, CAST(first AS INT) AS first, n_points, round(max_br, 4) AS max_br, round(max_si, 4) AS max_si, round(max_k, 4) AS max_k, CAST(peak AS INT) AS peak"
+
+
+@query("n1_detect_islands", CAND + f" SELECT {COLS} FROM c")
+def _(s, d):
+    return _rounded(detect.candidates(V.centreline(s, d)), "max_br", "max_si", "max_k")
+
+
+@query("n8_scored_candidates", CAND + f" SELECT {COLS}, round({SCORE}, 4) AS score FROM c")
+def _(s, d):
+    return _rounded(detect.ranked(detect.candidates(V.centreline(s, d))), "max_br", "max_si", "max_k", "score")
+
+
+@query("a3_median_baseline", f"WITH {V.CENTRELINE} SELECT branch_id, greatest(median(radius), 1e-6) AS baseline FROM centreline GROUP BY branch_id")
+def _(s, d):
+    return detect.baseline(V.centreline(s, d))
+
+
+@query("a5_best_shape", f"WITH {V.CENTRELINE} SELECT branch_id, CAST(idx % 16 AS INT) AS idx, round(max(si), 4) AS si, round(arg_max(k, row(si, -z, -y, -x, k)), 4) AS k FROM centreline WHERE si > -1 GROUP BY branch_id, idx % 16")
+def _(s, d):
+    p = V.centreline(s, d).withColumn("idx", F.col("idx") % 16)
+    p = p.groupBy("branch_id", "idx", "z", "y", "x", "si").agg(F.max("k").alias("k"))
+    return _rounded(detect.best_shape(p), "si", "k")
+
+
+@query("jn4_nearest_centreline", f"""WITH {V.CENTRELINE}, p AS (SELECT DISTINCT o_orderkey AS id, o_orderkey * 7 % 61 AS x, o_orderkey * 5 % 53 AS y, o_orderkey * 3 % 47 AS z FROM orders WHERE o_orderkey % 50 = 0),
+c AS (SELECT * FROM centreline WHERE branch_id % 40 = 0), d AS (SELECT p.id, c.branch_id, c.idx, pow(p.x - c.x, 2) + pow(p.y - c.y, 2) + pow(p.z - c.z, 2) AS d2 FROM p CROSS JOIN c)
+SELECT id, arg_min(branch_id, row(d2, branch_id, idx)) AS branch_id, CAST(arg_min(idx, row(d2, branch_id, idx)) AS INT) AS idx, min(d2) AS d2 FROM d GROUP BY id""")
+def _(s, d):
+    o = F.col("o_orderkey")
+    surface = V.table(s, d, "orders").where(o % 50 == 0).select(o.alias("id"), (o * 7 % 61).alias("x"), (o * 5 % 53).alias("y"), (o * 3 % 47).alias("z")).distinct()
+    return detect.nearest(surface, V.centreline(s, d).where("branch_id % 40 = 0"))
+
+
+def _prune(rounds: int) -> str:
+    out = f"WITH {V.EDGES}, e0 AS (SELECT * FROM edges)"
+    for i in range(rounds):
+        out += f", d{i} AS (SELECT n, count(*) AS c FROM (SELECT u AS n FROM e{i} UNION ALL SELECT v FROM e{i} WHERE u <> v) GROUP BY n), e{i + 1} AS (SELECT e.* FROM e{i} e JOIN d{i} a ON a.n = e.u JOIN d{i} b ON b.n = e.v WHERE NOT ((a.c = 1 OR b.c = 1) AND e.length_mm < 3.0))"
+    return out
+
+
+@query("n5_prune_rounds", _prune(6) + " SELECT u, v, round(length_mm, 4) AS length_mm FROM e6")
+def _(s, d):
+    return _rounded(graph.pruned(V.edges(s, d)), "length_mm")
+
+
+@query("a9_tree_statistics", f"WITH {V.EDGES}, d AS (SELECT n, count(*) AS c FROM (SELECT u AS n FROM edges UNION ALL SELECT v FROM edges WHERE u <> v) GROUP BY n) SELECT count(*) AS n_nodes, count(*) FILTER (c = 1) AS n_ends, count(*) FILTER (c >= 3) AS n_forks, (SELECT count(*) FROM edges) AS n_branches, (SELECT round(sum(length_mm), 2) FROM edges) AS length_mm FROM d")
+def _(s, d):
+    return _rounded(graph.statistics(V.edges(s, d)), "length_mm", digits=2)
+
+
+@query("a13_node_degrees", f"WITH {V.EDGES} SELECT n AS node, count(*) AS degree FROM (SELECT u AS n FROM edges UNION ALL SELECT v FROM edges WHERE u <> v) GROUP BY n")
+def _(s, d):
+    return graph.node_degrees(V.edges(s, d))
+
+
+SEG = f"WITH {V.CENTRELINE}, g AS (SELECT branch_id, idx, 511 - x AS x, y, z, lead(511 - x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM centreline WINDOW w AS (PARTITION BY branch_id ORDER BY idx)), s AS (SELECT *, sqrt(pow((x2 - x) * 0.5, 2) + pow((y2 - y) * 0.5, 2) + pow((z2 - z) * 1.2, 2)) AS mm FROM g WHERE x2 IS NOT NULL)"
+
+
+@query("n10_segments", SEG + " SELECT branch_id, CAST(idx AS INT) AS idx, x, y, z, x2, y2, z2, round(mm, 4) AS mm FROM s")
+def _(s, d):
+    return _rounded(graph.segments(V.centreline(s, d), (0.5, 0.5, 1.2), 512), "mm")
+
+
+@query("n4_branch_lengths", SEG + " SELECT branch_id, round(sum(mm), 3) AS length_mm FROM s GROUP BY branch_id")
+def _(s, d):
+    return _rounded(graph.lengths(V.centreline(s, d), (0.5, 0.5, 1.2)), "length_mm", digits=3)
+
+
+@query("n13_resampled_paths")
+def _(s, d):
+    return _rounded(graph.resampled(V.centreline(s, d), 0.5, (0.5, 0.5, 1.2)), "x", "y", "z")
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
