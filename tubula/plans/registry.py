@@ -246,9 +246,9 @@ def _prune(rounds: int) -> str:
     return out
 
 
-@query("n5_prune_rounds", _prune(6) + " SELECT u, v, round(length_mm, 4) AS length_mm FROM e6")
+@query("n5_prune_rounds", _prune(6) + " SELECT u, v, length_mm FROM e6")
 def _(s, d):
-    return _rounded(graph.pruned(V.edges(s, d)), "length_mm")
+    return graph.pruned(V.edges(s, d))
 
 
 @query("a9_tree_statistics", f"WITH {V.EDGES}, d AS (SELECT n, count(*) AS c FROM (SELECT u AS n FROM edges UNION ALL SELECT v FROM edges WHERE u <> v) GROUP BY n) SELECT count(*) AS n_nodes, count(*) FILTER (c = 1) AS n_ends, count(*) FILTER (c >= 3) AS n_forks, (SELECT count(*) FROM edges) AS n_branches, (SELECT round(sum(length_mm), 2) FROM edges) AS length_mm FROM d")
