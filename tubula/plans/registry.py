@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, detect, graph, grid
+from ..operators import components, denoise, detect, graph, grid, thinning
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,6 +279,59 @@ def _(s, d):
     return _rounded(graph.resampled(V.centreline(s, d), 0.5, (0.5, 0.5, 1.2)), "x", "y", "z")
 
 
+def _walk(edges: str) -> str:
+    """Chains of edges(edge, u, v, mm), from both ends, step by step."""
+    return edges + """, deg AS (SELECT n, count(*) AS c FROM (SELECT u AS n FROM edges UNION ALL SELECT v FROM edges WHERE u <> v) GROUP BY n), ways AS (SELECT edge, u AS a, v AS b, mm FROM edges UNION ALL SELECT edge, v, u, mm FROM edges),
+walk(start, first, edge, node, mm, n) AS (SELECT a, edge, edge, b, mm, 1 FROM ways JOIN deg ON deg.n = a WHERE c <> 2 UNION ALL
+  SELECT start, first, ways.edge, b, walk.mm + ways.mm, walk.n + 1 FROM walk JOIN deg ON deg.n = walk.node AND c = 2 JOIN ways ON ways.a = walk.node AND ways.edge <> walk.edge),
+chain AS (SELECT start AS u, node AS v, first AS branch, mm, walk.n AS parts FROM walk JOIN deg ON deg.n = node WHERE c <> 2 AND (start, first) <= (node, edge))"""
+
+
+@query("n6_merge_degree_2", _walk(f"WITH RECURSIVE {V.EDGES.replace('edges AS', 'tree AS')}, edges AS (SELECT u AS edge, u, v, length_mm AS mm FROM tree WHERE u % 3 > 0 OR u % 5 = 0)") + " SELECT branch, u, v, round(mm, 4) AS length_mm, parts FROM chain")
+def _(s, d):
+    return _rounded(graph.merged(V.edges(s, d).where("u % 3 > 0 OR u % 5 = 0").withColumn("edge", F.col("u"))), "length_mm")
+
+
+HALF_26 = OFF.format("dz > 0 OR (dz = 0 AND (dy > 0 OR (dy = 0 AND dx > 0)))")
+PATHS = _walk(f"WITH RECURSIVE {V.VOX}, p AS (SELECT *, ((CAST(study AS BIGINT) * 4096 + z) * 64 + y) * 64 + x AS id FROM vox WHERE v > 0.18), edges AS (SELECT m.id * 16777216 * 256 + n.id AS edge, m.id AS u, n.id AS v, 0e0 AS mm FROM p m CROSS JOIN {HALF_26} o JOIN p n ON {NEAR})")
+
+
+@query("n3_trace_branches", PATHS + " SELECT CAST(u // 16777216 AS INT) AS study, CAST(u // 4096 % 4096 AS INT) AS uz, CAST(u // 64 % 64 AS INT) AS uy, CAST(u % 64 AS INT) AS ux, CAST(v // 4096 % 4096 AS INT) AS vz, CAST(v // 64 % 64 AS INT) AS vy, CAST(v % 64 AS INT) AS vx, parts + 1 AS points FROM chain")
+def _(s, d):
+    ends = [F.col(f"{e}.{a}").cast("int").alias(f"{e}{a}") for e in "uv" for a in "zyx"]
+    return graph.traced(V.mask(s, d)).groupBy("study", "branch", "u", "v").agg(F.count("*").alias("points")).select(F.col("study").cast("int").alias("study"), *ends, "points")
+
+
+@query("t1_skeleton")
+def _(s, d):
+    return thinning.thinned(V.vox(s, d).where("v > -0.05"))
+
+
+SHIFTS = "(SELECT dy, dx FROM (SELECT unnest(range(-10, 1)) AS dy), (SELECT unnest(range(-10, 11)) AS dx) WHERE dy < 0 OR dx < 0)"
+
+
+@query("d1_nlm_denoise", f"""WITH {V.IMAGES}, d AS (SELECT a.z, a.y, a.x, o.dy, o.dx, a.v AS p, b.v AS q, b.y AS qy, b.x AS qx, pow(a.v - b.v, 2) AS s FROM images a CROSS JOIN {SHIFTS} o JOIN images b ON b.z = a.z AND b.y = (a.y + o.dy + 32) % 32 AND b.x = (a.x + o.dx + 32) % 32),
+f AS (SELECT d.z, (d.y - i + 32) % 32 AS y, (d.x - j + 32) % 32 AS x, dy, dx, sum(s) AS far FROM d, range(2) i(i), range(2) j(j) GROUP BY ALL),
+w AS (SELECT z, y, x, dy, dx, p, q, qy, qx, CAST(floor(36e0 / (36e0 + greatest(far - 4050, 0)) * 1000 + 0.5) AS BIGINT) AS w FROM d JOIN f USING (z, y, x, dy, dx)),
+c AS (SELECT z, y, x, w, w * q AS t FROM w UNION ALL SELECT z, qy, qx, w, w * p FROM w WHERE y + dy >= 0 AND x + dx BETWEEN 0 AND 31),
+t AS (SELECT z, y, x, sum(w) AS w, max(w) AS top, sum(t) AS t FROM c GROUP BY ALL)
+SELECT {AT}, round(CASE WHEN top = 0 THEN v ELSE (t + v * top) / (w + top) END, 4) AS v FROM images JOIN t USING (z, y, x)""")
+def _(s, d):
+    return _rounded(denoise.denoised(V.images(s, d)), "v")
+
+
+@query("d2_nlm_settings", """SELECT event_id, CASE WHEN s <= 0 THEN 5 WHEN s <= 15 THEN 1 WHEN s <= 30 THEN 2 WHEN s <= 45 THEN 3 WHEN s <= 75 THEN 4 ELSE 5 END AS n, CASE WHEN s > 0 AND s <= 30 THEN 10 ELSE 17 END AS w, CAST(CASE WHEN s <= 0 THEN 0.3 WHEN s <= 30 THEN 0.4 WHEN s <= 75 THEN 0.35 ELSE 0.3 END AS DOUBLE) AS h
+FROM (SELECT event_id, event_id % 91 - 5 AS s FROM events)""")
+def _(s, d):
+    return V.table(s, d, "events").select("event_id", denoise.settings_column(F.col("event_id") % 91 - 5).alias("r")).select("event_id", "r.*")
+
+
+@query("d4_noise_estimate", f"""WITH {V.IMAGES}, c AS (SELECT a.z, a.y, a.x, sum(b.v * CASE WHEN i = 0 THEN -2 ELSE 1 END * CASE WHEN j = 0 THEN -2 ELSE 1 END) AS v FROM images a, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), images b
+WHERE a.y BETWEEN 6 AND 25 AND a.x BETWEEN 6 AND 25 AND b.z = a.z AND b.y = a.y + 6 * i AND b.x = a.x + 6 * j GROUP BY ALL) SELECT 1 AS study, z, round(sqrt(pi() / 2) / (6 * 20 * 20) * sum(abs(v)), 4) AS sigma FROM c GROUP BY z""")
+def _(s, d):
+    return _rounded(denoise.noise(V.images(s, d)), "sigma")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -43,6 +43,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderkey > 0").select(o.alias("u"), F.floor(o / 3).alias("v"), (F.col("o_totalprice") / 50000).alias("length_mm"))
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One volume of four slices of 32 x 32 pixels, every pixel present."""
+    sums = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 4).alias("z"), (F.col("l_suppkey") % 32).alias("y"), (F.col("l_partkey") % 32).alias("x")).agg(F.sum("l_quantity").alias("q"))
+    every = spark.range(4096).select(F.floor(F.col("id") / 1024).alias("z"), F.floor(F.col("id") / 32 % 32).alias("y"), (F.col("id") % 32).alias("x"))
+    v = F.least(F.lit(255), F.coalesce("q", F.lit(0.0)).cast("int"))
+    return every.join(sums, ["z", "y", "x"], "left").select(F.lit(1).alias("study"), *(F.col(a).cast("int").alias(a) for a in "zyx"), v.alias("v"))
+
+
 VOX = """vox AS (SELECT study, z, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(e[i] AS DOUBLE) AS v FROM (
   SELECT label AS study, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS z, embedding AS e FROM embeddings), range(1, 65) t(i))"""
 GREY = VOX + """, grey AS (SELECT study, z, y, x, CAST(floor(least(255e0, abs(v) * 400)) AS INT) AS v FROM vox)"""
@@ -50,3 +58,5 @@ MASK = VOX + """, mask AS (SELECT study, z, y, x FROM vox WHERE v > 0.18)"""
 CENTRELINE = """centreline AS (SELECT user_id AS branch_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, 1 + value / 20 AS br,
   0.4e0 + (event_id % 60) / 100e0 AS si, CAST(event_id % 7 - 2 AS DOUBLE) AS k, event_id % 31 AS x, event_id % 29 AS y, event_id % 23 AS z, CAST(1 + event_id % 5 AS DOUBLE) AS radius FROM events)"""
 EDGES = """edges AS (SELECT o_orderkey AS u, o_orderkey // 3 AS v, o_totalprice / 50000 AS length_mm FROM orders WHERE o_orderkey > 0)"""
+IMAGES = """images AS (SELECT 1 AS study, CAST(id // 1024 AS INT) AS z, CAST(id // 32 % 32 AS INT) AS y, CAST(id % 32 AS INT) AS x, least(255, CAST(trunc(coalesce(q, 0)) AS INT)) AS v FROM range(4096) r(id)
+  LEFT JOIN (SELECT l_orderkey % 4 AS pz, l_suppkey % 32 AS py, l_partkey % 32 AS px, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) ON pz = id // 1024 AND py = id // 32 % 32 AND px = id % 32)"""
