@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, denoise, detect, graph, grid, thinning
+from ..functions import display
+from ..operators import components, denoise, detect, graph, grid, reform, thinning
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,9 +288,9 @@ walk(start, first, edge, node, mm, n) AS (SELECT a, edge, edge, b, mm, 1 FROM wa
 chain AS (SELECT start AS u, node AS v, first AS branch, mm, walk.n AS parts FROM walk JOIN deg ON deg.n = node WHERE c <> 2 AND (start, first) <= (node, edge))"""
 
 
-@query("n6_merge_degree_2", _walk(f"WITH RECURSIVE {V.EDGES.replace('edges AS', 'tree AS')}, edges AS (SELECT u AS edge, u, v, length_mm AS mm FROM tree WHERE u % 3 > 0 OR u % 5 = 0)") + " SELECT branch, u, v, round(mm, 4) AS length_mm, parts FROM chain")
+@query("n6_merge_degree_2", _walk(f"WITH RECURSIVE {V.EDGES.replace('edges AS', 'tree AS')}, edges AS (SELECT u AS edge, u, v, length_mm AS mm FROM tree WHERE u % 3 > 0 OR u % 5 = 0)") + " SELECT branch, u, v, round(mm, 9) AS length_mm, parts FROM chain")
 def _(s, d):
-    return _rounded(graph.merged(V.edges(s, d).where("u % 3 > 0 OR u % 5 = 0").withColumn("edge", F.col("u"))), "length_mm")
+    return _rounded(graph.merged(V.edges(s, d).where("u % 3 > 0 OR u % 5 = 0").withColumn("edge", F.col("u"))), "length_mm", digits=9)
 
 
 HALF_26 = OFF.format("dz > 0 OR (dz = 0 AND (dy > 0 OR (dy = 0 AND dx > 0)))")
@@ -332,6 +333,127 @@ def _(s, d):
     return _rounded(denoise.noise(V.images(s, d)), "sigma")
 
 
+def _paths(s, d):
+    return V.centreline(s, d).select("branch_id", F.col("idx").alias("i"), *(F.col(a).cast("double").alias(a) for a in "xyz"))
+
+
+NEXT = f"WITH {V.CENTRELINE}, n AS (SELECT branch_id, CAST(idx AS INT) AS i, " + ", ".join(f"CAST(coalesce(lead({a}) OVER w, {a}) - coalesce(lag({a}) OVER w, {a}) AS DOUBLE) AS d{a}" for a in "xyz") + " FROM centreline WINDOW w AS (PARTITION BY branch_id ORDER BY idx)), m AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS size FROM n)"
+
+
+def _spread(df: DataFrame, *vectors: str) -> DataFrame:
+    cols = {f"{v[0]}_{a}": F.round(F.col(v)[k], 4) + 0.0 for v in vectors for k, a in enumerate("xyz")}
+    return df.select("branch_id", "i", *(c.alias(n) for n, c in cols.items()))
+
+
+@query("n14_tangents", NEXT + " SELECT branch_id, i, " + ", ".join(f"CASE WHEN size > 0 THEN round(d{a} / size, 4) + 0e0 END AS t_{a}" for a in "xyz") + " FROM m")
+def _(s, d):
+    return _spread(reform.tangents(_paths(s, d)), "tangent")
+
+
+@query("n15_transported_frames")
+def _(s, d):
+    return _spread(reform.frames(_paths(s, d)), "tangent", "normal", "binormal")
+
+
+@query("n18_plane_frames", NEXT + """, t AS (SELECT branch_id, i, CASE WHEN size > 0 THEN dx / size ELSE 1 END AS x, CASE WHEN size > 0 THEN dy / size ELSE 0 END AS y, CASE WHEN size > 0 THEN dz / size ELSE 0 END AS z FROM m),
+up AS (SELECT *, CASE WHEN abs(y) > 0.9 THEN 0 ELSE -z END AS p, CASE WHEN abs(y) > 0.9 THEN z ELSE 0 END AS q, CASE WHEN abs(y) > 0.9 THEN -y ELSE x END AS r FROM t), u AS (SELECT branch_id, i, x, y, z, p / l AS p, q / l AS q, r / l AS r FROM (SELECT *, sqrt(p * p + q * q + r * r) AS l FROM up))
+SELECT branch_id, i, round(x, 4) + 0e0 AS t_x, round(y, 4) + 0e0 AS t_y, round(z, 4) + 0e0 AS t_z, round(p, 4) + 0e0 AS n_x, round(q, 4) + 0e0 AS n_y, round(r, 4) + 0e0 AS n_z, round(y * r - z * q, 4) + 0e0 AS b_x, round(z * p - x * r, 4) + 0e0 AS b_y, round(x * q - y * p, 4) + 0e0 AS b_z FROM u""")
+def _(s, d):
+    return _spread(reform.plane_frames(_paths(s, d)), "tangent", "normal", "binormal")
+
+
+STRAIGHT = f"""WITH {V.VOX}, {V.AXIS}, p AS (SELECT study, branch_id, i AS "row", CAST(c AS INT) AS col, x + o * 0.8e0 * cos(pi() / 6) AS x, y + o * 0.6e0 * cos(pi() / 6) AS y, z + o * sin(pi() / 6) AS z FROM axis CROSS JOIN (SELECT c, (c - 4.5e0) * 0.8e0 AS o FROM range(9) r(c))),
+k AS (SELECT p.*, CAST(floor(x) AS INT) + dx AS kx, CAST(floor(y) AS INT) + dy AS ky, CAST(floor(z) AS INT) + dz AS kz, abs(1 - dx - (x - floor(x))) * abs(1 - dy - (y - floor(y))) * abs(1 - dz - (z - floor(z))) AS share FROM p, range(2) a(dx), range(2) b(dy), range(2) c(dz)),
+img AS (SELECT k.study, branch_id, "row", col, sum(share * coalesce(v.v, 0)) AS v FROM k LEFT JOIN vox v ON v.study = k.study AND v.x = kx AND v.y = ky AND v.z = kz GROUP BY ALL)"""
+
+
+@query("n16_straightened", STRAIGHT + ' SELECT study, branch_id, "row", col, round(v, 4) + 0e0 AS v FROM img')
+def _(s, d):
+    return _rounded(reform.straightened(V.axis(s), V.vox(s, d), 7.0, 0.8, 30.0), "v")
+
+
+@query("n17_padded", STRAIGHT + ' SELECT study, study AS branch_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, round(coalesce(v, 0), 4) + 0e0 AS v FROM range(10) s(study) CROSS JOIN range(24) r(r) CROSS JOIN range(9) c(c) LEFT JOIN img USING (study) WHERE img."row" = r AND img.col = c OR r >= 20 AND img."row" = 0 AND img.col = c'.replace("coalesce(v, 0)", "CASE WHEN r < 20 THEN v ELSE 0 END"))
+def _(s, d):
+    lengths = V.axis(s).select("study", "branch_id", (F.col("study") * 0 + 18.6).alias("length_mm")).distinct()
+    return _rounded(reform.padded(reform.straightened(V.axis(s), V.vox(s, d), 7.0, 0.8, 30.0), lengths, 0.8), "v")
+
+
+@query("n19_unwrapped_rays", f"""WITH {V.MASK.replace('0.18', '-0.1')}, {V.AXIS}, r AS (SELECT study, branch_id, i, CAST(a AS INT) AS angle, x, y, z, 0.8e0 * cos(pi() * a / 6) AS dx, 0.6e0 * cos(pi() * a / 6) AS dy, sin(pi() * a / 6) AS dz FROM axis, range(12) r(a)),
+w AS (SELECT r.*, n, CAST(floor(x + n * 0.5e0 * dx + 0.5e0) AS INT) AS kx, CAST(floor(y + n * 0.5e0 * dy + 0.5e0) AS INT) AS ky, CAST(floor(z + n * 0.5e0 * dz + 0.5e0) AS INT) AS kz FROM r, range(1, 14) s(n)),
+o AS (SELECT w.study, branch_id, i, angle, min(n) AS n FROM w LEFT JOIN mask m ON m.study = w.study AND m.x = kx AND m.y = ky AND m.z = kz WHERE m.x IS NULL GROUP BY ALL)
+SELECT study, branch_id, i, angle, round(coalesce(n, 13) * 0.5e0 * sqrt(pow(dx * 0.5, 2) + pow(dy * 0.5, 2) + pow(dz * 1.2, 2)), 4) AS mm FROM r LEFT JOIN o USING (study, branch_id, i, angle)""")
+def _(s, d):
+    mask = V.vox(s, d).where("v > -0.1")
+    return _rounded(reform.unwrapped(V.axis(s), mask, 12, 6.0, 0.5, (0.5, 0.5, 1.2)), "mm")
+
+
+@query("jn6_gather", f"WITH {V.CENTRELINE}, {V.VOX} SELECT c.branch_id % 10 AS study, c.branch_id, CAST(c.idx AS INT) AS idx, c.z, c.y, c.x, coalesce(round(v, 4), 0) AS value FROM centreline c LEFT JOIN vox v ON v.study = c.branch_id % 10 AND v.z = c.z AND v.y = c.y AND v.x = c.x")
+def _(s, d):
+    points = V.centreline(s, d).select((F.col("branch_id") % 10).alias("study"), "branch_id", "idx", "z", "y", "x")
+    return _rounded(reform.gathered(points, V.vox(s, d), "value"), "value")
+
+
+@query("jn8_vertex_voxel", f"WITH {V.CENTRELINE} SELECT branch_id, CAST(idx AS INT) AS idx, CAST(greatest(0, least(63, 63 - floor(br * 7 / 0.5e0 + 0.5e0))) AS INT) AS vx, CAST(greatest(0, least(31, floor(si * 20 / 0.5e0 + 0.5e0))) AS INT) AS vy, CAST(greatest(0, least(15, floor(k * 3 / 1.2e0 + 0.5e0))) AS INT) AS vz FROM centreline")
+def _(s, d):
+    mesh = V.centreline(s, d).select("branch_id", "idx", (F.col("br") * 7).alias("x"), (F.col("si") * 20).alias("y"), (F.col("k") * 3).alias("z"))
+    return display.vertex_voxel(mesh, (64, 32, 16), (0.5, 0.5, 1.2)).select("branch_id", "idx", "vx", "vy", "vz")
+
+
+SHARE = "greatest(0, least(1, (br - 1) / 0.5e0))"
+
+
+@query("e6_bulge_colours", f"""WITH {V.CENTRELINE}, h AS (SELECT branch_id, idx, CAST(trunc({SHARE} * 255) AS INT) AS entry, (1 - {SHARE}) * 4 AS s FROM centreline), p AS (SELECT *, CAST(floor(s) AS INT) AS sixth, CAST(floor((s - floor(s)) * 255 + 0.5e0) AS INT) AS up, CAST(floor((1 - (s - floor(s))) * 255 + 0.5e0) AS INT) AS down FROM h)
+SELECT branch_id, CAST(idx AS INT) AS idx, entry, CASE sixth WHEN 0 THEN 255 WHEN 1 THEN down WHEN 4 THEN up ELSE 0 END AS r, CASE sixth WHEN 0 THEN up WHEN 1 THEN 255 WHEN 2 THEN 255 WHEN 3 THEN down ELSE 0 END AS g, CASE sixth WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN up ELSE 255 END AS b FROM p""")
+def _(s, d):
+    return V.centreline(s, d).select("branch_id", "idx", display.bulge_index(F.col("br")).alias("entry"), display.hue_colour(F.col("br")).alias("c")).select("branch_id", "idx", "entry", "c.*")
+
+
+@query("e7_boxes", f"""WITH {V.CENTRELINE} SELECT branch_id, CAST(idx AS INT) AS idx, round((31 - x + 0.5e0) / 32 - 0.5e0, 9) AS cx, round((y + 0.5e0) / 32 - 0.5e0, 9) AS cy, round((z + 0.5e0) / 24 - 0.5e0, 9) AS cz,
+round(least(5, br * 1.5e0) * 2.4e0 / 16, 9) AS bw, round(least(5, br * 1.5e0) * 2.4e0 / 16, 9) AS bh, round(least(5, br * 1.5e0) * 2.4e0 / 28.8e0, 9) AS bd FROM centreline""")
+def _(s, d):
+    cols = ("cx", "cy", "cz", "bw", "bh", "bd")
+    boxes = display.box(V.centreline(s, d).withColumnRenamed("br", "max_br"), (32, 32, 24), (0.5, 0.5, 1.2))
+    return _rounded(boxes.select("branch_id", "idx", *cols), *cols, digits=9)
+
+
+@query("e9_thumbnails", f"WITH {V.CENTRELINE} SELECT branch_id, CAST(idx AS INT) AS idx, greatest(0, x * 9 - 40) AS x0, least(288, x * 9 + 40) AS x1, greatest(0, y * 9 - 40) AS y0, least(270, y * 9 + 40) AS y1, CAST(trunc(greatest(0, least(255, radius / 15 * 255))) AS INT) AS grey, (z * 200 + y) * 256 + x AS linear FROM centreline")
+def _(s, d):
+    rows = V.centreline(s, d)
+    linear = display.linear_index(F.col("x"), F.col("y"), F.col("z"), 256, 200).alias("linear")
+    rows = rows.select("branch_id", "idx", (F.col("x") * 9).alias("x"), (F.col("y") * 9).alias("y"), display.grey_level(F.col("radius")).alias("grey"), linear)
+    return display.thumbnail(rows, (288, 270)).drop("x", "y")
+
+
+@query("a12_branch_percent", "WITH b AS (SELECT user_id % 7 AS study, user_id AS branch_id, sum(value) AS length_mm FROM events GROUP BY ALL) SELECT study, branch_id, round(length_mm, 4) AS length_mm, CAST(floor(length_mm / max(length_mm) OVER (PARTITION BY study) * 100 + 0.5) AS INT) AS percent FROM b")
+def _(s, d):
+    b = V.table(s, d, "events").groupBy((F.col("user_id") % 7).alias("study"), F.col("user_id").alias("branch_id")).agg(F.sum("value").alias("length_mm"))
+    return _rounded(display.branch_percent(b), "length_mm")
+
+
+SHOWN = CAND + f", s AS (SELECT *, {SCORE} AS score, CASE WHEN branch_id % 3 = 0 THEN 'NORMAL' ELSE 'UNKNOWN' END AS type FROM c)"
+
+
+def _shown(s, d):
+    found = detect.scored(detect.candidates(V.centreline(s, d)))
+    return found.withColumn("type", F.when(F.col("branch_id") % 3 == 0, "NORMAL").otherwise("UNKNOWN"))
+
+
+@query("a11_review_status", SHOWN + " SELECT count(*) AS n, count(*) FILTER (type <> 'NORMAL') AS suspected, count(*) FILTER (score > 70) AS high_risk FROM s")
+def _(s, d):
+    return display.status(_shown(s, d))
+
+
+@query("e1_suspected", SHOWN + " SELECT branch_id, CAST(first AS INT) AS first, round(score, 4) AS score FROM s WHERE type <> 'NORMAL'")
+def _(s, d):
+    return _rounded(display.of_type(_shown(s, d), "suspected").select("branch_id", "first", "score"), "score")
+
+
+@query("k3_report_lines", SHOWN + " SELECT branch_id, CAST(first AS INT) AS first, printf('Score: %5.1f | Aneurysm [%s] at (X:%d, Y:%d, Z:%d) | BulgeRatio: %5.2f | ShapeIndex: %.2f', score, type, first, peak, n_points, max_br, max_si) AS line FROM s")
+def _(s, d):
+    rows = _shown(s, d).withColumns({"x": F.col("first"), "y": F.col("peak"), "z": F.col("n_points")})
+    return display.report(rows).select("branch_id", "first", "line")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -51,6 +51,14 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(sums, ["z", "y", "x"], "left").select(F.lit(1).alias("study"), *(F.col(a).cast("int").alias(a) for a in "zyx"), v.alias("v"))
 
 
+def axis(spark: SparkSession) -> DataFrame:
+    """A slanting line of 20 points through each volume of vox, with fixed frames."""
+    i = F.col("i")
+    rows = spark.range(200).select(F.floor(F.col("id") / 20).cast("int").alias("study"), (F.col("id") % 20).cast("int").alias("i"))
+    vec = lambda *v: F.array(*(F.lit(c) for c in v))
+    return rows.select("study", F.col("study").alias("branch_id"), "i", (1.0331 + i * 0.31).alias("x"), (3.4717 + i * 0.11).alias("y"), (2.0213 + i * 1.49).alias("z"), vec(0.8, 0.6, 0.0).alias("normal"), vec(0.0, 0.0, 1.0).alias("binormal"))
+
+
 VOX = """vox AS (SELECT study, z, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(e[i] AS DOUBLE) AS v FROM (
   SELECT label AS study, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS z, embedding AS e FROM embeddings), range(1, 65) t(i))"""
 GREY = VOX + """, grey AS (SELECT study, z, y, x, CAST(floor(least(255e0, abs(v) * 400)) AS INT) AS v FROM vox)"""
@@ -60,3 +68,4 @@ CENTRELINE = """centreline AS (SELECT user_id AS branch_id, row_number() OVER (P
 EDGES = """edges AS (SELECT o_orderkey AS u, o_orderkey // 3 AS v, o_totalprice / 50000 AS length_mm FROM orders WHERE o_orderkey > 0)"""
 IMAGES = """images AS (SELECT 1 AS study, CAST(id // 1024 AS INT) AS z, CAST(id // 32 % 32 AS INT) AS y, CAST(id % 32 AS INT) AS x, least(255, CAST(trunc(coalesce(q, 0)) AS INT)) AS v FROM range(4096) r(id)
   LEFT JOIN (SELECT l_orderkey % 4 AS pz, l_suppkey % 32 AS py, l_partkey % 32 AS px, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) ON pz = id // 1024 AND py = id // 32 % 32 AND px = id % 32)"""
+AXIS = """axis AS (SELECT CAST(id // 20 AS INT) AS study, CAST(id // 20 AS INT) AS branch_id, CAST(id % 20 AS INT) AS i, 1.0331e0 + id % 20 * 0.31e0 AS x, 3.4717e0 + id % 20 * 0.11e0 AS y, 2.0213e0 + id % 20 * 1.49e0 AS z FROM range(200) r(id))"""
