@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .components import settled
+
 BULGE, SHAPE, GAUSS, POINTS = 1.35, 0.65, 0.0, 3
 
 
@@ -16,24 +18,25 @@ def baseline(points: DataFrame) -> DataFrame:
 
 def nearest(surface: DataFrame, points: DataFrame, cell: int = 8, reach: int = 2) -> DataFrame:
     """Of each surface voxel (id, x, y, z) the nearest point of a centreline: branch_id, idx and d2, the squared distance; of
-    equally near ones the first by (branch_id, idx).
+    equally near ones the first by (branch_id, idx). Where both have a study, only points of the voxel's own count.
 
     Both sides meet in cells of `cell` voxels; voxels that no point within `reach` cells is sure to be nearest for are looked
     up again at twice the cell, up to one cell for all."""
-    found, rest = None, surface.select("id", "x", "y", "z")
+    own = [c for c in ("study",) if c in surface.columns and c in points.columns]
+    found, rest = None, surface.select(*own, "id", "x", "y", "z")
     at = lambda a, c: F.floor(F.col(a) / c)
     while True:
         span = F.array(*(F.lit(i) for i in range(-reach, reach + 1)))
-        near = points.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "branch_id", "idx")
+        near = points.select(*own, F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "branch_id", "idx")
         for a in "xyz":
             near = near.withColumn("o", F.explode(span)).withColumn(f"c{a}", at(f"p{a}", cell) + F.col("o")).drop("o")
         left = rest.select("*", *(at(a, cell).alias(f"c{a}") for a in "xyz"))
         d2 = sum((F.pow(F.col(a) - F.col(f"p{a}"), 2) for a in "xyz"), F.lit(0.0))
-        best = left.join(near, ["cx", "cy", "cz"]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "branch_id", "idx")).alias("b"))
-        sure = best.select("id", "b.branch_id", "b.idx", "b.d2").where(F.col("d2") <= float((reach * cell) ** 2))
+        best = left.join(near, [*own, "cx", "cy", "cz"]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "branch_id", "idx")).alias("b"))
+        sure = settled(best.select("id", "b.branch_id", "b.idx", "b.d2").where(F.col("d2") <= float((reach * cell) ** 2)))
         found = sure if found is None else found.unionByName(sure)
-        rest = rest.join(sure, "id", "left_anti")
-        if cell >= 1 << 12:
+        rest = settled(rest.join(sure, "id", "left_anti"))
+        if cell >= 1 << 12 or rest.isEmpty():
             return found
         cell *= 8
 

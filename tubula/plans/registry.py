@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display
 from ..operators import components, denoise, detect, graph, grid, reform, thinning
+from . import analysis
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -454,6 +455,14 @@ def _(s, d):
     return display.report(rows).select("branch_id", "first", "line")
 
 
+@query("p1_phantom_candidates")
+def _(s, d):
+    vox = V.phantom(s)
+    axis = s.range(32).select(F.lit(1).alias("study"), F.lit(1).alias("branch_id"), F.col("id").cast("int").alias("idx"), F.col("id").cast("int").alias("z"), F.lit(12).alias("y"), F.lit(12).alias("x"))
+    rows = analysis.found(analysis.features(vox.where("v > 0").select(*grid.AT), vox, axis))
+    return _rounded(rows.select("study", "z", "y", "x", "first", "n_points", "max_br", "max_si", "max_k", "score"), "max_br", "max_si", "max_k", "score")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

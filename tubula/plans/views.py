@@ -59,6 +59,13 @@ def axis(spark: SparkSession) -> DataFrame:
     return rows.select("study", F.col("study").alias("branch_id"), "i", (1.0331 + i * 0.31).alias("x"), (3.4717 + i * 0.11).alias("y"), (2.0213 + i * 1.49).alias("z"), vec(0.8, 0.6, 0.0).alias("normal"), vec(0.0, 0.0, 1.0).alias("binormal"))
 
 
+def phantom(spark: SparkSession, ball: bool = True) -> DataFrame:
+    """A tube of radius 3 along z through 32 x 25 x 32 voxels, with a ball at its side."""
+    rows = spark.range(32 * 25 * 32).select(F.lit(1).alias("study"), *(c.cast("int").alias(a) for a, c in (("z", F.floor(F.col("id") / 800)), ("y", F.floor(F.col("id") / 32 % 25)), ("x", F.col("id") % 32))))
+    inside = "(x - 12) * (x - 12) + (y - 12) * (y - 12) <= 9" + (" OR (x - 17) * (x - 17) + (y - 12) * (y - 12) + (z - 16) * (z - 16) <= 20" if ball else "")
+    return rows.withColumn("v", F.expr(f"CASE WHEN {inside} THEN 255 ELSE 0 END"))
+
+
 VOX = """vox AS (SELECT study, z, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(e[i] AS DOUBLE) AS v FROM (
   SELECT label AS study, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS z, embedding AS e FROM embeddings), range(1, 65) t(i))"""
 GREY = VOX + """, grey AS (SELECT study, z, y, x, CAST(floor(least(255e0, abs(v) * 400)) AS INT) AS v FROM vox)"""
