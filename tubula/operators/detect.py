@@ -23,6 +23,8 @@ def nearest(surface: DataFrame, points: DataFrame, cell: int = 8, reach: int = 2
     Both sides meet in cells of `cell` voxels; voxels that no point within `reach` cells is sure to be nearest for are looked
     up again at twice the cell, up to one cell for all."""
     own = [c for c in ("study",) if c in surface.columns and c in points.columns]
+    # Of points at the same place only the first can be an answer.
+    points = points.groupBy(*own, "x", "y", "z").agg(F.min(F.struct("branch_id", "idx")).alias("p")).select(*own, "x", "y", "z", "p.branch_id", "p.idx")
     found, rest = None, surface.select(*own, "id", "x", "y", "z")
     at = lambda a, c: F.floor(F.col(a) / c)
     while True:
@@ -32,7 +34,10 @@ def nearest(surface: DataFrame, points: DataFrame, cell: int = 8, reach: int = 2
             near = near.withColumn("o", F.explode(span)).withColumn(f"c{a}", at(f"p{a}", cell) + F.col("o")).drop("o")
         left = rest.select("*", *(at(a, cell).alias(f"c{a}") for a in "xyz"))
         d2 = sum((F.pow(F.col(a) - F.col(f"p{a}"), 2) for a in "xyz"), F.lit(0.0))
-        best = left.join(near, [*own, "cx", "cy", "cz"]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "branch_id", "idx")).alias("b"))
+        cells = [*own, "cx", "cy", "cz"]
+        # The least distance alone is aggregated by hash; few points are left to be compared as structs.
+        least = settled(left.join(near, cells).groupBy("id").agg(F.min(d2).alias("least")))
+        best = left.join(least, "id").join(near, cells).where(d2 == F.col("least")).groupBy("id").agg(F.min(F.struct(F.col("least").alias("d2"), "branch_id", "idx")).alias("b"))
         sure = settled(best.select("id", "b.branch_id", "b.idx", "b.d2").where(F.col("d2") <= float((reach * cell) ** 2)))
         found = sure if found is None else found.unionByName(sure)
         rest = settled(rest.join(sure, "id", "left_anti"))

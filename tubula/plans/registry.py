@@ -238,7 +238,7 @@ SELECT id, arg_min(branch_id, row(d2, branch_id, idx)) AS branch_id, CAST(arg_mi
 def _(s, d):
     o = F.col("o_orderkey")
     surface = V.table(s, d, "orders").where(o % 50 == 0).select(o.alias("id"), (o * 7 % 61).alias("x"), (o * 5 % 53).alias("y"), (o * 3 % 47).alias("z")).distinct()
-    return detect.nearest(surface, V.centreline(s, d).where("branch_id % 40 = 0"))
+    return detect.nearest(surface, V.centreline(s, d))
 
 
 def _prune(rounds: int) -> str:
