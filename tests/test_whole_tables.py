@@ -16,3 +16,27 @@ def test_nearest_searches_every_branch(spark, sf):
         want[o] = (points.branch_id.iloc[k], points.idx.iloc[k], float(d2[k]))
     got = {r.id: (r.branch_id, r.idx, r.d2) for r in registry.queries()["jn4_nearest_centreline"](spark, sf).collect()}
     assert got == want and any(b % 40 for b, _, _ in got.values())
+
+
+def test_merging_takes_every_edge(spark, sf):
+    edges = {r.u: (r.u, r.v, r.length_mm) for r in V.edges(spark, sf).collect()}
+    at = {}
+    for e, (u, v, _) in edges.items():
+        for n in {u, v}:
+            at.setdefault(n, []).append(e)
+    passed = {n for n, es in at.items() if len(es) == 2 and not any(edges[e][0] == edges[e][1] for e in es)}
+    want = []
+    for start in at.keys() - passed:
+        for first in at[start]:
+            edge, node, mm, parts = first, start, 0.0, 0
+            while True:
+                u, v, length = edges[edge]
+                node, mm, parts = u + v - node, mm + length, parts + 1
+                if node not in passed:
+                    break
+                (edge,) = (e for e in at[node] if e != edge)
+            if (start, first) <= (node, edge):
+                want.append((first, start, node, parts, mm))
+    got = sorted((r.branch, r.u, r.v, r.parts, r.length_mm) for r in registry.queries()["n6_merge_degree_2"](spark, sf).collect())
+    assert [g[:4] for g in got] == [w[:4] for w in sorted(want)] and sum(g[3] for g in got) == len(edges)
+    assert all(abs(g[4] - w[4]) < 1e-6 for g, w in zip(got, sorted(want), strict=True))

@@ -291,7 +291,7 @@ chain AS (SELECT start AS u, node AS v, first AS branch, mm, walk.n AS parts FRO
 
 @query("n6_merge_degree_2", _walk(f"WITH RECURSIVE {V.EDGES.replace('edges AS', 'tree AS')}, edges AS (SELECT u AS edge, u, v, length_mm AS mm FROM tree WHERE u % 3 > 0 OR u % 5 = 0)") + " SELECT branch, u, v, round(mm, 9) AS length_mm, parts FROM chain")
 def _(s, d):
-    return _rounded(graph.merged(V.edges(s, d).where("u % 3 > 0 OR u % 5 = 0").withColumn("edge", F.col("u"))), "length_mm", digits=9)
+    return _rounded(graph.merged(V.edges(s, d).withColumn("edge", F.col("u"))), "length_mm", digits=9)
 
 
 HALF_26 = OFF.format("dz > 0 OR (dz = 0 AND (dy > 0 OR (dy = 0 AND dx > 0)))")
