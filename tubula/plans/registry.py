@@ -370,13 +370,13 @@ img AS (SELECT k.study, branch_id, "row", col, sum(share * coalesce(v.v, 0)) AS
 
 @query("n16_straightened", STRAIGHT + ' SELECT study, branch_id, "row", col, round(v, 4) + 0e0 AS v FROM img')
 def _(s, d):
-    return _rounded(reform.straightened(V.axis(s), V.vox(s, d), 7.0, 0.8, 30.0), "v")
+    return _rounded(reform.straightened(V.axis(s, d), V.vox(s, d), 7.0, 0.8, 30.0), "v")
 
 
 @query("n17_padded", STRAIGHT + ' SELECT study, study AS branch_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, round(coalesce(v, 0), 4) + 0e0 AS v FROM range(10) s(study) CROSS JOIN range(24) r(r) CROSS JOIN range(9) c(c) LEFT JOIN img USING (study) WHERE img."row" = r AND img.col = c OR r >= 20 AND img."row" = 0 AND img.col = c'.replace("coalesce(v, 0)", "CASE WHEN r < 20 THEN v ELSE 0 END"))
 def _(s, d):
-    lengths = V.axis(s).select("study", "branch_id", (F.col("study") * 0 + 18.6).alias("length_mm")).distinct()
-    return _rounded(reform.padded(reform.straightened(V.axis(s), V.vox(s, d), 7.0, 0.8, 30.0), lengths, 0.8), "v")
+    lengths = V.axis(s, d).groupBy("study", "branch_id").agg((F.count("*") * 0.93).alias("length_mm"))
+    return _rounded(reform.padded(reform.straightened(V.axis(s, d), V.vox(s, d), 7.0, 0.8, 30.0), lengths, 0.8), "v")
 
 
 @query("n19_unwrapped_rays", f"""WITH {V.MASK.replace('0.18', '-0.1')}, {V.AXIS}, r AS (SELECT study, branch_id, i, CAST(a AS INT) AS angle, x, y, z, 0.8e0 * cos(pi() * a / 6) AS dx, 0.6e0 * cos(pi() * a / 6) AS dy, sin(pi() * a / 6) AS dz FROM axis, range(12) r(a)),
@@ -385,7 +385,7 @@ o AS (SELECT w.study, branch_id, i, angle, min(n) AS n FROM w LEFT JOIN mask m O
 SELECT study, branch_id, i, angle, round(coalesce(n, 13) * 0.5e0 * sqrt(pow(dx * 0.5, 2) + pow(dy * 0.5, 2) + pow(dz * 1.2, 2)), 4) AS mm FROM r LEFT JOIN o USING (study, branch_id, i, angle)""")
 def _(s, d):
     mask = V.vox(s, d).where("v > -0.1")
-    return _rounded(reform.unwrapped(V.axis(s), mask, 12, 6.0, 0.5, (0.5, 0.5, 1.2)), "mm")
+    return _rounded(reform.unwrapped(V.axis(s, d), mask, 12, 6.0, 0.5, (0.5, 0.5, 1.2)), "mm")
 
 
 @query("jn6_gather", f"WITH {V.CENTRELINE}, {V.VOX} SELECT c.branch_id % 10 AS study, c.branch_id, CAST(c.idx AS INT) AS idx, c.z, c.y, c.x, coalesce(round(v, 4), 0) AS value FROM centreline c LEFT JOIN vox v ON v.study = c.branch_id % 10 AND v.z = c.z AND v.y = c.y AND v.x = c.x")

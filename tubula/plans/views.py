@@ -51,12 +51,15 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(sums, ["z", "y", "x"], "left").select(F.lit(1).alias("study"), *(F.col(a).cast("int").alias(a) for a in "zyx"), v.alias("v"))
 
 
-def axis(spark: SparkSession) -> DataFrame:
-    """A slanting line of 20 points through each volume of vox, with fixed frames."""
+def axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path through all slices of each volume of vox, with fixed frames; it swings to and fro across the slices, 19 points each way."""
     i = F.col("i")
-    rows = spark.range(200).select(F.floor(F.col("id") / 20).cast("int").alias("study"), (F.col("id") % 20).cast("int").alias("i"))
+    slices = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("study")).agg(F.count("*").alias("n"))
+    last = F.greatest(F.lit(0), F.ceil((F.col("n") - 1 - 2.0213) / 1.49)).cast("int")
+    rows = slices.select("study", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    across = F.abs((i + 19) % 38 - 19)
     vec = lambda *v: F.array(*(F.lit(c) for c in v))
-    return rows.select("study", F.col("study").alias("branch_id"), "i", (1.0331 + i * 0.31).alias("x"), (3.4717 + i * 0.11).alias("y"), (2.0213 + i * 1.49).alias("z"), vec(0.8, 0.6, 0.0).alias("normal"), vec(0.0, 0.0, 1.0).alias("binormal"))
+    return rows.select("study", F.col("study").alias("branch_id"), "i", (1.0331 + across * 0.31).alias("x"), (3.4717 + across * 0.11).alias("y"), (2.0213 + i * 1.49).alias("z"), vec(0.8, 0.6, 0.0).alias("normal"), vec(0.0, 0.0, 1.0).alias("binormal"))
 
 
 def phantom(spark: SparkSession, ball: bool = True) -> DataFrame:
