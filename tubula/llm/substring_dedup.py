@@ -9,7 +9,7 @@ are told apart by their own 128-bit digests instead, aggregated on the map side
 
 Defined results: null or empty texts have no words; texts under WINDOW words have no window and stay whole; rows that share a
 doc_id count as one document, a window at the same start in another of them being no earlier one; a null doc_id comes after
-all others. Empty input gives no rows. Other columns are not read.
+all others. What is found goes back to the text it was found in, by the id and the text's hash (`row`). Empty input gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -61,40 +61,41 @@ def _minimisers(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids = b.column(0).to_numpy()
-        for at, data, offsets in T.runs(b.column(1)):
+        ids, texts = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for at, data, offsets in T.runs(b.column(2)):
             _, _, hashes, bounds = T.words(data, offsets, lower=False)
             row, start, n, key, times = _minimisers(hashes, bounds)
-            cols = (key.view(np.int64), ids[at + row], (start - bounds[row]).astype(np.int32), n.astype(np.int32), times.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "id", "start", "n", "times"])
+            cols = (key.view(np.int64), ids[at + row], texts[at + row], (start - bounds[row]).astype(np.int32), n.astype(np.int32), times.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "id", "row", "start", "n", "times"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, text, runs) the runs: packed strings, or for crowded minimisers (`crowd`) each window's digest."""
+    """From (id, row, text, runs) the runs: packed strings, or for crowded minimisers (`crowd`) each window's digest."""
     for b in batches:
         for part in (b.slice(i, 256) for i in range(0, len(b), 256)):
-            key, ids, start, packed, hi, lo = [], [], [], [], [], []
-            for i, text, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            key, ids, rows, start, packed, hi, lo = [], [], [], [], [], [], []
+            for i, row, text, runs in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 ws = (text or "").encode().split()
                 for r in runs:
                     a, n = r["start"], r["n"]
                     words = b" ".join(ws[a : a + n + WINDOW - 1])
                     if not r["crowd"]:
-                        key.append(r["key"]), ids.append(i), start.append(a), packed.append(words), hi.append(None), lo.append(None)
+                        key.append(r["key"]), ids.append(i), rows.append(row), start.append(a), packed.append(words), hi.append(None), lo.append(None)
                         continue
                     _, _, h, _ = T.words(np.frombuffer(words, np.uint8), np.array([0, len(words)]), lower=False)
                     x, y = (T.windows(h, WINDOW, s).view(np.int64).tolist() for s in (10, 11))
                     key += [None] * n
                     ids += [i] * n
+                    rows += [row] * n
                     start += range(a, a + n)
                     packed += [None] * n
                     hi += x
                     lo += y
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(packed, pa.binary()).cast(pa.string()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["key", "id", "start", "packed", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(start, pa.int32()), pa.array(packed, pa.binary()).cast(pa.string()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["key", "id", "row", "start", "packed", "hi", "lo"])
 
 
-def _repeats(ids: np.ndarray, starts: np.ndarray, packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of whole buckets: runs of windows that start earlier as well, as id, start, number of windows."""
+def _repeats(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, packed: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of whole buckets: runs of windows that start earlier as well, as id, row, start, number of windows."""
     x, y, n = [], [], []
     for _, data, offsets in T.runs(packed):
         _, _, hashes, bounds = T.words(data, offsets, lower=False)
@@ -117,7 +118,7 @@ def _repeats(ids: np.ndarray, starts: np.ndarray, packed: pa.Array) -> tuple[np.
     head = np.ones(len(on), bool)
     head[1:] = (on[1:] != on[:-1] + 1) | (run[on[1:]] != run[on[:-1]])
     at = np.flatnonzero(head)
-    return ids[run][on[at]], place[on[at]], np.diff(np.append(at, len(on)))
+    return ids[run][on[at]], rows[run][on[at]], place[on[at]], np.diff(np.append(at, len(on)))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +126,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        i, s, n = _repeats(rows.column("id").to_numpy(), rows.column("start").to_numpy().astype(np.int64), rows.column("packed").combine_chunks())
-        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "start", "n"])
+        i, r, s, n = _repeats(rows.column("id").to_numpy(), rows.column("row").to_numpy(), rows.column("start").to_numpy().astype(np.int64), rows.column("packed").combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(r), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "row", "start", "n"])
 
     for big in batches:
         for b in (big.slice(i, BATCH) for i in range(0, len(big), BATCH)):
@@ -161,34 +162,35 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> (id, start, n): n windows from word `start` on that also start earlier."""
-    runs = cut(docs.mapInArrow(_runs, "key long, id long, start int, n int, times int"), "runs")
+    """docs(id, row, text) -> (id, row, start, n): n windows from word `start` on that also start earlier. Texts that share an id
+    differ in `row`; a text that is there more than once gives its windows once or more."""
+    runs = cut(docs.mapInArrow(_runs, "key long, id long, row long, start int, n int, times int"), "runs")
     total = runs.count()
     often = cut(runs.groupBy("key").agg(F.count("*").alias("size"), F.sum("times").alias("times")).where("times > 1").drop("times"), "minimisers")
     shared = lookup_join(runs.drop("times"), often, ["key"], "size", total).withColumn("crowd", F.col("size") > CROWD).drop("size")
     shared = cut(shared, "shared")
     drop(runs, often)
-    by_doc = shared.groupBy("id").agg(F.collect_list(F.struct("key", "start", "n", "crowd")).alias("runs"))
-    packed = docs.join(by_doc, "id").select("id", "text", "runs").mapInArrow(_packed, "key long, id long, start int, packed string, hi long, lo long")
+    by_doc = shared.groupBy("id", "row").agg(F.collect_set(F.struct("key", "start", "n", "crowd")).alias("runs"))
+    packed = docs.join(by_doc, ["id", "row"]).select("id", "row", "text", "runs").mapInArrow(_packed, "key long, id long, row long, start int, packed string, hi long, lo long")
     packed = cut(packed, "packed")
     drop(shared)
     p = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = packed.where("key IS NOT NULL").select("key", "id", "start", "packed").repartition(p, "key").sortWithinPartitions("key")
-    out = sent.mapInArrow(_buckets, "id long, start int, n int")
-    crowded = packed.where("key IS NULL").select("hi", "lo", "id", "start")
+    sent = packed.where("key IS NOT NULL").select("key", "id", "row", "start", "packed").repartition(p, "key").sortWithinPartitions("key")
+    out = sent.mapInArrow(_buckets, "id long, row long, start int, n int")
+    crowded = packed.where("key IS NULL").select("hi", "lo", "id", "row", "start")
     first = crowded.groupBy("hi", "lo").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1")
     first = cut(first, "first")
     n = first.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     later = lookup_join(crowded, first, ["hi", "lo"], "times", n).where(F.struct("id", "start") > F.col("first"))
-    return out.unionByName(later.select("id", "start", F.lit(1).alias("n")))
+    return out.unionByName(later.select("id", "row", "start", F.lit(1).alias("n")))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_removed, kept_text (the kept words, joined by a space)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"))
-    gone = cut(repeated_windows(docs.select("id", "text")), "repeats")
-    gone = gone.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return docs.join(gone, "id", "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("row"))
+    gone = cut(repeated_windows(docs.select("id", "row", "text")), "repeats")
+    gone = gone.groupBy("id", "row").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    return docs.join(gone, ["id", "row"], "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
