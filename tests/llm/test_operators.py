@@ -72,8 +72,9 @@ def test_templates():
 
     def ends(text):
         raw = text.encode()
-        _, _, h, b = T.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), table=license_scan.TABLE)
-        return [(int(s), int(n)) for s, n in zip(*license_scan.places(auto, h, b)[1::2], strict=True)]
+        data = np.frombuffer(raw, np.uint8)
+        a, e, _, b = T.words(data, np.array([0, len(raw)]), table=license_scan.TABLE)
+        return [(int(s), int(n)) for s, n in zip(*license_scan.places(auto, T.spelled(data, a, e, lower=True), b)[1::2], strict=True)]
 
     assert ends("x One, two end") == [(1, 3)] and ends("one end") == [(0, 2)] and ends("one a b end") == [(0, 4)]
     assert ends("one a b c end") == [] and ends("one two a b end") == [(0, 5)] and ends("one two") == []

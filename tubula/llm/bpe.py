@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textnum as T
 from .common import cut, documents, drop
 
 #: Characters of text in a chunk: what a task holds at once while it puts ids to the chunk's documents.
@@ -107,7 +108,7 @@ def _chunks(content: str):
             kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "sizes", "codes", "words"])
 
-        for b in batches:
+        for b in T.parts(batches):
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
                 if ids and chars + len(text) > CHUNK:

@@ -16,28 +16,40 @@ HOT_SHARE = 512
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: Rows in an Arrow batch, unless the session says otherwise; Spark's default of 10,000 whole texts takes much room in every worker.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_own_shared_dir", None)
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; where that is unset, a temporary one on a local
+    master and an error on any other, whose executors would not see it."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or getattr(spark, "_own_shared_dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = spark._own_shared_dir = tempfile.mkdtemp(prefix="spark-")
     return folder.rstrip("/")
 
 
+def quoted(column: str) -> str:
+    """The name as SQL takes it, whatever its characters."""
+    return f"`{column.replace('`', '``')}`"
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that any of the columns has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def cut(df: DataFrame, name: str, bucket: str | None = None, level: int = 3) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, so that a lost executor costs no
     recomputation, and every reader sees the same rows. The files go when the driver's JVM exits, or by drop().
 
+    While it writes, the session cleans up shuffle files behind finished queries, others too; the setting is put back after.
+
     With a column as `bucket` the table is bucketed by it, so that grouping or joining by that column needs no shuffle.
     Each task writes a file for each bucket it has rows of: for tables of few rows a task, or dealt out by the column."""
     spark = df.sparkSession
@@ -82,6 +94,29 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str,
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(few, keys, "left_anti").join(cold, keys))
 
 
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key_, parts_) of the keys, fewer than HOT_SHARE, that have more than one HOT_SHARE-th of the `total` rows each, with the
+    number of parts in which none has more; None if there is none. Inputs of few rows have none to speak of."""
+    if total < 1 << 14:
+        return None
+    parts = F.ceil(F.col("n") * HOT_SHARE / total).cast("int").alias("parts_")
+    hot = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > total).select(F.col(key).alias("key_"), parts).collect()
+    return rows.sparkSession.createDataFrame(hot, f"key_ {rows.schema[key].dataType.simpleString()}, parts_ int") if hot else None
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame | None) -> DataFrame:
+    """rows inner-joined to table, which has few rows per key, however wide. The rows of a hot key are dealt over its parts by the
+    column `by`, and the table's row goes to each part; nothing but the hot keys with their numbers of parts is broadcast."""
+    if hot is None:
+        return rows.join(table, key)
+    hot = F.broadcast(hot)
+    part = F.coalesce(F.pmod(F.xxhash64(by), "parts_"), F.lit(0)).cast("int")
+    dealt = rows.join(hot, F.col(key) == F.col("key_"), "left").withColumn("part_", part).drop("key_", "parts_")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts_") - 1, F.lit(0))))
+    copies = table.join(hot, F.col(key) == F.col("key_"), "left").withColumn("part_", each).drop("key_", "parts_")
+    return dealt.join(copies, [key, "part_"]).drop("part_")
+
+
 def squeezed(text):
     """The text without white space; null counts as empty."""
     out = F.coalesce(text, F.lit(""))
@@ -91,5 +126,4 @@ def squeezed(text):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -166,7 +166,7 @@ def forward_backward(scores: np.ndarray, bounds: np.ndarray, moves: np.ndarray,
 
 def _lexicons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(language's number, hash, count) of the words of a shard."""
-    for b in batches:
+    for b in T.parts(batches):
         langs = b.column("label").to_numpy()
         for at, data, offsets in T.runs(b.column("text")):
             w = words_of(data, offsets)
@@ -186,7 +186,7 @@ def _pass(model: Model, round_: int):
         w_sum, m_sum = np.full(size, 1e-2, np.float32), np.full(model.moves.shape, 1e-2, np.float32)
         rate, n = 0.25 / (1 + round_), 0
         windows: list[tuple[np.ndarray, ...]] = []
-        for b in batches:
+        for b in T.parts(batches):
             langs = b.column("label").to_numpy()
             for at, data, offsets in T.runs(b.column("text")):
                 w = words_of(data, offsets)
@@ -280,7 +280,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     the language in model.languages)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.parts(batches):
             for at, data, offsets in T.runs(b.column(1), RUN):
                 n = len(offsets) - 1
                 ids, texts = b.column(0).slice(at, n), b.column(1).slice(at, n)
@@ -317,7 +317,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = LEAST) -> Data
     names = docs.columns
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.parts(batches):
             texts = b.column(names.index("text"))
             for at, data, offsets in T.runs(texts, RUN):
                 n = len(offsets) - 1

@@ -5,6 +5,8 @@ any a to b words. Templates are compiled into one automaton over words; all star
 by word, and a template is accepted where its mandatory wording stands exactly. A text may hold many places of a template; of
 the ends that a place can have, the last counts.
 
+Words are looked up by their bytes. An automaton takes up to 62 templates; more make several, which all texts go through.
+
 Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the text with A-Z lower-cased, so case, white space and punctuation don't matter.
 
 Defined results: null or empty texts have no words and no places; repeated rows and null ids stay rows of their own; texts
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +40,26 @@ TEMPLATES = (
     ("mit", "<<beginOptional>>released<<endOptional>> under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction"),
     ("reserved", "copyright <<beginOptional>>c<<endOptional>> <<var;words=0-6>> all rights reserved"),
+    # Whole texts of public licenses
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> "
+     "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+     "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+     "<<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any "
+     "kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var;words=1-8>> be liable for "
+     "any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1<<endOptional>> "
+     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form "
+     "must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+     "<<beginOptional>><<beginOptional>>3<<endOptional>> neither the name of <<var;words=1-8>> nor the names of its contributors may be used to endorse or promote products derived from this software "
+     "without specific prior written permission<<endOptional>> this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not "
+     "limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("isc-text", "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright "
+     "notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of "
+     "merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+     "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
 )
+#: Templates in an automaton, one bit each.
+MOST = 62
 _TAG = re.compile(r"<<\s*(beginOptional|endOptional|var)\s*;?([^>]*)>>")
 _WORD = re.compile(r"[0-9a-z\x80-\U0010FFFF]+")
 
@@ -72,14 +94,14 @@ def parse(template: str) -> list:
 class Automaton:
     """step[state, class of the word] is the next state; 0 is the end, 1 the start. accepts[state] has a bit for each template."""
 
-    hashes: np.ndarray  # sorted hashes of the known words; their classes are 1 and on, any other word's is 0
+    words: list[bytes]  # the known words; their classes are 1 and on, any other word's is 0
     step: np.ndarray
     accepts: np.ndarray
 
 
 def compiled(templates: tuple[tuple[str, str], ...]) -> Automaton:
-    if len(templates) > 62:
-        raise ValueError("at most 62 templates in an automaton")
+    if len(templates) > MOST:
+        raise ValueError(f"at most {MOST} templates in an automaton")
     edges: list[list[tuple[str | None, int]]] = []  # of each state: (word, or None for any, next)
     skips: list[list[int]] = []  # moves without a word
     final: dict[int, int] = {}
@@ -132,9 +154,6 @@ def compiled(templates: tuple[tuple[str, str], ...]) -> Automaton:
         return frozenset(seen)
 
     words = sorted({w for e in edges for w, _ in e if w is not None})
-    raw = " ".join(words).encode()
-    hashes = T.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), table=TABLE)[2]
-    order = np.argsort(hashes)
     first = closed({root})
     if any(w is None for s in first for w, _ in edges[s]) or first & set(final):
         raise ValueError("a template must begin with a word and hold one")
@@ -142,7 +161,7 @@ def compiled(templates: tuple[tuple[str, str], ...]) -> Automaton:
     while todo:
         at = todo.pop()
         row = []
-        for c in [None, *(words[i] for i in order)]:
+        for c in [None, *words]:
             to = closed({t for s in at for w, t in edges[s] if w is None or w == c})
             if to not in number:
                 number[to] = len(number)
@@ -152,14 +171,14 @@ def compiled(templates: tuple[tuple[str, str], ...]) -> Automaton:
     accepts = np.zeros(len(number), np.int64)
     for states, i in number.items():
         accepts[i] = sum(1 << final[s] for s in states & set(final))
-    return Automaton(hashes[order], np.array([rows[i] for i in range(len(number))], np.int32), accepts)
+    return Automaton([w.encode() for w in words], np.array([rows[i] for i in range(len(number))], np.int32), accepts)
 
 
-def places(auto: Automaton, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+def places(auto: Automaton, words: pa.DictionaryArray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of the words of a run of rows: the places of the templates as row, start (from 0), template, number of words."""
-    kind = np.searchsorted(auto.hashes, hashes)
-    np.minimum(kind, len(auto.hashes) - 1, out=kind)
-    kind = np.where(auto.hashes[kind] == hashes, kind + 1, 0)
+    known = pa.array(auto.words, words.dictionary.type)
+    kind = pc.fill_null(pc.index_in(words.dictionary, known), -1).to_numpy(zero_copy_only=False)
+    kind = (kind + 1)[words.indices.to_numpy()]
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     start = np.flatnonzero(auto.step[1][kind])
     end = bounds[row[start] + 1]
@@ -170,7 +189,7 @@ def places(auto: Automaton, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.
         at = at + 1
         bits = auto.accepts[state]
         for i in np.flatnonzero(bits).tolist():
-            found += [(start[i], t, at[i] - start[i]) for t in range(62) if bits[i] >> t & 1]
+            found += [(start[i], t, at[i] - start[i]) for t in range(MOST) if bits[i] >> t & 1]
         on = (state > 0) & (at < end)
         start, state, at, end = start[on], state[on], at[on], end[on]
     if not found:
@@ -184,19 +203,29 @@ def places(auto: Automaton, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.
     return row[s], s - bounds[row[s]], t, n
 
 
+def from_table(templates: DataFrame) -> tuple[tuple[str, str], ...]:
+    """The templates of a table (label, template), for scan(). They come to the driver: such tables hold some hundred licenses."""
+    return tuple((r["label"], r["template"]) for r in templates.select("label", "template").distinct().orderBy("label", "template").collect())
+
+
 SCANNED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("template", pa.int32())])))])
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = BASE + TEMPLATES) -> DataFrame:
     """A row per row of docs: doc_id, n_words, places: array of (start, n, template), by start and template; template is the
     number in `templates`."""
-    auto = compiled(templates)
+    autos = [compiled(templates[i : i + MOST]) for i in range(0, len(templates), MOST)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.parts(batches):
             for at, data, offsets in T.runs(b.column(1)):
-                _, _, hashes, bounds = T.words(data, offsets, table=TABLE)
-                row, start, t, n = places(auto, hashes, bounds)
+                starts, ends, _, bounds = T.words(data, offsets, table=TABLE)
+                words = T.spelled(data, starts, ends, lower=True)
+                found = [places(auto, words, bounds) for auto in autos]
+                row, start, t, n = (np.concatenate(x) for x in zip(*((r, s, k + MOST * i, m) for i, (r, s, k, m) in enumerate(found)), strict=True))
+                if len(autos) > 1:
+                    order = np.lexsort((t, start, row))
+                    row, start, t, n = row[order], start[order], t[order], n[order]
                 ends = np.searchsorted(row, np.arange(len(bounds))).astype(np.int32)
                 each = pa.StructArray.from_arrays([pa.array(start), pa.array(n), pa.array(t.astype(np.int32))], names=["start", "n", "template"])
                 cols = [b.column(0).slice(at, len(bounds) - 1), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(ends), each)]

@@ -14,11 +14,16 @@ is first paired with the bucket's leader, of which each bucket has one by either
 make components. Only then are members of different components in one bucket paired, in buckets of up to SMALL members.
 Members of larger buckets, as of many documents that share much but not enough, get an exact way instead: two sets with
 J >= 0.75 have one of each other's rarest quarter of shingles in common, so that sets meet at those shingles only, once more a
-leader first and then members of different components, if what follows the shingle in both can still be enough.
+leader first and then members of different components. A set meets only those whose size leaves room for what both still lack
+of the shingle's place on; sizes are found as ranges of dyadic cells, so that no others are looked at, and cells of more than
+CELL sets are split. Sets that could still be similar for all their sizes and places say do meet pair by pair.
+
+Registers and candidates rest on 64-bit hashes. Equal sets are told by 128-bit digests of their words. Links are confirmed on the
+words themselves, both whole texts being at hand.
 
 Defined results: no words or null text: an empty set, linked with nothing; fewer than 5 words: one shingle of all. Rows
 that share a doc_id are one document with the links of each. A null doc_id is linked with nothing and stays. Empty input
-gives no rows. Other columns are not read.
+gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import cut, documents, drop, lookup_join
+from .common import cut, documents, drop, hot_keys, lookup_join, quoted, spread_join, unused
 from .components import components
 
 SHINGLE, PERCENT, ROWS, BANDS = 5, 75, 4, 40
@@ -42,25 +48,29 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 REFUTED = 12.0
 #: Members of a bucket of at most this size are paired directly.
 SMALL = 8
+#: Sets in a cell of sizes that one task meets at once.
+CELL = 512
 #: Bits of the filter through which texts pass before those with candidates are shuffled; 2 ** BITS / 64 rows at most.
 BITS = 24
 SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sketch", pa.binary())])
-SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+EACH = pa.schema([("rep", pa.int64()), ("size", pa.int32()), ("key", pa.int64())])
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """For each text, the sorted 64-bit hashes of its distinct shingles."""
+    """For each text, two 64-bit hashes of its distinct shingles, as two columns, sorted by the first, which tells them apart."""
     short = T.odd(SHINGLE, 5)
     for _, data, offsets in T.runs(texts):
-        _, _, hashes, bounds = T.words(data, offsets, lower=True)
-        every = T.windows(hashes, SHINGLE, 6)
+        starts, ends, _, bounds = T.words(data, offsets, lower=True)
+        hashes = T.digests(data, starts, ends, lower=True).T
+        every = np.stack([T.windows(h, SHINGLE, 6 + 10 * k) for k, h in enumerate(hashes)], axis=1)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= SHINGLE:
-                yield np.unique(every[a : b - SHINGLE + 1])
+                own = every[a : b - SHINGLE + 1]
+                yield own[np.unique(own[:, 0], return_index=True)[1]]
             elif b > a:
-                yield T.mixed(np.add.reduce(hashes[a:b] * short[: b - a], keepdims=True) + T.U(b - a))
+                yield T.mixed(np.stack([np.add.reduce(h[a:b] * short[: b - a], keepdims=True) + T.U(b - a) for h in hashes], axis=1))
             else:
-                yield np.zeros(0, T.U)
+                yield np.zeros((0, 2), T.U)
 
 
 _FLIP, _TIMES = T.odd(M, 7), T.odd(M, 8)
@@ -77,23 +87,58 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in T.parts(batches):
         n, ids, sketches = [], [], []
         for s in shingle_sets(b.column(1)):
             n.append(len(s))
             ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            sketches.append(sketch(s).tobytes() if len(s) else b"")
+            sketches.append(sketch(s[:, 0]).tobytes() if len(s) else b"")
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sketches, pa.binary())], schema=SKETCHED)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, len(b), 256):  # lists take more room than texts
-            part = b.slice(at, 256)
-            sets = list(shingle_sets(part.column(1)))
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], schema=SETS)
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each text: the text's id, the size of its set, the shingle's hash."""
+    for b in T.parts(batches, 128):
+        sets = [s[:, 0] for s in shingle_sets(b.column(1))]
+        n = np.array([len(s) for s in sets], np.int32)
+        cols = [np.repeat(b.column(0).to_numpy(), n), np.repeat(n, n), np.concatenate(sets).view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=EACH)
+
+
+def similar(ta: pa.Array, tb: pa.Array) -> np.ndarray:
+    """Of pairs of whole texts: whether their sets of shingles, compared word by word, have J >= PERCENT %."""
+    n = len(ta)
+    out = np.zeros(n, bool)
+    (_, data, offsets), = T.runs(pa.concat_arrays([ta, tb]), 1 << 62)
+    starts, ends, _, bounds = T.words(data, offsets, lower=True)
+    code = T.spelled(data, starts, ends, lower=True).indices.to_numpy().astype(np.int64)
+    count = np.diff(bounds)
+    row = np.repeat(np.arange(2 * n), count)
+    shingle = T.sequences(code, SHINGLE)
+    inside = row[: len(shingle)] == row[len(row) - len(shingle) :]
+    kinds = int(shingle.max(initial=0)) + 1
+    sets = np.unique(row[: len(shingle)][inside] * kinds + shingle[inside])
+    size = np.bincount(sets // kinds, minlength=2 * n)
+    a, b = (np.split(sets, [np.searchsorted(sets, n * kinds)]))
+    both = np.bincount(np.intersect1d(a, b - n * kinds, assume_unique=True) // kinds, minlength=n)
+    long_ = (count[:n] >= SHINGLE) & (count[n:] >= SHINGLE)
+    out[long_] = (100 * both >= PERCENT * (size[:n] + size[n:] - both))[long_]
+    for i in np.flatnonzero((count[:n] < SHINGLE) & (count[:n] == count[n:]) & (count[:n] > 0)).tolist():
+        out[i] = np.array_equal(code[bounds[i] : bounds[i + 1]], code[bounds[n + i] : bounds[n + i + 1]])
+    return out
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in T.parts(batches, 64):
+        ta, tb = (pc.fill_null(b.column(c), "") for c in ("ta", "tb"))
+        size, at = np.cumsum(pc.binary_length(ta).to_numpy().astype(np.int64) + pc.binary_length(tb).to_numpy()), 0
+        good = []
+        while at < len(b):  # pairs of about RUN bytes together
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + T.RUN, "right")))
+            good.append(similar(ta.slice(at, to - at), tb.slice(at, to - at)))
+            at = to
+        b = b.filter(pa.array(np.concatenate(good)))
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"])
 
 
 def _p(x: np.ndarray) -> np.ndarray:
@@ -119,26 +164,27 @@ def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def _unrefuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if len(b):
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(len(b), M) for c in ("sa", "sb"))
-            na, nb = (b.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
-            b = b.filter(pa.array(may_link(x, y, na, nb)))
+    for b in T.parts(batches):
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(len(b), M) for c in ("sa", "sb"))
+        na, nb = (b.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
+        b = b.filter(pa.array(may_link(x, y, na, nb)))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links."""
+def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links. A document in very many pairs, as a leader is, gets no task of its own: see spread_join."""
 
     def side(x: str, of: DataFrame, **cols) -> DataFrame:
-        return of.select(F.col(next(iter(of.columns))).alias(x), *(F.col(c).alias(n) for n, c in cols.items()))
+        return of.select(F.col(of.columns[0]).alias(x), *(F.col(c).alias(n) for n, c in cols.items()))
 
     rep = reps.select("rep", "sketch", "n_shingles")
-    both = pairs.join(side("a", rep, sa="sketch", na="n_shingles"), "a").join(side("b", rep, sb="sketch", nb="n_shingles"), "b")
+    hot = {x: hot_keys(pairs, x, pairs.count()) for x in "ab"}
+    both = spread_join(pairs, side("a", rep, sa="sketch", na="n_shingles"), "a", "b", hot["a"])
+    both = spread_join(both, side("b", rep, sb="sketch", nb="n_shingles"), "b", "a", hot["b"])
     likely = cut(both.mapInArrow(_unrefuted, "a long, b long"), "likely")
-    full = likely.join(side("a", sets, ta="shingles"), "a").join(side("b", sets, tb="shingles"), "b")
-    full = full.withColumn("both", F.size(F.array_intersect("ta", "tb")))
-    return full.where(100 * F.col("both") >= PERCENT * (F.size("ta") + F.size("tb") - F.col("both"))).select("a", "b")
+    full = spread_join(likely, side("a", texts, ta="text"), "a", "b", hot["a"])
+    full = spread_join(full, side("b", texts, tb="text"), "b", "a", hot["b"])
+    return full.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long").distinct()
 
 
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -167,12 +213,12 @@ def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(known, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
-def _rare(ids: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, rep, place, size): of each of these sets, the shingles that a set with J >= PERCENT % could meet it at first when
-    all go by (number of these sets that hold it, hash): place is the shingle's rank from 1, size the set's. Shingles of one
+def _rare(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, rep, place, size): of each of these documents' sets, the shingles that a set with J >= PERCENT % could meet it at first
+    when all go by (number of these sets that hold it, hash): place is the shingle's rank from 1, size the set's. Shingles of one
     set alone are left out."""
-    each = sets.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    each = cut(each.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size"), F.explode("shingles").alias("key")), "shingles")
+    each = texts.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    each = cut(each.mapInArrow(_exploded, "rep long, size int, key long"), "shingles")
     times = cut(each.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "times")
     shared = lookup_join(each, times, ["key"], "times", each.count())
     # Shingles of one set alone come first in its order: there are as many as the set has more than shared ones.
@@ -183,6 +229,29 @@ def _rare(ids: DataFrame, sets: DataFrame) -> DataFrame:
     return ranked.select("one.key", "rep", (F.col("alone") + F.col("at") + 1).alias("place"), "size")
 
 
+def _meetings(rare: DataFrame) -> DataFrame:
+    """rare(key, rep, comp, place, size) -> pairs (rep, rep2) of different components that meet at a key and whose overlap can be
+    enough: the sets have at most size - place + 1 shingles in common from there on, and none before.
+
+    Of a pair, let the second be the smaller one. Its size is then in a range that the first alone gives; the range is a few
+    dyadic cells (level, size >> level), and the smaller set is in one cell of each level, so that an equi-join finds the pairs."""
+    most = F.expr(f"floor({100 + PERCENT} * (size - place + 1) / {PERCENT}D)").cast("int") - F.col("size")  # a partner's size
+    rows = rare.withColumn("most", most)
+    level = "sequence(0, CAST(floor(log2(size)) AS INT))"
+    small = rows.where("size <= most").select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("most").alias("most2"), F.col("size").alias("size2"), F.expr(f"explode(transform({level}, j -> struct(j, shiftright(size, j) AS cell)))").alias("c"))
+    small = cut(small.select("key", "c.j", "c.cell", "rep2", "comp2", "most2", "size2"), "small")
+    blocks = small.groupBy("key", "j", "cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    blocks = cut(blocks, "cells")
+    # The cells of low <= size2 < high: at each level the odd one at either end.
+    rows = rows.withColumns({"low": F.expr(f"CAST(ceil({PERCENT} * size / 100.0D) AS INT)"), "high": F.least("size", "most") + 1}).where("low < high")
+    pair = "array(IF(e.l < e.r AND e.l % 2 = 1, struct(e.j AS j, e.l AS cell), NULL), IF(e.r % 2 = 1 AND e.l + e.l % 2 < e.r, struct(e.j AS j, e.r - 1 AS cell), NULL))"
+    cells = F.expr(f"explode(filter(flatten(transform(transform({level}, j -> named_struct('j', j, 'l', CAST(ceil(low / shiftleft(1L, j)) AS INT), 'r', CAST(floor(high / shiftleft(1L, j)) AS INT))), e -> {pair})), x -> x IS NOT NULL))")
+    large = rows.select("key", "rep", "comp", "most", "size", cells.alias("c")).select("key", "c.j", "c.cell", "rep", "comp", "most", "size")
+    large = large.join(blocks, ["key", "j", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    small = small.join(blocks, ["key", "j", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep2"), "blocks").cast("int")).drop("blocks")
+    return large.join(small, ["key", "j", "cell", "block"]).where("comp <> comp2 AND size2 <= most AND size <= most2").select("rep", "rep2")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -199,25 +268,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = cut(_pairs(members, "rep", "leader"), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = cut(ids, "ids")
-    sets = cut(_likely_in(docs, ids).join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
-    links = cut(_confirmed(pairs, reps, sets), "links")
+    texts = cut(_likely_in(docs, ids).join(ids, "doc_id", "left_semi").select("doc_id", "text"), "texts")
+    links = cut(_confirmed(pairs, reps, texts), "links")
     labels = cut(components(links), "labels")
     # What is left to look at: members of one bucket whose components differ.
     open_ = cut(_split(_placed(members.select("key", "rep"), labels)), "open")
     small = open_.where(F.col("n") <= SMALL)
     other = small.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
     more = _pairs(small.join(other, "key").where("rep < rep2 AND comp <> comp2"), "rep", "rep2")
-    rare = cut(_rare(open_.where(F.col("n") > SMALL).select("rep").distinct(), sets), "rare")
+    rare = cut(_rare(open_.where(F.col("n") > SMALL).select("rep").distinct(), texts), "rare")
     leads = rare.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("place", "rep"))["rep"].alias("leader")).where("times > 1")
     leads = cut(leads, "leads")
     met = lookup_join(rare.select("key", "rep"), leads, ["key"], "times", rare.count())
-    links = cut(links.unionByName(_confirmed(cut(more.unionByName(_pairs(met, "rep", "leader")).distinct(), "more"), reps, sets)), "links")
+    links = cut(links.unionByName(_confirmed(cut(more.unionByName(_pairs(met, "rep", "leader")).distinct(), "more"), reps, texts)), "links")
     labels = cut(components(links), "labels")
     meeting = cut(_split(_placed(rare, labels)), "meeting")
-    other = meeting.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "comp", "place", "size")))
-    enough = F.expr(f"{100 + PERCENT} * (1 + least(size - place, size2 - place2)) >= {PERCENT} * (size + size2)")
-    last = meeting.join(other, "key").where(F.expr("rep < rep2 AND comp <> comp2") & enough)
-    links = links.unionByName(_confirmed(cut(_pairs(last, "rep", "rep2"), "last"), reps, sets))
+    links = links.unionByName(_confirmed(cut(_pairs(_meetings(meeting), "rep", "rep2"), "last"), reps, texts))
     labels = components(links)
     named = reps.join(labels, reps["rep"] == labels["node"], "left").select("set_id", "n", F.coalesce("component", "rep").alias("component_id"))
     named = cut(named, "named")
@@ -230,10 +296,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that stay: one document of each component. Of rows that share a doc_id, one stays."""
-    won = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    rows = docs.join(won, docs["doc_id"].eqNullSafe(won["__id"]))
-    again = (F.col("__n") > 1) & F.col("__id").isNotNull()
-    return rows.where(~again).unionByName(rows.where(again).dropDuplicates(["__id"])).select(*(F.col(f"`{c}`") for c in docs.columns))
+    key, times = unused(docs.columns, "id_", "n_")
+    won = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(times))
+    rows = docs.join(won, docs["doc_id"].eqNullSafe(won[key]))
+    again = (F.col(times) > 1) & F.col(key).isNotNull()
+    return rows.where(~again).unionByName(rows.where(again).dropDuplicates([key])).select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def stats_table(docs: DataFrame) -> DataFrame:
     """doc_id and STATS of every row of docs."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.parts(batches):
             for at, data, offsets in T.runs(b.column(1)):
                 x = statistics(data, offsets)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(x)), *(pa.array(c) for c in x.T)], names=["doc_id", *STATS])
@@ -216,7 +216,7 @@ def score(stats: DataFrame, trees: Trees) -> DataFrame:
     """doc_id and score of each row of stats."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.parts(batches, 1 << 14):
             x = np.stack([b.column(s).to_numpy() for s in STATS], axis=1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(trees.score(x))], names=["doc_id", "score"])
 

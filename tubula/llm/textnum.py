@@ -1,7 +1,11 @@
-"""Words of whole Arrow string batches as numpy arrays of hashes, inside tasks."""
+"""Words of whole Arrow string batches as numpy arrays, inside tasks.
+
+words() gives quick hashes, which words made for it may share: they serve statistics and partitioning only. Where a result hangs
+on words being the same, they are spelled(), that is numbered by their bytes, or told apart by digests()."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +15,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Texts are worked on in runs of about this many bytes, so that the arrays made for them stay small.
 RUN = 1 << 21
+#: Rows of a batch that are worked on at once.
+ROWS = 1000
 _rng = np.random.default_rng(20)
 _KEY = _rng.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
 _BYTE = _KEY.copy()
@@ -33,6 +39,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of them stays small; empty ones are left out."""
+    for b in batches:
+        yield from (b.slice(i, rows) for i in range(0, len(b), rows))
+
+
 def runs(texts: pa.Array, run: int = RUN) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of the rows in them), for runs of rows; null counts as empty."""
     texts = pc.fill_null(texts, "")
@@ -85,6 +97,49 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, table: np.
     return starts, ends, mixed(np.add.reduceat(values, starts - starts[0]) + (ends - starts).astype(U)), bounds
 
 
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> pa.DictionaryArray:
+    """The words of a run by their bytes: indices number them, the dictionary has each once."""
+    n = ends - starts
+    first = np.cumsum(n) - n
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    letters = data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    if lower:
+        letters = np.where((letters >= 65) & (letters < 91), letters + 32, letters).astype(np.uint8)
+    edges = np.append(first, len(letters))
+    kind, width = (pa.binary(), np.int32) if len(letters) < 1 << 31 else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(n), [None, pa.py_buffer(edges.astype(width)), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 128-bit digest of each word of a run, as two columns."""
+    each = spelled(data, starts, ends, lower)
+    made = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in each.dictionary.to_pylist())
+    return np.frombuffer(made, U).reshape(-1, 2)[each.indices.to_numpy()]
+
+
+def sequences(code: np.ndarray, n: int) -> np.ndarray:
+    """A number for each n consecutive codes, the same for the same codes only; exact, by pairs of pairs."""
+    code = np.unique(code, return_inverse=True)[1].astype(np.int64) if len(code) else code.astype(np.int64)
+    made, reach, powers = code, 1, {1: code}
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
+
+    while reach * 2 <= n:
+        made = joined(made[: max(0, len(made) - reach)], made[reach:])
+        reach *= 2
+        powers[reach] = made
+    out, at = made, reach
+    for p in sorted(powers, reverse=True):
+        if n - at >= p:
+            size = max(0, len(code) - at - p + 1)
+            out = joined(out[:size], powers[p][at : at + size])
+            at += p
+    return out
+
+
 def windows(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
     """Hash of each n consecutive words (over row bounds too; the caller leaves those out)."""
     if len(hashes) < n:
