@@ -21,8 +21,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with the same text but for white space."""
-    return exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").fresh(docs)
+    """One document of each group with the same text but for white space: what an index that begins empty takes in.
+
+    Null texts count as empty, and one of all empty ones stays; repeated rows leave one; ties go to the smallest doc_id, null
+    last; no rows give none."""
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    out = cut(index.fresh(docs, "documents"), "exact")
+    index.drop()
+    return out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,11 +118,45 @@ def test_quality(spark, sf, docs, none):
     assert {r.score for r in quality.score(stats, trees).collect()} == {0.5} and quality.stats_table(none).count() == 0
 
 
-def test_exact_index_remembers(spark, docs):
+def test_exact_index_remembers(spark, docs, none):
     index = exact_dedup.DigestIndex(spark, "digests_of_test")
-    first = index.dedup(docs)
-    assert first.where("kept").count() == first.select("digest").distinct().count()
-    assert index.dedup(docs).where("kept").count() == 0
+    first = sorted(map(str, index.dedup(docs, "a").collect()))
+    assert sum("kept=True" in r for r in first) == len({r.split("digest=")[1][:66] for r in first})
+    assert index.dedup(docs, "b").where("kept").count() == 0 and index.dedup(none, "c").count() == 0
+    # Run again, as after a failure, the batch finds its own rows.
+    n = index.rows().count()
+    assert sorted(map(str, index.dedup(docs, "a").collect())) == first and index.rows().count() == n
+    index.drop()
+    assert not spark.catalog.tableExists("digests_of_test")
+
+
+def test_exact_index_is_found_again(spark, docs, tmp_path):
+    path = str(tmp_path / "index")
+    kept = exact_dedup.DigestIndex(spark, "digests_here", path, 4).dedup(docs, "a").where("kept").count()
+    spark.sql("DROP TABLE digests_here")  # as in another session: the files stay
+    again = exact_dedup.DigestIndex(spark, "digests_there", path)
+    assert again.buckets == 4 and again.rows().count() == kept and again.dedup(docs, "b").where("kept").count() == 0
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, "digests_elsewhere", path, 8)
+    again.drop()
+
+
+def test_exact_batches_revise_each_other(spark):
+    """Whatever the batches, the best row of all stays, and the anti-join finds what is known."""
+    rows = [(i, t) for i, t in enumerate(["a b", "ab", " a b ", "c", "c", "", None, "d", "\td", "e"])] + [(None, "c"), (None, "  c  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        norm = "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
+        want.setdefault(norm, []).append((-len(t or ""), i is None, i))
+    best = {hashlib.sha256(k.encode()).hexdigest(): (min(v)[2], len(v)) for k, v in want.items()}
+    for n, split in enumerate(("doc_id < 4", "doc_id % 3 = 0", "doc_id IS NULL", "true")):
+        index = exact_dedup.DigestIndex(spark, f"digests_split_{n}")
+        parts = [index.add(df.where(f"coalesce({split}, false)"), "x", True), index.add(df.where(f"NOT coalesce({split}, false)"), "y", True)]
+        out = index.results(*parts).collect()
+        assert {r.digest: (r.keep_id, r.group_size) for r in out} == best and len(out) == len(rows)
+        assert {(r.digest, r.doc_id) for r in out if r.kept} == {(d, i) for d, (i, _) in best.items()} and sum(r.kept for r in out) == len(best)
+        index.drop()
 
 
 def test_near_and_substring_edges(docs, none):

@@ -1,7 +1,13 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table bucketed and sorted by digest. A batch is reduced to its distinct digests, those are sort-merge
-anti-joined to the index, and what is new is appended; the index side of the join is never shuffled.
+The index is a table bucketed and sorted by digest, at a location of the caller's. A batch is reduced to its distinct digests,
+those are sort-merge anti-joined to the index, and what is new is appended; the index side of the join is never shuffled.
+
+A batch has a name, given by the caller. A batch that is run again, as after a failure, finds what it has added before under its
+name, adds what is missing and gives the same rows.
+
+With `revise` a digest's best row may come in a later batch: where that beats the one in the index, a further index row is
+appended for it, and the best of a digest's rows counts. Without, the first batch that brings a digest keeps it.
 
 Defined results: a null text counts as empty; texts of white space only are equal to it. Of equal texts the row with the
 most code points stays, then the smallest doc_id, null last. Repeated rows (same doc_id, same number of code points, equal
@@ -16,9 +22,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, documents, drop, squeezed
+from .common import HOT_SHARE, cut, documents, drop, quoted, shared_dir, squeezed, unused
 
 INDEX = "digest string, keep_id bigint, keep_points int, batch string"
+#: The best row of equal texts is the least of these.
+RANK = "struct(-keep_points AS less, keep_id IS NULL AS none, keep_id AS id)"
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
@@ -28,64 +36,110 @@ def with_digest(docs: DataFrame) -> DataFrame:
 class DigestIndex:
     """A table of all digests seen so far, with the row that stays for each.
 
-    `buckets` is fixed when the table is made (default: the session's shuffle partitions); size it for the index to come.
-    """
+    Its files lie under `path` (default: the shared folder, under the table's name), so that a session whose catalog doesn't know
+    the table finds it again. `buckets` is fixed when the table is made (default: the session's shuffle partitions) and part of
+    its location; size it for the index to come."""
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, table: str, path: str | None = None, buckets: int | None = None):
         self.spark, self.table = spark, table
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = (path or f"{shared_dir(spark)}/{table}").rstrip("/")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        old = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        old = [int(n.removeprefix("buckets=")) for n in old if n.startswith("buckets=")]
+        if old and buckets not in (None, old[0]):
+            raise ValueError(f"the index at {self.path} has {old[0]} buckets")
+        self.buckets = old[0] if old else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({INDEX}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/buckets={self.buckets}'")
 
     def rows(self) -> DataFrame:
-        if self.spark.catalog.tableExists(self.table):
-            return self.spark.table(self.table)
-        return self.spark.createDataFrame([], INDEX)
+        return self.spark.table(self.table)
 
-    def append(self, groups: DataFrame, batch: str) -> None:
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def append(self, groups: DataFrame, batch: str, revise: bool = False) -> None:
         """groups: one row per digest. Those that the index lacks are added, in one file per bucket."""
-        known = self.rows().select("digest")
-        fresh = groups.join(known.hint("merge"), "digest", "left_anti") if self.spark.catalog.tableExists(self.table) else groups
-        fresh = fresh.select("digest", "keep_id", "keep_points", F.lit(batch).alias("batch"))
-        fresh = fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest")
-        fresh.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").option("compression", "zstd").saveAsTable(self.table)
-
-    def dedup(self, docs: DataFrame) -> DataFrame:
-        """Adds the batch and returns a row for each of its rows: doc_id, digest, points, keep_id, group_size (rows of the
-        batch with that digest), kept (this row stays: its digest is new and it is the best of its group)."""
-        batch = uuid.uuid4().hex
+        cols = ["digest", "keep_id", "keep_points"]
+        groups = groups.select(*cols)
+        fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        if revise:
+            known = self.rows().select("digest", F.expr(RANK).alias("known"))
+            better = groups.join(known.hint("merge"), "digest").groupBy(*cols).agg(F.min("known").alias("known")).where(f"{RANK} < known")
+            fresh = fresh.unionByName(better.select(*cols))
+        fresh = fresh.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        writer = fresh.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").option("compression", "zstd")
+        writer.option("path", f"{self.path}/buckets={self.buckets}").saveAsTable(self.table)
+        self.spark.catalog.refreshTable(self.table)
+
+    def add(self, docs: DataFrame, batch: str, revise: bool = False) -> Batch:
+        """Adds the batch to the index."""
         keyed = cut(with_digest(docs).groupBy("digest", "doc_id", "points").agg(F.count("*").alias("copies")), "digests")
         best = F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best")
-        groups = keyed.groupBy("digest").agg(best, F.sum("copies").alias("group_size"))
-        groups = cut(groups.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"), "group_size"), "groups")
-        total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-        self.append(groups, batch)
-        kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points")) & (F.col("copy") == 1) & (F.col("batch") == batch)
-        cols = ("digest", "doc_id", "points", "keep_id", "keep_points", "batch", "group_size", "copies")
+        groups = keyed.groupBy("digest").agg(best)
+        groups = cut(groups.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).cast("int").alias("keep_points")), "groups")
+        self.append(groups, batch, revise)
+        drop(groups)
+        return Batch(batch, keyed)
+
+    def results(self, *batches: Batch) -> DataFrame:
+        """A row for each row of these batches: doc_id, digest, points, copies, keep_id, group_size (rows of these batches with that
+        digest), kept (this row stays: it is the index's row, and the first of its copies)."""
+        keyed = None
+        for b in batches:
+            rows = b.keyed.withColumn("own", F.lit(b.name))
+            keyed = rows if keyed is None else keyed.unionByName(rows)
+        sizes = cut(keyed.groupBy("digest").agg(F.sum("copies").alias("group_size")), "sizes")
+        total = sizes.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+        index = self.rows().groupBy("digest").agg(F.min(F.struct(F.expr(RANK).alias("rank"), "batch")).alias("b"))
+        index = index.select("digest", F.col("b.rank.id").alias("keep_id"), (-F.col("b.rank.less")).alias("keep_points"), F.col("b.batch").alias("batch"))
+        cols = ("digest", "doc_id", "points", "own", "keep_id", "keep_points", "batch", "group_size", "copies")
         # Fewer than HOT_SHARE digests hold more than 1/HOT_SHARE of the rows each: only these are broadcast.
         is_hot = F.col("group_size") * HOT_SHARE > total
-        sizes = groups.select("digest", "group_size")
-        hot = F.broadcast(self.rows().join(F.broadcast(sizes.where(is_hot)), "digest"))
-        cold = self.rows().join(sizes.where(~is_hot), "digest")
+        hot = F.broadcast(index.join(F.broadcast(sizes.where(is_hot)), "digest"))
+        cold = index.join(sizes.where(~is_hot), "digest")
         rows = keyed.join(hot, "digest").select(*cols)
         rest = keyed.join(F.broadcast(sizes.where(is_hot)), "digest", "left_anti").join(cold, "digest").select(*cols)
         out = rows.unionByName(rest).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points")) & (F.col("copy") == 1) & (F.col("batch") == F.col("own"))
         return out.select("doc_id", "digest", "points", "keep_id", "group_size", "copies", kept.alias("kept"))
 
-    def fresh(self, docs: DataFrame) -> DataFrame:
-        """The rows of docs, all columns, that dedup() keeps."""
-        keys = ("doc_id", "digest", "points", "copies")
-        won = self.dedup(docs).where("kept").select(*(F.col(c).alias(f"__{c}") for c in keys))
-        keyed = docs.withColumns({"__d": F.sha2(squeezed(docs["text"]), 256), "__p": F.char_length(F.coalesce(docs["text"], F.lit("")))})
-        same = keyed["doc_id"].eqNullSafe(won["__doc_id"]) & (keyed["__d"] == won["__digest"]) & (keyed["__p"] == won["__points"])
+    def dedup(self, docs: DataFrame, batch: str) -> DataFrame:
+        """Adds the batch; results() of it alone."""
+        return self.results(self.add(docs, batch))
+
+    def fresh(self, docs: DataFrame, batch: str) -> DataFrame:
+        """Adds the batch; its rows, all columns, that stay."""
+        d, p, *names = unused(docs.columns, "d_", "p_", "doc_id_", "digest_", "points_", "copies_")
+        won = self.dedup(docs, batch).where("kept").select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "digest", "points", "copies"), names, strict=True)))
+        keyed = docs.withColumns({d: F.sha2(squeezed(docs["text"]), 256), p: F.char_length(F.coalesce(docs["text"], F.lit("")))})
+        same = keyed["doc_id"].eqNullSafe(won[names[0]]) & (keyed[d] == won[names[1]]) & (keyed[p] == won[names[2]])
         rows = keyed.join(won, same)
         # Repeated rows all match; of these, which are few or none, one stays.
-        again = rows.where("__copies > 1").dropDuplicates(["doc_id", "__d", "__p"])
-        return rows.where("__copies = 1").unionByName(again).select(*(F.col(f"`{c}`") for c in docs.columns))
+        again = rows.where(F.col(names[3]) > 1).dropDuplicates(["doc_id", d, p])
+        return rows.where(F.col(names[3]) == 1).unionByName(again).select(*(F.col(quoted(c)) for c in docs.columns))
+
+
+class Batch:
+    """What was added under a name: (digest, doc_id, points, copies)."""
+
+    def __init__(self, name: str, keyed: DataFrame):
+        self.name, self.keyed = name, keyed
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table arrives in two batches, so that the second is deduplicated against an index that holds the first."""
+    docs = documents(spark, sf_dir)
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    out = index.dedup(documents(spark, sf_dir))
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    late = F.coalesce(F.col("doc_id") % 2 != 0, F.lit(True))
+    parts = [index.add(docs.where(~late), "first", revise=True), index.add(docs.where(late), "second", revise=True)]
+    out = index.results(*parts).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    out = cut(out, "exact")
+    index.drop()
+    drop(*(b.keyed for b in parts))
+    return out
 
 
 SQL = r"""
