@@ -1,11 +1,13 @@
 """Operators on small awkward tables, and the queries against SQL or brute force."""
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
 import pytest
 from conftest import against_sql
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tubula.llm import bpe, chat_format, exact_dedup, language_id, license_scan, media, mixing, near_dedup, quality, registry, substring_dedup
@@ -43,16 +45,50 @@ def test_bpe_is_the_library(spark, docs, none):
     assert bpe.encode(none).count() == 0
 
 
-def test_media_come_back(docs, none):
-    store = media.MediaStore(docs)
-    back = {bytes(r.medium): r for r in store.read().collect()}
-    rows = store.rows.collect()
-    assert len(rows) == len(ROWS) and media.MediaStore(none).read().count() == 0
-    texts = {hashlib.sha256(media.medium((r[1] or "").encode())).digest(): (r[1] or "").encode() for r in ROWS}
-    assert set(back) == set(texts)
-    for name, text in texts.items():
-        padded = text.ljust(max(1, -(-len(text) // 192)) * 192)
-        assert back[name].payload_sha256 == hashlib.sha256(padded).hexdigest() and back[name].tail_crc32 == zlib.crc32(padded[-16:])
+def plain_media(rows):
+    """The columns of op6 by plain loops, but for n_chunks."""
+    out = []
+    for i, text in rows:
+        raw = (text or "").encode()
+        samples = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        file = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(samples), b"WAVE", b"fmt ", 16, 1, 1, 8000, 8000, 1, 8, b"data", len(samples)) + samples
+        n, total = len(samples), sum(samples)
+        mean = total * 100 // n
+        over = [x * 100 >= mean for x in samples]
+        bands = ",".join(str(sum(abs(a - b) for a, b in zip(samples[k:], samples, strict=False)) * 100 // n) for k in (1, 2, 4, 8))
+        feature = f"mean={mean};spread={sum(x * x for x in samples) * 100 // n - mean * mean // 100};crossings={sum(a != b for a, b in zip(over, over[1:], strict=False))};peak={max(samples)};bands={bands}"
+        out.append((i, len(raw), n, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature))
+    return sorted(out, key=str)
+
+
+MEDIA_COLUMNS = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def test_media_query_against_plain_loops(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = [tuple(r) for r in media.op6_media_chunks(spark, sf).select(*MEDIA_COLUMNS).collect()]
+    assert sorted(got, key=str) == plain_media(rows)
+
+
+def test_media_of_awkward_rows(spark, docs, none):
+    shared = " ".join(f"passage{i}" for i in range(300))
+    rows = [(r[0], r[1]) for r in ROWS] + [(20, "abc"), (21, "abc "), (22, "abc  "), (None, "abc"), (23, f"one {shared} two"), (24, f"three {shared} four"), (25, f"{shared} {shared} x"), (None, None)]
+    store = media.MediaStore(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = store.rows.join(store.read(), "medium")
+    assert sorted((tuple(r) for r in got.select(*MEDIA_COLUMNS).collect()), key=str) == plain_media(rows)
+    assert store.read().count() == len({r[6] for r in plain_media(rows)}) and media.MediaStore(none).read().count() == 0
+    sizes = store.sizes().first()
+    assert sizes.payload_bytes == sum(r[2] for r in plain_media(rows)) and 2000 < sizes.saved_bytes < sizes.distinct_bytes < sizes.payload_bytes
+    # Each shared chunk stands once, and in no pack.
+    digests = [bytes(r.digest) for r in store.chunks.select("digest").collect()]
+    assert len(digests) == len(set(digests)) > 5
+
+
+def test_damaged_media_fail(spark):
+    store = media.MediaStore(spark.createDataFrame([(1, "some text"), (2, "another text")], "doc_id long, text string"))
+    store.whole = store.whole.withColumn("medium", F.when(F.col("medium") == F.lit(store.whole.agg(F.min("medium")).first()[0]), F.lit(b"x")).otherwise(F.col("medium")))
+    with pytest.raises(Exception, match="damaged"):
+        store.read().collect()
 
 
 def test_chunks_resist_shifts():
