@@ -1,6 +1,7 @@
 """Operators on small awkward tables, and the queries against SQL or brute force."""
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -202,11 +203,71 @@ def test_near_and_substring_edges(docs, none):
     assert kept[7] == (3001, 3000) and kept[6] == (3000, 0) and kept[1] == (0, 0)
 
 
-def test_mix_keeps_to_targets(spark, sf, none):
-    rows = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()
-    rows["taken"] = rows["size"] * rows["copies"]
-    by = rows.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
-    assert (by.taken - by.target).abs().le(by.most).all() and rows.copies.le(2).all() and mixing.mix(none).count() == 0
+def plain_targets(sizes):
+    """Targets of sources by giving again and again what is above a cap to the others: {source: target}."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, left, open_ = {}, 1.5 * sum(sizes.values()), set(sizes)
+    while open_:
+        part = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        above = {s for s in open_ if part[s] > 2 * sizes[s]}
+        if not above:
+            return target | part
+        for s in above:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= above
+    return target
+
+
+def check_mix(rows, texts):
+    """rows of mix() as a frame against the texts (doc_id, text, source) that it came from."""
+    sizes = {}
+    for _, t, s in texts:
+        sizes[s] = sizes.get(s, 0) + len([w for w in re.split("[\x20\x09-\x0D]+", t or "") if w])
+    want, most, taken = plain_targets(sizes), {}, {}
+    assert len(rows) == len(texts)
+    assert sorted((str(r.doc_id), r.size) for r in rows) == sorted((str(i), len([w for w in re.split("[\x20\x09-\x0D]+", t or "") if w])) for i, t, _ in texts)
+    for r in rows:
+        assert abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source]) and r.source_size == sizes[r.source] and 0 <= r.copies <= 2
+        most[r.source] = max(most.get(r.source, 0), r.size)
+        taken[r.source] = taken.get(r.source, 0) + r.size * r.copies
+    assert all(abs(taken[s] - want[s]) <= most[s] for s in taken)
+
+
+def test_mix_against_a_plain_loop(spark, sf, none):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.mix(df).collect()
+    check_mix(rows, [tuple(r) for r in df.select("doc_id", "text", "source").collect()])
+    assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, rows)) and mixing.mix(none).count() == 0
+
+
+def test_mix_of_awkward_rows(spark, docs, none):
+    words = lambda n: " ".join(["w"] * n)
+    texts = [(None, words(5), "a")] * 300 + [(7, words(5), "a")] * 200 + [(i, words(i % 9), "b") for i in range(300)] + [(1, None, None), (2, words(40), None), (None, "", "c"), (3, None, "c"), (4, words(3), "d")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string").withColumns({"n_": F.lit(1), "copies_": F.lit("x"), "`odd": F.lit(2), "Size_": F.lit(3)})
+    check_mix(mixing.mix(df).collect(), texts)
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    want = {}
+    for r in mixing.mix(df).collect():
+        want[str(r.doc_id), r.source, r.size] = want.get((str(r.doc_id), r.source, r.size), 0) + r.copies
+    got = {}
+    for r in out.collect():
+        k = (str(r.doc_id), r.source, len((r.text or "").split()))
+        got[k] = got.get(k, 0) + 1
+        assert r["n_"] == 1 and r["copies_"] == "x" and r["Size_"] == 3
+    assert got == {k: v for k, v in want.items() if v} and mixing.mixed(none).count() == 0
+    assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_no_group_of_the_reduction_tree_is_hot(spark):
+    """Rows without id and of one size are dealt over groups of about FAN."""
+    df = spark.createDataFrame([(None, "w w w", "a")] * 3000 + [(1, "w", "b")], "doc_id long, text string, source string")
+    assert {r.copies for r in mixing.mix(df).where("source = 'a'").collect()} <= {0, 1, 2}
+    h = F.xxhash64(F.lit(mixing.SEED), F.lit(None).cast("long"), F.lit(3).cast("long"), "id")
+    most = spark.range(1, 3001).groupBy(F.pmod(h, F.lit(-(-3000 // mixing.FAN)))).count().agg(F.max("count")).first()[0]
+    assert most < 3 * mixing.FAN
 
 
 def test_chat_round_trip(spark):

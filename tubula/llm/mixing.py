@@ -9,8 +9,10 @@ documents are folded at once, and what each leaves over meets the others' rest o
 whose depth is the logarithm of the number of documents.
 
 Defined results: a null text has size 0; a null source is a source of its own, ranked last; sources of size 0 get target 0;
-repeated rows are rounded one by one; empty input gives no rows. Coin tosses are hashes of the doc_ids that meet, so reruns
-agree. Other columns are not read.
+repeated rows are rounded one by one, numbered among themselves, so that rows of one id and size, or without an id, do not all
+meet in one group; empty input gives no rows. Coin tosses are hashes of the doc_ids and numbers that meet, so reruns agree.
+Other columns, whatever their names, are not read. The table of sources has a row per source, whose targets one task works out:
+some million sources are fine.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents, drop, lookup_join
+from .common import WORD, cut, documents, drop, lookup_join, quoted, unused
 
 WEIGHTS, SHARE, CAP, FAN, SEED = (3, 1, 2), 1.5, 2.0, 64, 20
 #: Sizes within a factor of 2 ** (1 / BINS) are in one bin.
@@ -77,7 +79,10 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
     """A row per document: doc_id, source, size, source_size, target, copies."""
     key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("source_key"), size.alias("size"), F.floor(F.log2(size + 1) * BINS).cast("int").alias("bin")), "sizes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("source_key"), size.alias("size"))
+    rows = rows.groupBy("doc_id", "source_key", "size").agg(F.count("*").alias("same"))  # equal rows are counted before they are dealt
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("same")))).drop("same")
+    rows = cut(rows.withColumn("bin", F.floor(F.log2(F.col("size") + 1) * BINS).cast("int")), "sizes")
     cells = cut(rows.groupBy("source_key", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("cell_size")), "cells")
     source = F.when(F.col("source_key") != "-", F.expr("substring(source_key, 2)")).alias("source")
     sizes = cells.groupBy("source_key").agg(F.sum("cell_size").alias("source_size")).select("source_key", source, "source_size")
@@ -85,7 +90,7 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
     first = F.sum(n_groups).over(W.partitionBy("source_key").orderBy(F.desc("bin"))) - n_groups
     cells = cut(cells.join(targets(sizes, share, weights, cap), "source_key").withColumns({"n_groups": n_groups, "first": first}).drop("cell_size"), "cells")
     total, widest = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.col("first") + F.col("n_groups")), F.lit(0))).first()
-    h = F.xxhash64(F.lit(SEED), "doc_id", "size")
+    h = F.xxhash64(F.lit(SEED), "doc_id", "size", "copy")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = lookup_join(rows, cells, ["source_key", "bin"], "n", total).withColumns({"h": h, "whole": F.floor(rate).cast("int"), "p": rate - F.floor(rate)})
     rows = rows.withColumn("g", F.col("first") + F.pmod("h", "n_groups"))
@@ -110,16 +115,24 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, each as many times as mix() says."""
-    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    n = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.count("*").alias("__n"), F.sum("copies").alias("__copies"))
-    n = n.withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__size"}).where("__copies > 0")
-    sized = docs.withColumn("__s", size)
-    rows = sized.join(n, sized["doc_id"].eqNullSafe(n["__id"]) & sized["source"].eqNullSafe(n["__source"]) & (sized["__s"] == n["__size"]))
-    # Rows that share doc_id, source and size, which are few or none, share their copies.
-    turn = F.row_number().over(W.partitionBy("doc_id", "source", "__s").orderBy("text"))
-    again = rows.where("__n > 1").withColumn("__turn", turn).withColumn("__copies", F.floor((F.col("__copies") - F.col("__turn")) / F.col("__n")) + 1).drop("__turn")
-    rows = rows.where("__n = 1").unionByName(again)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies")))).where("__copy > 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = unused(docs.columns, "size_", "id_", "source_", "n_size_", "n_", "copies_", "part_", "turn_", "copy_")
+    size, i, source, n_size, n, copies, part, turn, copy = names
+    words = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    taken = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.count("*").alias(n), F.sum("copies").alias(copies))
+    taken = cut(taken.where(F.col(copies) > 0).withColumnsRenamed({"doc_id": i, "source": source, "size": n_size}), "taken")
+    sized = docs.withColumn(size, words)
+    rows = sized.join(taken, sized["doc_id"].eqNullSafe(taken[i]) & sized["source"].eqNullSafe(taken[source]) & (sized[size] == taken[n_size]))
+    if not taken.where(F.col(n) > 1).isEmpty():
+        # Rows that share doc_id, source and size share their copies: each has a turn, by the task it is in and its place there.
+        again = cut(rows.where(F.col(n) > 1).withColumn(part, F.spark_partition_id()), "again")
+        inside = F.row_number().over(W.partitionBy(i, source, n_size, part).orderBy("text"))
+        before = F.sum(turn).over(W.partitionBy(i, source, n_size).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+        parts = again.groupBy(i, source, n_size, part).agg(F.count("*").alias(turn)).select(F.struct(i, source, n_size, part).alias(copy), F.coalesce(before, F.lit(0)).alias(turn))
+        again = again.withColumn(size, inside).join(parts, F.struct(i, source, n_size, part) == F.col(copy)).withColumn(turn, F.col(turn) + F.col(size))
+        again = again.withColumn(copies, F.floor((F.col(copies) - F.col(turn)) / F.col(n)) + 1)
+        rows = rows.where(F.col(n) == 1).select(*(F.col(quoted(c)) for c in docs.columns), copies).unionByName(again.select(*(F.col(quoted(c)) for c in docs.columns), copies))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies)))).where(F.col(copy) > 0)
+    return rows.select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
