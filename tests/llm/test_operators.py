@@ -46,6 +46,25 @@ def test_bpe_is_the_library(spark, docs, none):
     assert bpe.encode(none).count() == 0
 
 
+def test_bpe_query_is_the_library(spark, sf):
+    t, _ = bpe._tokenizer(bpe.vocabulary())
+    got = {r.doc_id: tuple(r) for r in bpe.op9_bpe(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for i, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        assert got[i] == (i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t.decode(ids, skip_special_tokens=False).encode()))
+
+
+def test_decoding_joins_pieces(spark):
+    content = bpe.vocabulary()
+    t, _ = bpe._tokenizer(content)
+    rows = [(i, t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(["Some text, é 数字 twice twice", ""])] + [(2, None), (3, [5, 10_000_000, 6])]
+    got = {r.doc_id: bytes(r["bytes"]).decode() for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), content).collect()}
+    assert got == {0: "Some text, é 数字 twice twice", 1: "", 2: "", 3: t.decode([5, 6])}
+
+
 def plain_media(rows):
     """The columns of op6 by plain loops, but for n_chunks."""
     out = []

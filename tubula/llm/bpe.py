@@ -2,17 +2,18 @@
 
 Texts are split into words inside Spark tasks. About CHUNK characters of texts form a chunk: a row with its documents, its
 distinct words and, for every word of every document, the word's number in that list. The chunks' words are dealt out by word
-once, into a bucketed table, and there make the distinct-word table, in which each word is encoded once and decoded once, the
-latter by joining its ids to the table of pieces. Ids and pieces then go back to the chunks by word and number, packed by
-chunk, and each document takes them up by position. Only distinct words of chunks are shuffled, never all words or tokens; the
-chunks stay where they are, in a bucketed table.
+once, into a bucketed table, and there make the distinct-word table, in which each word is encoded once; its ids are joined to
+the table of pieces. Ids go back to the chunks by word and number, packed by chunk, and with them each id's piece, once. A
+document takes up its ids by position, and its text is decoded from those ids by their pieces. Only distinct words of chunks are
+shuffled, never all words or tokens; the chunks stay where they are, in a bucketed table, whose buckets grow in number with the
+texts.
 
 Works for tokenizer files of the byte-level BPE kind without normalizer, whose added tokens are plain strings; such a string
 in a text becomes its id. The file's truncation and padding are not used.
 
 Defined results: null or empty texts have no tokens and decode to an empty text; repeated rows and null ids are encoded row by
 row; texts of any length stay whole (a text longer than CHUNK is a chunk of its own); an empty table gives no rows. Columns
-other than doc_id and text are not read.
+other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -153,31 +154,28 @@ def pieces(spark: SparkSession, content: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
-def decode(rows: DataFrame, content: str, key: str = "doc_id") -> DataFrame:
-    """rows(key, ids, ...), one per key, with a column more: `bytes`, what the ids stand for, by a join of ids to pieces. Ids
-    that the vocabulary lacks stand for nothing, as null or empty arrays do. Rows bucketed by the key are not shuffled."""
+def with_pieces(rows: DataFrame, content: str, key: str = "doc_id") -> DataFrame:
+    """rows(key, ids, ...), one per key -> (key, ids, pieces), pieces being what each id stands for, by a join of ids to pieces; ids
+    that the vocabulary lacks stand for nothing. Rows bucketed by the key are not shuffled."""
     each = rows.select(key, "ids", F.posexplode_outer("ids").alias("at", "id"))
     named = each.join(F.broadcast(pieces(rows.sparkSession, content)), "id", "left")  # as large as the vocabulary
-    text = F.expr("aggregate(array_sort(collect_list(struct(at, piece))), X'', (all, x) -> concat(all, coalesce(x.piece, X'')))")
-    return named.groupBy(key).agg(F.first("ids").alias("ids"), text.alias("bytes"))
+    in_order = F.expr("transform(array_sort(collect_list(IF(at IS NULL, NULL, struct(at, piece)))), x -> coalesce(x.piece, X''))")
+    return named.groupBy(key).agg(F.first("ids").alias("ids"), in_order.alias("pieces"))
 
 
-#: Words that a task gathers before it packs them by chunk.
-GATHER = 400_000
-PACK = pa.schema([("of", pa.string()), ("codes", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
+def decode(rows: DataFrame, content: str, key: str = "doc_id") -> DataFrame:
+    """rows(key, ids, ...), one per key -> (key, ids, bytes), what the ids stand for; nothing for null or empty arrays."""
+    text = F.expr("aggregate(pieces, X'', (all, x) -> concat(all, x))")
+    return with_pieces(rows, content, key).select(key, "ids", text.alias("bytes"))
 
 
-def _flat(lists: pa.Array, order: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Lengths and values of lists, or of binary values, taken in this order."""
-    lists = lists.take(pa.array(order))
-    if pa.types.is_list(lists.type):
-        return np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-    ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
-    return np.diff(ends), np.frombuffer(lists.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+#: Words that a task gathers before it packs them by chunk.
+GATHER = 400_000
+PACK = pa.schema([("of", pa.string()), *((c, pa.binary()) for c in ("codes", "counts", "ids", "vocabulary", "sizes", "text"))])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their ids and bytes, packed by chunk for the shuffle."""
+    """Words with their ids and pieces, packed by chunk for the shuffle: ids of words, and each id's piece once."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -187,17 +185,21 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = t.column("of").combine_chunks().dictionary_encode()
         number = of.indices.to_numpy()
         order = np.argsort(number, kind="stable")
-        ends = np.cumsum(np.bincount(number, minlength=len(of.dictionary)))
         codes = t.column("code").to_numpy()[order]
-        count, ids = _flat(t.column("ids").combine_chunks(), order)
-        size, text = _flat(t.column("bytes").combine_chunks(), order)
-        id_ends, text_ends = np.cumsum(count)[ends - 1], np.cumsum(size)[ends - 1]
-
-        def parts(x: np.ndarray, ends: np.ndarray) -> pa.Array:
-            return pa.array([_numbers_packed(p) for p in np.split(x, ends[:-1])], pa.binary())
-
-        cols = [of.dictionary, parts(codes, ends), parts(count, ends), parts(ids, id_ends), parts(size, ends), pa.array([pack(p.tobytes()) for p in np.split(text, text_ends[:-1])], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, schema=PACK)
+        lists = t.column("ids").combine_chunks().take(pa.array(order))
+        count, ids = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        parts = t.column("pieces").combine_chunks().take(pa.array(order)).flatten()
+        edge = np.append(0, np.cumsum(np.bincount(number, minlength=len(of.dictionary))))
+        id_edge = np.append(0, np.cumsum(count))[edge]
+        out: list[list] = [[] for _ in PACK.names[1:]]
+        for a, b, x, y in zip(edge[:-1], edge[1:], id_edge[:-1], id_edge[1:], strict=True):
+            known, first = np.unique(ids[x:y], return_index=True)
+            text = parts.take(pa.array(first + x)).to_pylist()
+            sizes = np.array([len(p) for p in text], np.int64)
+            row = (*map(_numbers_packed, (codes[a:b], count[a:b], ids[x:y], known, sizes)), pack(b"".join(text)))
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([of.dictionary, *(pa.array(c, pa.binary()) for c in out)], schema=PACK)
 
     held, n = [], 0
     for b in batches:
@@ -211,16 +213,25 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its size, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 def _assembled(key: tuple, chunk: pa.Table, packs: pa.Table) -> pa.Table:
+    """A chunk's documents with their ids, by the words' numbers, and the text that these ids stand for, by their pieces."""
     import zstandard
 
     joined = lambda name: np.concatenate([np.zeros(0, "<u4"), *map(_numbers, packs.column(name).to_pylist())])
     order = np.argsort(joined("codes"))
     count, flat = joined("counts").astype(np.int64), joined("ids")
     start, count = (np.cumsum(count) - count)[order], count[order]
-    size, text = joined("sizes").astype(np.int64), b"".join(map(zstandard.ZstdDecompressor().decompress, packs.column("text").to_pylist()))
-    first = (np.cumsum(size) - size)[order].tolist()
-    text = [text[x : x + n] for x, n in zip(first, size[order].tolist(), strict=True)]
+    # The pieces of all ids of the chunk, in the order of the ids
+    known, size = joined("vocabulary"), joined("sizes").astype(np.int64)
+    letters = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, packs.column("text").to_pylist())), np.uint8)
+    known, first = np.unique(known, return_index=True)
+    size, piece = size[first], (np.cumsum(size) - size)[first]
     names = ["doc_id", "n_tokens", "ids", "decoded"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
     out: list[list] = [[], [], [], []]
@@ -230,14 +241,12 @@ def _assembled(key: tuple, chunk: pa.Table, packs: pa.Table) -> pa.Table:
         for doc, words in zip(row["ids"], row["sizes"], strict=True):
             own = codes[at : at + words]
             at += words
-            n = count[own]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if words else 0
-            places = np.arange(total) + np.repeat(start[own] - ends + n, n)
+            ids = flat[_spans(start[own], count[own])]
+            which = np.searchsorted(known, ids)
             out[0].append(doc)
-            out[1].append(total)
-            out[2].append(flat[places].tobytes())
-            out[3].append(b"".join(map(text.__getitem__, own.tolist())).decode("utf-8", "replace"))
+            out[1].append(len(ids))
+            out[2].append(ids.tobytes())
+            out[3].append(letters[_spans(piece[which], size[which])].tobytes().decode("utf-8", "replace"))
     return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
 
@@ -245,13 +254,15 @@ def encode(docs: DataFrame, content: str | None = None) -> DataFrame:
     """A row per row of docs: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (what they decode to)."""
     content = content or vocabulary()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = cut(texts.mapInArrow(_chunks(content), "chunk string, ids array<long>, sizes array<long>, codes binary, words array<string>"), "chunks", "chunk")
+    chars = texts.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (4 * CHUNK)))
+    chunks = cut(texts.mapInArrow(_chunks(content), "chunk string, ids array<long>, sizes array<long>, codes binary, words array<string>"), "chunks", "chunk", buckets=n)
     placed = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("code", "word"))
-    placed = cut(placed.repartition("word").sortWithinPartitions("word"), "placed", "word")
-    ids = cut(placed.select("word").distinct().mapInArrow(_encoded(content), "word string, ids array<int>"), "words", "word")
-    table = cut(decode(ids, content, "word"), "pieces", "word")
+    placed = cut(placed.repartition(n, "word").sortWithinPartitions("word"), "placed", "word", buckets=n)
+    ids = cut(placed.select("word").distinct().mapInArrow(_encoded(content), "word string, ids array<int>"), "words", "word", buckets=n)
+    table = cut(with_pieces(ids, content, "word"), "pieces", "word", buckets=n)
     drop(ids)
-    named = placed.join(table.withColumnRenamed("word", "w"), F.col("word") == F.col("w")).select("of", "code", "ids", "bytes")
+    named = placed.join(table.withColumnRenamed("word", "w"), F.col("word") == F.col("w")).select("of", "code", "ids", "pieces")
     packs = named.mapInArrow(_packed, ", ".join(f"{f.name} {'string' if f.name == 'of' else 'binary'}" for f in PACK))
     known = chunks.select("chunk", "ids", "sizes", "codes").groupBy("chunk")
     return known.cogroup(packs.groupBy("of")).applyInArrow(_assembled, "doc_id long, n_tokens long, ids binary, decoded string")
