@@ -10,12 +10,15 @@ words; half of the windows are spliced from two texts, which shows the transitio
 in SHARDS partitions; in each round a task per shard goes over its windows from the common weights, and the weights of all
 shards, whose size doesn't depend on the data, are averaged.
 
-Words are runs of ASCII letters and characters beyond ASCII, with A-Z lower-cased.
+Words are runs of ASCII letters and characters beyond ASCII, with A-Z lower-cased. Texts of more than SEGMENT words are cut into
+segments whose transfer matrices carry the messages from one to the next, so that the number of steps for a text of n words is
+about 2 * SEGMENT + n / SEGMENT, with the same result.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and no spans; so is every text when there is
 nothing to learn from; ties go to the first language by name; repeated rows and null ids are predicted row by row (a row with
-a null id is neither held out nor learned from); texts of any length stay whole; an empty table gives no rows. Columns other
-than doc_id, text and, to learn from, lang are not read.
+a null id is neither held out nor learned from; equal ones are learned from once); texts of any length stay whole; an empty table
+gives no rows. Columns other than doc_id, text and, to learn from, lang are not read. The model has the LANGUAGES most frequent
+values of lang, so that stray values don't make it larger.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from .common import cut, documents, drop
 
 PER_LANGUAGE, SPAN, SHARDS, ROUNDS, SEED = 250, 40, 8, 3, 21
 GRAMS, AFFIXES, LEXICON = 1 << 14, 1 << 12, 2000
+LANGUAGES, SEGMENT = 200, 4096
 #: Below this score accepted() takes a text's language for unknown.
 LEAST = 0.3
 #: Words whose features are weighed at once, and bytes of texts whose features, and whose probabilities, are held at once.
@@ -130,36 +134,67 @@ class Model:
         return bounds, forward_backward(np.concatenate(scores), bounds, self.moves)
 
 
-def forward_backward(scores: np.ndarray, bounds: np.ndarray, moves: np.ndarray, pairs: bool = False):
+def forward_backward(scores: np.ndarray, bounds: np.ndarray, moves: np.ndarray, pairs: bool = False, segment: int = SEGMENT):
     """Each word's probability of each language; with `pairs`, also the expected number of each move."""
+    p = np.exp(scores - scores.max(axis=1, keepdims=True))
+    a = np.exp(moves - moves.max()).astype(p.dtype)
+    spans = np.diff(bounds)
+    if pairs or not len(spans) or spans.max() <= segment:
+        return _steps(p, a, bounds, None, None, pairs)
+    # Segments: whole ones, then what each text has left
+    n = np.maximum(1, -(-spans // segment))
+    text = np.repeat(np.arange(len(spans)), n)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    cuts = np.append(bounds[:-1][text] + place * segment, bounds[-1])
+    sizes = np.diff(cuts)
+    into, after = (np.ones((len(text), p.shape[1]), p.dtype) for _ in range(2))
+    of = np.flatnonzero((n > 1)[text])  # segments of long texts
+    through = np.broadcast_to(np.eye(p.shape[1], dtype=p.dtype), (len(of), *a.shape)).copy()
+    for t in range(segment):
+        on = np.flatnonzero(sizes[of] > t)
+        now = (through[on] @ a if t else through[on]) * p[cuts[of[on]] + t][:, None, :]
+        through[on] = now / now.sum(axis=(1, 2), keepdims=True)
+    for i, (s, matrix) in enumerate(zip(of, through, strict=True)):
+        if i + 1 < len(of) and text[of[i + 1]] == text[s]:
+            ahead = into[s] @ matrix @ a
+            into[of[i + 1]] = ahead / ahead.sum()
+    for i in range(len(of) - 1, 0, -1):
+        if text[of[i - 1]] == text[of[i]]:
+            back = a @ (through[i] @ after[of[i]])
+            after[of[i - 1]] = back / back.sum()
+    return _steps(p, a, cuts, into, after, False)
+
+
+def _steps(p: np.ndarray, a: np.ndarray, bounds: np.ndarray, into: np.ndarray | None, after: np.ndarray | None, pairs: bool):
+    """forward_backward of sequences word by word, all sequences at once; `into` weighs their first words by what stands before,
+    `after` their last ones by what follows."""
     spans = np.diff(bounds)
     order = np.argsort(-spans, kind="stable")
     spans, head = spans[order], bounds[:-1][order]
     longest = int(spans[0]) if len(spans) else 0
-    active = np.searchsorted(-spans, -np.arange(longest), "left")  # texts with more words than the step's number
-    p = np.exp(scores - scores.max(axis=1, keepdims=True))
-    a = np.exp(moves - moves.max()).astype(p.dtype)
+    active = np.searchsorted(-spans, -np.arange(longest), "left")  # sequences with more words than the step's number
     out = np.empty_like(p)
     now = None
     for t in range(longest):
         k = active[t]
         at = head[:k] + t
-        now = p[at] if t == 0 else (now[:k] @ a) * p[at]
+        now = (p[at] if into is None else into[order[:k]] * p[at]) if t == 0 else (now[:k] @ a) * p[at]
         now /= now.sum(axis=1, keepdims=True)
         out[at] = now
-    back = np.ones((len(spans), p.shape[1]), p.dtype)
+    back = np.ones((len(spans), p.shape[1]), p.dtype) if after is None else after[order].copy()
     moved = np.zeros_like(a)
-    for t in range(longest - 2, -1, -1):
-        k = active[t + 1]
+    for t in range(longest - 1, -1, -1):
+        k = active[t]
         at = head[:k] + t
-        ahead = back[:k] * p[at + 1]
+        go_on = active[t + 1] if t + 1 < longest else 0
+        ahead = back[:go_on] * p[at[:go_on] + 1]
         if pairs:
-            both = out[at][:, :, None] * a * ahead[:, None, :]
+            both = out[at[:go_on]][:, :, None] * a * ahead[:, None, :]
             moved += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         b = ahead @ a.T
         b /= b.sum(axis=1, keepdims=True)
-        back[:k] = b
-        now = out[at] * b
+        back[:go_on] = b
+        now = out[at] * back[:k]
         out[at] = now / now.sum(axis=1, keepdims=True)
     return (out, moved) if pairs else out
 
@@ -243,14 +278,15 @@ def _pass(model: Model, round_: int):
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """docs(doc_id, text, lang), none of them null -> a model; None if there is nothing to learn from."""
     spark = docs.sparkSession
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in counts.collect()}
     languages = sorted(counts)
     if not languages:
         return None
     rows = spark.createDataFrame([(lang, i, min(1.0, per_language / counts[lang])) for i, lang in enumerate(languages)], "lang string, label int, rate double")
-    draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = docs.join(F.broadcast(rows), "lang").where(draw < F.col("rate")).select("doc_id", "text", "label")
-    sample = cut(sample.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "label").select("text", "label"), "sample")
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    sample = docs.join(F.broadcast(rows), "lang").where(draw < F.col("rate")).select("doc_id", "text", "label").distinct()
+    sample = cut(sample.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "label", "text").select("text", "label"), "sample")
     frequent = sample.mapInArrow(_lexicons, "label int, hash long, n long").groupBy("label", "hash").agg(F.sum("n").alias("n"))
     frequent = frequent.where("n > 1").groupBy("label").agg(F.expr(f"slice(sort_array(collect_list(struct(n, hash)), false), 1, {LEXICON})").alias("top"))
     at = {r["label"]: [x["hash"] for x in r["top"]] for r in frequent.collect()}  # LEXICON words per language at most
