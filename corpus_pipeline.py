@@ -16,7 +16,10 @@ from tubula.llm.common import cut, documents, drop
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the model learns from documents of the same table."""
+    """Documents whose language can be told; the model learns from documents of the same table.
+
+    Null texts and those without a letter go, whatever their lang; with no lang to learn from, all texts with a letter stay;
+    repeated rows are told row by row; texts of any length are read whole; no rows give none."""
     return language_id.accepted(docs, language_id.learn(language_id.to_learn(docs)))
 
 
@@ -32,17 +35,24 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each component of near-duplicates.
+
+    Null texts and those without words are linked with nothing and stay, as do rows without a doc_id; of a component the row with
+    the smallest doc_id stays, and of rows that share it one; no rows give none."""
     return near_dedup.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: not at all, once or twice.
+
+    A null text has size 0; a null source is a source of its own; repeated rows are taken one by one; no rows give none."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and digests of the ids and of the text they decode to; a row per row."""
+    """doc_id, n_tokens, ids, and digests of the ids and of the text they decode to; a row per row.
+
+    Null texts count as empty and have no tokens; repeated rows and null ids stay rows of their own; no rows give none."""
     out = bpe.encode(docs)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

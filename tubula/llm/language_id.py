@@ -350,11 +350,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def accepted(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
     """The rows of docs, all columns, whose language is known with a score of `least` at least. Texts without a letter go;
     code-switched texts, whose languages share the score, stay. Without a model all rows with a letter stay."""
-    names = docs.columns
+    text = docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any names may follow
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.parts(batches):
-            texts = b.column(names.index("text"))
+            texts = b.column(text)
             for at, data, offsets in T.runs(texts, RUN):
                 n = len(offsets) - 1
                 stay = np.array([bool(LETTER.search(t.as_py() or "")) for t in texts.slice(at, n)])
@@ -365,7 +366,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = LEAST) -> Data
                     stay &= np.max([np.bincount(row, c, n) for c in prob.T], axis=0) >= least * count
                 yield b.slice(at, n).filter(pa.array(stay))
 
-    return docs.mapInArrow(of, docs.schema)
+    return plain.mapInArrow(of, plain.schema).toDF(*docs.columns)
 
 
 def held_out():
