@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import settled
+from .tables import settled
 
 BULGE, SHAPE, GAUSS, POINTS = 1.35, 0.65, 0.0, 3
 

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-AT = ("study", "z", "y", "x")
+from . import bricks
+from .bricks import AT
+from .tables import released, settled, with_study
+
 FACES = ((0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0))
 ALL_26 = tuple(o for o in itertools.product((-1, 0, 1), repeat=3) if any(o))
 
@@ -38,6 +41,7 @@ def histogram(vox: DataFrame, bins: int = 256) -> DataFrame:
 def percentile_threshold(vox: DataFrame, share: float = 0.005, floor: int = 30) -> DataFrame:
     """(study, threshold): the greatest value that the top `share` of the voxels reach, `floor` at least."""
     down = W.partitionBy("study").orderBy(F.desc("bin"))
+    # 256 rows per study
     h = histogram(vox).withColumn("from_top", F.sum("n").over(down))
     h = h.withColumn("target", F.floor(F.sum("n").over(W.partitionBy("study")) * F.lit(share)))
     return h.where("from_top >= target").groupBy("study").agg(F.greatest(F.lit(floor), F.max("bin")).alias("threshold"))
@@ -45,14 +49,14 @@ def percentile_threshold(vox: DataFrame, share: float = 0.005, floor: int = 30)
 
 def binarise(vox: DataFrame, thresholds: DataFrame) -> DataFrame:
     """0 or 255 by the study's threshold."""
-    return vox.join(thresholds, "study").select(*AT, F.when(F.col("v") >= F.col("threshold"), 255).otherwise(0).alias("v"))
+    return with_study(vox, thresholds).select(*AT, F.when(F.col("v") >= F.col("threshold"), 255).otherwise(0).alias("v"))
 
 
 def normalised(vox: DataFrame) -> DataFrame:
     """Values as bytes: truncated shares of the study's maximum, all 0 where that is 0."""
     most = vox.groupBy("study").agg(F.max("v").alias("most"))
     share = F.when(F.col("most") > 0, F.col("v") / F.col("most") * 255).otherwise(0.0)
-    return vox.join(most, "study").select(*AT, F.greatest(F.lit(0.0), F.least(F.lit(255.0), share)).cast("int").alias("v"))
+    return with_study(vox, most).select(*AT, F.greatest(F.lit(0.0), F.least(F.lit(255.0), share)).cast("int").alias("v"))
 
 
 def degrees(mask: DataFrame) -> DataFrame:
@@ -89,33 +93,45 @@ def shape_metrics(mask: DataFrame, spacing: tuple[float, float, float] = (1.0, 1
     return out.withColumns({"sphericity": round_, "volume_by_area": F.when(F.col("area") > 0, F.col("volume") / F.col("area")).otherwise(0.0)})
 
 
-def _extreme(vox: DataFrame, offsets, agg) -> DataFrame:
-    near = shifted(vox.select(*AT, "v"), [tuple(-d for d in o) for o in offsets], "v").groupBy(*AT).agg(agg("v").alias("v"))
-    return near.join(vox.select(*AT), [*AT], "left_semi")
+def _reach(offsets) -> int:
+    return max((abs(d) for o in offsets for d in o), default=0)
+
+
+def _extremes(vox: DataFrame, least: tuple[bool, ...], offsets) -> DataFrame:
+    """Erosions (least) and dilations one after the other, in one pass over bricks."""
+
+    def work(values):
+        for low in least:
+            values = bricks.extreme(values, offsets, low)
+        return (values,)
+
+    kind = vox.schema["v"].dataType.simpleString()
+    out = bricks.each(vox, len(least) * _reach(offsets), {"v": "double"}, work)
+    return out.withColumn("v", F.col("v").cast(kind))
 
 
 def eroded(vox: DataFrame, offsets) -> DataFrame:
     """Least value of the neighbourhood; places outside the volume are ignored."""
-    return _extreme(vox, offsets, F.min)
+    return _extremes(vox, (True,), offsets)
 
 
 def dilated(vox: DataFrame, offsets) -> DataFrame:
-    return _extreme(vox, offsets, F.max)
+    return _extremes(vox, (False,), offsets)
 
 
 def closed(vox: DataFrame, radius_mm: float, spacing: tuple[float, float, float]) -> DataFrame:
     """Dilation, then erosion; the radius is in mm, so it spans different numbers of voxels by axis."""
     if radius_mm <= 0:
         return vox.select(*AT, "v")
-    o = ellipsoid(*(radius_mm / s for s in spacing))
-    return eroded(dilated(vox, o), o)
+    return _extremes(vox, (False, True), ellipsoid(*(radius_mm / s for s in spacing)))
 
 
 def top_hat(vox: DataFrame, radius: int) -> DataFrame:
     """What an opening of `radius` voxels removes."""
     o = ellipsoid(radius, radius, radius)
-    opened = dilated(eroded(vox, o), o).withColumnRenamed("v", "opened")
-    return vox.select(*AT, "v").join(opened, [*AT]).select(*AT, F.greatest(F.lit(0), F.col("v") - F.col("opened")).alias("v"))
+    work = lambda v: ((v - bricks.extreme(bricks.extreme(v, o, True), o, False)).clip(0),)
+    kind = vox.schema["v"].dataType.simpleString()
+    return bricks.each(vox, 2 * radius, {"v": "double"}, work).withColumn("v", F.col("v").cast(kind))
 
 
 def _line(axis: str):
@@ -128,19 +144,18 @@ def _beside(v: str | Column, axis: str, by: int) -> Column:
     return F.coalesce((F.lead if by > 0 else F.lag)(v, 1).over(_line(axis)), v)
 
 
-def blurred(vox: DataFrame, sigma: float) -> DataFrame:
-    """Gaussian blur, one axis after the other; the kernel ends at ceil(4 sigma), the border's value continues outside."""
+def gaussian(sigma: float) -> list[float]:
+    """Weights from -ceil(4 sigma) to ceil(4 sigma), which sum to 1."""
     r = math.ceil(4 * sigma)
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-r, r + 1)]
-    total = sum(kernel)
-    out = vox.select(*AT, F.col("v").cast("double").alias("v"))
-    for axis in "xyz":
-        line = _line(axis)
-        ends = W.partitionBy("study", *(a for a in "zyx" if a != axis)).orderBy(axis).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        first, last = F.first("v").over(ends), F.last("v").over(ends)
-        parts = [(F.coalesce(F.lag("v", -k).over(line) if k < 0 else F.lead("v", k).over(line), first if k < 0 else last) if k else F.col("v")) * (w / total) for k, w in zip(range(-r, r + 1), kernel, strict=True)]
-        out = out.select(*AT, sum(parts[1:], parts[0]).alias("v"))
-    return out
+    return [w / sum(kernel) for w in kernel]
+
+
+def blurred(vox: DataFrame, sigma: float) -> DataFrame:
+    """Gaussian blur, one axis after the other; the kernel ends at ceil(4 sigma), the border's value continues outside. Volumes are
+    dense, here and in what follows."""
+    kernel = gaussian(sigma)
+    return bricks.each(vox, len(kernel) // 2, {"v": "double"}, lambda v: (bricks.blurred(v, kernel),))
 
 
 def hessian(vox: DataFrame, scale: float = 1.0, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -180,56 +195,84 @@ def eigenvalues(rows: DataFrame) -> DataFrame:
 
 def vesselness(vox: DataFrame, scales: tuple[float, ...] = (1.0, 2.0, 3.0), tau: float = 0.75, blur: bool = True, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     """Multi-scale response of bright tubes: by scale the volume ratio of the two greatest curvatures, the third regularised by
-    tau times its greatest value, times that curvature; of all scales the greatest."""
-    every = None
-    for s in scales:
-        e = eigenvalues(hessian(blurred(vox, s) if blur else vox, s, spacing)).select(*AT, (-F.col("e2")).alias("l2"), (-F.col("e3")).alias("l3"))
-        most = e.groupBy("study").agg(F.greatest(F.lit(0.0), F.max("l3")).alias("most"))
-        e = e.join(most, "study")
-        floor = F.lit(tau) * F.col("most")
-        e = e.withColumn("rho", F.when(F.col("l3") <= floor, floor).otherwise(F.col("l3")))
-        den = F.pow(F.col("l2") + F.col("rho"), 3)
-        ratio = F.when(F.col("l2") >= F.col("rho") / 2, 1.0).when(den > 1e-12, 27 * F.col("l2") * F.col("l2") * (F.col("rho") - F.col("l2")) / den).otherwise(0.0)
-        e = e.select(*AT, F.when((F.col("l2") > 0) & (F.col("l3") > 0), ratio * F.col("l3")).otherwise(0.0).alias("v"))
-        every = e if every is None else every.unionByName(e)
-    good = F.when(F.isnan("v") | (F.abs("v") == float("inf")), None).otherwise(F.col("v"))
-    return every.groupBy(*AT).agg(F.greatest(F.lit(0.0), F.coalesce(F.max(good), F.lit(0.0))).alias("v"))
+    tau times its greatest value, times that curvature; of all scales the greatest. One pass over bricks gives the curvatures of
+    all scales, their greatest values by study come next, and the rest is columns."""
+    s = _positive(spacing)
+
+    def work(values):
+        out = []
+        for scale in scales:
+            e = bricks.eigenvalues(bricks.derivatives(bricks.blurred(values, gaussian(scale)) if blur else values, scale, s))
+            out += [-e[1], -e[2]]
+        return out
+
+    halo = 1 + (max(len(gaussian(scale)) // 2 for scale in scales) if blur else 0)
+    e = settled(bricks.each(vox, halo, {f"l{k}_{i}": "double" for i in range(len(scales)) for k in (2, 3)}, work))
+    most = e.groupBy("study").agg(*(F.greatest(F.lit(0.0), F.max(f"l3_{i}")).alias(f"most_{i}") for i in range(len(scales))))
+
+    def response(i: int) -> Column:
+        l2, l3, floor = F.col(f"l2_{i}"), F.col(f"l3_{i}"), F.lit(tau) * F.col(f"most_{i}")
+        rho = F.when(l3 <= floor, floor).otherwise(l3)
+        den = F.pow(l2 + rho, 3)
+        ratio = F.when(l2 >= rho / 2, 1.0).when(den > 1e-12, 27 * l2 * l2 * (rho - l2) / den).otherwise(0.0)
+        v = F.when((l2 > 0) & (l3 > 0), ratio * l3).otherwise(0.0)
+        return F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
+
+    return with_study(e, most).select(*AT, F.greatest(F.lit(0.0), F.lit(0.0), *(response(i) for i in range(len(scales)))).alias("v"))
+
+
+def _positive(spacing) -> dict[str, float]:
+    return dict(zip("xyz", (d if d > 0 else 1.0 for d in spacing), strict=True))
 
 
 def curvature(vox: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     """Gaussian curvature k and shape index si of the level sets of -v; (0, 0.5) at borders and where it is flat."""
-    s = dict(zip("xyz", (d if d > 0 else 1.0 for d in spacing), strict=True))
-    size = {a: F.max(a).over(W.partitionBy("study")) for a in "xyz"}
-    inner = F.lit(True)
-    for a in "xyz":
-        inner = inner & (F.col(a) > 0) & (F.col(a) < size[a])
-    rows = hessian(vox.withColumn("v", -F.col("v").cast("double")), 1.0, spacing)
-    g = {a: (_beside("v", a, 1) - _beside("v", a, -1)) / (2 * s[a]) for a in "xyz"}
-    rows = rows.withColumns({f"g{a}": g[a] for a in "xyz"} | {"inner": inner})
-    c = F.col
-    x, y, z, xx, yy, zz, xy, xz, yz = (c(n) for n in ("gx", "gy", "gz", "xx", "yy", "zz", "xy", "xz", "yz"))
-    n2 = x * x + y * y + z * z
-    k = (x * x * (yy * zz - yz * yz) + y * y * (xx * zz - xz * xz) + z * z * (xx * yy - xy * xy) + 2 * (x * y * (xz * yz - xy * zz) + y * z * (xy * xz - yz * xx) + x * z * (xy * yz - xz * yy)))
-    h = x * x * (yy + zz) + y * y * (xx + zz) + z * z * (xx + yy) - 2 * (x * y * xy + y * z * yz + x * z * xz)
-    ok = c("inner") & (n2 >= 1e-9)
-    rows = rows.withColumns({"k": F.when(ok, k / (n2 * n2)).otherwise(0.0), "h": F.when(ok, h / (2 * F.pow(n2, 1.5))).otherwise(0.0), "ok": ok})
-    si = 2 / math.pi * F.atan2(c("h"), F.sqrt(F.greatest(c("h") * c("h") - c("k"), F.lit(0.0))))
-    return rows.select(*AT, "k", F.when(c("ok"), si).otherwise(0.5).alias("si"))
+    s = _positive(spacing)
 
+    def work(values):
+        import numpy as np
 
-def distance(vox: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Chamfer distance in mm from each foreground voxel (v > 0) to the background through steps to 26 neighbours, 0 in the
-    background; null where a study has none. Distances pass from voxel to voxel until none changes."""
-    from .components import settled
+        d = bricks.derivatives(-values, 1.0, s)
+        x, y, z, xx, yy, zz, xy, xz, yz = (d[n] for n in ("x", "y", "z", "xx", "yy", "zz", "xy", "xz", "yz"))
+        n2 = x * x + y * y + z * z
+        k = x * x * (yy * zz - yz * yz) + y * y * (xx * zz - xz * xz) + z * z * (xx * yy - xy * xy) + 2 * (x * y * (xz * yz - xy * zz) + y * z * (xy * xz - yz * xx) + x * z * (xy * yz - xz * yy))
+        h = x * x * (yy + zz) + y * y * (xx + zz) + z * z * (xx + yy) - 2 * (x * y * xy + y * z * yz + x * z * xz)
+        ok = np.zeros(values.shape, bool)
+        ok[1:-1, 1:-1, 1:-1] = True  # a volume's border is the array's, as bricks see one voxel more
+        ok &= n2 >= 1e-9
+        safe = np.where(ok, n2, 1.0)
+        k, h = np.where(ok, k / (safe * safe), 0.0), np.where(ok, h / (2 * safe**1.5), 0.0)
+        si = 2 / np.pi * np.arctan2(h, np.sqrt(np.maximum(h * h - k, 0.0)))
+        return k, np.where(ok, si, 0.5)
+
+    return bricks.each(vox, 1, {"k": "double", "si": "double"}, work)
 
-    sx, sy, sz = (d if d > 0 else 1.0 for d in spacing)
-    step = F.sqrt(F.pow(F.col("dx") * sx, 2) + F.pow(F.col("dy") * sy, 2) + F.pow(F.col("dz") * sz, 2))
-    now = settled(vox.select(*AT, F.when(F.col("v") > 0, F.lit(None)).otherwise(0.0).cast("double").alias("mm")))
-    state = None
+
+def distance(vox: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), brick: int = bricks.BRICK) -> DataFrame:
+    """Chamfer distance in mm from each foreground voxel (v > 0) to the background through steps to 26 neighbours, 0 in the
+    background; null where a study has none. Inside a brick distances settle at once; rounds over bricks, which see one voxel
+    around them, follow until none changes, so there are about as many as the longest way crosses bricks."""
+    s = _positive(spacing)
+    steps = {o: math.sqrt(sum((d * s[a]) ** 2 for d, a in zip(o, "zyx", strict=True))) for o in ALL_26}
+
+    def work(values):
+        import numpy as np
+
+        now, missing = np.where(np.isnan(values), np.inf, values), np.isnan(values)
+        while True:
+            full, before = np.pad(now, 1, constant_values=np.inf), now
+            for o, mm in steps.items():
+                now = np.minimum(now, full[tuple(slice(1 + d, 1 + d + n) for d, n in zip(o, now.shape, strict=True))] + mm)
+            now[missing] = np.inf
+            if (now == before).all():
+                return (now,)
+
+    now, state = settled(vox.select(*AT, F.when(F.col("v") > 0, float("inf")).otherwise(0.0).alias("v"))), None
     while True:
-        there = shifted(now.where("mm IS NOT NULL"), ALL_26, "mm").select(*AT, (F.col("mm") + step).alias("near"))
-        near = there.groupBy(*AT).agg(F.min("near").alias("near"))
-        now = settled(now.join(near, [*AT], "left").select(*AT, F.least("mm", "near").alias("mm")))
-        before, state = state, tuple(now.agg(F.count("mm"), F.sum(F.round("mm", 9).cast("decimal(38,9)"))).first())
+        after = settled(bricks.each(now, 1, {"v": "double"}, work, brick))
+        released(now)
+        known = F.col("v") < float("inf")
+        before, state = state, tuple(after.agg(F.count_if(known), F.sum(F.when(known, F.round("v", 9).cast("decimal(38,9)")))).first())
+        now = after
         if before == state:
-            return now
+            return now.select(*AT, F.when(known, F.col("v")).alias("mm"))
