@@ -15,6 +15,7 @@ def rounded(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
+# Where the colours of a bulge begin and how far they reach; the range of a box; the radius of full white.
 def bulge_share(bulge: Column) -> Column:
     """0 for a normal vessel to 1 from half as wide again."""
     return clamp((bulge - 1.0) / 0.5)
@@ -46,6 +47,11 @@ def centre(at: Column, size: int, mirror: bool = False) -> Column:
     return ((F.lit(size - 1) - at if mirror else at) + 0.5) / size - 0.5
 
 
+def focus(found: DataFrame, size: tuple[int, int, int]) -> DataFrame:
+    """found (x, y, z) with fx, fy, fz, the place a camera looks at, on axes of -0.5 to 0.5; x is mirrored."""
+    return found.withColumns({f"f{a}": centre(F.col(a), n, a == "x") for a, n in zip("xyz", size, strict=True)})
+
+
 def box(found: DataFrame, size: tuple[int, int, int], spacing: tuple[float, float, float]) -> DataFrame:
     """found (x, y, z, max_br) with a box around each: cx, cy, cz and bw, bh, bd as shares of the volume; x is mirrored."""
     mm = F.least(F.lit(5.0), F.col("max_br") * 1.5) * 1.2 * 2
@@ -96,8 +102,35 @@ def status(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("n"), F.count_if(F.col("type") != "NORMAL").alias("suspected"), F.count_if(F.col("score") > 70).alias("high_risk"))
 
 
+# The format of a candidate's line and of its details.
+LINE = "Score: %5.1f | Aneurysm [%s] at (X:%d, Y:%d, Z:%d) | BulgeRatio: %5.2f | ShapeIndex: %.2f"
+DETAILS = (
+    "=== Aneurysm Candidate Details ===\n\n"
+    "Voxel Position : (X: %d, Y: %d, Z: %d)\n"
+    "Saliency Score : %.2f / 100\n"
+    "Current Type   : %s\n\n"
+    "--- Morphological Features ---\n"
+    "Max Bulge Ratio : %.3f (Threshold: 1.35)\n"
+    "Max Shape Index : %.3f (Sphere: 1.0, Tube: 0.5)\n"
+    "Gaussian Curv.  : %.4f\n"
+    "Vessel Radius   : %.2f mm\n"
+    "Volume Est.     : %.2f mm\u00b3\n\n"
+    "Status: %s"
+)
+CLEARED, ACTIVE = "Cleared (NORMAL)", "Active (Suspected)"
+
+
+def details(found: DataFrame) -> DataFrame:
+    """found (x, y, z, score, type, max_br, max_si, max_k, radius, volume) with details, a text of several lines; curvature, radius
+    and volume are the candidate's own, 0 where they are null."""
+    whole = (F.col(a).cast("int") for a in "xyz")
+    known = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("max_k", "radius", "volume"))
+    state = F.when(F.col("type") == "NORMAL", CLEARED).otherwise(ACTIVE)
+    return found.withColumn("details", F.format_string(DETAILS, *whole, "score", "type", "max_br", "max_si", *known, state))
+
+
 def report(found: DataFrame) -> DataFrame:
     """found (score, type, x, y, z, max_br, max_si) with line, a line of text."""
     whole = (F.col(a).cast("int") for a in "xyz")
-    line = F.format_string("Score: %5.1f | Aneurysm [%s] at (X:%d, Y:%d, Z:%d) | BulgeRatio: %5.2f | ShapeIndex: %.2f", "score", "type", *whole, "max_br", "max_si")
+    line = F.format_string(LINE, "score", "type", *whole, "max_br", "max_si")
     return found.withColumn("line", line)

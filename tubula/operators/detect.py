@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import settled
+from .tables import settled, with_study
 
 BULGE, SHAPE, GAUSS, POINTS = 1.35, 0.65, 0.0, 3
 
@@ -18,32 +18,69 @@ def baseline(points: DataFrame) -> DataFrame:
 
 def nearest(surface: DataFrame, points: DataFrame, cell: int = 8, reach: int = 2) -> DataFrame:
     """Of each surface voxel (id, x, y, z) the nearest point of a centreline: branch_id, idx and d2, the squared distance; of
-    equally near ones the first by (branch_id, idx). Where both have a study, only points of the voxel's own count.
+    equally near ones the first by (branch_id, idx). Where both have a study, only points of the voxel's own count. Every voxel has
+    a row, with nulls where there is no point at all for it.
 
-    Both sides meet in cells of `cell` voxels; voxels that no point within `reach` cells is sure to be nearest for are looked
-    up again at twice the cell, up to one cell for all."""
+    Both sides meet in cells of `cell` voxels. Voxels that no point within `reach` cells is sure to be nearest for are looked up
+    again at eight times the cell, until none is left. There, points first meet voxels as boxes, which hold the points of one cell
+    of the round before: a box farther away than the far end of another cannot have the nearest point, so that only the points of
+    a few boxes are looked at, however far they are."""
     own = [c for c in ("study",) if c in surface.columns and c in points.columns]
     # Of points at the same place only the first can be an answer.
     points = points.groupBy(*own, "x", "y", "z").agg(F.min(F.struct("branch_id", "idx")).alias("p")).select(*own, "x", "y", "z", "p.branch_id", "p.idx")
-    found, rest = None, surface.select(*own, "id", "x", "y", "z")
+    points = settled(points)
+    rest = settled(surface.select(*own, "id", "x", "y", "z"))
+    if own:
+        known = with_study(rest, points.select(*own).distinct())
+    else:
+        known = rest.where("false") if points.isEmpty() else rest
+    nothing = rest.join(known.select("id"), "id", "left_anti")
+    kinds = points.schema
+    found = nothing.select("id", *(F.lit(None).cast(kinds[c].dataType).alias(c) for c in ("branch_id", "idx")), F.lit(None).cast("double").alias("d2"))
+    rest, boxes = settled(known), None
     at = lambda a, c: F.floor(F.col(a) / c)
-    while True:
-        span = F.array(*(F.lit(i) for i in range(-reach, reach + 1)))
-        near = points.select(*own, F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "branch_id", "idx")
+    span = F.array(*(F.lit(i) for i in range(-reach, reach + 1)))
+    cells, edge = [*own, "cx", "cy", "cz"], ("bx", "by", "bz")
+
+    def around(rows: DataFrame, low: str) -> DataFrame:
         for a in "xyz":
-            near = near.withColumn("o", F.explode(span)).withColumn(f"c{a}", at(f"p{a}", cell) + F.col("o")).drop("o")
+            rows = rows.withColumn("o", F.explode(span)).withColumn(f"c{a}", at(f"{low}{a}", cell) + F.col("o")).drop("o")
+        return rows
+
+    d2 = sum((F.pow(F.col(a) - F.col(f"p{a}"), 2) for a in "xyz"), F.lit(0.0))
+    moved = points.select(*own, *(F.col(a).alias(f"p{a}") for a in "xyz"), "branch_id", "idx")
+    while not rest.isEmpty():
         left = rest.select("*", *(at(a, cell).alias(f"c{a}") for a in "xyz"))
-        d2 = sum((F.pow(F.col(a) - F.col(f"p{a}"), 2) for a in "xyz"), F.lit(0.0))
-        cells = [*own, "cx", "cy", "cz"]
+        if boxes is None:
+            met = left.join(around(moved, "p"), cells)
+        else:
+            far = lambda a: F.greatest(F.abs(F.col(a) - F.col(f"low_{a}")), F.abs(F.col(a) - F.col(f"high_{a}")))
+            gap = lambda a: F.greatest(F.col(f"low_{a}") - F.col(a), F.col(a) - F.col(f"high_{a}"), F.lit(0))
+            pair = left.join(around(boxes, "low_"), cells).select(*own, "id", "x", "y", "z", *edge, *(sum((F.pow(f(a), 2) for a in "xyz"), F.lit(0.0)).alias(n) for f, n in ((gap, "least"), (far, "most"))))
+            pair = settled(pair)
+            bound = pair.groupBy("id").agg(F.min("most").alias("bound"))
+            keep = pair.join(bound, "id").where("least <= bound").select(*own, "id", "x", "y", "z", *edge)
+            named = moved.select("*", *(at(f"p{a}", boxed).alias(f"b{a}") for a in "xyz"))
+            met = keep.join(named, [*own, *edge])
         # The least distance alone is aggregated by hash; few points are left to be compared as structs.
-        least = settled(left.join(near, cells).groupBy("id").agg(F.min(d2).alias("least")))
-        best = left.join(least, "id").join(near, cells).where(d2 == F.col("least")).groupBy("id").agg(F.min(F.struct(F.col("least").alias("d2"), "branch_id", "idx")).alias("b"))
+        met = settled(met.select("id", "branch_id", "idx", d2.alias("d2")))
+        least = met.groupBy("id").agg(F.min("d2").alias("least"))
+        best = met.join(least, "id").where("d2 = least").groupBy("id").agg(F.min(F.struct("d2", "branch_id", "idx")).alias("b"))
         sure = settled(best.select("id", "b.branch_id", "b.idx", "b.d2").where(F.col("d2") <= float((reach * cell) ** 2)))
-        found = sure if found is None else found.unionByName(sure)
+        found = found.unionByName(sure)
         rest = settled(rest.join(sure, "id", "left_anti"))
-        if cell >= 1 << 12 or rest.isEmpty():
-            return found
-        cell *= 8
+        boxed, cell = cell, cell * 8
+        boxes = moved.groupBy(*own, *(at(f"p{a}", boxed).alias(f"b{a}") for a in "xyz")).agg(*(f(f"p{a}").alias(f"{n}_{a}") for f, n in ((F.min, "low"), (F.max, "high")) for a in "xyz"))
+    return found
+
+
+def bulges(near: DataFrame, points: DataFrame, base: DataFrame) -> DataFrame:
+    """points (branch_id, idx, radius, ...) with br: the greatest of its radius and of the distances of the surface nearest to it
+    (branch_id, idx, d2), over the branch's baseline."""
+    wide = near.join(base, "branch_id").groupBy("branch_id", "idx").agg(F.max(F.sqrt("d2") / F.col("baseline")).alias("wide"))
+    own = F.col("radius") / F.col("baseline")
+    rows = points.join(base, "branch_id").join(wide, ["branch_id", "idx"], "left")
+    return rows.withColumn("br", F.greatest(own, F.coalesce("wide", own))).drop("wide", "baseline")
 
 
 def best_shape(samples: DataFrame) -> DataFrame:
@@ -80,6 +117,16 @@ def ranked(found: DataFrame) -> DataFrame:
     return scored(found).orderBy(F.desc("score"), "branch_id", "first")
 
 
+def with_branches(found: DataFrame, branches: DataFrame) -> DataFrame:
+    """Candidates with the columns of the branch (branch_id, ...) that each lies on."""
+    return found.join(branches, "branch_id")
+
+
+def labelled(branches: DataFrame) -> DataFrame:
+    """branches with anatomical_label, which nothing tells yet: null."""
+    return branches.withColumn("anatomical_label", F.lit(None).cast("string"))
+
+
 def review(found: DataFrame, decisions: DataFrame) -> DataFrame:
     """found with type: the latest decision (branch_id, first, type, at) on it, UNKNOWN without one."""
     last = decisions.groupBy("branch_id", "first").agg(F.max_by("type", F.struct("at", "type")).alias("type"))

@@ -31,6 +31,18 @@ def shifted(rows: DataFrame, offsets, *keep: str) -> DataFrame:
     return rows.select("study", *((F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "zyx"), *keep, *(F.col(f"o.d{a}").alias(f"d{a}") for a in "zyx"))
 
 
+def to_bytes(vox: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Values as bytes, `low` and less being 0, `high` and more 255, rounded in between; by default from a study's least value to its
+    greatest. Whole numbers from 0 to 255 stay as they are where the range is given as that; a range without width gives 0."""
+    v = F.col("v").cast("double")
+    if low is None or high is None:
+        ends = vox.groupBy("study").agg(F.min(v).alias("low_"), F.max(v).alias("high_"))
+        vox = with_study(vox, ends)
+    a, b = (F.col("low_") if low is None else F.lit(float(low))), (F.col("high_") if high is None else F.lit(float(high)))
+    share = F.when(b > a, (v - a) / F.when(b > a, b - a) * 255).otherwise(0.0)
+    return vox.select(*AT, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), share)) + 0.5).cast("int").alias("v"))
+
+
 def histogram(vox: DataFrame, bins: int = 256) -> DataFrame:
     """(study, bin, n), every bin of every study present."""
     every = vox.select("study").distinct().select("study", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display
-from ..operators import components, denoise, detect, graph, grid, reform, thinning
+from ..operators import components, denoise, detect, graph, grid, reform, studies, thinning
 from . import analysis
 from . import views as V
 
@@ -105,9 +105,9 @@ def _(s, d):
     return grid.closed(V.grey(s, d), 2.0, (1.0, 1.0, 1.0))
 
 
-@query("w1_top_hat", f"WITH {V.GREY}, {_extreme('grey', 'min', 2, 'a')}, {_extreme('a', 'max', 2, 'e')} SELECT study, z, y, x, greatest(0, grey.v - e.v) AS v FROM grey JOIN e USING (study, z, y, x)")
+@query("w1_top_hat", f"WITH {V.GREY}, {_extreme('grey', 'min', 5, 'a')}, {_extreme('a', 'max', 5, 'e')} SELECT study, z, y, x, greatest(0, grey.v - e.v) AS v FROM grey JOIN e USING (study, z, y, x)")
 def _(s, d):
-    return grid.top_hat(V.grey(s, d), 2)
+    return grid.top_hat(V.grey(s, d), 5)
 
 
 def _reach(mask: str, off: str) -> str:
@@ -135,11 +135,12 @@ def _side(v: str, a: str, f: str) -> str:
     return f"coalesce({f}({v}) OVER ({HESSIAN_AXIS[a]}), {v})"
 
 
-def _hessian(of: str, spacing=(1.0, 1.0, 1.0)) -> str:
+def _hessian(of: str, spacing=(1.0, 1.0, 1.0), scale: float = 1.0) -> str:
     s = dict(zip("xyz", spacing, strict=True))
     sides = ", ".join(f"{_side('v', a, f)} AS {n}_{a}" for a in "xyz" for f, n in (("lead", "up"), ("lag", "down")))
-    two = ", ".join(f"(up_{a} - 2 * v + down_{a}) / {s[a] ** 2}e0 AS {a}{a}" for a in "xyz")
-    mixed = ", ".join(f"(({_side(f'up_{a}', b, 'lead')} - {_side(f'up_{a}', b, 'lag')}) - ({_side(f'down_{a}', b, 'lead')} - {_side(f'down_{a}', b, 'lag')})) / {4 * s[a] * s[b]}e0 AS {a}{b}" for a, b in ("xy", "xz", "yz"))
+    k = f" * {scale * scale}e0" if scale != 1 else ""
+    two = ", ".join(f"(up_{a} - 2 * v + down_{a}) / {s[a] ** 2}e0{k} AS {a}{a}" for a in "xyz")
+    mixed = ", ".join(f"(({_side(f'up_{a}', b, 'lead')} - {_side(f'up_{a}', b, 'lag')}) - ({_side(f'down_{a}', b, 'lead')} - {_side(f'down_{a}', b, 'lag')})) / {4 * s[a] * s[b]}e0{k} AS {a}{b}" for a, b in ("xy", "xz", "yz"))
     return f"n1 AS (SELECT {AT}, v, {sides} FROM {of}), hs AS (SELECT {AT}, v, up_x, up_y, up_z, down_x, down_y, down_z, {two}, {mixed} FROM n1)"
 
 
@@ -151,18 +152,43 @@ def _(s, d):
     return _rounded(grid.hessian(V.vox(s, d), 1.0, (0.5, 0.5, 1.0)).drop("v"), *SIX)
 
 
-EIGEN = _hessian("vox") + """, q AS (SELECT *, (xx + yy + zz) / 3 AS q, xy * xy + xz * xz + yz * yz AS off FROM hs),
+EIGEN_OF_HS = """, q AS (SELECT *, (xx + yy + zz) / 3 AS q, xy * xy + xz * xz + yz * yz AS off FROM hs),
 p AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * off) / 6) AS p FROM q), w AS (SELECT *, CASE WHEN p > 0 THEN p ELSE 1 END AS w FROM p),
 f AS (SELECT *, acos(greatest(-1e0, least(1e0, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (w * w * w) / 2))) / 3 AS phi FROM w),
 g AS (SELECT *, q + 2 * p * cos(phi) AS big, q + 2 * p * cos(phi + 2 * pi() / 3) AS small FROM f),
 e AS (SELECT *, CASE WHEN off = 0 THEN [xx, yy, zz] ELSE [big, 3 * q - big - small, small] END AS l FROM g),
 ev AS (SELECT study, z, y, x, list_transform(list_sort(list_transform(l, lambda v: {'s': abs(v), 'v': v})), lambda r: r.v) AS l FROM e)"""
+EIGEN = _hessian("vox") + EIGEN_OF_HS
+
+
+def _blur(of: str, to: str, sigma: float) -> str:
+    """One axis after the other; `to` has the values."""
+    kernel, out = grid.gaussian(sigma), ""
+    r = len(kernel) // 2
+    number = lambda w: repr(w) if "e" in repr(w) else f"{w!r}e0"
+    for a, name in zip("xyz", (f"{to}_x", f"{to}_y", to), strict=True):
+        ends = {f: f"{f}_value(v) OVER ({HESSIAN_AXIS[a]} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)" for f in ("first", "last")}
+        at = lambda k, a=a, ends=ends: "v" if k == 0 else f"coalesce(lag(v, {-k}) OVER ({HESSIAN_AXIS[a]}), {ends['first']})" if k < 0 else f"coalesce(lead(v, {k}) OVER ({HESSIAN_AXIS[a]}), {ends['last']})"
+        total = " + ".join(f"{at(k)} * {number(w)}" for k, w in zip(range(-r, r + 1), kernel, strict=True))
+        out += f"{', ' if out else ''}{name} AS (SELECT {AT}, {total} AS v FROM {of})"
+        of = name
+    return out
+
+
+def _response(of: str, scale: float) -> str:
+    """A query of the response at one scale."""
+    return f"""WITH {_blur(of, 'bl', scale)}, {_hessian('bl', scale=scale)} {EIGEN_OF_HS}, k AS (SELECT {AT}, -l[2] AS l2, -l[3] AS l3, greatest(0, max(-l[3]) OVER (PARTITION BY study)) * 0.75e0 AS fl FROM ev),
+h AS (SELECT *, CASE WHEN l3 <= fl THEN fl ELSE l3 END AS rho FROM k)
+SELECT {AT}, CASE WHEN l2 > 0 AND l3 > 0 THEN l3 * CASE WHEN l2 >= rho / 2 THEN 1 WHEN pow(l2 + rho, 3) > 1e-12 THEN 27 * l2 * l2 * (rho - l2) / pow(l2 + rho, 3) ELSE 0 END ELSE 0 END AS v FROM h"""
+
 
+GREY_DOUBLE = V.GREY + ", gd AS (SELECT study, z, y, x, CAST(v AS DOUBLE) AS v FROM grey)"
 
-@query("j2_eigenvalues", f"WITH {V.VOX}, {EIGEN} SELECT {AT}, round(abs(l[1]), 3) + 0e0 AS a1, round(abs(l[2]), 3) + 0e0 AS a2, round(abs(l[3]), 3) + 0e0 AS a3 FROM ev")
+
+@query("j2_eigenvalues", f"WITH {V.VOX}, {EIGEN} SELECT {AT}, round(l[1], 3) + 0e0 AS e1, round(l[2], 3) + 0e0 AS e2, round(l[3], 3) + 0e0 AS e3 FROM ev")
 def _(s, d):
     e = grid.eigenvalues(grid.hessian(V.vox(s, d)))
-    return _rounded(e.select(*grid.AT, *(F.abs(f"e{i}").alias(f"a{i}") for i in (1, 2, 3))), "a1", "a2", "a3", digits=3)
+    return _rounded(e.select(*grid.AT, "e1", "e2", "e3"), "e1", "e2", "e3", digits=3)
 
 
 @query("j4_tube_response", f"""WITH {V.VOX}, {EIGEN}, k AS (SELECT {AT}, -l[2] AS l2, -l[3] AS l3, greatest(0, max(-l[3]) OVER (PARTITION BY study)) * 0.75e0 AS fl FROM ev),
@@ -172,30 +198,45 @@ def _(s, d):
     return _rounded(grid.vesselness(V.vox(s, d), (1.0,), blur=False), "v", digits=3)
 
 
-@query("j5_vesselness")
+VESSELNESS = f"WITH {GREY_DOUBLE}, {', '.join(f'r{int(k)} AS ({_response(chr(103) + chr(100), k)})' for k in (1.0, 2.0, 3.0))}, b AS (SELECT {AT}, max(v) AS v FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) GROUP BY ALL)"
+
+
+@query("j5_vesselness", VESSELNESS + f" SELECT {AT}, CAST(trunc(CASE WHEN max(v) OVER (PARTITION BY study) > 0 THEN greatest(0e0, least(255e0, v / max(v) OVER (PARTITION BY study) * 255)) ELSE 0 END) AS INT) AS v FROM b")
 def _(s, d):
     return grid.normalised(grid.vesselness(V.grey(s, d)))
 
 
-@query("b1_gaussian_blur")
+@query("b1_gaussian_blur", f"WITH {GREY_DOUBLE}, {_blur('gd', 'bl', 1.5)} SELECT {AT}, round(v, 4) + 0e0 AS v FROM bl")
 def _(s, d):
     return _rounded(grid.blurred(V.grey(s, d), 1.5), "v")
 
 
-@query("f2_curvature")
+@query("f2_curvature", f"""WITH {GREY_DOUBLE}, {_blur('gd', 'bl', 1.5)}, neg AS (SELECT {AT}, -v AS v FROM bl), {_hessian('neg')},
+g AS (SELECT *, (up_x - down_x) / 2 AS gx, (up_y - down_y) / 2 AS gy, (up_z - down_z) / 2 AS gz, z > 0 AND y > 0 AND x > 0 AND z < max(z) OVER s AND y < max(y) OVER s AND x < max(x) OVER s AS inside FROM hs WINDOW s AS (PARTITION BY study)),
+n AS (SELECT *, gx * gx + gy * gy + gz * gz AS n2 FROM g),
+c AS (SELECT *, inside AND n2 >= 1e-9 AS ok, gx * gx * (yy * zz - yz * yz) + gy * gy * (xx * zz - xz * xz) + gz * gz * (xx * yy - xy * xy) + 2 * (gx * gy * (xz * yz - xy * zz) + gy * gz * (xy * xz - yz * xx) + gx * gz * (xy * yz - xz * yy)) AS k4,
+  gx * gx * (yy + zz) + gy * gy * (xx + zz) + gz * gz * (xx + yy) - 2 * (gx * gy * xy + gy * gz * yz + gx * gz * xz) AS h3 FROM n),
+e AS (SELECT {AT}, ok, CASE WHEN ok THEN k4 / (n2 * n2) ELSE 0 END AS k, CASE WHEN ok THEN h3 / (2 * pow(n2, 1.5e0)) ELSE 0 END AS h FROM c)
+SELECT {AT}, round(k, 4) + 0e0 AS k, round(CASE WHEN ok THEN 2 / pi() * atan2(h, sqrt(greatest(h * h - k, 0))) ELSE 0.5e0 END, 4) + 0e0 AS si FROM e""")
 def _(s, d):
     return _rounded(grid.curvature(grid.blurred(V.grey(s, d), 1.5)), "k", "si")
 
 
-@query("v6_fill_holes")
+@query("v6_fill_holes", f"""WITH RECURSIVE {V.VOX}, b AS (SELECT {AT} FROM vox WHERE NOT v > -0.05), e AS (SELECT study, max(z) AS mz, max(y) AS my, max(x) AS mx FROM vox GROUP BY study),
+r AS (SELECT b.study, b.z, b.y, b.x FROM b JOIN e USING (study) WHERE z = 0 OR y = 0 OR x = 0 OR z = mz OR y = my OR x = mx
+  UNION SELECT n.study, n.z, n.y, n.x FROM r m CROSS JOIN {FACES} o JOIN b n ON {NEAR})
+SELECT study, vox.z, vox.y, vox.x, CASE WHEN r.x IS NULL THEN 255 ELSE 0 END AS v FROM vox LEFT JOIN r USING (study, z, y, x)""")
 def _(s, d):
     return components.filled(V.vox(s, d).select(*grid.AT, F.when(F.col("v") > -0.05, 255).otherwise(0).alias("v")))
 
 
+@query("v1_bytes", f"WITH {V.VOX}, e AS (SELECT *, min(v) OVER (PARTITION BY study) AS a, max(v) OVER (PARTITION BY study) AS b FROM vox) SELECT {AT}, CAST(floor(greatest(0e0, least(255e0, CASE WHEN b > a THEN (v - a) / (b - a) * 255 ELSE 0 END)) + 0.5e0) AS INT) AS v FROM e")
+def _(s, d):
+    return grid.to_bytes(V.vox(s, d))
 
 
 @query("x1_chamfer_distance", f"""WITH {V.VOX}, f AS (SELECT * FROM vox WHERE v > -0.05), b AS (SELECT * FROM vox WHERE NOT v > -0.05),
-p AS (SELECT f.study, f.z, f.y, f.x, abs(f.x - b.x) AS a, abs(f.y - b.y) AS b, abs(f.z - b.z) AS c FROM f JOIN b USING (study)),
+p AS (SELECT f.study, f.z, f.y, f.x, abs(f.x - b.x) AS a, abs(f.y - b.y) AS b, abs(f.z - b.z) AS c FROM f JOIN b ON f.study = b.study AND b.z BETWEEN f.z - 8 AND f.z + 8),
 q AS (SELECT {AT}, least(a, b, c) AS lo, greatest(a, b, c) AS hi, a + b + c - least(a, b, c) - greatest(a, b, c) AS mid FROM p)
 SELECT {AT}, round(min(sqrt(3) * lo + sqrt(2) * (mid - lo) + (hi - mid)), 4) AS mm FROM q GROUP BY ALL UNION ALL SELECT {AT}, 0 AS mm FROM b""")
 def _(s, d):
@@ -233,7 +274,7 @@ def _(s, d):
 
 
 @query("jn4_nearest_centreline", f"""WITH {V.CENTRELINE}, p AS (SELECT DISTINCT o_orderkey AS id, o_orderkey * 7 % 61 AS x, o_orderkey * 5 % 53 AS y, o_orderkey * 3 % 47 AS z FROM orders WHERE o_orderkey % 50 = 0),
-c AS (SELECT * FROM centreline WHERE branch_id % 40 = 0), d AS (SELECT p.id, c.branch_id, c.idx, pow(p.x - c.x, 2) + pow(p.y - c.y, 2) + pow(p.z - c.z, 2) AS d2 FROM p CROSS JOIN c)
+d AS (SELECT p.id, c.branch_id, c.idx, pow(p.x - c.x, 2) + pow(p.y - c.y, 2) + pow(p.z - c.z, 2) AS d2 FROM p CROSS JOIN centreline c)
 SELECT id, arg_min(branch_id, row(d2, branch_id, idx)) AS branch_id, CAST(arg_min(idx, row(d2, branch_id, idx)) AS INT) AS idx, min(d2) AS d2 FROM d GROUP BY id""")
 def _(s, d):
     o = F.col("o_orderkey")
@@ -241,6 +282,46 @@ def _(s, d):
     return detect.nearest(surface, V.centreline(s, d))
 
 
+SKIN = V.CENTRELINE + """, skin AS (SELECT o_orderkey AS id, o_custkey % (SELECT max(user_id) + 1 FROM events) AS branch_id, 1 + o_orderkey % 20 AS idx, o_totalprice / 20000 AS d2 FROM orders)"""
+BASE = "base AS (SELECT branch_id, greatest(median(radius), 1e-6) AS baseline FROM centreline GROUP BY branch_id)"
+
+
+def _skin(s, d):
+    branch = F.col("o_custkey") % (V.table(s, d, "events").agg(F.max("user_id")).first()[0] + 1)
+    return V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), branch.alias("branch_id"), (1 + F.col("o_orderkey") % 20).alias("idx"), (F.col("o_totalprice") / 20000).alias("d2"))
+
+
+@query("a4_widest_bulges", f"WITH {SKIN}, {BASE}, w AS (SELECT branch_id, idx, max(sqrt(d2)) AS mm FROM skin GROUP BY ALL) SELECT branch_id, CAST(idx AS INT) AS idx, round(greatest(radius, coalesce(mm, 0)) / baseline, 6) AS br FROM centreline JOIN base USING (branch_id) LEFT JOIN w USING (branch_id, idx)")
+def _(s, d):
+    points = V.centreline(s, d).select("branch_id", "idx", "radius")
+    return _rounded(detect.bulges(_skin(s, d), points, detect.baseline(points)).select("branch_id", "idx", "br"), "br", digits=6)
+
+
+@query("jn5_points_by_baseline", f"WITH {V.CENTRELINE}, {BASE} SELECT branch_id, CAST(idx AS INT) AS idx, round(radius / baseline, 6) AS ratio FROM centreline JOIN base USING (branch_id)")
+def _(s, d):
+    points = V.centreline(s, d)
+    return _rounded(points.join(detect.baseline(points), "branch_id").select("branch_id", "idx", (F.col("radius") / F.col("baseline")).alias("ratio")), "ratio", digits=6)
+
+
+@query("jn9_candidates_with_branches", CAND + ", l AS (SELECT user_id AS branch_id, count(*) AS n_on_branch, sum(value) AS length_mm FROM events GROUP BY user_id) SELECT branch_id, CAST(first AS INT) AS first, n_on_branch, round(length_mm, 4) AS length_mm, CAST(NULL AS VARCHAR) AS anatomical_label FROM c JOIN l USING (branch_id)")
+def _(s, d):
+    branches = V.table(s, d, "events").groupBy(F.col("user_id").alias("branch_id")).agg(F.count("*").alias("n_on_branch"), F.sum("value").alias("length_mm"))
+    out = detect.with_branches(detect.candidates(V.centreline(s, d)), detect.labelled(branches))
+    return _rounded(out.select("branch_id", "first", "n_on_branch", "length_mm", "anatomical_label"), "length_mm")
+
+
+DECIDED = """, told AS (SELECT user_id AS branch_id, event_id % 40 + 1 AS first, CASE event_id % 3 WHEN 0 THEN 'NORMAL' WHEN 1 THEN 'SACCULAR' ELSE 'FUSIFORM' END AS type, ts AS told_at FROM events),
+last AS (SELECT branch_id, first, arg_max(type, row(told_at, type)) AS type FROM told GROUP BY ALL)"""
+
+
+@query("e2_decisions", CAND + DECIDED + " SELECT c.branch_id, CAST(c.first AS INT) AS first, coalesce(last.type, 'UNKNOWN') AS type FROM c LEFT JOIN last USING (branch_id, first)")
+def _(s, d):
+    e = F.col("event_id")
+    kind = F.when(e % 3 == 0, "NORMAL").when(e % 3 == 1, "SACCULAR").otherwise("FUSIFORM")
+    told = V.table(s, d, "events").select(F.col("user_id").alias("branch_id"), (e % 40 + 1).cast("int").alias("first"), kind.alias("type"), F.col("ts").alias("at"))
+    return detect.review(detect.candidates(V.centreline(s, d)), told).select("branch_id", "first", "type")
+
+
 def _prune(rounds: int) -> str:
     out = f"WITH {V.EDGES}, e0 AS (SELECT * FROM edges)"
     for i in range(rounds):
@@ -276,7 +357,28 @@ def _(s, d):
     return _rounded(graph.lengths(V.centreline(s, d), (0.5, 0.5, 1.2)), "length_mm", digits=3)
 
 
-@query("n13_resampled_paths")
+ALONG = f"""WITH {V.CENTRELINE}, p0 AS (SELECT branch_id, idx, x * 0.5e0 AS x, y * 0.5e0 AS y, z * 1.2e0 AS z FROM centreline),
+a AS (SELECT branch_id, idx, {', '.join(f"coalesce(lag({c}) OVER w, {c}) AS {c}0, {c} AS {c}1, lead({c}) OVER w AS {c}2, coalesce(lead({c}, 2) OVER w, lead({c}) OVER w) AS {c}3" for c in 'xyz')} FROM p0 WINDOW w AS (PARTITION BY branch_id ORDER BY idx)),
+b AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2) + pow(z2 - z1, 2)) AS mm FROM a WHERE x2 IS NOT NULL),
+c AS (SELECT *, sum(mm) OVER (PARTITION BY branch_id ORDER BY idx) AS upto FROM b),
+s AS (SELECT *, upto - mm AS start, max(upto) OVER (PARTITION BY branch_id) AS total, idx = min(idx) OVER (PARTITION BY branch_id) AS is_first FROM c),
+lh AS (SELECT *, CASE WHEN is_first THEN 0 ELSE floor(start / 0.5e0) + 1 END AS low, least(CASE WHEN upto >= total THEN ceil(total / 0.5e0) ELSE floor(upto / 0.5e0) END, ceil(total / 0.5e0)) AS high FROM s),
+sm AS (SELECT *, unnest(generate_series(CAST(low AS BIGINT), CAST(high AS BIGINT))) AS i FROM lh WHERE high >= low AND (mm > 0 OR is_first)),
+pl AS (SELECT *, CASE WHEN mm > 0 THEN (least(i * 0.5e0, total) - start) / mm ELSE 0 END AS u FROM sm)"""
+CURVE = "0.5e0 * (2 * {0}1 + ({0}2 - {0}0) * u + (2 * {0}0 - 5 * {0}1 + 4 * {0}2 - {0}3) * u * u + (3 * {0}1 - {0}0 - 3 * {0}2 + {0}3) * u * u * u)"
+
+
+@query("n11_arc_lengths", ALONG + " SELECT branch_id, CAST(idx AS INT) AS idx, round(mm, 4) + 0e0 AS mm, round(start, 4) + 0e0 AS start, round(upto, 4) + 0e0 AS upto, round(total, 4) + 0e0 AS total FROM s")
+def _(s, d):
+    return _rounded(graph.arc_lengths(V.centreline(s, d), (0.5, 0.5, 1.2)), "mm", "start", "upto", "total")
+
+
+@query("n12_located_samples", ALONG + " SELECT branch_id, i, CAST(idx AS INT) AS idx, round(u, 4) + 0e0 AS t FROM pl")
+def _(s, d):
+    return _rounded(graph.located(V.centreline(s, d), 0.5, (0.5, 0.5, 1.2)), "t")
+
+
+@query("n13_resampled_paths", ALONG + " SELECT branch_id, i, " + ", ".join(f"round({CURVE.format(c)}, 4) + 0e0 AS {c}" for c in "xyz") + " FROM pl")
 def _(s, d):
     return _rounded(graph.resampled(V.centreline(s, d), 0.5, (0.5, 0.5, 1.2)), "x", "y", "z")
 
@@ -289,7 +391,7 @@ walk(start, first, edge, node, mm, n) AS (SELECT a, edge, edge, b, mm, 1 FROM wa
 chain AS (SELECT start AS u, node AS v, first AS branch, mm, walk.n AS parts FROM walk JOIN deg ON deg.n = node WHERE c <> 2 AND (start, first) <= (node, edge))"""
 
 
-@query("n6_merge_degree_2", _walk(f"WITH RECURSIVE {V.EDGES.replace('edges AS', 'tree AS')}, edges AS (SELECT u AS edge, u, v, length_mm AS mm FROM tree WHERE u % 3 > 0 OR u % 5 = 0)") + " SELECT branch, u, v, round(mm, 9) AS length_mm, parts FROM chain")
+@query("n6_merge_degree_2", _walk(f"WITH RECURSIVE {V.EDGES.replace('edges AS', 'tree AS')}, edges AS (SELECT u AS edge, u, v, length_mm AS mm FROM tree)") + " SELECT branch, u, v, round(mm, 9) AS length_mm, parts FROM chain")
 def _(s, d):
     return _rounded(graph.merged(V.edges(s, d).withColumn("edge", F.col("u"))), "length_mm", digits=9)
 
@@ -351,7 +453,25 @@ def _(s, d):
     return _spread(reform.tangents(_paths(s, d)), "tangent")
 
 
-@query("n15_transported_frames")
+CARRIED = NEXT.replace("WITH ", "WITH RECURSIVE ", 1) + """, t AS (SELECT branch_id, i, CASE WHEN size > 0 THEN dx / size END AS x, CASE WHEN size > 0 THEN dy / size END AS y, CASE WHEN size > 0 THEN dz / size END AS z FROM m),
+c(branch_id, i, x, y, z, lx, ly, lz, p, q, r) AS (
+  SELECT branch_id, 0, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM t WHERE i = 1
+  UNION ALL SELECT branch_id, i, x, y, z, CASE WHEN x IS NULL THEN lx ELSE x END, CASE WHEN x IS NULL THEN ly ELSE y END, CASE WHEN x IS NULL THEN lz ELSE z END, p / l, q / l, r / l FROM (
+    SELECT *, CASE WHEN x IS NULL THEN 1 ELSE sqrt(p * p + q * q + r * r) END AS l FROM (
+      SELECT branch_id, i, x, y, z, lx, ly, lz,
+        CASE WHEN x IS NULL THEN p WHEN lx IS NULL THEN (CASE WHEN abs(z) > 0.9 THEN 0 ELSE y END) WHEN aa > 1e-8 THEN p * ca + (ay * r - az * q) * sa + ax * (ax * p + ay * q + az * r) * (1 - ca) ELSE p END AS p,
+        CASE WHEN x IS NULL THEN q WHEN lx IS NULL THEN (CASE WHEN abs(z) > 0.9 THEN z ELSE -x END) WHEN aa > 1e-8 THEN q * ca + (az * p - ax * r) * sa + ay * (ax * p + ay * q + az * r) * (1 - ca) ELSE q END AS q,
+        CASE WHEN x IS NULL THEN r WHEN lx IS NULL THEN (CASE WHEN abs(z) > 0.9 THEN -y ELSE 0 END) WHEN aa > 1e-8 THEN r * ca + (ax * q - ay * p) * sa + az * (ax * p + ay * q + az * r) * (1 - ca) ELSE r END AS r FROM (
+          SELECT *, ax0 / w AS ax, ay0 / w AS ay, az0 / w AS az, cos(angle) AS ca, sin(angle) AS sa FROM (
+            SELECT *, ax0 * ax0 + ay0 * ay0 + az0 * az0 AS aa, CASE WHEN ax0 * ax0 + ay0 * ay0 + az0 * az0 > 0 THEN sqrt(ax0 * ax0 + ay0 * ay0 + az0 * az0) ELSE 1 END AS w FROM (
+              SELECT t.branch_id, t.i, t.x, t.y, t.z, c.lx, c.ly, c.lz, c.p, c.q, c.r, c.ly * t.z - c.lz * t.y AS ax0, c.lz * t.x - c.lx * t.z AS ay0, c.lx * t.y - c.ly * t.x AS az0,
+                acos(greatest(-1e0, least(1e0, c.lx * t.x + c.ly * t.y + c.lz * t.z))) AS angle FROM c JOIN t ON t.branch_id = c.branch_id AND t.i = c.i + 1)))))),
+b AS (SELECT *, y * r - z * q AS bx, z * p - x * r AS b_side, x * q - y * p AS bz FROM c WHERE i > 0 AND branch_id IN (SELECT branch_id FROM t WHERE i = 2)),
+s AS (SELECT *, sqrt(bx * bx + b_side * b_side + bz * bz) AS bl FROM b)
+SELECT branch_id, i, round(x, 4) + 0e0 AS t_x, round(y, 4) + 0e0 AS t_y, round(z, 4) + 0e0 AS t_z, round(p, 4) + 0e0 AS n_x, round(q, 4) + 0e0 AS n_y, round(r, 4) + 0e0 AS n_z, round(bx / bl, 4) + 0e0 AS b_x, round(b_side / bl, 4) + 0e0 AS b_y, round(bz / bl, 4) + 0e0 AS b_z FROM s"""
+
+
+@query("n15_transported_frames", CARRIED)
 def _(s, d):
     return _spread(reform.frames(_paths(s, d)), "tangent", "normal", "binormal")
 
@@ -373,7 +493,8 @@ def _(s, d):
     return _rounded(reform.straightened(V.axis(s, d), V.vox(s, d), 7.0, 0.8, 30.0), "v")
 
 
-@query("n17_padded", STRAIGHT + ' SELECT study, study AS branch_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, round(coalesce(v, 0), 4) + 0e0 AS v FROM range(10) s(study) CROSS JOIN range(24) r(r) CROSS JOIN range(9) c(c) LEFT JOIN img USING (study) WHERE img."row" = r AND img.col = c OR r >= 20 AND img."row" = 0 AND img.col = c'.replace("coalesce(v, 0)", "CASE WHEN r < 20 THEN v ELSE 0 END"))
+@query("n17_padded", STRAIGHT + """, f AS (SELECT study, study AS branch_id, unnest(range(CAST(ceil(count(*) * 0.93e0 / 0.8e0) AS BIGINT))) AS r FROM axis GROUP BY study)
+SELECT f.study, f.branch_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, round(coalesce(img.v, 0), 4) + 0e0 AS v FROM f CROSS JOIN range(9) g(c) LEFT JOIN img ON img.study = f.study AND img."row" = r AND img.col = c""")
 def _(s, d):
     lengths = V.axis(s, d).groupBy("study", "branch_id").agg((F.count("*") * 0.93).alias("length_mm"))
     return _rounded(reform.padded(reform.straightened(V.axis(s, d), V.vox(s, d), 7.0, 0.8, 30.0), lengths, 0.8), "v")

@@ -78,4 +78,5 @@ CENTRELINE = """centreline AS (SELECT user_id AS branch_id, row_number() OVER (P
 EDGES = """edges AS (SELECT o_orderkey AS u, o_orderkey // 3 AS v, o_totalprice / 50000 AS length_mm FROM orders WHERE o_orderkey > 0)"""
 IMAGES = """images AS (SELECT 1 AS study, CAST(id // 1024 AS INT) AS z, CAST(id // 32 % 32 AS INT) AS y, CAST(id % 32 AS INT) AS x, least(255, CAST(trunc(coalesce(q, 0)) AS INT)) AS v FROM range(4096) r(id)
   LEFT JOIN (SELECT l_orderkey % 4 AS pz, l_suppkey % 32 AS py, l_partkey % 32 AS px, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) ON pz = id // 1024 AND py = id // 32 % 32 AND px = id % 32)"""
-AXIS = """axis AS (SELECT CAST(id // 20 AS INT) AS study, CAST(id // 20 AS INT) AS branch_id, CAST(id % 20 AS INT) AS i, 1.0331e0 + id % 20 * 0.31e0 AS x, 3.4717e0 + id % 20 * 0.11e0 AS y, 2.0213e0 + id % 20 * 1.49e0 AS z FROM range(200) r(id))"""
+AXIS = """axis AS (SELECT study, study AS branch_id, CAST(i AS INT) AS i, 1.0331e0 + abs((i + 19) % 38 - 19) * 0.31e0 AS x, 3.4717e0 + abs((i + 19) % 38 - 19) * 0.11e0 AS y, 2.0213e0 + i * 1.49e0 AS z FROM (
+  SELECT study, unnest(range(CAST(greatest(0, ceil((n - 1 - 2.0213e0) / 1.49e0)) AS BIGINT) + 1)) AS i FROM (SELECT label AS study, count(*) AS n FROM embeddings GROUP BY label)))"""
