@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, documents, drop, quoted, shared_dir, squeezed, unused
+from .common import cut, documents, drop, hot_keys, quoted, shared_dir, spread_join, squeezed, unused
 
 INDEX = "digest string, keep_id bigint, keep_points int, batch string"
 #: The best row of equal texts is the least of these.
@@ -91,18 +91,11 @@ class DigestIndex:
         for b in batches:
             rows = b.keyed.withColumn("own", F.lit(b.name))
             keyed = rows if keyed is None else keyed.unionByName(rows)
-        sizes = cut(keyed.groupBy("digest").agg(F.sum("copies").alias("group_size")), "sizes")
-        total = sizes.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
         index = self.rows().groupBy("digest").agg(F.min(F.struct(F.expr(RANK).alias("rank"), "batch")).alias("b"))
         index = index.select("digest", F.col("b.rank.id").alias("keep_id"), (-F.col("b.rank.less")).alias("keep_points"), F.col("b.batch").alias("batch"))
-        cols = ("digest", "doc_id", "points", "own", "keep_id", "keep_points", "batch", "group_size", "copies")
-        # Fewer than HOT_SHARE digests hold more than 1/HOT_SHARE of the rows each: only these are broadcast.
-        is_hot = F.col("group_size") * HOT_SHARE > total
-        hot = F.broadcast(index.join(F.broadcast(sizes.where(is_hot)), "digest"))
-        cold = index.join(sizes.where(~is_hot), "digest")
-        rows = keyed.join(hot, "digest").select(*cols)
-        rest = keyed.join(F.broadcast(sizes.where(is_hot)), "digest", "left_anti").join(cold, "digest").select(*cols)
-        out = rows.unionByName(rest).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        groups = keyed.groupBy("digest").agg(F.sum("copies").alias("group_size")).join(index, "digest")
+        out = spread_join(keyed, groups, "digest", "doc_id", hot_keys(keyed, "digest", keyed.count()))
+        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points")) & (F.col("copy") == 1) & (F.col("batch") == F.col("own"))
         return out.select("doc_id", "digest", "points", "keep_id", "group_size", "copies", kept.alias("kept"))
 
@@ -134,7 +127,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     late = F.coalesce(F.col("doc_id") % 2 != 0, F.lit(True))
-    parts = [index.add(docs.where(~late), "first", revise=True), index.add(docs.where(late), "second", revise=True)]
+    parts = [index.add(docs.where(~late), "first"), index.add(docs.where(late), "second", revise=True)]
     out = index.results(*parts).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
     out = cut(out, "exact")
     index.drop()
