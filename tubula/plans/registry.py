@@ -576,12 +576,125 @@ def _(s, d):
     return display.report(rows).select("branch_id", "first", "line")
 
 
+RAYS_OF_CYLINDER = f"""WITH {V.MASK.replace('0.18', '-0.1')}, {V.AXIS},
+nx AS (SELECT study, branch_id, i, x, y, z, {', '.join(f"coalesce(lead({c}) OVER w, {c}) - coalesce(lag({c}) OVER w, {c}) AS d{c}" for c in 'xyz')} FROM axis WINDOW w AS (PARTITION BY study, branch_id ORDER BY i)),
+tg AS (SELECT *, dx / l AS tx, dy / l AS ty, dz / l AS tz FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS l FROM nx)),
+up AS (SELECT *, CASE WHEN abs(ty) > 0.9 THEN 0 ELSE -tz END AS p0, CASE WHEN abs(ty) > 0.9 THEN tz ELSE 0 END AS q0, CASE WHEN abs(ty) > 0.9 THEN -ty ELSE tx END AS r0 FROM tg),
+un AS (SELECT *, p0 / l2 AS p, q0 / l2 AS q, r0 / l2 AS r FROM (SELECT *, sqrt(p0 * p0 + q0 * q0 + r0 * r0) AS l2 FROM up)),
+ry AS (SELECT study, branch_id, i, CAST(a AS INT) AS angle, x, y, z, cos(pi() * a / 6) * p + sin(pi() * a / 6) * (ty * r - tz * q) AS dx, cos(pi() * a / 6) * q + sin(pi() * a / 6) * (tz * p - tx * r) AS dy, cos(pi() * a / 6) * r + sin(pi() * a / 6) * (tx * q - ty * p) AS dz FROM un, range(12) g(a)),
+wk AS (SELECT ry.*, n, CAST(floor(x + n * 0.5e0 * dx + 0.5e0) AS INT) AS kx, CAST(floor(y + n * 0.5e0 * dy + 0.5e0) AS INT) AS ky, CAST(floor(z + n * 0.5e0 * dz + 0.5e0) AS INT) AS kz FROM ry, range(1, 14) s(n)),
+out AS (SELECT wk.study, branch_id, i, angle, min(n) AS n FROM wk LEFT JOIN mask m ON m.study = wk.study AND m.x = kx AND m.y = ky AND m.z = kz WHERE m.x IS NULL GROUP BY ALL),
+rays AS (SELECT study, branch_id, i, angle, coalesce(n, 13) * 0.5e0 * sqrt(pow(dx * 0.5, 2) + pow(dy * 0.5, 2) + pow(dz * 1.2, 2)) AS mm FROM ry LEFT JOIN out USING (study, branch_id, i, angle))"""
+
+
+def _cylinder(s, d):
+    return reform.cylinder(V.axis(s, d).select("study", "branch_id", "i", "x", "y", "z"), V.vox(s, d).where("v > -0.1"), 12, 6.0, 0.5, (0.5, 0.5, 1.2))
+
+
+@query("n20_cylinder", RAYS_OF_CYLINDER + " SELECT study, branch_id, i, array_to_string(list(CAST(CAST(round(mm * 1000) AS BIGINT) AS VARCHAR) ORDER BY angle), ' ') AS row_um FROM rays GROUP BY ALL")
+def _(s, d):
+    um = F.transform("mm", lambda v: F.round(v * 1000).cast("long").cast("string"))
+    return reform.map_rows(_cylinder(s, d)).select("study", "branch_id", "i", F.array_join(um, " ").alias("row_um"))
+
+
+@query("n21_anomalies", RAYS_OF_CYLINDER + """, md AS (SELECT study, branch_id, i, list_sort(list(mm))[7] AS median FROM rays GROUP BY ALL), en AS (SELECT study, branch_id, min(i) AS low, max(i) AS high FROM rays GROUP BY ALL),
+an AS (SELECT rays.*, mm / median AS ratio FROM rays JOIN md USING (study, branch_id, i) JOIN en USING (study, branch_id) WHERE median > 0 AND i BETWEEN low + 2 AND high - 2 AND mm > median * 1.5e0),
+fi AS (SELECT study, branch_id, i, min(angle) AS angle, arg_min(ratio, angle) AS ratio FROM an GROUP BY ALL)
+SELECT study, branch_id, i, angle, round(ratio, 4) AS ratio, round(least(1, greatest(0, (ratio - 1) / 1.5e0)), 4) AS score FROM fi""")
+def _(s, d):
+    return _rounded(reform.anomalies(_cylinder(s, d), 12), "ratio", "score")
+
+
+@query("e8_camera_focus", f"WITH {V.CENTRELINE} SELECT branch_id, CAST(idx AS INT) AS idx, round((31 - x + 0.5e0) / 32 - 0.5e0, 9) AS fx, round((y + 0.5e0) / 32 - 0.5e0, 9) AS fy, round((z + 0.5e0) / 24 - 0.5e0, 9) AS fz FROM centreline")
+def _(s, d):
+    return _rounded(display.focus(V.centreline(s, d), (32, 32, 24)).select("branch_id", "idx", "fx", "fy", "fz"), "fx", "fy", "fz", digits=9)
+
+
+@query("e10_details", SHOWN + """ SELECT branch_id, CAST(first AS INT) AS first, printf('=== Aneurysm Candidate Details ===\n\nVoxel Position : (X: %d, Y: %d, Z: %d)\nSaliency Score : %.2f / 100\nCurrent Type   : %s\n\n--- Morphological Features ---\nMax Bulge Ratio : %.3f (Threshold: 1.35)\nMax Shape Index : %.3f (Sphere: 1.0, Tube: 0.5)\nGaussian Curv.  : %.4f\nVessel Radius   : %.2f mm\nVolume Est.     : %.2f mm\u00b3\n\nStatus: %s',
+  first, peak, n_points, score, type, max_br, max_si, max_k, 2.5e0, 0e0, CASE WHEN type = 'NORMAL' THEN 'Cleared (NORMAL)' ELSE 'Active (Suspected)' END) AS details FROM s""")
+def _(s, d):
+    rows = _shown(s, d).withColumns({"x": F.col("first"), "y": F.col("peak"), "z": F.col("n_points"), "radius": F.lit(2.5), "volume": F.lit(None).cast("double")})
+    return display.details(rows).select("branch_id", "first", "details")
+
+
+@query("e12_grey_levels", f"WITH {V.CENTRELINE} SELECT branch_id, CAST(idx AS INT) AS idx, CAST(trunc(greatest(0, least(255, radius / 15 * 255))) AS INT) AS grey FROM centreline")
+def _(s, d):
+    return V.centreline(s, d).select("branch_id", "idx", display.grey_level(F.col("radius")).alias("grey"))
+
+
+@query("e17_linear_index", f"WITH {V.CENTRELINE} SELECT branch_id, CAST(idx AS INT) AS idx, (z * 200 + y) * 256 + x AS linear FROM centreline")
+def _(s, d):
+    return V.centreline(s, d).select("branch_id", "idx", display.linear_index(F.col("x"), F.col("y"), F.col("z"), 256, 200).alias("linear"))
+
+
+@query("o7_points_of_all_branches", f"WITH {V.CENTRELINE} SELECT x, y, z, count(*) AS n FROM (SELECT x, y, z FROM centreline WHERE k > 0 UNION ALL SELECT x, y, z FROM centreline WHERE k <= 0) GROUP BY ALL")
+def _(s, d):
+    p = V.centreline(s, d).select("x", "y", "z", "k")
+    return p.where("k > 0").unionByName(p.where("k <= 0")).groupBy("x", "y", "z").agg(F.count("*").alias("n"))
+
+
+META = "st AS (SELECT label AS study, 8 AS w, 8 AS h, count(*) AS d, 0.5e0 AS sx, 0.5e0 AS sy, CASE WHEN label % 3 = 0 THEN 2.5e0 ELSE 0.8e0 END AS sz, CASE WHEN label % 2 = 0 THEN 12e0 - label ELSE 0e0 END AS tilt, CASE WHEN label % 5 = 4 THEN 'MR' ELSE 'CT' END AS modality, CASE label % 7 WHEN 5 THEN 'CORONAL' WHEN 3 THEN 'SAGITTAL' ELSE 'AXIAL' END AS plane, 'raw' AS kind FROM embeddings GROUP BY label)"
+
+
+def _studies(s, d):
+    n = F.col("study")
+    rows = V.table(s, d, "embeddings").groupBy(F.col("label").alias("study")).agg(F.count("*").alias("d"))
+    plane = F.when(n % 7 == 5, "CORONAL").when(n % 7 == 3, "SAGITTAL").otherwise("AXIAL")
+    return rows.select("study", F.lit(8).alias("w"), F.lit(8).alias("h"), "d", F.lit(0.5).alias("sx"), F.lit(0.5).alias("sy"), F.when(n % 3 == 0, 2.5).otherwise(0.8).alias("sz"), F.when(n % 2 == 0, 12.0 - n).otherwise(0.0).alias("tilt"),
+                       F.when(n % 5 == 4, "MR").otherwise("CT").alias("modality"), plane.alias("plane"), F.lit("raw").alias("kind"))
+
+
+@query("k4_derived_metadata", f"WITH {META} SELECT study, w, h, d, sx, sy, CASE WHEN modality = 'CT' AND plane = 'AXIAL' THEN least(sz, 1) ELSE sz END AS sz, CASE WHEN modality = 'CT' AND plane = 'AXIAL' THEN 0 ELSE tilt END AS tilt, modality, plane, 'raw_response' AS kind FROM st")
+def _(s, d):
+    return studies.derived(studies.upright(_studies(s, d)), "_response")
+
+
+@query("g1_untilted", f"""WITH {V.VOX}, {META}, mm AS (SELECT study, max(z) AS mz, max(y) AS my, max(x) AS mx FROM vox GROUP BY study),
+tu AS (SELECT *, least(sz, 1e0) AS gap, tan(radians(tilt)) / sy AS down FROM st JOIN mm USING (study) WHERE modality = 'CT' AND plane = 'AXIAL'),
+ev AS (SELECT study, n, r, c, n * gap / sz AS oz, r - n * gap * down AS oy FROM (SELECT *, unnest(range(CAST(floor(mz * sz / gap) AS BIGINT) + 1)) AS n FROM tu) CROSS JOIN range(8) a(r) CROSS JOIN range(8) b(c)),
+co AS (SELECT ev.*, CAST(floor(oz) AS BIGINT) + i AS kz, CAST(floor(oy) AS BIGINT) + j AS ky, abs(1 - i - (oz - floor(oz))) * abs(1 - j - (oy - floor(oy))) AS wt FROM ev, range(2) p(i), range(2) q(j))
+SELECT co.study, CAST(n AS INT) AS z, CAST(r AS INT) AS y, CAST(c AS INT) AS x, round(sum(wt * coalesce(v, 0)), 4) + 0e0 AS v FROM co LEFT JOIN vox ON vox.study = co.study AND vox.z = kz AND vox.y = ky AND vox.x = c GROUP BY ALL
+UNION ALL SELECT study, z, y, x, round(v, 4) + 0e0 AS v FROM vox WHERE study NOT IN (SELECT study FROM tu)""")
+def _(s, d):
+    return _rounded(studies.untilted(V.vox(s, d), _studies(s, d)), "v")
+
+
+@query("g1_axial", f"WITH {V.VOX}, {META} SELECT study, CASE WHEN plane = 'AXIAL' THEN z ELSE y END AS z, CASE plane WHEN 'AXIAL' THEN y WHEN 'CORONAL' THEN z ELSE x END AS y, CASE plane WHEN 'AXIAL' THEN x WHEN 'CORONAL' THEN x ELSE z END AS x, v FROM vox JOIN st USING (study)")
+def _(s, d):
+    return studies.axial(V.vox(s, d), _studies(s, d))
+
+
+def _found(rows):
+    return _rounded(rows.select("study", "z", "y", "x", "first", "n_points", "max_br", "max_si", "max_k", "score"), "max_br", "max_si", "max_k", "score")
+
+
 @query("p1_phantom_candidates")
 def _(s, d):
+    """A ball at the side of a tube, along the tube's own axis."""
     vox = V.phantom(s)
     axis = s.range(32).select(F.lit(1).alias("study"), F.lit(1).alias("branch_id"), F.col("id").cast("int").alias("idx"), F.col("id").cast("int").alias("z"), F.lit(12).alias("y"), F.lit(12).alias("x"))
-    rows = analysis.found(analysis.features(vox.where("v > 0").select(*grid.AT), vox, axis))
-    return _rounded(rows.select("study", "z", "y", "x", "first", "n_points", "max_br", "max_si", "max_k", "score"), "max_br", "max_si", "max_k", "score")
+    return _found(analysis.found(analysis.features(vox.where("v > 0").select(*grid.AT), vox, axis)))
+
+
+@query("p2_phantom_what_if")
+def _(s, d):
+    """The same along the thinned path, which bends towards the ball: with other thresholds."""
+    vox = V.phantom(s)
+    mask = vox.where("v > 0").select(*grid.AT)
+    return _found(analysis.again(analysis.paths(mask), mask, vox, analysis.Params(prune_mm=3.5, bulge=0.9, shape=0.57)))
+
+
+@query("p3_phantom_analysis")
+def _(s, d):
+    """From a noisy volume of a tube with a ball around it to its candidates."""
+    vox = V.phantom(s, True, 12, 30).select(*grid.AT, F.expr("20 + v * 0.7 + (x * 7 + y * 5 + z * 3) % 11").cast("double").alias("v"))
+    return _found(analysis.analyse(vox, analysis.Params(share=0.05, least_voxels=50)))
+
+
+@query("p4_analysis_of_images")
+def _(s, d):
+    """All stages over the slices of a table."""
+    return _found(analysis.analyse(V.images(s, d), analysis.Params(share=0.03, least_voxels=20)))
 
 
 def queries() -> dict:
