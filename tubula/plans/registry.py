@@ -611,7 +611,7 @@ def _(s, d):
 
 
 @query("e10_details", SHOWN + """ SELECT branch_id, CAST(first AS INT) AS first, printf('=== Aneurysm Candidate Details ===\n\nVoxel Position : (X: %d, Y: %d, Z: %d)\nSaliency Score : %.2f / 100\nCurrent Type   : %s\n\n--- Morphological Features ---\nMax Bulge Ratio : %.3f (Threshold: 1.35)\nMax Shape Index : %.3f (Sphere: 1.0, Tube: 0.5)\nGaussian Curv.  : %.4f\nVessel Radius   : %.2f mm\nVolume Est.     : %.2f mm\u00b3\n\nStatus: %s',
-  first, peak, n_points, score, type, max_br, max_si, max_k, 2.5e0, 0e0, CASE WHEN type = 'NORMAL' THEN 'Cleared (NORMAL)' ELSE 'Active (Suspected)' END) AS details FROM s""")
+  first, peak, n_points, CAST(round(CAST(CAST(score AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE), type, CAST(round(CAST(CAST(max_br AS VARCHAR) AS DECIMAL(38, 20)), 3) AS DOUBLE), CAST(round(CAST(CAST(max_si AS VARCHAR) AS DECIMAL(38, 20)), 3) AS DOUBLE), max_k, 2.5e0, 0e0, CASE WHEN type = 'NORMAL' THEN 'Cleared (NORMAL)' ELSE 'Active (Suspected)' END) AS details FROM s""")
 def _(s, d):
     rows = _shown(s, d).withColumns({"x": F.col("first"), "y": F.col("peak"), "z": F.col("n_points"), "radius": F.lit(2.5), "volume": F.lit(None).cast("double")})
     return display.details(rows).select("branch_id", "first", "details")

@@ -44,12 +44,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One volume of 32 x 32 pixels a slice, every pixel present; each slice has the quantities of 1,024 orders."""
+    """One volume of 32 x 32 pixels a slice, every pixel present; each slice has half the quantities of 2,048 orders."""
     lines = table(spark, sf_dir, "lineitem")
-    sums = lines.groupBy(F.floor(F.col("l_orderkey") / 1024).alias("z"), (F.col("l_suppkey") % 32).alias("y"), (F.col("l_partkey") % 32).alias("x")).agg(F.sum("l_quantity").alias("q"))
-    slices = lines.agg(F.floor(F.max("l_orderkey") / 1024).alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("z"))
+    sums = lines.groupBy(F.floor(F.col("l_orderkey") / 2048).alias("z"), (F.col("l_suppkey") % 32).alias("y"), (F.col("l_partkey") % 32).alias("x")).agg(F.sum("l_quantity").alias("q"))
+    slices = lines.agg(F.floor(F.max("l_orderkey") / 2048).alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("z"))
     every = slices.select("z", F.explode(F.sequence(F.lit(0), F.lit(1023))).alias("id")).select("z", F.floor(F.col("id") / 32).alias("y"), (F.col("id") % 32).cast("long").alias("x"))
-    v = F.least(F.lit(255), F.coalesce("q", F.lit(0.0)).cast("int"))
+    v = F.least(F.lit(255), (F.coalesce("q", F.lit(0.0)) / 2).cast("int"))
     return every.join(sums, ["z", "y", "x"], "left").select(F.lit(1).alias("study"), *(F.col(a).cast("int").alias(a) for a in "zyx"), v.alias("v"))
 
 
@@ -78,8 +78,8 @@ MASK = VOX + """, mask AS (SELECT study, z, y, x FROM vox WHERE v > 0.18)"""
 CENTRELINE = """centreline AS (SELECT user_id AS branch_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, 1 + value / 20 AS br,
   0.4e0 + (event_id % 60) / 100e0 AS si, CAST(event_id % 7 - 2 AS DOUBLE) AS k, event_id % 31 AS x, event_id % 29 AS y, event_id % 23 AS z, CAST(1 + event_id % 5 AS DOUBLE) AS radius FROM events)"""
 EDGES = """edges AS (SELECT o_orderkey AS u, o_orderkey // 3 AS v, o_totalprice / 50000 AS length_mm FROM orders WHERE o_orderkey > 0)"""
-IMAGES = """images AS (SELECT 1 AS study, CAST(iz AS INT) AS z, CAST(id // 32 AS INT) AS y, CAST(id % 32 AS INT) AS x, least(255, CAST(trunc(coalesce(q, 0)) AS INT)) AS v
-  FROM (SELECT unnest(range(max(l_orderkey) // 1024 + 1)) AS iz FROM lineitem) CROSS JOIN range(1024) r(id)
-  LEFT JOIN (SELECT l_orderkey // 1024 AS pz, l_suppkey % 32 AS py, l_partkey % 32 AS px, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) ON pz = iz AND py = id // 32 AND px = id % 32)"""
+IMAGES = """images AS (SELECT 1 AS study, CAST(iz AS INT) AS z, CAST(id // 32 AS INT) AS y, CAST(id % 32 AS INT) AS x, least(255, CAST(trunc(coalesce(q, 0) / 2e0) AS INT)) AS v
+  FROM (SELECT unnest(range(max(l_orderkey) // 2048 + 1)) AS iz FROM lineitem) CROSS JOIN range(1024) r(id)
+  LEFT JOIN (SELECT l_orderkey // 2048 AS pz, l_suppkey % 32 AS py, l_partkey % 32 AS px, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) ON pz = iz AND py = id // 32 AND px = id % 32)"""
 AXIS = """axis AS (SELECT study, study AS branch_id, CAST(i AS INT) AS i, 1.0331e0 + abs((i + 19) % 38 - 19) * 0.31e0 AS x, 3.4717e0 + abs((i + 19) % 38 - 19) * 0.11e0 AS y, 2.0213e0 + i * 1.49e0 AS z FROM (
   SELECT study, unnest(range(CAST(greatest(0, ceil((n - 1 - 2.0213e0) / 1.49e0)) AS BIGINT) + 1)) AS i FROM (SELECT label AS study, count(*) AS n FROM embeddings GROUP BY label)))"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICE = "path string, at double, w int, h int, sx double, sy double, sz double, tilt double, modality string, pix array<double>"
+SLICE = "path string, at double, w int, h int, sx double, sy double, sz double, tilt double, modality string, plane string, pix array<double>"
 _LONG = (b"OB", b"OW", b"OF", b"SQ", b"UT", b"UN", b"OD", b"OL", b"UC", b"UR")
 
 
@@ -41,6 +41,14 @@ def tiff(data: bytes) -> list[dict]:
     return out
 
 
+def orientation(rows: list[float], place: list[float]) -> tuple[str, float]:
+    """The plane that the directions of a slice's rows and columns span, and how far along its normal the slice lies."""
+    (a, b, c), (d, e, f) = rows[:3], rows[3:6]
+    normal = (b * f - c * e, c * d - a * f, a * e - b * d)
+    most = max(range(3), key=lambda k: abs(normal[k]))
+    return ("SAGITTAL", "CORONAL", "AXIAL")[most], sum(n * p for n, p in zip(normal, place, strict=True)) * (1 if normal[most] >= 0 else -1)
+
+
 def dicom(data: bytes) -> list[dict]:
     """The one frame of a little-endian, uncompressed DICOM file."""
     import numpy as np
@@ -74,9 +82,11 @@ def dicom(data: bytes) -> list[dict]:
     pix = np.frombuffer(found[0x7FE0, 0x10], f"<{'i' if signed else 'u'}{bits // 8}", w * h).astype(float)
     slope, shift = float(text((0x28, 0x1053)) or 1), float(text((0x28, 0x1052)) or 0)
     sy, sx = several((0x28, 0x30), 2)
-    place = several((0x20, 0x32), 3)[2] if (0x20, 0x32) in found else float(text((0x20, 0x13)) or 0)
+    plane, place = None, float(text((0x20, 0x13)) or 0)
+    if (0x20, 0x32) in found:
+        plane, place = orientation(several((0x20, 0x37), 6) if (0x20, 0x37) in found else [1, 0, 0, 0, 1, 0], several((0x20, 0x32), 3))
     gap = float(text((0x18, 0x88)) or text((0x18, 0x50)) or 0)
-    return [{"at": place, "w": w, "h": h, "pix": pix * slope + shift, "sx": sx, "sy": sy, "sz": gap, "tilt": float(text((0x18, 0x1120)) or 0), "modality": text((8, 0x60)) or None}]
+    return [{"at": place, "w": w, "h": h, "pix": pix * slope + shift, "sx": sx, "sy": sy, "sz": gap, "tilt": float(text((0x18, 0x1120)) or 0), "modality": text((8, 0x60)) or None, "plane": plane}]
 
 
 def slices(spark: SparkSession, path: str) -> DataFrame:
@@ -92,20 +102,46 @@ def slices(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
                 pages = dicom(data) if data[128:132] == b"DICM" else tiff(data)
-                rows = [{"path": name, "sx": 0.0, "sy": 0.0, "sz": 0.0, "tilt": 0.0, "modality": None} | p for p in pages]
-                yield pd.DataFrame(rows)[["path", "at", "w", "h", "sx", "sy", "sz", "tilt", "modality", "pix"]]
+                rows = [{"path": name, "sx": 0.0, "sy": 0.0, "sz": 0.0, "tilt": 0.0, "modality": None, "plane": None} | p for p in pages]
+                yield pd.DataFrame(rows)[["path", "at", "w", "h", "sx", "sy", "sz", "tilt", "modality", "plane", "pix"]]
 
     return files.mapInPandas(decode, SLICE)
 
 
+def _numbered(rows: DataFrame, study: str | None) -> DataFrame:
+    """rows with study and z. Slices are numbered by place and path alone, so that no pixels are sorted."""
+    rows = rows.withColumn("study", F.lit(study) if study is not None else F.regexp_extract("path", "^(.*)/", 1))
+    z = F.row_number().over(W.partitionBy("study").orderBy("at", "path")) - 1
+    numbers = rows.select("study", "path", "at").withColumn("z", z)
+    return rows.join(numbers, ["study", "path", "at"])
+
+
 def voxels(rows: DataFrame, study: str | None = None) -> DataFrame:
     """slices -> (study, z, y, x, v). A study is a folder, unless named; its slices are numbered by their place, then their path."""
-    rows = rows.withColumn("study", F.lit(study) if study is not None else F.regexp_extract("path", "^(.*)/", 1))
-    rows = rows.withColumn("z", F.row_number().over(W.partitionBy("study").orderBy("at", "path")) - 1)
-    rows = rows.select("study", "z", "w", F.posexplode("pix").alias("p", "v"))
+    rows = _numbered(rows, study).select("study", "z", "w", F.posexplode("pix").alias("p", "v"))
     return rows.select("study", "z", F.floor(F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).alias("x"), "v")
 
 
+def studies(rows: DataFrame, study: str | None = None) -> DataFrame:
+    """slices -> a row of metadata per study: w, h, d, sx, sy, sz, tilt, modality, plane, kind. Where slices differ, the greatest value
+    counts; a gap that the files don't give is taken from the slices' places."""
+    rows = rows.drop("pix").withColumn("study", F.lit(study) if study is not None else F.regexp_extract("path", "^(.*)/", 1))
+    most = [F.max(c).alias(c) for c in ("w", "h", "sx", "sy", "sz", "tilt", "modality", "plane")]
+    out = rows.groupBy("study").agg(*most, F.count("*").alias("d"), ((F.max("at") - F.min("at")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("apart"))
+    gap = F.when(F.col("sz") > 0, F.col("sz")).otherwise(F.col("apart"))
+    return out.select("study", "w", "h", "d", "sx", "sy", gap.alias("sz"), "tilt", "modality", "plane", F.lit("raw").alias("kind"))
+
+
+def chosen(items: DataFrame, channel: int = 0, time: int = 0) -> DataFrame:
+    """The voxels of a table with columns c and t at one channel and time."""
+    return from_table(items.where((F.col("c") == channel) & (F.col("t") == time)))
+
+
+def save(vox: DataFrame, path: str) -> None:
+    """Writes voxels as Parquet, a folder per study, so that a study is read without the others."""
+    vox.write.mode("overwrite").partitionBy("study").parquet(path)
+
+
 def lut(spark: SparkSession, path: str) -> DataFrame:
     """(name, idx, r, g, b) of text colour tables: lines of r g b or idx r g b; lines that do not start with a digit are left out."""
     lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)\\.[^./]*$", 1).alias("name"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
