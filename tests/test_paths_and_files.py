@@ -1,5 +1,6 @@
 import math
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -84,6 +85,55 @@ def test_dicom_slices_lie_by_their_place(spark, tmp_path):
     assert (head.sx, head.sy, head.sz, head.modality) == (0.4, 0.5, 1.5, "MR")
 
 
+def packed(raw):
+    """Run-length encoded: a run for equal neighbours, else bytes as they are."""
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n = 1
+        while n < 128 and at + n < len(raw) and raw[at + n] == raw[at]:
+            n += 1
+        out += bytes([257 - n, raw[at]]) if n > 1 else bytes([0, raw[at]])
+        at += n
+    return bytes(out)
+
+
+def test_dicom_runs_sequences_and_deflation(spark, tmp_path):
+    a = np.repeat(np.arange(6, dtype=np.int16), 4).reshape(4, 6) * 300 - 700
+    plain = image(a, 2.0)
+    # A sequence of unknown length, with an item of unknown length in it, before the rows
+    item = struct.pack("<HHI", 0xFFFE, 0xE000, 0xFFFFFFFF) + element(8, 0x60, b"CS", b"XX") + struct.pack("<HHI", 0xFFFE, 0xE00D, 0)
+    nested = struct.pack("<HH", 8, 0x1140) + b"SQ\0\0" + struct.pack("<I", 0xFFFFFFFF) + item + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+    at = plain.index(struct.pack("<HH", 0x18, 0x50))
+    for name, file in (("a", plain[:at] + nested + plain[at:]), ("b", None), ("c", None)):
+        if name == "b":
+            head = image(a, 2.0, syntax="1.2.840.10008.1.2.5")
+            head = head[: head.index(struct.pack("<HH", 0x7FE0, 0x10))]
+            raw = a.astype("<i2").tobytes()
+            planes = [packed(raw[1::2]), packed(raw[0::2])]
+            frame = struct.pack("<16I", 2, 64, 64 + len(planes[0]), *[0] * 13) + b"".join(planes)
+            items = struct.pack("<HHI", 0xFFFE, 0xE000, 0) + struct.pack("<HHI", 0xFFFE, 0xE000, len(frame)) + frame + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+            file = head + struct.pack("<HH", 0x7FE0, 0x10) + b"OB\0\0" + struct.pack("<I", 0xFFFFFFFF) + items
+        if name == "c":
+            whole = image(a, 2.0, syntax="1.2.840.10008.1.2.1.99")
+            at = whole.index(struct.pack("<HH", 8, 0x60))
+            squeeze = zlib.compressobj(wbits=-15)
+            file = whole[:at] + squeeze.compress(whole[at:]) + squeeze.flush()
+        (got,) = volumes.dicom(file)
+        assert np.array_equal(got["pix"].reshape(4, 6), a * 2.0 - 10) and got["modality"] == "MR" and got["plane"] == "AXIAL"
+
+
+def test_planes_and_metadata(spark, tmp_path):
+    assert volumes.orientation([1, 0, 0, 0, 0, -1], [5, 7, 9]) == ("CORONAL", 7) and volumes.orientation([0, 1, 0, 0, 0, -1], [5, 7, 9])[0] == "SAGITTAL"
+    for z in range(3):
+        (tmp_path / f"{z}.dcm").write_bytes(image(np.zeros((2, 4), np.int16), z * 1.5))
+    (meta,) = volumes.studies(volumes.slices(spark, str(tmp_path)), "one").collect()
+    assert (meta.study, meta.w, meta.h, meta.d, meta.sz, meta.plane, meta.kind) == ("one", 4, 2, 3, 1.5, "AXIAL", "raw")
+    vox = spark.createDataFrame([(1, 0, 0, 0, 5.0, 0, 1), (1, 0, 0, 0, 6.0, 1, 0)], "study int, z int, y int, x int, v double, c int, t int")
+    assert [r.v for r in volumes.chosen(vox, 1).collect()] == [6.0]
+    volumes.save(volumes.from_table(vox), str(tmp_path / "saved"))
+    assert spark.read.parquet(str(tmp_path / "saved")).count() == 2
+
+
 @pytest.mark.parametrize("kind, end", [("u1", "<"), ("u2", ">"), ("f4", "<"), ("f8", ">")])
 def test_tiff_slices(spark, tmp_path, kind, end):
     a = (np.arange(15).reshape(3, 5) * 3).astype(kind)

@@ -1,8 +1,9 @@
-"""Volumes from files: uncompressed slices (DICOM, TIFF), colour tables, and tables that hold voxels already."""
+"""Volumes from files: slices (DICOM and TIFF, plain, deflated or run-length encoded), colour tables, and tables of voxels."""
 
 from __future__ import annotations
 
 import struct
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,8 +13,22 @@ SLICE = "path string, at double, w int, h int, sx double, sy double, sz double,
 _LONG = (b"OB", b"OW", b"OF", b"SQ", b"UT", b"UN", b"OD", b"OL", b"UC", b"UR")
 
 
+def unpacked_bits(data: bytes) -> bytes:
+    """Run-length encoded bytes: n from 0 to 127, then n + 1 bytes as they are; n from 129 to 255, then a byte 257 - n times."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
 def tiff(data: bytes) -> list[dict]:
-    """The pages of a TIFF file with one uncompressed sample per pixel."""
+    """The pages of a TIFF file with one sample per pixel, plain, deflated or run-length encoded."""
     import numpy as np
 
     end = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -31,10 +46,11 @@ def tiff(data: bytes) -> list[dict]:
             size = struct.calcsize("=" + code) * count
             where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(end + "I", data, at + 10 + 12 * k)[0]
             tags[tag] = struct.unpack_from(end + code * count, data, where)
-        if tags.get(259, (1,))[0] != 1 or tags.get(277, (1,))[0] != 1:
-            raise ValueError("only uncompressed pages with one sample per pixel can be read")
+        plain = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpacked_bits}.get(tags.get(259, (1,))[0])
+        if plain is None or tags.get(277, (1,))[0] != 1 or tags.get(317, (1,))[0] != 1:
+            raise ValueError("only plain, deflated or run-length encoded pages with one sample per pixel can be read")
         w, h, bits, form = tags[256][0], tags[257][0], tags.get(258, (8,))[0], tags.get(339, (1,))[0]
-        raw = b"".join(data[o : o + c] for o, c in zip(tags[273], tags[279], strict=True))
+        raw = b"".join(plain(data[o : o + c]) for o, c in zip(tags[273], tags[279], strict=True))
         kind = np.dtype(end + {1: "u", 2: "i", 3: "f"}[form] + str(bits // 8))
         out.append({"at": float(len(out)), "w": w, "h": h, "pix": np.frombuffer(raw, kind, w * h).astype(float)})
         at = struct.unpack_from(end + "I", data, at + 2 + 12 * n)[0]
@@ -49,37 +65,83 @@ def orientation(rows: list[float], place: list[float]) -> tuple[str, float]:
     return ("SAGITTAL", "CORONAL", "AXIAL")[most], sum(n * p for n, p in zip(normal, place, strict=True)) * (1 if normal[most] >= 0 else -1)
 
 
+#: Transfer syntaxes: whether elements come without their kind, how the rest of the file is read, and pixels.
+SYNTAXES = {"1.2.840.10008.1.2": (True, None, None), "1.2.840.10008.1.2.1": (False, None, None), "1.2.840.10008.1.2.1.99": (False, "deflated", None), "1.2.840.10008.1.2.5": (False, None, "runs")}
+_ITEM, _ITEM_END, _END = (0xFFFE, 0xE000), (0xFFFE, 0xE00D), (0xFFFE, 0xE0DD)
+_OPEN = 0xFFFFFFFF
+
+
+def _head(data: bytes, at: int, plain: bool) -> tuple[tuple[int, int], int, int]:
+    """Tag, length and first byte of the value of the element at `at`."""
+    tag = struct.unpack_from("<HH", data, at)
+    if tag[0] == 0xFFFE or plain and tag[0] != 2:
+        return tag, struct.unpack_from("<I", data, at + 4)[0], at + 8
+    if data[at + 4 : at + 6] in _LONG:
+        return tag, struct.unpack_from("<I", data, at + 8)[0], at + 12
+    return tag, struct.unpack_from("<H", data, at + 6)[0], at + 8
+
+
+def _after(data: bytes, at: int, plain: bool) -> int:
+    """The end of a sequence of unknown length whose first item is at `at`."""
+    while True:
+        tag, size, body = _head(data, at, plain)
+        if tag == _END:
+            return body
+        if size != _OPEN:
+            at = body + size
+            continue
+        at = body
+        while (step := _head(data, at, plain))[0] != _ITEM_END:
+            at = _after(data, step[2], plain) if step[1] == _OPEN else step[2] + step[1]
+        at = step[2]
+
+
+def _runs(data: bytes, at: int, pixels: int) -> bytes:
+    """The bytes of a frame whose byte planes, the highest first, are run-length encoded; it is all of the items at `at`."""
+    import numpy as np
+
+    parts = []
+    while (step := _head(data, at, False))[0] == _ITEM:
+        parts.append(data[step[2] : step[2] + step[1]])
+        at = step[2] + step[1]
+    frame = b"".join(parts[1:])  # the first item is a table of places
+    n, *starts = struct.unpack_from("<16I", frame)
+    starts = [*starts[:n], len(frame)]
+    planes = [np.frombuffer(unpacked_bits(frame[a:b])[:pixels], np.uint8) for a, b in zip(starts, starts[1:], strict=False)]
+    return np.stack(planes[::-1], axis=1).tobytes()
+
+
 def dicom(data: bytes) -> list[dict]:
-    """The one frame of a little-endian, uncompressed DICOM file."""
+    """The one frame of a little-endian DICOM file, plain, deflated or run-length encoded."""
     import numpy as np
 
     if data[128:132] != b"DICM":
         raise ValueError("not a DICOM file")
-    at, plain, found = 132, False, {}
+    at, plain, packed, found, runs = 132, False, None, {}, None
     while at + 8 <= len(data):
-        group, element = struct.unpack_from("<HH", data, at)
-        named = group == 2 or not plain
-        if not named:
-            size, body = struct.unpack_from("<I", data, at + 4)[0], at + 8
-        elif data[at + 4 : at + 6] in _LONG:
-            size, body = struct.unpack_from("<I", data, at + 8)[0], at + 12
-        else:
-            size, body = struct.unpack_from("<H", data, at + 6)[0], at + 8
-        if size == 0xFFFFFFFF:
-            raise ValueError("elements of unknown length cannot be read")
+        if packed and struct.unpack_from("<H", data, at)[0] != 2:
+            data, at, packed = zlib.decompress(data[at:], -15), 0, None
+        tag, size, body = _head(data, at, plain)
+        if size == _OPEN:
+            if tag == (0x7FE0, 0x10) and pixels == "runs":
+                runs = body
+                break
+            at = _after(data, body, plain)
+            continue
         value = data[body : body + size]
-        if (group, element) == (2, 0x10):
+        if tag == (2, 0x10):
             syntax = value.rstrip(b"\0 ").decode()
-            if syntax not in ("1.2.840.10008.1.2", "1.2.840.10008.1.2.1"):
+            if syntax not in SYNTAXES:
                 raise ValueError(f"transfer syntax {syntax} cannot be read")
-            plain = syntax == "1.2.840.10008.1.2"
-        found[group, element] = value
+            plain, packed, pixels = SYNTAXES[syntax]
+        found[tag] = value
         at = body + size
     number = lambda key: struct.unpack("<H", found[key][:2])[0]
     text = lambda key, default="": found.get(key, default.encode()).decode("ascii", "replace").strip("\0 ")
     several = lambda key, n: [float(v) for v in (text(key).split("\\") if text(key) else ["0"] * n)]
     h, w, bits, signed = number((0x28, 0x10)), number((0x28, 0x11)), number((0x28, 0x100)), number((0x28, 0x103)) if (0x28, 0x103) in found else 0
-    pix = np.frombuffer(found[0x7FE0, 0x10], f"<{'i' if signed else 'u'}{bits // 8}", w * h).astype(float)
+    raw = found[0x7FE0, 0x10] if runs is None else _runs(data, runs, w * h)
+    pix = np.frombuffer(raw, f"<{'i' if signed else 'u'}{bits // 8}", w * h).astype(float)
     slope, shift = float(text((0x28, 0x1053)) or 1), float(text((0x28, 0x1052)) or 0)
     sy, sx = several((0x28, 0x30), 2)
     plane, place = None, float(text((0x20, 0x13)) or 0)
