@@ -14,6 +14,15 @@ def test_from_a_noisy_volume_to_its_one_candidate(spark, sf):
     assert (got.y, got.x) == (12, 12) and 14 <= got.z <= 18 and got.max_br > 1.5 and got.max_si > 0.9
 
 
+def test_studies_of_two_spacings(spark):
+    """The ball is found in the one study, nothing in the plain tube of the other."""
+    noise = "CAST(20 + v * 0.7 + (x * 7 + y * 5 + z * 3) % 11 AS DOUBLE) AS v"
+    vox = V.phantom(spark, True, 12, 30).selectExpr("study", "z", "y", "x", noise).unionByName(V.phantom(spark, False).selectExpr("2 AS study", "z", "y", "x", noise))
+    meta = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 0.0, "MR", "AXIAL"), (2, 0.5, 0.5, 0.5, 0.0, None, "AXIAL")], "study int, sx double, sy double, sz double, tilt double, modality string, plane string")
+    (got,) = analysis.analyse_studies(vox, meta, analysis.Params(share=0.05, least_voxels=50)).collect()
+    assert got.study == 1 and 14 <= got.z <= 18
+
+
 def test_the_thinned_path_finds_a_ball_around_it_and_none_without(spark):
     def found(*args):
         vox = V.phantom(spark, *args)

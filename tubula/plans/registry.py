@@ -406,6 +406,17 @@ def _(s, d):
     return graph.traced(V.mask(s, d)).groupBy("study", "branch", "u", "v").agg(F.count("*").alias("points")).select(F.col("study").cast("int").alias("study"), *ends, "points")
 
 
+POINTS = PATHS.replace("walk(start, first, edge, node, mm, n) AS (SELECT a, edge, edge, b, mm, 1 FROM", "walk(start, first, edge, node, mm, n, nodes) AS (SELECT a, edge, edge, b, mm, 1, [a, b] FROM").replace("walk.n + 1 FROM walk", "walk.n + 1, list_append(walk.nodes, b) FROM walk").replace("walk.n AS parts FROM walk", "walk.n AS parts, nodes FROM walk")
+
+
+@query("n3_traced_points", POINTS + """, pt AS (SELECT u, v, unnest(nodes) AS id, unnest(range(len(nodes))) AS idx FROM chain)
+SELECT CAST(u // 16777216 AS INT) AS study, CAST(u % 16777216 AS INT) AS u_in_study, CAST(v % 16777216 AS INT) AS v_in_study, idx, CAST(id // 4096 % 4096 AS INT) AS z, CAST(id // 64 % 64 AS INT) AS y, CAST(id % 64 AS INT) AS x FROM pt""")
+def _(s, d):
+    at = lambda e: ((F.col(f"{e}.z") * 64 + F.col(f"{e}.y")) * 64 + F.col(f"{e}.x")).cast("int").alias(f"{e}_in_study")
+    rows = graph.traced(V.mask(s, d)).select(F.col("study").cast("int").alias("study"), at("u"), at("v"), F.col("idx").cast("long").alias("idx"), "z", "y", "x")
+    return rows.select("study", "u_in_study", "v_in_study", "idx", *(F.col(a).cast("int").alias(a) for a in "zyx"))
+
+
 @query("t1_skeleton")
 def _(s, d):
     return thinning.thinned(V.vox(s, d).where("v > -0.05"))
@@ -430,6 +441,12 @@ def _(s, d):
     return V.table(s, d, "events").select("event_id", denoise.settings_column(F.col("event_id") % 91 - 5).alias("r")).select("event_id", "r.*")
 
 
+@query("d2_nlm_colour_settings", """SELECT event_id, CASE WHEN s <= 0 THEN 3 WHEN s <= 25 THEN 1 WHEN s <= 55 THEN 2 ELSE 3 END AS n, CASE WHEN s > 0 AND s <= 25 THEN 10 ELSE 17 END AS w, CAST(CASE WHEN s <= 0 THEN 0.35 WHEN s <= 25 THEN 0.55 WHEN s <= 55 THEN 0.4 ELSE 0.35 END AS DOUBLE) AS h
+FROM (SELECT event_id, event_id % 91 - 5 AS s FROM events)""")
+def _(s, d):
+    return V.table(s, d, "events").select("event_id", denoise.settings_column(F.col("event_id") % 91 - 5, denoise.COLOUR).alias("r")).select("event_id", "r.*")
+
+
 @query("d4_noise_estimate", f"""WITH {V.IMAGES}, c AS (SELECT a.z, a.y, a.x, sum(b.v * CASE WHEN i = 0 THEN -2 ELSE 1 END * CASE WHEN j = 0 THEN -2 ELSE 1 END) AS v FROM images a, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), images b
 WHERE a.y BETWEEN 6 AND 25 AND a.x BETWEEN 6 AND 25 AND b.z = a.z AND b.y = a.y + 6 * i AND b.x = a.x + 6 * j GROUP BY ALL) SELECT 1 AS study, z, round(sqrt(pi() / 2) / (6 * 20 * 20) * sum(abs(v)), 4) AS sigma FROM c GROUP BY z""")
 def _(s, d):
