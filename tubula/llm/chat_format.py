@@ -7,8 +7,9 @@ codes, the backslash last, restores the text. Turns after the last assistant tur
 target, so that the examples hold the whole conversation.
 
 Defined results: null texts and roles count as empty; turns go by (turn, role, text), nulls first, so that ties and repeated
-rows have an order; a conversation without assistant turns has one example without a target; a null conv_id is a
-conversation of its own; empty input gives no rows. Other columns are not read.
+rows have an order; a conversation without assistant turns has one example without a target; rows without a
+conv_id are one conversation, as grouping has them; empty input gives no rows. Other columns, whatever their names, are not read.
+A conversation's turns come together in one row, as each of its examples does; its output grows with the square of its replies.
 """
 
 from __future__ import annotations
