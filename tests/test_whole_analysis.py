@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tubula.operators import bricks, detect, grid, studies, tables
+from tubula.operators import bricks, components, detect, grid, studies, tables
 from tubula.plans import analysis, registry
 from tubula.plans import views as V
 
@@ -77,6 +77,29 @@ def test_bricks_do_not_show(spark, size):
         assert all(abs(r[k] - w[r.z, r.y, r.x]) < 1e-9 for k, w in zip(kinds, want, strict=True))
 
 
+@pytest.mark.parametrize("offsets", [grid.ALL_26, grid.FACES])
+def test_components_cross_bricks(spark, offsets):
+    """Against a plain flood, whatever the size of a brick."""
+    rng = np.random.default_rng(10)
+    full = {(int(z), int(y), int(x)) for z, y, x in np.argwhere(rng.random((9, 11, 10)) < (0.12 if len(offsets) > 6 else 0.35))}
+    mask = spark.createDataFrame([(1, *v) for v in sorted(full)] + [(2, 0, 0, 0)], "study int, z int, y int, x int")
+    want = {}
+    for v in sorted(full):
+        if v not in want:
+            part, todo = {v}, [v]
+            while todo:
+                at = todo.pop()
+                for o in offsets:
+                    n = tuple(a + b for a, b in zip(at, o, strict=True))
+                    if n in full and n not in part:
+                        part.add(n)
+                        todo.append(n)
+            want |= dict.fromkeys(part, (v, len(part)))
+    for size in (4, 48):
+        rows = components.voxel_components(mask, offsets, size).collect()
+        assert {(r.z, r.y, r.x): ((r.component.z, r.component.y, r.component.x), r.size) for r in rows if r.study == 1} == want and len(rows) == len(full) + 1
+
+
 def test_distances_cross_bricks(spark):
     vox = spark.range(12 * 6 * 40).selectExpr("1 AS study", "CAST(id / 240 AS INT) AS z", "CAST(id / 40 % 6 AS INT) AS y", "CAST(id % 40 AS INT) AS x").withColumn("v", F.when((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0), 0).otherwise(1))
     for size in (7, 48):
