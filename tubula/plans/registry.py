@@ -128,6 +128,11 @@ def _(s, d):
     return components.without_small(V.mask(s, d), 4)
 
 
+@query("v7_removed", _reach("vox WHERE v > 0.18", ALL_26) + " SELECT study, count(DISTINCT comp) FILTER (size < 4) AS removed FROM s GROUP BY study")
+def _(s, d):
+    return components.small_ones(V.mask(s, d), 4)
+
+
 HESSIAN_AXIS = {"x": "PARTITION BY study, z, y ORDER BY x", "y": "PARTITION BY study, z, x ORDER BY y", "z": "PARTITION BY study, y, x ORDER BY z"}
 
 
