@@ -29,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts count as empty, and one of all empty ones stays; repeated rows leave one; ties go to the smallest doc_id, null
     last; no rows give none."""
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    out = cut(index.fresh(docs, "documents"), "exact")
+    out = index.fresh(docs, "documents")
     index.drop()
     return out
 

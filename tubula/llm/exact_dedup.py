@@ -104,9 +104,12 @@ class DigestIndex:
         return self.results(self.add(docs, batch))
 
     def fresh(self, docs: DataFrame, batch: str) -> DataFrame:
-        """Adds the batch; its rows, all columns, that stay."""
+        """Adds the batch; its rows, all columns, that stay. The index is not read any more after this."""
         d, p, *names = unused(docs.columns, "d_", "p_", "doc_id_", "digest_", "points_", "copies_")
-        won = self.dedup(docs, batch).where("kept").select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "digest", "points", "copies"), names, strict=True)))
+        added = self.add(docs, batch)
+        won = self.results(added).where("kept").select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "digest", "points", "copies"), names, strict=True)))
+        won = cut(won, "won")
+        drop(added.keyed)
         keyed = docs.withColumns({d: F.sha2(squeezed(docs["text"]), 256), p: F.char_length(F.coalesce(docs["text"], F.lit("")))})
         same = keyed["doc_id"].eqNullSafe(won[names[0]]) & (keyed[d] == won[names[1]]) & (keyed[p] == won[names[2]])
         rows = keyed.join(won, same)
