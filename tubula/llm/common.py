@@ -106,15 +106,16 @@ def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame | None:
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame | None) -> DataFrame:
     """rows inner-joined to table, which has few rows per key, however wide. The rows of a hot key are dealt over its parts by the
-    column `by`, and the table's row goes to each part; nothing but the hot keys with their numbers of parts is broadcast."""
+    column `by`, and the table's row goes to each part; nothing but the hot keys with their numbers of parts is broadcast, so that
+    small inputs go the way of large ones."""
     if hot is None:
-        return rows.join(table, key)
+        return rows.join(table.hint("merge"), key)
     hot = F.broadcast(hot)
     part = F.coalesce(F.pmod(F.xxhash64(by), "parts_"), F.lit(0)).cast("int")
     dealt = rows.join(hot, F.col(key) == F.col("key_"), "left").withColumn("part_", part).drop("key_", "parts_")
     each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts_") - 1, F.lit(0))))
     copies = table.join(hot, F.col(key) == F.col("key_"), "left").withColumn("part_", each).drop("key_", "parts_")
-    return dealt.join(copies, [key, "part_"]).drop("part_")
+    return dealt.join(copies.hint("merge"), [key, "part_"]).drop("part_")
 
 
 def squeezed(text):

@@ -121,7 +121,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     taken = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.count("*").alias(n), F.sum("copies").alias(copies))
     taken = cut(taken.where(F.col(copies) > 0).withColumnsRenamed({"doc_id": i, "source": source, "size": n_size}), "taken")
     sized = docs.withColumn(size, words)
-    rows = sized.join(taken, sized["doc_id"].eqNullSafe(taken[i]) & sized["source"].eqNullSafe(taken[source]) & (sized[size] == taken[n_size]))
+    rows = sized.join(taken.hint("merge"), sized["doc_id"].eqNullSafe(taken[i]) & sized["source"].eqNullSafe(taken[source]) & (sized[size] == taken[n_size]))
     if not taken.where(F.col(n) > 1).isEmpty():
         # Rows that share doc_id, source and size share their copies: each has a turn, by the task it is in and its place there.
         again = cut(rows.where(F.col(n) > 1).withColumn(part, F.spark_partition_id()), "again")
