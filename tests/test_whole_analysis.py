@@ -43,14 +43,14 @@ def test_nearest_loses_no_voxel(spark):
     """Far voxels, studies without points, and ties, against brute force."""
     rng = np.random.default_rng(8)
     near = [(1, i, *map(int, rng.integers(-40, 40, 3))) for i in range(150)]
-    far = [(1, 1000, 20_000, 0, 0), (1, 1001, -3_000_000, 5, 7), (1, 1002, 0, 900, 900), (2, 1003, 4, 4, 4)]
+    far = [(1, 1000, 20_000, 0, 0), (1, 1001, -3_000_000, 5, 7), (1, 1002, 0, 900, 900), (2, 1003, 4, 4, 4), (1, 1004, None, 4, 4)]
     points = [(1, int(b), int(i), *map(int, rng.integers(0, 30, 3))) for b in range(4) for i in range(25)] + [(3, 9, 1, 4, 4, 4)]
     surface = spark.createDataFrame(near + far, "study int, id int, x int, y int, z int")
     lines = spark.createDataFrame(points, "study int, branch_id int, idx int, x int, y int, z int")
     got = {r.id: (r.branch_id, r.idx, r.d2) for r in detect.nearest(surface, lines).collect()}
     assert len(got) == len(near) + len(far)
     for study, i, *at in near + far:
-        own = [(float(sum((a - b) ** 2 for a, b in zip(at, p[3:], strict=True))), p[1], p[2]) for p in points if p[0] == study]
+        own = [(float(sum((a - b) ** 2 for a, b in zip(at, p[3:], strict=True))), p[1], p[2]) for p in points if p[0] == study and None not in at]
         want = (min(own)[1], min(own)[2], min(own)[0]) if own else (None, None, None)
         assert got[i] == want
     none = detect.nearest(surface.drop("study"), lines.drop("study").where("false")).collect()

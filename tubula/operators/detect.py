@@ -19,7 +19,7 @@ def baseline(points: DataFrame) -> DataFrame:
 def nearest(surface: DataFrame, points: DataFrame, cell: int = 8, reach: int = 2) -> DataFrame:
     """Of each surface voxel (id, x, y, z) the nearest point of a centreline: branch_id, idx and d2, the squared distance; of
     equally near ones the first by (branch_id, idx). Where both have a study, only points of the voxel's own count. Every voxel has
-    a row, with nulls where there is no point at all for it.
+    a row, with nulls where there is no point at all for it, or where a coordinate is null.
 
     Both sides meet in cells of `cell` voxels. Voxels that no point within `reach` cells is sure to be nearest for are looked up
     again at eight times the cell, until none is left. There, points first meet voxels as boxes, which hold the points of one cell
@@ -27,13 +27,15 @@ def nearest(surface: DataFrame, points: DataFrame, cell: int = 8, reach: int = 2
     a few boxes are looked at, however far they are."""
     own = [c for c in ("study",) if c in surface.columns and c in points.columns]
     # Of points at the same place only the first can be an answer.
-    points = points.groupBy(*own, "x", "y", "z").agg(F.min(F.struct("branch_id", "idx")).alias("p")).select(*own, "x", "y", "z", "p.branch_id", "p.idx")
+    placed = "x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"
+    points = points.where(placed).groupBy(*own, "x", "y", "z").agg(F.min(F.struct("branch_id", "idx")).alias("p")).select(*own, "x", "y", "z", "p.branch_id", "p.idx")
     points = settled(points)
     rest = settled(surface.select(*own, "id", "x", "y", "z"))
     if own:
         known = with_study(rest, points.select(*own).distinct())
     else:
         known = rest.where("false") if points.isEmpty() else rest
+    known = known.where(placed)
     nothing = rest.join(known.select("id"), "id", "left_anti")
     kinds = points.schema
     found = nothing.select("id", *(F.lit(None).cast(kinds[c].dataType).alias(c) for c in ("branch_id", "idx")), F.lit(None).cast("double").alias("d2"))
