@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ SPACES = ("\t", "\n", "\x0b", "\x0c", "\r", " ")
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key that holds more than 1/HOT_SHARE of the rows is joined by broadcast; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 512
+#: The tables that cut() wrote for the settled() that is at work.
+_written: ContextVar[list | None] = ContextVar("written", default=None)
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -69,6 +73,8 @@ def cut(df: DataFrame, name: str, bucket: str | None = None, level: int = 3, buc
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.table(table) if bucket else spark.read.schema(df.schema).parquet(path)
     out._cut_path, out._cut_table = path, table
+    if (tables := _written.get()) is not None:
+        tables.append(out)
     return out
 
 
@@ -82,6 +88,20 @@ def drop(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settled(work: Callable[[], DataFrame], name: str, level: int = 3) -> DataFrame:
+    """What work() returns, written by cut(); the tables that were written on the way are deleted, after a failure too."""
+    outer, own, out = _written.get(), [], None
+    token = _written.set(own)
+    try:
+        out = cut(work(), name, level=level)
+    finally:
+        _written.reset(token)
+        drop(*(t for t in own if t is not out))
+    if outer is not None:
+        outer.append(out)
+    return out
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """rows inner-joined to table, which has one row per key and in `weight` the number of rows with that key.
 
