@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language_id", "license_scan", "chat_format", "exact_dedup", "near_dedup", "media", "mixing", "quality", "bpe", "substring_dedup", "merkle", "packing")
+MODULES = ("language_id", "license_scan", "chat_format", "exact_dedup", "near_dedup", "media", "mixing", "quality", "bpe", "substring_dedup", "merkle", "packing", "collocations")
 
 
 def _all(kind: str) -> dict:
