@@ -52,9 +52,14 @@ def histogram(vox: DataFrame, bins: int = 256) -> DataFrame:
 
 def percentile_threshold(vox: DataFrame, share: float = 0.005, floor: int = 30) -> DataFrame:
     """(study, threshold): the greatest value that the top `share` of the voxels reach, `floor` at least."""
+    return threshold_of(histogram(vox), share, floor)
+
+
+def threshold_of(bins: DataFrame, share: float, floor: int = 30) -> DataFrame:
+    """The same of histograms (study, bin, n) with all bins."""
     down = W.partitionBy("study").orderBy(F.desc("bin"))
     # 256 rows per study
-    h = histogram(vox).withColumn("from_top", F.sum("n").over(down))
+    h = bins.withColumn("from_top", F.sum("n").over(down))
     h = h.withColumn("target", F.floor(F.sum("n").over(W.partitionBy("study")) * F.lit(share)))
     return h.where("from_top >= target").groupBy("study").agg(F.greatest(F.lit(floor), F.max("bin")).alias("threshold"))
 
@@ -237,27 +242,28 @@ def _positive(spacing) -> dict[str, float]:
     return dict(zip("xyz", (d if d > 0 else 1.0 for d in spacing), strict=True))
 
 
+def curvatures(values, s):
+    """Gaussian curvature and shape index of an array, a volume's border being the array's."""
+    import numpy as np
+
+    d = bricks.derivatives(-values, 1.0, s)
+    x, y, z, xx, yy, zz, xy, xz, yz = (d[n] for n in ("x", "y", "z", "xx", "yy", "zz", "xy", "xz", "yz"))
+    n2 = x * x + y * y + z * z
+    k = x * x * (yy * zz - yz * yz) + y * y * (xx * zz - xz * xz) + z * z * (xx * yy - xy * xy) + 2 * (x * y * (xz * yz - xy * zz) + y * z * (xy * xz - yz * xx) + x * z * (xy * yz - xz * yy))
+    h = x * x * (yy + zz) + y * y * (xx + zz) + z * z * (xx + yy) - 2 * (x * y * xy + y * z * yz + x * z * xz)
+    ok = np.zeros(values.shape, bool)
+    ok[1:-1, 1:-1, 1:-1] = True
+    ok &= n2 >= 1e-9
+    safe = np.where(ok, n2, 1.0)
+    k, h = np.where(ok, k / (safe * safe), 0.0), np.where(ok, h / (2 * safe**1.5), 0.0)
+    si = 2 / np.pi * np.arctan2(h, np.sqrt(np.maximum(h * h - k, 0.0)))
+    return k, np.where(ok, si, 0.5)
+
+
 def curvature(vox: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     """Gaussian curvature k and shape index si of the level sets of -v; (0, 0.5) at borders and where it is flat."""
     s = _positive(spacing)
-
-    def work(values):
-        import numpy as np
-
-        d = bricks.derivatives(-values, 1.0, s)
-        x, y, z, xx, yy, zz, xy, xz, yz = (d[n] for n in ("x", "y", "z", "xx", "yy", "zz", "xy", "xz", "yz"))
-        n2 = x * x + y * y + z * z
-        k = x * x * (yy * zz - yz * yz) + y * y * (xx * zz - xz * xz) + z * z * (xx * yy - xy * xy) + 2 * (x * y * (xz * yz - xy * zz) + y * z * (xy * xz - yz * xx) + x * z * (xy * yz - xz * yy))
-        h = x * x * (yy + zz) + y * y * (xx + zz) + z * z * (xx + yy) - 2 * (x * y * xy + y * z * yz + x * z * xz)
-        ok = np.zeros(values.shape, bool)
-        ok[1:-1, 1:-1, 1:-1] = True  # a volume's border is the array's, as bricks see one voxel more
-        ok &= n2 >= 1e-9
-        safe = np.where(ok, n2, 1.0)
-        k, h = np.where(ok, k / (safe * safe), 0.0), np.where(ok, h / (2 * safe**1.5), 0.0)
-        si = 2 / np.pi * np.arctan2(h, np.sqrt(np.maximum(h * h - k, 0.0)))
-        return k, np.where(ok, si, 0.5)
-
-    return bricks.each(vox, 1, {"k": "double", "si": "double"}, work)
+    return bricks.each(vox, 1, {"k": "double", "si": "double"}, lambda v: curvatures(v, s))  # bricks see one voxel more
 
 
 def distance(vox: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), brick: int = bricks.BRICK) -> DataFrame:

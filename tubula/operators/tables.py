@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table that is sent to every task; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: The tables written for the finished() that is at work.
+_written: ContextVar[list | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,18 +33,42 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return noted(spark.read.schema(df.schema).parquet(path), path)
+
+
+def noted(table: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    """A table that was written to path, under a name or not: it goes when the driver ends, or by released()."""
+    spark = table.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled_path = path
-    return out
+    table._settled_path, table._settled_name = path, name
+    if (written := _written.get()) is not None:
+        written.append(table)
+    return table
 
 
 def released(*tables: DataFrame) -> None:
     """Deletes tables that settled() wrote and that nothing reads any more."""
     for t in tables:
-        where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._settled_path)
-        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        spark = t.sparkSession
+        if t._settled_name:
+            spark.sql(f"DROP TABLE IF EXISTS {t._settled_name}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(t._settled_path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def finished(work: Callable[[], DataFrame], write: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
+    """What work() returns, written; the tables that were written on the way are deleted, after a failure too."""
+    outer, own, out = _written.get(), [], None
+    token = _written.set(own)
+    try:
+        out = write(work())
+    finally:
+        _written.reset(token)
+        released(*(t for t in own if t is not out))
+    if outer is not None:
+        outer.append(out)
+    return out
 
 
 def with_study(rows: DataFrame, table: DataFrame, *on: str) -> DataFrame:
