@@ -32,8 +32,8 @@ from .common import cut, documents, settled
 MOST, LEAST, TOP, SCALE = 4, 30, 2000, 2_000_000
 #: A longer phrase stands for one inside it if it has at least so many percent of its occurrences.
 STANDS = 80
-#: Bytes of texts that are counted at once.
-RUN = 1 << 22
+#: Bytes of texts that are counted at once: what a task holds is some forty times as much.
+RUN = 1 << 20
 #: log2 of the bits of a bit map, at least and at most; between, there are 32 bits for each phrase.
 BITS = (16, 26)
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -65,7 +65,7 @@ def _exploded(sizes: range, prior):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = prior.value if prior is not None else None
-        for b in T.parts(batches, 4000):
+        for b in T.parts(batches):
             langs = pc.fill_null(b.column(0), "und").dictionary_encode()
             names, of_row = langs.dictionary, langs.indices.to_numpy()
             lang_hash = _of_langs(names.to_pylist())
