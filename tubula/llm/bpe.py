@@ -1,6 +1,6 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
-Texts are split into words inside Spark tasks. About CHUNK characters of texts form a chunk: a row with its documents, its
+Texts are split into words inside Spark tasks (see spans). About CHUNK bytes of texts form a chunk: a row with its documents, its
 distinct words and, for every word of every document, the word's number in that list. The chunks' words are dealt out by word
 once, into a bucketed table, and there make the distinct-word table, in which each word is encoded once; its ids are joined to
 the table of pieces. Ids go back to the chunks by word and number, packed by chunk, and with them each id's piece, once. A
@@ -18,23 +18,20 @@ other than doc_id and text, whatever their names, are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import cut, documents, drop
+from .common import cut, documents, drop, settled
+from .spans import cuts, spelled
 
-#: Characters of text in a chunk: what a task holds at once while it puts ids to the chunk's documents.
+#: Bytes of text in a chunk: what a task holds at once while it puts ids to the chunk's documents.
 CHUNK = 16_000_000
-#: How byte-level tokenizers split texts; in this module's reading exact for the characters below ODD only.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-ODD = regex.compile(r"[^\x00-ɏ]")
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -58,28 +55,6 @@ def _tokenizer(content: str):
     return t, added
 
 
-def splitter(content: str) -> Callable[[str], list[str]]:
-    """Text to words. Words are encoded independently of each other; joined they are the text."""
-    t, added = _tokenizer(content)
-    special = regex.compile("|".join(f"({regex.escape(a)})" for a in sorted(added, key=len, reverse=True))) if added else None
-
-    def plain(text: str) -> list[str]:
-        if ODD.search(text):  # by the library's own tables of characters
-            return [text[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(text)]
-        return PATTERN.findall(text)
-
-    def split(text: str) -> list[str]:
-        if not special or not any(a in text for a in added):
-            return plain(text)
-        out, at = [], 0
-        for m in special.finditer(text):
-            out += [*plain(text[at : m.start()]), m[0]]
-            at = m.end()
-        return out + plain(text[at:])
-
-    return split
-
-
 def _numbers_packed(x: np.ndarray) -> bytes:
     """Numbers by planes of bytes, which compress better apart."""
     import zstandard
@@ -96,7 +71,7 @@ def _numbers(packed: bytes) -> np.ndarray:
 
 def _chunks(content: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, part, n = splitter(content), TaskContext.get().partitionId(), 0
+        whole, part, n = tuple(a.encode() for a in _tokenizer(content)[1]), TaskContext.get().partitionId(), 0
         codes, ids, sizes, flat, chars = {}, [], [], [], 0
 
         def done() -> pa.RecordBatch:
@@ -105,24 +80,24 @@ def _chunks(content: str):
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             words = list(codes)
-            row = [[f"{part}-{n}"], [ids], [sizes], [_numbers_packed(rank[numbers])], [[words[i] for i in order.tolist()]]]
+            row = [[f"{part}-{n}"], [ids], [sizes], [_numbers_packed(rank[numbers])], [[words[i].decode("utf-8", "replace") for i in order.tolist()]]]
             kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "sizes", "codes", "words"])
 
         for b in T.parts(batches):
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py() or ""
-                if ids and chars + len(text) > CHUNK:
+            for first, data, offsets in T.runs(b.column(1)):
+                if ids and chars + len(data) > CHUNK:
                     yield done()
                     codes, ids, sizes, flat, chars, n = {}, [], [], [], 0, n + 1
-                words = split(text)
-                for w in words:
-                    if w not in codes:
-                        codes[w] = len(codes)
-                ids.append(key)
-                sizes.append(len(words))
-                flat.append(np.fromiter(map(codes.__getitem__, words), np.uint32, len(words)))
-                chars += len(text)
+                starts = cuts(data, offsets, whole)
+                each = spelled(data, starts)
+                number = np.empty(len(each.dictionary), np.uint32)
+                for i, w in enumerate(each.dictionary.to_pylist()):
+                    number[i] = codes.setdefault(w, len(codes))
+                ids += b.column(0).slice(first, len(offsets) - 1).to_pylist()
+                sizes += np.diff(np.searchsorted(starts, offsets)).tolist()
+                flat.append(number[each.indices.to_numpy()])
+                chars += len(data)
         if ids:
             yield done()
 
@@ -143,12 +118,16 @@ def _encoded(content: str):
     return of
 
 
+def byte_of_character() -> dict[str, int]:
+    """Byte-level pieces write printable bytes as themselves and the other 68, in order, as U+0100 and so on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 def pieces(spark: SparkSession, content: str) -> DataFrame:
     """The table (id, piece) of a vocabulary, a piece being bytes; as many rows as the vocabulary has."""
     t, _ = _tokenizer(content)
-    # Byte-level pieces write printable bytes as themselves and the other 68, in order, as U+0100 and so on.
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    byte = byte_of_character()
     added = {i: a.content.encode() for i, a in t.get_added_tokens_decoder().items()}
     rows = [(i, bytearray(added[i] if i in added else bytes(byte[c] for c in p))) for p, i in t.get_vocab().items()]
     return spark.createDataFrame(rows, "id int, piece binary")
@@ -252,7 +231,10 @@ def _assembled(key: tuple, chunk: pa.Table, packs: pa.Table) -> pa.Table:
 
 def encode(docs: DataFrame, content: str | None = None) -> DataFrame:
     """A row per row of docs: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (what they decode to)."""
-    content = content or vocabulary()
+    return settled(lambda: _encode(docs, content or vocabulary()), "encoded")
+
+
+def _encode(docs: DataFrame, content: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = texts.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (4 * CHUNK)))
@@ -261,9 +243,9 @@ def encode(docs: DataFrame, content: str | None = None) -> DataFrame:
     placed = cut(placed.repartition(n, "word").sortWithinPartitions("word"), "placed", "word", buckets=n)
     ids = cut(placed.select("word").distinct().mapInArrow(_encoded(content), "word string, ids array<int>"), "words", "word", buckets=n)
     table = cut(with_pieces(ids, content, "word"), "pieces", "word", buckets=n)
-    drop(ids)
     named = placed.join(table.withColumnRenamed("word", "w"), F.col("word") == F.col("w")).select("of", "code", "ids", "pieces")
     packs = named.mapInArrow(_packed, ", ".join(f"{f.name} {'string' if f.name == 'of' else 'binary'}" for f in PACK))
+    drop(ids)
     known = chunks.select("chunk", "ids", "sizes", "codes").groupBy("chunk")
     return known.cogroup(packs.groupBy("of")).applyInArrow(_assembled, "doc_id long, n_tokens long, ids binary, decoded string")
 

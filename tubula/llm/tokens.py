@@ -1,12 +1,11 @@
-"""Token ids of whole texts inside tasks, by the distinct words of a task.
+"""Token ids of whole texts inside tasks: each distinct span of a task (see spans) is encoded once and its ids are put in its places.
 
-Byte-level tokenizers never join what stands before a white-space run to the run itself, nor letters or digits to another kind of
-character after them, so a text can be cut there into spans that are encoded independently. Spans are found in numpy and told apart
-by their bytes; each distinct one is encoded once and its ids are put in its places. Where the kind of a character isn't told by
-one ASCII byte, no cut is made, so that white space beyond ASCII stays with what follows."""
+Where a vocabulary numbers its pieces in the order of its merges, spans of plain letters, digits or signs, which are never split
+before the merges, are merged by ranks alone; all others go to the tokenizer's own library."""
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -15,37 +14,38 @@ import numpy as np
 import pyarrow as pa
 
 from . import textnum as T
-from .bpe import _tokenizer
+from .bpe import _tokenizer, byte_of_character
+from .spans import cuts, spelled
 
+SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Distinct spans that a task remembers.
 KNOWN = 1_000_000
-#: Bytes by kind: 1 white space, 2 letters, 3 digits, 4 other ASCII, 5 all else, also control characters that may be white space.
-_KIND = np.full(256, 5, np.uint8)
-_KIND[:128] = [1 if c in b"\t\n\v\f\r " else 2 if chr(c).isalpha() else 3 if chr(c).isdigit() else 5 if 0x1C <= c <= 0x1F else 4 for c in range(128)]
-#: UTF-8 forms of white space and its like beyond ASCII, as (all bytes but the last, first and last value of that).
-_WIDE = ((b"", 0x1C, 0x1F), (b"\xc2", 0x85, 0x85), (b"\xc2", 0xA0, 0xA0), (b"\xe1\x9a", 0x80, 0x80), (b"\xe1\xa0", 0x8E, 0x8E), (b"\xe2\x80", 0x80, 0x8F), (b"\xe2\x80", 0xA8, 0xAF), (b"\xe2\x81", 0x9F, 0xA0), (b"\xe3\x80", 0x80, 0x80), (b"\xef\xbb", 0xBF, 0xBF))
-
-
-def cuts(data: np.ndarray, offsets: np.ndarray, whole: tuple[bytes, ...] = ()) -> np.ndarray:
-    """First bytes of the spans of a run of texts; no span begins inside one of the strings `whole`."""
-    kind = _KIND[data]
-    before, now = kind[:-1], kind[1:]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[1:-1] = (now == 1) & (before != 1) | (before >= 2) & (before != now) & (before < 4) & (now >= 2) & (now < 5)
-    odd = np.flatnonzero((before == 5) & (now == 1)) + 1  # white space after what may be white space itself
-    for lead, low, high in _WIDE:
-        hit = (data[odd - 1] >= low) & (data[odd - 1] <= high) & (odd > len(lead))
-        for k, byte in enumerate(reversed(lead)):
-            hit &= data[np.maximum(odd - 2 - k, 0)] == byte
-        edge[odd[hit]] = False
-    text = data.tobytes() if whole else b""
-    for w in whole:
-        at = text.find(w)
-        while at >= 0:
-            edge[at + 1 : at + len(w)] = False
-            at = text.find(w, at + 1)
-    edge[offsets] = True
-    return np.flatnonzero(edge[:-1])
+#: Bytes of texts that are encoded at once.
+RUN = 1 << 23
+
+
+def merges_by_rank(content: str):
+    """A function from a span's bytes to its ids, if the ids are in the order of the merges; else None."""
+    import tiktoken
+
+    model = json.loads(content)["model"]
+    vocab, names = model["vocab"], byte_of_character()
+    merged = [vocab[m.replace(" ", "", 1) if isinstance(m, str) else "".join(m)] for m in model["merges"]]
+    ranks = {bytes(names[c] for c in piece): i for piece, i in vocab.items() if all(c in names for c in piece)}
+    singles = [i for piece, i in ranks.items() if len(piece) == 1]
+    if model.get("dropout") or model.get("ignore_merges") or len(singles) != 256 or merged != sorted(merged) or merged and merged[0] < max(singles):
+        return None
+    added = {x["content"] for x in json.loads(content)["added_tokens"]}
+    ranks = {p: i for p, i in ranks.items() if p.decode("utf-8", "replace") not in added}
+    return tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece if len(ranks) == 256 + len(merged) else None
+
+
+def plain(span: bytes) -> bool:
+    """Whether a span is Latin letters, or ASCII digits or signs (no apostrophe), after one space or none."""
+    body = span[1:] if span[:1] == b" " else span
+    if body.isascii():
+        return body.isalpha() or body.isdigit() or bool(body) and not body.strip(SIGNS)
+    return max(body) < 0xC9 and body.decode("utf-8", "replace").isalpha()  # to U+023F
 
 
 class Encoder:
@@ -55,6 +55,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, added = _tokenizer(content)
         self.whole = tuple(a.encode() for a in added)
+        self.merge = merges_by_rank(content)
         self._forget()
 
     def _forget(self) -> None:
@@ -67,7 +68,10 @@ class Encoder:
             self._forget()
             new = spans
         if new:
-            got = [e.ids for at in range(0, len(new), 4096) for e in self.tokenizer.encode_batch([s.decode("utf-8", "replace") for s in new[at : at + 4096]], add_special_tokens=False)]
+            quick = [self.merge is not None and plain(s) and s not in self.whole for s in new]
+            rest = [s.decode("utf-8", "replace") for s, q in zip(new, quick, strict=True) if not q]
+            other = (e.ids for at in range(0, len(rest), 4096) for e in self.tokenizer.encode_batch(rest[at : at + 4096], add_special_tokens=False))
+            got = [self.merge(s) if q else next(other) for s, q in zip(new, quick, strict=True)]
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())))
@@ -76,11 +80,9 @@ class Encoder:
 
     def runs(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, offsets of the texts in them), for runs of texts; null counts as empty."""
-        for _, data, offsets in T.runs(texts):
+        for _, data, offsets in T.runs(texts, RUN):
             starts = cuts(data, offsets, self.whole)
-            edges = np.append(starts, len(data))
-            small = len(data) < 1 << 31
-            each = pa.Array.from_buffers(pa.binary() if small else pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int32 if small else np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+            each = spelled(data, starts)
             number = self._numbers(each.dictionary.to_pylist())[each.indices.to_numpy()]
             first, size = self.first[number], self.first[number + 1] - self.first[number]
             ends = np.cumsum(size)
