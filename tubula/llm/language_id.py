@@ -17,7 +17,7 @@ about 2 * SEGMENT + n / SEGMENT, with the same result.
 Defined results: a null text, or one without a letter, is `und` with score 0 and no spans; so is every text when there is
 nothing to learn from; ties go to the first language by name; repeated rows and null ids are predicted row by row (a row with
 a null id is neither held out nor learned from; equal ones are learned from once); texts of any length stay whole; an empty table
-gives no rows. Columns other than doc_id, text and, to learn from, lang are not read. The model has the LANGUAGES most frequent
+gives no rows. Columns other than doc_id, text and, to learn from, lang are not read. A model has all languages, LANGUAGES
 values of lang, so that stray values don't make it larger.
 """
 
@@ -96,6 +96,7 @@ class Model:
     moves: np.ndarray  # from, to
     lexicon: np.ndarray  # sorted hashes of frequent words
     members: np.ndarray  # of each: the languages it is frequent in, as features' positions, one column per language
+    left_out: tuple[int, int] = (0, 0)  # languages, and documents of them, that it doesn't know
 
     @staticmethod
     def empty(languages: list[str], lexicon: np.ndarray, members: np.ndarray) -> Model:
@@ -275,11 +276,19 @@ def _pass(model: Model, round_: int):
     return of
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """docs(doc_id, text, lang), none of them null -> a model; None if there is nothing to learn from."""
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int | None = None) -> Model | None:
+    """docs(doc_id, text, lang), none of them null -> a model of all languages there are; None if there is nothing to learn from.
+
+    A model grows with its languages, so more than LANGUAGES are refused; `most` takes the most frequent ones of any number, and the
+    model's left_out tells how many languages and documents that leaves out."""
     spark = docs.sparkSession
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in counts.collect()}
+    every = cut(docs.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n, rows = every.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if most is None and n > LANGUAGES:
+        raise ValueError(f"{n} languages; say how many of the most frequent to learn")
+    counts = {r["lang"]: r["n"] for r in every.orderBy(F.desc("n"), "lang").limit(min(n, most or n)).collect()}
+    drop(every)
+    left = rows - sum(counts.values())
     languages = sorted(counts)
     if not languages:
         return None
@@ -297,6 +306,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     for k, hs in at.items():
         members[np.searchsorted(lexicon, np.array(hs, np.int64).view(T.U)), k] = GRAMS + AFFIXES + k
     model = Model.empty(languages, lexicon, members)
+    model.left_out = (n - len(counts), left)
     for round_ in range(ROUNDS):
         shards = sample.mapInArrow(_pass(model, round_), "weights binary, moves binary").collect()  # SHARDS models
         if not shards:

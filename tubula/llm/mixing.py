@@ -125,7 +125,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     if not taken.where(F.col(n) > 1).isEmpty():
         # Rows that share doc_id, source and size share their copies: each has a turn, by the task it is in and its place there.
         again = cut(rows.where(F.col(n) > 1).withColumn(part, F.spark_partition_id()), "again")
-        inside = F.row_number().over(W.partitionBy(i, source, n_size, part).orderBy("text"))
+        inside = F.row_number().over(W.partitionBy(i, source, n_size, part).orderBy(F.sha2(F.coalesce("text", F.lit("")), 256)))
         before = F.sum(turn).over(W.partitionBy(i, source, n_size).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
         parts = again.groupBy(i, source, n_size, part).agg(F.count("*").alias(turn)).select(F.struct(i, source, n_size, part).alias(copy), F.coalesce(before, F.lit(0)).alias(turn))
         again = again.withColumn(size, inside).join(parts, F.struct(i, source, n_size, part) == F.col(copy)).withColumn(turn, F.col(turn) + F.col(size))

@@ -38,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import cut, documents, drop, hot_keys, lookup_join, quoted, spread_join, unused
+from .common import cut, documents, hot_keys, lookup_join, quoted, settled, spread_join, unused
 from .components import components
+from .ranks import ordered_long, ranked
 
 SHINGLE, PERCENT, ROWS, BANDS = 5, 75, 4, 40
 M = ROWS * BANDS
@@ -253,7 +254,11 @@ def _meetings(rare: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id, kept."""
+    """A row per row of docs: doc_id, n_shingles, component_id, kept. What was written on the way is deleted."""
+    return settled(lambda: _near_duplicates(docs), "near")
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = cut(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, set_id binary, sketch binary"), "sketches")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
@@ -290,17 +295,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = lookup_join(table.where(linked).select("doc_id", "n_shingles", "set_id"), named, ["set_id"], "n", n_rows)
     alone = table.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    drop(buckets, members, open_, leads)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that stay: one document of each component. Of rows that share a doc_id, one stays."""
-    key, times = unused(docs.columns, "id_", "n_")
-    won = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(times))
-    rows = docs.join(won, docs["doc_id"].eqNullSafe(won[key]))
-    again = (F.col(times) > 1) & F.col(key).isNotNull()
-    return rows.where(~again).unionByName(rows.where(again).dropDuplicates([key])).select(*(F.col(quoted(c)) for c in docs.columns))
+    """The rows of docs, all columns, that stay: one document of each component, the one of the smallest doc_id. Rows without a
+    doc_id stay. Different texts under one doc_id are documents of their own, in the order of their digests; of rows that share
+    both one stays, whichever is met first."""
+    key, number, digest, times = unused(docs.columns, "key_", "number_", "digest_", "times_")
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    known, other = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    names = known.groupBy(F.col("doc_id").cast("long").alias(key), text.alias(digest)).agg(F.count("*").alias(times))
+    names = cut(names, "names")
+    if names.groupBy(key).agg(F.sum(times).alias(times)).where(F.col(times) > 1).isEmpty():
+        won = near_duplicates(known).where("kept").select(F.col("doc_id").alias(key))
+        return known.join(won, F.col("doc_id") == F.col(key), "left_semi").unionByName(other)
+    # Documents are numbered by doc_id and digest, so that each text has an id of its own.
+    placed = names.select(F.lit(0).alias("group"), F.concat(ordered_long(F.col(key)), F.unhex(digest)).alias("key"), F.lit(1).cast("long").alias("n"), F.col(key).alias("id"), F.col(digest).alias("digest"))
+    numbers = cut(ranked(placed).select(F.col("id").alias(key), F.col("digest").alias(digest), F.col("before").alias(number)), "numbers").join(names, [key, digest])
+    rows = known.withColumn(f"{digest}own", text)
+    rows = rows.join(numbers, (F.col("doc_id").cast("long") == F.col(key)) & (F.col(f"{digest}own") == F.col(digest)))
+    won = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("won")).distinct()
+    rows = rows.join(won, F.col(number) == F.col("won"), "left_semi")
+    rows = rows.where(F.col(times) == 1).unionByName(rows.where(F.col(times) > 1).dropDuplicates([number]))
+    return rows.select(*(F.col(quoted(c)) for c in docs.columns)).unionByName(other)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
