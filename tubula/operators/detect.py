@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import settled, with_study
+from .tables import finished, settled, with_study
 
 BULGE, SHAPE, GAUSS, POINTS = 1.35, 0.65, 0.0, 3
 
@@ -16,64 +16,110 @@ def baseline(points: DataFrame) -> DataFrame:
     return points.groupBy("branch_id").agg(F.greatest(F.percentile("radius", F.lit(0.5)), F.lit(1e-6)).alias("baseline"))
 
 
-def nearest(surface: DataFrame, points: DataFrame, cell: int = 8, reach: int = 2) -> DataFrame:
+#: Side of the cells that voxels and points meet in at first, how much larger the next round's are, points of a leaf, and voxels that
+#: one task looks up at once.
+CELL, WIDER, LEAF, BLOCK = 16, 8, 64, 4096
+
+
+def nearest(surface: DataFrame, points: DataFrame, cell: int = CELL) -> DataFrame:
     """Of each surface voxel (id, x, y, z) the nearest point of a centreline: branch_id, idx and d2, the squared distance; of
     equally near ones the first by (branch_id, idx). Where both have a study, only points of the voxel's own count. Every voxel has
     a row, with nulls where there is no point at all for it, or where a coordinate is null.
 
-    Both sides meet in cells of `cell` voxels. Voxels that no point within `reach` cells is sure to be nearest for are looked up
-    again at eight times the cell, until none is left. There, points first meet voxels as boxes, which hold the points of one cell
-    of the round before: a box farther away than the far end of another cannot have the nearest point, so that only the points of
-    a few boxes are looked at, however far they are."""
+    A cell's voxels and the points of the cells around it are one group, in which a tree of boxes over the points is searched; no
+    pairs are written. What is found within a cell's side is the nearest there is; voxels without are looked up again in cells
+    WIDER times as large, until none is left. A task holds BLOCK voxels and the points of 27 cells, equal places once."""
+    return finished(lambda: _nearest(surface, points, cell))
+
+
+def _nearest(surface: DataFrame, points: DataFrame, cell: int) -> DataFrame:
     own = [c for c in ("study",) if c in surface.columns and c in points.columns]
-    # Of points at the same place only the first can be an answer.
     placed = "x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"
-    points = points.where(placed).groupBy(*own, "x", "y", "z").agg(F.min(F.struct("branch_id", "idx")).alias("p")).select(*own, "x", "y", "z", "p.branch_id", "p.idx")
-    points = settled(points)
-    rest = settled(surface.select(*own, "id", "x", "y", "z"))
+    # Of points at the same place only the first can be an answer. Numbers follow the order of (branch_id, idx).
+    points = points.where(placed).groupBy(*own, "x", "y", "z").agg(F.min(F.struct("branch_id", "idx")).alias("p"))
+    points = settled(points.orderBy("p").select(*own, *(F.col(a).cast("double").alias(a) for a in "xyz"), "p.branch_id", "p.idx", F.monotonically_increasing_id().alias("point")))
+    rest = settled(surface.select(*own, "id", *(F.col(a).cast("double").alias(a) for a in "xyz")))
     if own:
         known = with_study(rest, points.select(*own).distinct())
     else:
         known = rest.where("false") if points.isEmpty() else rest
     known = known.where(placed)
     nothing = rest.join(known.select("id"), "id", "left_anti")
-    kinds = points.schema
-    found = nothing.select("id", *(F.lit(None).cast(kinds[c].dataType).alias(c) for c in ("branch_id", "idx")), F.lit(None).cast("double").alias("d2"))
-    rest, boxes = settled(known), None
-    at = lambda a, c: F.floor(F.col(a) / c)
-    span = F.array(*(F.lit(i) for i in range(-reach, reach + 1)))
-    cells, edge = [*own, "cx", "cy", "cz"], ("bx", "by", "bz")
-
-    def around(rows: DataFrame, low: str) -> DataFrame:
-        for a in "xyz":
-            rows = rows.withColumn("o", F.explode(span)).withColumn(f"c{a}", at(f"{low}{a}", cell) + F.col("o")).drop("o")
-        return rows
-
-    d2 = sum((F.pow(F.col(a) - F.col(f"p{a}"), 2) for a in "xyz"), F.lit(0.0))
-    moved = points.select(*own, *(F.col(a).alias(f"p{a}") for a in "xyz"), "branch_id", "idx")
+    found = nothing.select("id", F.lit(None).cast("long").alias("point"), F.lit(None).cast("double").alias("d2"))
+    rest, cells = settled(known), [*own, "cx", "cy", "cz"]
     while not rest.isEmpty():
-        left = rest.select("*", *(at(a, cell).alias(f"c{a}") for a in "xyz"))
-        if boxes is None:
-            met = left.join(around(moved, "p"), cells)
-        else:
-            far = lambda a: F.greatest(F.abs(F.col(a) - F.col(f"low_{a}")), F.abs(F.col(a) - F.col(f"high_{a}")))
-            gap = lambda a: F.greatest(F.col(f"low_{a}") - F.col(a), F.col(a) - F.col(f"high_{a}"), F.lit(0))
-            pair = left.join(around(boxes, "low_"), cells).select(*own, "id", "x", "y", "z", *edge, *(sum((F.pow(f(a), 2) for a in "xyz"), F.lit(0.0)).alias(n) for f, n in ((gap, "least"), (far, "most"))))
-            pair = settled(pair)
-            bound = pair.groupBy("id").agg(F.min("most").alias("bound"))
-            keep = pair.join(bound, "id").where("least <= bound").select(*own, "id", "x", "y", "z", *edge)
-            named = moved.select("*", *(at(f"p{a}", boxed).alias(f"b{a}") for a in "xyz"))
-            met = keep.join(named, [*own, *edge])
-        # The least distance alone is aggregated by hash; few points are left to be compared as structs.
-        met = settled(met.select("id", "branch_id", "idx", d2.alias("d2")))
-        least = met.groupBy("id").agg(F.min("d2").alias("least"))
-        best = met.join(least, "id").where("d2 = least").groupBy("id").agg(F.min(F.struct("d2", "branch_id", "idx")).alias("b"))
-        sure = settled(best.select("id", "b.branch_id", "b.idx", "b.d2").where(F.col("d2") <= float((reach * cell) ** 2)))
+        at = {f"c{a}": F.floor(F.col(a) / cell) for a in "xyz"}
+        left = rest.withColumns(at)
+        there = settled(left.groupBy(*cells).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+        left = left.join(there, cells).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
+        boxes = points.withColumns(at).groupBy(*cells).agg(*(F.collect_list(c).alias(f"{c}s") for c in ("x", "y", "z", "point")))
+        boxes = boxes.where(F.size("xs") > 0)
+        for a in "xyz":
+            boxes = boxes.withColumn("o", F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))).withColumn(f"c{a}", F.col(f"c{a}") + F.col("o")).drop("o")
+        boxes = boxes.join(there, cells).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        keys = [*cells, "block"]
+        kinds = f"`id` {rest.schema['id'].dataType.simpleString()}, point long, d2 double"
+        met = settled(left.groupBy(*keys).cogroup(boxes.groupBy(*keys)).applyInArrow(_looked_up, kinds))
+        sure = met.where(F.col("d2") <= float(cell) ** 2)
         found = found.unionByName(sure)
-        rest = settled(rest.join(sure, "id", "left_anti"))
-        boxed, cell = cell, cell * 8
-        boxes = moved.groupBy(*own, *(at(f"p{a}", boxed).alias(f"b{a}") for a in "xyz")).agg(*(f(f"p{a}").alias(f"{n}_{a}") for f, n in ((F.min, "low"), (F.max, "high")) for a in "xyz"))
-    return found
+        rest = settled(rest.join(sure.select("id"), "id", "left_anti"))
+        cell *= WIDER
+    return found.join(points.select("point", "branch_id", "idx"), "point", "left").select("id", "branch_id", "idx", "d2")
+
+
+def _looked_up(voxels, boxes):
+    """id, point and d2 of a cell's voxels, by the points of the cells around it; voxels without any are left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    at = np.stack([voxels.column(a).to_numpy() for a in "xyz"], axis=1)
+    flat = [boxes.column(f"{c}s").combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("x", "y", "z", "point")] if len(boxes) else [np.zeros(0)] * 4
+    point, d2 = closest(at, np.stack(flat[:3], axis=1).astype(float), flat[3].astype(np.int64)) if len(at) and len(flat[3]) else (np.zeros(0, np.int64), np.zeros(0))
+    ids = voxels.column("id").slice(0, len(point))
+    return pa.table([ids, pa.array(point), pa.array(d2)], names=["id", "point", "d2"])
+
+
+def closest(at, points, number):
+    """Of each place the number of the nearest point and the squared distance to it; the smaller number of equally near ones.
+
+    Points are halved along their widest side until LEAF are left; a place looks at the leaves' boxes, the nearest first, until none
+    that is left can be as near as what it has found."""
+    import numpy as np
+
+    parts, leaves = [np.arange(len(points))], []
+    while parts:
+        own = parts.pop()
+        if len(own) <= LEAF:
+            leaves.append(own)
+            continue
+        axis = int(np.ptp(points[own], axis=0).argmax())
+        half = len(own) // 2
+        order = own[np.argpartition(points[own, axis], half)]
+        parts += [order[:half], order[half:]]
+    size = max(map(len, leaves))
+    slots = np.stack([np.append(own, np.repeat(own[:1], size - len(own))) for own in leaves])  # short leaves repeat a point
+    low, high = points[slots].min(axis=1), points[slots].max(axis=1)
+    best, which = np.full(len(at), np.inf), np.full(len(at), np.iinfo(np.int64).max)
+    step = max(1, (1 << 20) // len(leaves))
+    for first in range(0, len(at), step):
+        rows = np.arange(first, min(first + step, len(at)))
+        gap = np.maximum(np.maximum(low[None] - at[rows, None], at[rows, None] - high[None]), 0)
+        least = (gap * gap).sum(axis=2)
+        order = np.argsort(least, axis=1)
+        for k in range(len(leaves)):
+            leaf = order[:, k]
+            live = least[np.arange(len(rows)), leaf] <= best[rows]
+            rows, least, order, leaf = rows[live], least[live], order[live], leaf[live]
+            if not len(rows):
+                break
+            slot = slots[leaf]
+            d = at[rows, None] - points[slot]
+            d2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+            near = d2.min(axis=1)
+            name = np.where(d2 == near[:, None], number[slot], np.iinfo(np.int64).max).min(axis=1)
+            better = (near < best[rows]) | (near == best[rows]) & (name < which[rows])
+            best[rows[better]], which[rows[better]] = near[better], name[better]
+    return which, best
 
 
 def bulges(near: DataFrame, points: DataFrame, base: DataFrame) -> DataFrame:

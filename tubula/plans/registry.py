@@ -105,7 +105,16 @@ def _(s, d):
     return grid.closed(V.grey(s, d), 2.0, (1.0, 1.0, 1.0))
 
 
-@query("w1_top_hat", f"WITH {V.GREY}, {_extreme('grey', 'min', 5, 'a')}, {_extreme('a', 'max', 5, 'e')} SELECT study, z, y, x, greatest(0, grey.v - e.v) AS v FROM grey JOIN e USING (study, z, y, x)")
+def _ball(of: str, agg: str, r: int, to: str) -> str:
+    """The same, row by row along x: first of all widths that a row of the ball has, then of its rows. Rows of x are complete."""
+    width = lambda k: f"{agg}(v) OVER (PARTITION BY study, z, y ORDER BY x ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
+    wide = ", ".join(f"{width(k)} AS w{k}" for k in range(r + 1))
+    off = f"(SELECT dz, dy, CAST(floor(sqrt({r * r} - dz * dz - dy * dy)) AS INT) AS half FROM (SELECT unnest(range(-{r}, {r + 1})) AS dz), (SELECT unnest(range(-{r}, {r + 1})) AS dy) WHERE dz * dz + dy * dy <= {r * r})"
+    pick = "CASE half " + " ".join(f"WHEN {k} THEN w{k}" for k in range(r + 1)) + " END"
+    return f"{to}_w AS MATERIALIZED (SELECT {AT}, {wide} FROM {of}), {to} AS MATERIALIZED (SELECT study, z - dz AS z, y - dy AS y, x, {agg}({pick}) AS v FROM {to}_w CROSS JOIN {off} o GROUP BY ALL)"
+
+
+@query("w1_top_hat", f"WITH {V.GREY}, {_ball('grey', 'min', 5, 'a0')}, a AS (SELECT a0.* FROM a0 SEMI JOIN grey USING (study, z, y, x)), {_ball('a', 'max', 5, 'e')} SELECT study, z, y, x, greatest(0, grey.v - e.v) AS v FROM grey JOIN e USING (study, z, y, x)")
 def _(s, d):
     return grid.top_hat(V.grey(s, d), 5)
 
@@ -240,10 +249,12 @@ def _(s, d):
     return grid.to_bytes(V.vox(s, d))
 
 
-@query("x1_chamfer_distance", f"""WITH {V.VOX}, f AS (SELECT * FROM vox WHERE v > -0.05), b AS (SELECT * FROM vox WHERE NOT v > -0.05),
-p AS (SELECT f.study, f.z, f.y, f.x, abs(f.x - b.x) AS a, abs(f.y - b.y) AS b, abs(f.z - b.z) AS c FROM f JOIN b ON f.study = b.study AND b.z BETWEEN f.z - 8 AND f.z + 8),
-q AS (SELECT {AT}, least(a, b, c) AS lo, greatest(a, b, c) AS hi, a + b + c - least(a, b, c) - greatest(a, b, c) AS mid FROM p)
-SELECT {AT}, round(min(sqrt(3) * lo + sqrt(2) * (mid - lo) + (hi - mid)), 4) AS mm FROM q GROUP BY ALL UNION ALL SELECT {AT}, 0 AS mm FROM b""")
+#: All background within 3 voxels along each axis: what is nearer than 4 is among it, and nothing here is farther (else null).
+@query("x1_chamfer_distance", f"""WITH {V.VOX}, f AS MATERIALIZED (SELECT {AT} FROM vox WHERE v > -0.05), b AS MATERIALIZED (SELECT {AT} FROM vox WHERE NOT v > -0.05),
+o AS (SELECT dz, dy, dx, sqrt(3) * lo + sqrt(2) * (abs(dz) + abs(dy) + abs(dx) - hi - 2 * lo) + (2 * hi - abs(dz) - abs(dy) - abs(dx) + lo) AS far FROM (
+  SELECT *, least(abs(dz), abs(dy), abs(dx)) AS lo, greatest(abs(dz), abs(dy), abs(dx)) AS hi FROM range(-3, 4) a(dz), range(-3, 4) b(dy), range(-3, 4) c(dx))),
+p AS (SELECT study, z + dz AS z, y + dy AS y, x + dx AS x, min(far) AS far FROM b CROSS JOIN o GROUP BY ALL)
+SELECT f.study, f.z, f.y, f.x, CASE WHEN far < 4 THEN round(far, 4) END AS mm FROM f LEFT JOIN p ON p.study = f.study AND p.z = f.z AND p.y = f.y AND p.x = f.x UNION ALL SELECT {AT}, 0 AS mm FROM b""")
 def _(s, d):
     return _rounded(grid.distance(V.vox(s, d).withColumn("v", F.when(F.col("v") > -0.05, 1).otherwise(0))), "mm")
 
@@ -396,9 +407,12 @@ walk(start, first, edge, node, mm, n) AS (SELECT a, edge, edge, b, mm, 1 FROM wa
 chain AS (SELECT start AS u, node AS v, first AS branch, mm, walk.n AS parts FROM walk JOIN deg ON deg.n = node WHERE c <> 2 AND (start, first) <= (node, edge))"""
 
 
-@query("n6_merge_degree_2", _walk(f"WITH RECURSIVE {V.EDGES.replace('edges AS', 'tree AS')}, edges AS (SELECT u AS edge, u, v, length_mm AS mm FROM tree)") + " SELECT branch, u, v, round(mm, 9) AS length_mm, parts FROM chain")
+LEFT = _prune(6).replace("WITH edges AS", "WITH RECURSIVE tree AS").replace("FROM edges)", "FROM tree)")
+
+
+@query("n6_merge_degree_2", _walk(LEFT + ", edges AS (SELECT u AS edge, u, v, length_mm AS mm FROM e6)") + " SELECT branch, u, v, round(mm, 9) AS length_mm, parts FROM chain")
 def _(s, d):
-    return _rounded(graph.merged(V.edges(s, d).withColumn("edge", F.col("u"))), "length_mm", digits=9)
+    return _rounded(graph.merged(graph.pruned(V.edges(s, d)).withColumn("edge", F.col("u"))), "length_mm", digits=9)
 
 
 HALF_26 = OFF.format("dz > 0 OR (dz = 0 AND (dy > 0 OR (dy = 0 AND dx > 0)))")
@@ -620,7 +634,7 @@ def _(s, d):
 
 
 @query("n21_anomalies", RAYS_OF_CYLINDER + """, md AS (SELECT study, branch_id, i, list_sort(list(mm))[7] AS median FROM rays GROUP BY ALL), en AS (SELECT study, branch_id, min(i) AS low, max(i) AS high FROM rays GROUP BY ALL),
-an AS (SELECT rays.*, mm / median AS ratio FROM rays JOIN md USING (study, branch_id, i) JOIN en USING (study, branch_id) WHERE median > 0 AND i BETWEEN low + 2 AND high - 2 AND mm > median * 1.5e0),
+an AS (SELECT rays.*, mm / median AS ratio FROM rays JOIN md USING (study, branch_id, i) JOIN en USING (study, branch_id) WHERE median > 0 AND i BETWEEN low + 2 AND high - 2 AND mm - median * 1.5e0 > 1e-9),
 fi AS (SELECT study, branch_id, i, min(angle) AS angle, arg_min(ratio, angle) AS ratio FROM an GROUP BY ALL)
 SELECT study, branch_id, i, angle, round(ratio, 4) AS ratio, round(least(1, greatest(0, (ratio - 1) / 1.5e0)), 4) AS score FROM fi""")
 def _(s, d):
