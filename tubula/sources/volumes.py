@@ -1,7 +1,12 @@
-"""Volumes from files: slices (DICOM and TIFF, plain, deflated or run-length encoded), colour tables, and tables of voxels."""
+"""Volumes from files: slices (DICOM and TIFF, plain, deflated or run-length encoded, DICOM as lossless JPEG too), colour tables, and
+tables of voxels.
+
+Every frame of a file is a slice. Colour pixels become the mean of their three samples; images whose least value is white are turned
+over; of samples in more bits than they fill, the others are left out. What can't be read this way is refused."""
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -9,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .jpeg import lossless
+
 SLICE = "path string, at double, w int, h int, sx double, sy double, sz double, tilt double, modality string, plane string, pix array<double>"
 _LONG = (b"OB", b"OW", b"OF", b"SQ", b"UT", b"UN", b"OD", b"OL", b"UC", b"UR")
 
@@ -27,8 +34,30 @@ def unpacked_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def samples(raw: bytes, count: int, bits: int, end: str = "<", form: str = "u"):
+    """The first `count` samples of `bits` bits each; those of 12 bits are packed, highest bits first."""
+    import numpy as np
+
+    if bits == 12 and form == "u":
+        b = np.frombuffer(raw, np.uint8, (count * 3 + 1) // 2).astype(np.int64)
+        b = np.append(b, np.zeros(-len(b) % 3, np.int64)).reshape(-1, 3)
+        return np.stack([b[:, 0] << 4 | b[:, 1] >> 4, (b[:, 1] & 15) << 8 | b[:, 2]], axis=1).reshape(-1)[:count]
+    if bits not in (8, 16, 32) and not (form == "f" and bits == 64):
+        raise ValueError(f"samples of {bits} bits cannot be read")
+    return np.frombuffer(raw, np.dtype(f"{end}{form}{bits // 8}"), count)
+
+
+def grey(values, pixels: int, n: int, planes: bool):
+    """One value per pixel of n samples each, which come pixel by pixel or plane by plane."""
+    if n == 1:
+        return values.astype(float)
+    if n != 3:
+        raise ValueError(f"{n} samples per pixel cannot be read")
+    return values.astype(float).reshape((3, pixels) if planes else (pixels, 3)).mean(axis=0 if planes else 1)
+
+
 def tiff(data: bytes) -> list[dict]:
-    """The pages of a TIFF file with one sample per pixel, plain, deflated or run-length encoded."""
+    """The slices of a TIFF file, plain, deflated or run-length encoded: its pages, or all images that one page says follow it."""
     import numpy as np
 
     end = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -47,13 +76,27 @@ def tiff(data: bytes) -> list[dict]:
             where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(end + "I", data, at + 10 + 12 * k)[0]
             tags[tag] = struct.unpack_from(end + code * count, data, where)
         plain = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpacked_bits}.get(tags.get(259, (1,))[0])
-        if plain is None or tags.get(277, (1,))[0] != 1 or tags.get(317, (1,))[0] != 1:
-            raise ValueError("only plain, deflated or run-length encoded pages with one sample per pixel can be read")
-        w, h, bits, form = tags[256][0], tags[257][0], tags.get(258, (8,))[0], tags.get(339, (1,))[0]
-        raw = b"".join(plain(data[o : o + c]) for o, c in zip(tags[273], tags[279], strict=True))
-        kind = np.dtype(end + {1: "u", 2: "i", 3: "f"}[form] + str(bits // 8))
-        out.append({"at": float(len(out)), "w": w, "h": h, "pix": np.frombuffer(raw, kind, w * h).astype(float)})
-        at = struct.unpack_from(end + "I", data, at + 2 + 12 * n)[0]
+        if plain is None or tags.get(317, (1,))[0] != 1 or 273 not in tags:
+            raise ValueError("only plain, deflated or run-length encoded pages in strips can be read")
+        w, h, bits, form, per, kind = tags[256][0], tags[257][0], tags.get(258, (1,))[0], tags.get(339, (1,))[0], tags.get(277, (1,))[0], tags.get(262, (1,))[0]
+        if kind not in (0, 1, 2) or (kind == 2) != (per == 3) or form not in (1, 2, 3):
+            raise ValueError("only grey and RGB pixels can be read")
+        strips = [plain(data[o : o + c]) for o, c in zip(tags[273], tags.get(279, (len(data) - tags[273][0],)), strict=True)]
+        if bits == 12 and len(strips) > 1 and w * per % 2:
+            raise ValueError("lines of packed samples that end inside a byte cannot be read")
+        after = struct.unpack_from(end + "I", data, at + 2 + 12 * n)[0]
+        size = w * h * per * bits // 8
+        told = re.search(rb"images=(\d+)", b"".join(tags.get(270, ())))
+        many = int(told[1]) if told and not after and not out else 1
+        raw = data[tags[273][0] : tags[273][0] + many * size] if many > 1 and plain is bytes else b"".join(strips)
+        if len(raw) < many * size:
+            raise ValueError("pixels are missing")
+        for k in range(many):
+            v = samples(raw[k * size :], w * h * per, bits, end, {1: "u", 2: "i", 3: "f"}[form])
+            if kind == 0:
+                v = (v.max(initial=0) if form == 3 else (1 << bits) - 1 if form == 1 else -1) - v.astype(float if form == 3 else np.int64)
+            out.append({"at": float(len(out)), "w": w, "h": h, "pix": grey(v, w * h, per, tags.get(284, (1,))[0] == 2)})
+        at = after
     return out
 
 
@@ -66,7 +109,8 @@ def orientation(rows: list[float], place: list[float]) -> tuple[str, float]:
 
 
 #: Transfer syntaxes: whether elements come without their kind, how the rest of the file is read, and pixels.
-SYNTAXES = {"1.2.840.10008.1.2": (True, None, None), "1.2.840.10008.1.2.1": (False, None, None), "1.2.840.10008.1.2.1.99": (False, "deflated", None), "1.2.840.10008.1.2.5": (False, None, "runs")}
+SYNTAXES = {"1.2.840.10008.1.2": (True, None, None), "1.2.840.10008.1.2.1": (False, None, None), "1.2.840.10008.1.2.1.99": (False, "deflated", None), "1.2.840.10008.1.2.5": (False, None, "runs"),
+            "1.2.840.10008.1.2.4.57": (False, None, "jpeg"), "1.2.840.10008.1.2.4.70": (False, None, "jpeg")}
 _ITEM, _ITEM_END, _END = (0xFFFE, 0xE000), (0xFFFE, 0xE00D), (0xFFFE, 0xE0DD)
 _OPEN = 0xFFFFFFFF
 
@@ -96,35 +140,80 @@ def _after(data: bytes, at: int, plain: bool) -> int:
         at = step[2]
 
 
-def _runs(data: bytes, at: int, pixels: int) -> bytes:
-    """The bytes of a frame whose byte planes, the highest first, are run-length encoded; it is all of the items at `at`."""
-    import numpy as np
-
+def _fragments(data: bytes, at: int) -> tuple[list[int], list[bytes]]:
+    """The table of frames' places and the fragments of encapsulated pixels whose first item is at `at`."""
     parts = []
     while (step := _head(data, at, False))[0] == _ITEM:
         parts.append(data[step[2] : step[2] + step[1]])
         at = step[2] + step[1]
-    frame = b"".join(parts[1:])  # the first item is a table of places
+    return list(struct.unpack(f"<{len(parts[0]) // 4}I", parts[0])), parts[1:]
+
+
+def _frames(table: list[int], parts: list[bytes], n: int) -> list[bytes]:
+    """The bytes of n frames: by the table of places, or a fragment each, or all of one."""
+    if len(parts) == n:
+        return parts
+    if n == 1:
+        return [b"".join(parts)]
+    starts, at = [], 0
+    for p in parts:
+        starts.append(at)
+        at += len(p) + 8
+    if len(table) != n:
+        raise ValueError("fragments can't be told apart by frame")
+    ends = [*table[1:], at]
+    return [b"".join(p for p, s in zip(parts, starts, strict=True) if a <= s < b) for a, b in zip(table, ends, strict=True)]
+
+
+def _runs(frame: bytes, pixels: int) -> bytes:
+    """The bytes of a frame whose byte planes, the highest first, are run-length encoded."""
+    import numpy as np
+
     n, *starts = struct.unpack_from("<16I", frame)
     starts = [*starts[:n], len(frame)]
     planes = [np.frombuffer(unpacked_bits(frame[a:b])[:pixels], np.uint8) for a, b in zip(starts, starts[1:], strict=False)]
     return np.stack(planes[::-1], axis=1).tobytes()
 
 
+def _sequence(data: bytes, body: int, size: int, plain: bool) -> list[dict]:
+    """The items of a sequence as {tag: bytes or list of items}."""
+    out, end = [], len(data) if size == _OPEN else body + size
+    at = body
+    while at + 8 <= end:
+        tag, length, first = _head(data, at, plain)
+        if tag != _ITEM:
+            break
+        item, at, stop = {}, first, len(data) if length == _OPEN else first + length
+        while at + 8 <= stop:
+            key, n, value = _head(data, at, plain)
+            if key == _ITEM_END:
+                at = value
+                break
+            nested = n == _OPEN or data[at + 4 : at + 6] == b"SQ" or plain and data[value : value + 4] == b"\xfe\xff\x00\xe0"
+            item[key] = _sequence(data, value, n, plain) if nested else data[value : value + n]
+            at = _after(data, value, plain) if n == _OPEN else value + n
+        out.append(item)
+    return out
+
+
 def dicom(data: bytes) -> list[dict]:
-    """The one frame of a little-endian DICOM file, plain, deflated or run-length encoded."""
+    """The frames of a little-endian DICOM file, plain, deflated, run-length encoded or as lossless JPEG."""
     import numpy as np
 
     if data[128:132] != b"DICM":
         raise ValueError("not a DICOM file")
-    at, plain, packed, found, runs = 132, False, None, {}, None
+    at, plain, packed, pixels, found, parts, groups = 132, False, None, None, {}, None, []
     while at + 8 <= len(data):
         if packed and struct.unpack_from("<H", data, at)[0] != 2:
             data, at, packed = zlib.decompress(data[at:], -15), 0, None
         tag, size, body = _head(data, at, plain)
+        if tag == (0x5200, 0x9230):  # what is said frame by frame
+            groups = _sequence(data, body, size, plain)
         if size == _OPEN:
-            if tag == (0x7FE0, 0x10) and pixels == "runs":
-                runs = body
+            if tag == (0x7FE0, 0x10):
+                if pixels is None:
+                    raise ValueError("encapsulated pixels in a plain file")
+                parts = _fragments(data, body)
                 break
             at = _after(data, body, plain)
             continue
@@ -136,19 +225,53 @@ def dicom(data: bytes) -> list[dict]:
             plain, packed, pixels = SYNTAXES[syntax]
         found[tag] = value
         at = body + size
-    number = lambda key: struct.unpack("<H", found[key][:2])[0]
+    number = lambda key, default=0: struct.unpack("<H", found[key][:2])[0] if key in found else default
     text = lambda key, default="": found.get(key, default.encode()).decode("ascii", "replace").strip("\0 ")
-    several = lambda key, n: [float(v) for v in (text(key).split("\\") if text(key) else ["0"] * n)]
-    h, w, bits, signed = number((0x28, 0x10)), number((0x28, 0x11)), number((0x28, 0x100)), number((0x28, 0x103)) if (0x28, 0x103) in found else 0
-    raw = found[0x7FE0, 0x10] if runs is None else _runs(data, runs, w * h)
-    pix = np.frombuffer(raw, f"<{'i' if signed else 'u'}{bits // 8}", w * h).astype(float)
+    several = lambda value, n: [float(v) for v in (value.split("\\") if value else ["0"] * n)]
+    h, w, bits, signed = number((0x28, 0x10)), number((0x28, 0x11)), number((0x28, 0x100)), number((0x28, 0x103))
+    per, planes, stored, kind = number((0x28, 2), 1), number((0x28, 6)), number((0x28, 0x101), bits), text((0x28, 4), "MONOCHROME2")
+    n = int(text((0x28, 8)) or 1)
+    if kind not in ("MONOCHROME1", "MONOCHROME2", "RGB") or (kind == "RGB") != (per == 3):
+        raise ValueError(f"pixels of kind {kind} with {per} samples cannot be read")
+    if parts is None:
+        raw = found[0x7FE0, 0x10]
+        size = w * h * per * bits // 8
+        if len(raw) < n * size or size * 8 != w * h * per * bits:
+            raise ValueError("pixels are missing")
+        frames = [samples(raw[k * size :], w * h * per, bits) for k in range(n)]
+    else:
+        each = _frames(*parts, n)
+        if pixels == "jpeg":
+            frames = [lossless(f).reshape(-1) for f in each]
+        elif per == 1:
+            frames = [samples(_runs(f, w * h), w * h, bits) for f in each]
+        else:
+            raise ValueError("run-length encoded colour cannot be read")
     slope, shift = float(text((0x28, 0x1053)) or 1), float(text((0x28, 0x1052)) or 0)
-    sy, sx = several((0x28, 0x30), 2)
-    plane, place = None, float(text((0x20, 0x13)) or 0)
-    if (0x20, 0x32) in found:
-        plane, place = orientation(several((0x20, 0x37), 6) if (0x20, 0x37) in found else [1, 0, 0, 0, 1, 0], several((0x20, 0x32), 3))
+    sy, sx = several(text((0x28, 0x30)), 2)
     gap = float(text((0x18, 0x88)) or text((0x18, 0x50)) or 0)
-    return [{"at": place, "w": w, "h": h, "pix": pix * slope + shift, "sx": sx, "sy": sy, "sz": gap, "tilt": float(text((0x18, 0x1120)) or 0), "modality": text((8, 0x60)) or None, "plane": plane}]
+    whole = {"place": text((0x20, 0x32)), "turn": text((0x20, 0x37))}
+    out = []
+    for k, v in enumerate(frames):
+        v = v.astype(np.int64) & ((1 << stored) - 1)
+        if signed:
+            v -= (v >> (stored - 1)) << stored
+        if kind == "MONOCHROME1":
+            v = (-1 if signed else (1 << stored) - 1) - v
+        own = groups[k] if k < len(groups) else {}
+        said = lambda outer, inner, own=own: (own.get(outer) or [{}])[0].get(inner, b"").decode("ascii", "replace").strip("\0 ")
+        place, turn = said((0x20, 0x9113), (0x20, 0x32)) or whole["place"], said((0x20, 0x9116), (0x20, 0x37)) or whole["turn"]
+        plane, at_ = None, float(text((0x20, 0x13)) or 0)
+        if place:
+            plane, at_ = orientation(several(turn, 6) if turn else [1, 0, 0, 0, 1, 0], several(place, 3))
+        if not said((0x20, 0x9113), (0x20, 0x32)):
+            at_ += k * (gap or 1.0)  # frames without a place of their own follow each other
+        measures = said((0x28, 0x9110), (0x28, 0x30))
+        fy, fx = several(measures, 2) if measures else (sy, sx)
+        thick = said((0x28, 0x9110), (0x18, 0x88)) or said((0x28, 0x9110), (0x18, 0x50))
+        pix = grey(v, w * h, per, planes == 1 and parts is None) * slope + shift
+        out.append({"at": at_, "w": w, "h": h, "pix": pix, "sx": fx, "sy": fy, "sz": float(thick) if thick else gap, "tilt": float(text((0x18, 0x1120)) or 0), "modality": text((8, 0x60)) or None, "plane": plane})
+    return out
 
 
 def slices(spark: SparkSession, path: str) -> DataFrame:
