@@ -21,7 +21,7 @@ SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Distinct spans that a task remembers.
 KNOWN = 1_000_000
 #: Bytes of texts that are encoded at once.
-RUN = 1 << 23
+RUN = 1 << 21
 
 
 def merges_by_rank(content: str):
