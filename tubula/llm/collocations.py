@@ -34,6 +34,8 @@ MOST, LEAST, TOP, SCALE = 4, 30, 2000, 2_000_000
 STANDS = 80
 #: Bytes of texts that are counted at once: what a task holds is some forty times as much.
 RUN = 1 << 20
+#: Parts in which the phrases of a language are ranked at first.
+PARTS = 64
 #: log2 of the bits of a bit map, at least and at most; between, there are 32 bits for each phrase.
 BITS = (16, 26)
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -164,8 +166,10 @@ def collocations(docs: DataFrame, most: int = MOST, least: int = LEAST, top: int
     inner = F.explode(F.expr("array(substring_index(phrase, ' ', size - 1), substring_index(phrase, ' ', 1 - size))"))
     longer = frequent.where("size >= 3").select(F.col("lang").alias("in"), inner.alias("part"), "n").groupBy("in", "part").agg(F.max("n").alias("longer"))
     kept = best.join(longer, (F.col("lang") == F.col("in")) & (F.col("phrase") == F.col("part")) & (wide("longer") * 100 >= wide("a") * STANDS), "left_anti")
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = kept.withColumn("rank", place).where(F.col("rank") <= top)
+    # The first ones of a language are among the first ones of its parts, so that no task sorts all phrases of one language.
+    place = lambda *of: F.row_number().over(W.partitionBy("lang", *of).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    ranked = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", place("part")).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", place()).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
