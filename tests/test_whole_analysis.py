@@ -9,8 +9,22 @@ from tubula.plans import analysis, registry
 from tubula.plans import views as V
 
 
-def test_from_a_noisy_volume_to_its_one_candidate(spark, sf):
-    (got,) = registry.queries()["p3_phantom_analysis"](spark, sf).collect()
+def balls(spark, sf):
+    return {r.study: r.ball for r in V.tubes(spark, sf).select("study", "ball").distinct().collect()}
+
+
+@pytest.mark.parametrize("name", ["p1_phantom_candidates", "p3_phantom_analysis", "p4_analysis_of_studies"])
+def test_volumes_of_a_table_have_their_balls_as_candidates(spark, sf, name):
+    """One candidate per study, at the ball; a CT study loses what is as wide as the ball."""
+    got = [r for r in registry.queries()[name](spark, sf).collect() if 5 < r.z < 44]
+    want = {k: v for k, v in balls(spark, sf).items() if name != "p4_analysis_of_studies" or k % 5 != 4}
+    at = {r.study: r.z for r in got if r.study in want}
+    assert len(got) == len({r.study for r in got}) and set(at) == set(want) and all(abs(at[k] - z) <= 3 for k, z in want.items())
+
+
+def test_from_a_noisy_volume_to_its_one_candidate(spark):
+    vox = V.phantom(spark, True, 12, 30).select(*grid.AT, F.expr("20 + v * 0.7 + (x * 7 + y * 5 + z * 3) % 11").cast("double").alias("v"))
+    (got,) = analysis.analyse(vox, analysis.Params(share=0.05, least_voxels=50)).collect()
     assert (got.y, got.x) == (12, 12) and 14 <= got.z <= 18 and got.max_br > 1.5 and got.max_si > 0.9
 
 
@@ -34,8 +48,10 @@ def test_the_thinned_path_finds_a_ball_around_it_and_none_without(spark):
     assert found(False) == []
 
 
-def test_other_thresholds_find_the_ball_at_the_side(spark, sf):
-    (got,) = registry.queries()["p2_phantom_what_if"](spark, sf).collect()
+def test_other_thresholds_find_the_ball_at_the_side(spark):
+    vox = V.phantom(spark)
+    mask = vox.where("v > 0").select(*grid.AT)
+    (got,) = analysis.again(analysis.paths(mask), mask, vox, analysis.Params(prune_mm=3.5, bulge=0.9, shape=0.57)).collect()
     assert 14 <= got.z <= 18 and got.x >= 13
 
 

@@ -704,33 +704,42 @@ def _found(rows):
     return _rounded(rows.select("study", "z", "y", "x", "first", "n_points", "max_br", "max_si", "max_k", "score"), "max_br", "max_si", "max_k", "score")
 
 
+def _sided(s, d):
+    """Volumes of 0 and 255 with a ball at the tube's side, and their masks."""
+    rows = V.tubes(s, d, 17, 20)
+    vox = rows.select(*grid.AT, F.when(F.col("inside"), 255.0).otherwise(0.0).alias("v"))
+    return vox, rows.where("inside").select(*grid.AT)
+
+
 @query("p1_phantom_candidates")
 def _(s, d):
     """A ball at the side of a tube, along the tube's own axis."""
-    vox = V.phantom(s)
-    axis = s.range(32).select(F.lit(1).alias("study"), F.lit(1).alias("branch_id"), F.col("id").cast("int").alias("idx"), F.col("id").cast("int").alias("z"), F.lit(12).alias("y"), F.lit(12).alias("x"))
-    return _found(analysis.found(analysis.features(vox.where("v > 0").select(*grid.AT), vox, axis)))
+    vox, mask = _sided(s, d)
+    axis = vox.where("y = 12 AND x = 12").select("study", F.col("study").alias("branch_id"), F.col("z").alias("idx"), "z", "y", "x")
+    return _found(analysis.found(analysis.features(mask, vox, axis)))
 
 
 @query("p2_phantom_what_if")
 def _(s, d):
     """The same along the thinned path, which bends towards the ball: with other thresholds."""
-    vox = V.phantom(s)
-    mask = vox.where("v > 0").select(*grid.AT)
+    vox, mask = _sided(s, d)
     return _found(analysis.again(analysis.paths(mask), mask, vox, analysis.Params(prune_mm=3.5, bulge=0.9, shape=0.57)))
 
 
 @query("p3_phantom_analysis")
 def _(s, d):
-    """From a noisy volume of a tube with a ball around it to its candidates."""
-    vox = V.phantom(s, True, 12, 30).select(*grid.AT, F.expr("20 + v * 0.7 + (x * 7 + y * 5 + z * 3) % 11").cast("double").alias("v"))
-    return _found(analysis.analyse(vox, analysis.Params(share=0.05, least_voxels=50)))
+    """From noisy volumes of a tube with a ball around it to their candidates."""
+    return _found(analysis.analyse(V.tubes(s, d).select(*grid.AT, "v"), analysis.Params(share=0.05, least_voxels=50)))
 
 
-@query("p4_analysis_of_images")
+@query("p4_analysis_of_studies")
 def _(s, d):
-    """All stages over the slices of a table."""
-    return _found(analysis.analyse(V.images(s, d), analysis.Params(share=0.03, least_voxels=20)))
+    """The same for studies of different spacing and modality, in one set of jobs."""
+    n = F.col("study")
+    meta = V.table(s, d, "embeddings").select(F.col("label").alias("study")).distinct()
+    wide = F.when(n % 2 == 0, 1.0).otherwise(0.9)
+    meta = meta.select("study", *(wide.alias(c) for c in ("sx", "sy", "sz")), F.lit(0.0).alias("tilt"), F.when(n % 5 == 4, "CT").otherwise("MR").alias("modality"), F.lit("AXIAL").alias("plane"))
+    return _found(analysis.analyse_studies(V.tubes(s, d).select(*grid.AT, "v"), meta, analysis.Params(share=0.05, least_voxels=50)))
 
 
 def queries() -> dict:
