@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tubula.operators import bricks, components, detect, grid, studies, tables
+from tubula.operators import blocks, bricks, components, detect, grid, kernels, studies, tables
 from tubula.plans import analysis, registry
 from tubula.plans import views as V
 
@@ -32,11 +32,65 @@ def test_studies_of_two_spacings(spark):
     """The ball is found in the one study, nothing in the plain tube of the other."""
     noise = "CAST(20 + v * 0.7 + (x * 7 + y * 5 + z * 3) % 11 AS DOUBLE) AS v"
     vox = V.phantom(spark, True, 12, 30).selectExpr("study", "z", "y", "x", noise).unionByName(V.phantom(spark, False).selectExpr("2 AS study", "z", "y", "x", noise))
-    meta = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 0.0, "MR", "AXIAL"), (2, 0.5, 0.5, 0.5, 0.0, None, "AXIAL")], "study int, sx double, sy double, sz double, tilt double, modality string, plane string")
-    (got,) = analysis.analyse_studies(vox, meta, analysis.Params(share=0.05, least_voxels=50)).collect()
+    kinds = "study int, sx double, sy double, sz double, tilt double, modality string, plane string"
+    (got,) = analysis.analyse_studies(vox, spark.createDataFrame([(1, 1.0, 1.0, 1.0, 0.0, "MR", "AXIAL"), (2, 0.5, 0.5, 0.5, 0.0, None, "AXIAL")], kinds), analysis.Params(share=0.05, least_voxels=50)).collect()
     assert got.study == 1 and 14 <= got.z <= 18
 
 
+def test_brick_kernels_are_those_of_rows(spark):
+    """Chained on bricks of two studies of different spacing and modality: the values of the row-wise operators, study by study."""
+    rng = np.random.default_rng(12)
+    rows = [(s, int(z), int(y), int(x), float(rng.integers(0, 256))) for s in (1, 2) for z, y, x in np.ndindex(12, 17, 14)]
+    vox = spark.createDataFrame(rows, "study int, z int, y int, x int, v double")
+    said = spark.createDataFrame([(1, 1.0, 1.0, 1.0, "CT"), (2, 0.5, 0.7, 1.4, None)], "study int, sx double, sy double, sz double, modality string")
+    spacing = {1: (1.0, 1.0, 1.0), 2: (0.5, 0.7, 1.4)}
+    table = blocks.from_voxels(vox, said)
+    hats = {(r.study, r.z, r.y, r.x): r.v for r in blocks.to_voxels(kernels.top_hat(table, 2), "v").collect()}
+    plain = {(r.study, r.z, r.y, r.x): r.v for r in grid.top_hat(vox.where("study = 1"), 2).collect()}
+    assert all(hats[k] == (plain[k] if k[0] == 1 else v) for *k, v in rows for k in [tuple(k)])
+    tubes_ = blocks.to_voxels(kernels.vesselness(table, (1.0, 1.5)), "v").collect()
+    shut = {(r.study, r.z, r.y, r.x): r.v for r in blocks.to_voxels(kernels.closed(table, 1.0), "v").collect()}
+    bent = {(r.study, r.z, r.y, r.x): (r.k, r.si) for r in blocks.to_voxels(kernels.curvature(table, 1.0), "v", "k", "si").collect()}
+    far = {(r.study, r.z, r.y, r.x): r.mm for r in blocks.to_voxels(kernels.distance(blocks.from_voxels(vox.withColumn("v", F.when(F.col("v") > 20, 1).otherwise(0)), said)), "mm").collect()}
+    for study, s in spacing.items():
+        own = vox.where(F.col("study") == study)
+        want = {(r.study, r.z, r.y, r.x): r.v for r in grid.vesselness(own, (1.0, 1.5), spacing=s).collect()}
+        assert all(abs(r.v - want[r.study, r.z, r.y, r.x]) < 1e-6 for r in tubes_ if r.study == study)
+        assert all(shut[r.study, r.z, r.y, r.x] == r.v for r in grid.closed(own, 1.0, s).collect())
+        assert all(np.allclose(bent[r.study, r.z, r.y, r.x], (r.k, r.si)) for r in grid.curvature(grid.blurred(own, 1.0), s).collect())
+        assert all(abs(far[r.study, r.z, r.y, r.x] - r.mm) < 1e-9 for r in grid.distance(own.withColumn("v", F.when(F.col("v") > 20, 1).otherwise(0)), s).collect())
+
+
+def test_jobs_do_not_depend_on_how_many_kinds_there_are(spark):
+    sc = spark.sparkContext
+    vox = spark.range(6 * 20 * 12 * 12).selectExpr("CAST(id / 2880 AS INT) AS study", "CAST(id / 144 % 20 AS INT) AS z", "CAST(id / 12 % 12 AS INT) AS y", "CAST(id % 12 AS INT) AS x", "CAST(id % 97 AS DOUBLE) AS v")
+
+    def jobs(said):
+        sc.setJobGroup(str(said), "")
+        rows = spark.createDataFrame([(i, *said(i)) for i in range(6)], "study int, sx double, sy double, sz double, modality string")
+        analysis.enhanced(vox, meta=rows)
+        return len(sc.statusTracker().getJobIdsForGroup(str(said)))
+
+    try:
+        assert jobs(lambda i: (1.0, 1.0, 1.0, "MR")) == jobs(lambda i: (1.0 + i / 10, 1.0, 0.5 + i / 7, "CT" if i % 2 else "MR"))
+    finally:
+        sc.setJobGroup(None, None)
+
+
+@pytest.mark.parametrize("side", [5, 48])
+def test_parts_on_bricks(spark, monkeypatch, side):
+    """Holes filled and small parts left out as by rows, whatever the size of a brick."""
+    rng = np.random.default_rng(13)
+    rows = [(s, int(z), int(y), int(x), 255 if rng.random() < 0.62 - s / 5 else 0) for s in (1, 2) for z, y, x in np.ndindex(11, 9, 13)]
+    vox = spark.createDataFrame(rows, "study int, z int, y int, x int, v int")
+    monkeypatch.setattr(kernels, "SIDE", side)
+    table = blocks.from_voxels(vox, side=side)
+    full = {(r.study, r.z, r.y, r.x): int(r.v) for r in blocks.to_voxels(kernels.filled(table), "v").collect()}
+    assert full == {(r.study, r.z, r.y, r.x): r.v for r in components.filled(vox).collect()} and full != {tuple(r[:4]): r[4] for r in rows}
+    large = {(r.study, r.z, r.y, r.x) for r in blocks.to_voxels(kernels.without_small(table, 6), "v", where="v = 255").collect()}
+    assert large == {(r.study, r.z, r.y, r.x) for r in components.without_small(vox.where("v = 255").select(*grid.AT), 6).collect()}
+
+
 def test_the_thinned_path_finds_a_ball_around_it_and_none_without(spark):
     def found(*args):
         vox = V.phantom(spark, *args)
