@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bricks
 from .bricks import AT
-from .tables import released, settled, with_study
+from .tables import finished, released, settled, with_study
 
 FACES = ((0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0))
 ALL_26 = tuple(o for o in itertools.product((-1, 0, 1), repeat=3) if any(o))
@@ -214,8 +214,10 @@ def vesselness(vox: DataFrame, scales: tuple[float, ...] = (1.0, 2.0, 3.0), tau:
     """Multi-scale response of bright tubes: by scale the volume ratio of the two greatest curvatures, the third regularised by
     tau times its greatest value, times that curvature; of all scales the greatest. One pass over bricks gives the curvatures of
     all scales, their greatest values by study come next, and the rest is columns."""
-    s = _positive(spacing)
+    return finished(lambda: _vesselness(vox, scales, tau, blur, _positive(spacing)))
+
 
+def _vesselness(vox: DataFrame, scales: tuple[float, ...], tau: float, blur: bool, s: dict[str, float]) -> DataFrame:
     def work(values):
         out = []
         for scale in scales:

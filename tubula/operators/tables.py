@@ -77,3 +77,16 @@ def with_study(rows: DataFrame, table: DataFrame, *on: str) -> DataFrame:
     table = settled(table)
     few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(table) if few else table, list(on or ("study",)))
+
+
+#: A key with more than one HOT_SHARE-th of all rows is joined by broadcast; there are fewer than HOT_SHARE such keys.
+HOT_SHARE = 512
+
+
+def with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with m, the least `value` of their key. Rows of a key that has very many stay where they are."""
+    least = settled(rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n_")))
+    total = least.agg(F.coalesce(F.sum("n_"), F.lit(0))).first()[0]
+    hot = F.col("n_") * HOT_SHARE > total
+    few = F.broadcast(least.where(hot).select(key, "m"))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(least.where(~hot).select(key, "m"), key))
