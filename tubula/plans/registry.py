@@ -425,6 +425,21 @@ def _(s, d):
     return graph.traced(V.mask(s, d)).groupBy("study", "branch", "u", "v").agg(F.count("*").alias("points")).select(F.col("study").cast("int").alias("study"), *ends, "points")
 
 
+TOUCH = " AND ".join(f"abs(u // {k} % {m} - v // {k} % {m}) <= 1" for k, m in ((4096, 4096), (64, 64), (1, 64)))
+
+
+@query("n3_contracted_branches", PATHS + f""", fk AS (SELECT n FROM deg WHERE c >= 3), lk AS (SELECT a, b FROM ways JOIN fk f ON f.n = a JOIN fk g ON g.n = b),
+cl(n, seen) AS (SELECT n, n FROM fk UNION SELECT cl.n, lk.b FROM cl JOIN lk ON lk.a = cl.seen), rep AS (SELECT n, min(seen) AS r FROM cl GROUP BY n),
+qu AS (SELECT u, v, coalesce(a.r, u) AS cu, coalesce(b.r, v) AS cv, parts + 1 AS n FROM chain LEFT JOIN rep a ON a.n = u LEFT JOIN rep b ON b.n = v)
+SELECT CAST(u // 16777216 AS INT) AS study, CAST(least(cu, cv) % 16777216 AS INT) AS u_in_study, CAST(greatest(cu, cv) % 16777216 AS INT) AS v_in_study, n + CAST(u <> cu AS INT) + CAST(v <> cv AS INT) AS points
+FROM qu WHERE NOT (cu = cv AND n <= 3 AND {TOUCH})""")
+def _(s, d):
+    at = lambda e: ((F.col(f"{e}.z") * 64 + F.col(f"{e}.y")) * 64 + F.col(f"{e}.x")).cast("int").alias(f"{e}_in_study")
+    mask = V.mask(s, d)
+    rows = graph.contracted(graph.traced(mask), mask)
+    return rows.groupBy("study", "branch", "u", "v").agg(F.count("*").alias("points")).select(F.col("study").cast("int").alias("study"), at("u"), at("v"), "points")
+
+
 POINTS = PATHS.replace("walk(start, first, edge, node, mm, n) AS (SELECT a, edge, edge, b, mm, 1 FROM", "walk(start, first, edge, node, mm, n, nodes) AS (SELECT a, edge, edge, b, mm, 1, [a, b] FROM").replace("walk.n + 1 FROM walk", "walk.n + 1, list_append(walk.nodes, b) FROM walk").replace("walk.n AS parts FROM walk", "walk.n AS parts, nodes FROM walk")
 
 
