@@ -31,7 +31,7 @@ from .common import cut, documents, drop, settled
 from .spans import cuts, spelled
 
 #: Bytes of text in a chunk: what a task holds at once while it puts ids to the chunk's documents.
-CHUNK = 16_000_000
+CHUNK = 8_000_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -202,6 +202,7 @@ def _assembled(key: tuple, chunk: pa.Table, packs: pa.Table) -> pa.Table:
     """A chunk's documents with their ids, by the words' numbers, and the text that these ids stand for, by their pieces."""
     import zstandard
 
+    T.tidy()
     joined = lambda name: np.concatenate([np.zeros(0, "<u4"), *map(_numbers, packs.column(name).to_pylist())])
     order = np.argsort(joined("codes"))
     count, flat = joined("counts").astype(np.int64), joined("ids")
@@ -230,11 +231,10 @@ def _assembled(key: tuple, chunk: pa.Table, packs: pa.Table) -> pa.Table:
 
 
 def encode(docs: DataFrame, content: str | None = None) -> DataFrame:
-    """A row per row of docs: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (what they decode to)."""
-    return settled(lambda: _encode(docs, content or vocabulary()), "encoded")
+    """A row per row of docs: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (what they decode to).
 
-
-def _encode(docs: DataFrame, content: str) -> DataFrame:
+    The tables behind it are read when the rows are; common.settled() deletes them once what is made of the rows is written."""
+    content = content or vocabulary()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = texts.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (4 * CHUNK)))
@@ -251,8 +251,11 @@ def _encode(docs: DataFrame, content: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode(documents(spark, sf_dir))
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    def work() -> DataFrame:
+        out = encode(documents(spark, sf_dir))
+        return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+    return settled(work, "tokens")
 
 
 QUERIES, ORACLES = {"op9_bpe": op9_bpe}, {}

@@ -41,7 +41,7 @@ LANGUAGES, SEGMENT = 200, 4096
 #: Below this score accepted() takes a text's language for unknown.
 LEAST = 0.3
 #: Words whose features are weighed at once, and bytes of texts whose features, and whose probabilities, are held at once.
-SOME, PART, RUN = 1 << 15, 1 << 20, 1 << 22
+SOME, PART, RUN = 1 << 15, 1 << 20, 1 << 21
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 TABLE = T.table_of(b"abcdefghijklmnopqrstuvwxyz", lower=True)

@@ -5,6 +5,8 @@ on words being the same, they are spelled(), that is numbered by their bytes, or
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -13,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Texts are worked on in runs of about this many bytes, so that the arrays made for them stay small.
 RUN = 1 << 21
 #: Rows of a batch that are worked on at once.
@@ -39,10 +42,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
+def tidy() -> None:
+    """Gives memory that is no longer used back to the system: workers of Python stay when a task ends, with what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that what is made of them stays small; empty ones are left out."""
     for b in batches:
         yield from (b.slice(i, rows) for i in range(0, len(b), rows))
+    tidy()
 
 
 def runs(texts: pa.Array, run: int = RUN) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
