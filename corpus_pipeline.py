@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tubula.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from tubula.llm.common import cut, documents, drop
+from tubula.llm.common import cut, documents, drop, settled
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,12 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of the text they decode to; a row per row.
 
     Null texts count as empty and have no tokens; repeated rows and null ids stay rows of their own; no rows give none."""
-    out = bpe.encode(docs)
-    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+    def work() -> DataFrame:
+        out = bpe.encode(docs)
+        return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+    return settled(work, "encoded")
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("source_mix", mix), ("bpe", tokens)]
