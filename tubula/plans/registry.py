@@ -469,6 +469,16 @@ def _(s, d):
     return _rounded(denoise.denoised(V.images(s, d)), "v")
 
 
+@query("d3_nlm_colour", f"""WITH {V.COLOURS}, d AS (SELECT a.z, a.y, a.x, o.dy, o.dx, a.r AS ar, a.g AS ag, a.b AS ab, b.r AS br, b.g AS bg, b.b AS bb, b.y AS qy, b.x AS qx, pow(a.r - b.r, 2) + pow(a.g - b.g, 2) + pow(a.b - b.b, 2) AS s FROM colours a CROSS JOIN {SHIFTS} o JOIN colours b ON b.z = a.z AND b.y = (a.y + o.dy + 32) % 32 AND b.x = (a.x + o.dx + 32) % 32),
+f AS (SELECT d.z, (d.y - i + 32) % 32 AS y, (d.x - j + 32) % 32 AS x, dy, dx, sum(s) AS far FROM d, range(2) i(i), range(2) j(j) GROUP BY ALL),
+w AS (SELECT d.*, CAST(floor(68.0625e0 / (68.0625e0 + greatest(far - 12150, 0)) * 1000 + 0.5) AS BIGINT) AS w FROM d JOIN f USING (z, y, x, dy, dx)),
+c AS (SELECT z, y, x, w, w * br AS tr, w * bg AS tg, w * bb AS tb FROM w UNION ALL SELECT z, qy, qx, w, w * ar, w * ag, w * ab FROM w WHERE y + dy >= 0 AND x + dx BETWEEN 0 AND 31),
+t AS (SELECT z, y, x, CAST(sum(w) AS BIGINT) AS w, max(w) AS top, CAST(sum(tr) AS BIGINT) AS tr, CAST(sum(tg) AS BIGINT) AS tg, CAST(sum(tb) AS BIGINT) AS tb FROM c GROUP BY ALL)
+SELECT {AT}, CAST(CASE WHEN top = 0 THEN r ELSE (tr + r * top) // (w + top) END AS INT) AS r, CAST(CASE WHEN top = 0 THEN g ELSE (tg + g * top) // (w + 2 * top) END AS INT) AS g, CAST(CASE WHEN top = 0 THEN b ELSE (tb + b * top) // (w + 3 * top) END AS INT) AS b FROM colours JOIN t USING (z, y, x)""")
+def _(s, d):
+    return denoise.denoised_colour(V.colours(s, d))
+
+
 @query("d2_nlm_settings", """SELECT event_id, CASE WHEN s <= 0 THEN 5 WHEN s <= 15 THEN 1 WHEN s <= 30 THEN 2 WHEN s <= 45 THEN 3 WHEN s <= 75 THEN 4 ELSE 5 END AS n, CASE WHEN s > 0 AND s <= 30 THEN 10 ELSE 17 END AS w, CAST(CASE WHEN s <= 0 THEN 0.3 WHEN s <= 30 THEN 0.4 WHEN s <= 75 THEN 0.35 ELSE 0.3 END AS DOUBLE) AS h
 FROM (SELECT event_id, event_id % 91 - 5 AS s FROM events)""")
 def _(s, d):

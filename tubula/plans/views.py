@@ -53,6 +53,15 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(sums, ["z", "y", "x"], "left").select(F.lit(1).alias("study"), *(F.col(a).cast("int").alias(a) for a in "zyx"), v.alias("v"))
 
 
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As images, with the quantities of every third line of an order as red, green and blue."""
+    lines = table(spark, sf_dir, "lineitem")
+    part = lambda k: F.sum(F.when(F.col("l_linenumber") % 3 == k, F.col("l_quantity"))).alias("rgb"[k])
+    sums = lines.groupBy(F.floor(F.col("l_orderkey") / 2048).cast("int").alias("z"), (F.col("l_suppkey") % 32).cast("int").alias("y"), (F.col("l_partkey") % 32).cast("int").alias("x")).agg(part(0), part(1), part(2))
+    every = images(spark, sf_dir).select("study", "z", "y", "x")
+    return every.join(sums, ["z", "y", "x"], "left").select("study", "z", "y", "x", *(F.least(F.lit(255), F.coalesce(c, F.lit(0.0)).cast("int")).alias(c) for c in "rgb"))
+
+
 def axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path through all slices of each volume of vox, with fixed frames; it swings to and fro across the slices, 19 points each way."""
     i = F.col("i")
@@ -96,5 +105,7 @@ EDGES = """edges AS (SELECT o_orderkey AS u, o_orderkey // 3 AS v, o_totalprice
 IMAGES = """images AS (SELECT 1 AS study, CAST(iz AS INT) AS z, CAST(id // 32 AS INT) AS y, CAST(id % 32 AS INT) AS x, least(255, CAST(trunc(coalesce(q, 0) / 2e0) AS INT)) AS v
   FROM (SELECT unnest(range(max(l_orderkey) // 2048 + 1)) AS iz FROM lineitem) CROSS JOIN range(1024) r(id)
   LEFT JOIN (SELECT l_orderkey // 2048 AS pz, l_suppkey % 32 AS py, l_partkey % 32 AS px, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) ON pz = iz AND py = id // 32 AND px = id % 32)"""
+COLOURS = IMAGES + """, colours AS (SELECT study, z, y, x, least(255, CAST(trunc(coalesce(qr, 0)) AS INT)) AS r, least(255, CAST(trunc(coalesce(qg, 0)) AS INT)) AS g, least(255, CAST(trunc(coalesce(qb, 0)) AS INT)) AS b FROM images
+  LEFT JOIN (SELECT l_orderkey // 2048 AS cz, l_suppkey % 32 AS cy, l_partkey % 32 AS cx, sum(l_quantity) FILTER (l_linenumber % 3 = 0) AS qr, sum(l_quantity) FILTER (l_linenumber % 3 = 1) AS qg, sum(l_quantity) FILTER (l_linenumber % 3 = 2) AS qb FROM lineitem GROUP BY ALL) ON cz = z AND cy = y AND cx = x)"""
 AXIS = """axis AS (SELECT study, study AS branch_id, CAST(i AS INT) AS i, 1.0331e0 + abs((i + 19) % 38 - 19) * 0.31e0 AS x, 3.4717e0 + abs((i + 19) % 38 - 19) * 0.11e0 AS y, 2.0213e0 + i * 1.49e0 AS z FROM (
   SELECT study, unnest(range(CAST(greatest(0, ceil((n - 1 - 2.0213e0) / 1.49e0)) AS BIGINT) + 1)) AS i FROM (SELECT label AS study, count(*) AS n FROM embeddings GROUP BY label)))"""
