@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display
-from ..operators import components, denoise, detect, graph, grid, reform, studies, thinning
+from ..operators import components, denoise, detect, graph, grid, oriented, reform, studies, thinning
 from . import analysis
 from . import views as V
 
@@ -725,6 +725,17 @@ def _(s, d):
     return studies.axial(V.vox(s, d), _studies(s, d))
 
 
+@query("g1_oriented", f"""WITH {V.VOX}, ev AS (SELECT *, round(0.8e0 * (c - 4.2e0) + 0.6e0 * r, 9) AS px, round(0.8e0 * r - 0.6e0 * (c - 4.2e0), 9) AS py FROM (SELECT DISTINCT study, z FROM vox WHERE study % 3 = 2) CROSS JOIN range(10) a(r) CROSS JOIN range(10) b(c)),
+co AS (SELECT ev.*, CAST(floor(px) AS BIGINT) + i AS kx, CAST(floor(py) AS BIGINT) + j AS ky, abs(1 - i - (px - floor(px))) * abs(1 - j - (py - floor(py))) AS wt FROM ev, range(2) p(i), range(2) q(j) WHERE px BETWEEN 0 AND 7 AND py BETWEEN 0 AND 7)
+SELECT co.study, CAST(co.z AS INT) AS z, CAST(r AS INT) AS y, CAST(c AS INT) AS x, round(sum(wt * coalesce(v, 0)), 4) + 0e0 AS v FROM co LEFT JOIN vox ON vox.study = co.study AND vox.z = co.z AND vox.y = ky AND vox.x = kx GROUP BY ALL
+UNION ALL SELECT study, CAST(CASE WHEN study % 3 = 0 THEN z ELSE 7 - y END AS INT), CAST(CASE WHEN study % 3 = 0 THEN 7 - y ELSE z END AS INT), CAST(CASE WHEN study % 3 = 0 THEN 7 - x ELSE x END AS INT), round(v, 4) + 0e0 FROM vox WHERE study % 3 <> 2""")
+def _(s, d):
+    """Stacks turned by half around their axis, coronal ones that go down, and oblique ones."""
+    turns = [[-1.0, 0.0, 0.0, 0.0, -1.0, 0.0], [1.0, 0.0, 0.0, 0.0, 0.0, -1.0], [0.8, 0.6, 0.0, -0.6, 0.8, 0.0]]
+    turn = F.element_at(F.array(*(F.array(*map(F.lit, t)) for t in turns)), (F.col("study") % 3 + 1).cast("int"))
+    return _rounded(oriented.oriented(V.vox(s, d), _studies(s, d).withColumn("turn", turn)), "v")
+
+
 def _found(rows):
     return _rounded(rows.select("study", "z", "y", "x", "first", "n_points", "max_br", "max_si", "max_k", "score"), "max_br", "max_si", "max_k", "score")
 

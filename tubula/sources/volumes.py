@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .jpeg import lossless
 
-SLICE = "path string, at double, w int, h int, sx double, sy double, sz double, tilt double, modality string, plane string, pix array<double>"
+SLICE = "path string, at double, w int, h int, sx double, sy double, sz double, tilt double, modality string, plane string, turn array<double>, pix array<double>"
 _LONG = (b"OB", b"OW", b"OF", b"SQ", b"UT", b"UN", b"OD", b"OL", b"UC", b"UR")
 
 
@@ -261,16 +261,16 @@ def dicom(data: bytes) -> list[dict]:
         own = groups[k] if k < len(groups) else {}
         said = lambda outer, inner, own=own: (own.get(outer) or [{}])[0].get(inner, b"").decode("ascii", "replace").strip("\0 ")
         place, turn = said((0x20, 0x9113), (0x20, 0x32)) or whole["place"], said((0x20, 0x9116), (0x20, 0x37)) or whole["turn"]
-        plane, at_ = None, float(text((0x20, 0x13)) or 0)
+        plane, at_, axes = None, float(text((0x20, 0x13)) or 0), several(turn, 6) if turn else None
         if place:
-            plane, at_ = orientation(several(turn, 6) if turn else [1, 0, 0, 0, 1, 0], several(place, 3))
+            plane, at_ = orientation(axes or [1, 0, 0, 0, 1, 0], several(place, 3))
         if not said((0x20, 0x9113), (0x20, 0x32)):
             at_ += k * (gap or 1.0)  # frames without a place of their own follow each other
         measures = said((0x28, 0x9110), (0x28, 0x30))
         fy, fx = several(measures, 2) if measures else (sy, sx)
         thick = said((0x28, 0x9110), (0x18, 0x88)) or said((0x28, 0x9110), (0x18, 0x50))
         pix = grey(v, w * h, per, planes == 1 and parts is None) * slope + shift
-        out.append({"at": at_, "w": w, "h": h, "pix": pix, "sx": fx, "sy": fy, "sz": float(thick) if thick else gap, "tilt": float(text((0x18, 0x1120)) or 0), "modality": text((8, 0x60)) or None, "plane": plane})
+        out.append({"at": at_, "w": w, "h": h, "pix": pix, "sx": fx, "sy": fy, "sz": float(thick) if thick else gap, "tilt": float(text((0x18, 0x1120)) or 0), "modality": text((8, 0x60)) or None, "plane": plane, "turn": axes})
     return out
 
 
@@ -287,8 +287,8 @@ def slices(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
                 pages = dicom(data) if data[128:132] == b"DICM" else tiff(data)
-                rows = [{"path": name, "sx": 0.0, "sy": 0.0, "sz": 0.0, "tilt": 0.0, "modality": None, "plane": None} | p for p in pages]
-                yield pd.DataFrame(rows)[["path", "at", "w", "h", "sx", "sy", "sz", "tilt", "modality", "plane", "pix"]]
+                rows = [{"path": name, "sx": 0.0, "sy": 0.0, "sz": 0.0, "tilt": 0.0, "modality": None, "plane": None, "turn": None} | p for p in pages]
+                yield pd.DataFrame(rows)[["path", "at", "w", "h", "sx", "sy", "sz", "tilt", "modality", "plane", "turn", "pix"]]
 
     return files.mapInPandas(decode, SLICE)
 
@@ -308,13 +308,13 @@ def voxels(rows: DataFrame, study: str | None = None) -> DataFrame:
 
 
 def studies(rows: DataFrame, study: str | None = None) -> DataFrame:
-    """slices -> a row of metadata per study: w, h, d, sx, sy, sz, tilt, modality, plane, kind. Where slices differ, the greatest value
-    counts; a gap that the files don't give is taken from the slices' places."""
+    """slices -> a row of metadata per study: w, h, d, sx, sy, sz, tilt, modality, plane, kind, and turn, the directions of a slice's
+    columns and rows. Where slices differ, the greatest value counts; a gap that the files don't give is taken from the slices' places."""
     rows = rows.drop("pix").withColumn("study", F.lit(study) if study is not None else F.regexp_extract("path", "^(.*)/", 1))
-    most = [F.max(c).alias(c) for c in ("w", "h", "sx", "sy", "sz", "tilt", "modality", "plane")]
+    most = [F.max(c).alias(c) for c in ("w", "h", "sx", "sy", "sz", "tilt", "modality", "plane", "turn")]
     out = rows.groupBy("study").agg(*most, F.count("*").alias("d"), ((F.max("at") - F.min("at")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("apart"))
     gap = F.when(F.col("sz") > 0, F.col("sz")).otherwise(F.col("apart"))
-    return out.select("study", "w", "h", "d", "sx", "sy", gap.alias("sz"), "tilt", "modality", "plane", F.lit("raw").alias("kind"))
+    return out.select("study", "w", "h", "d", "sx", "sy", gap.alias("sz"), "tilt", "modality", "plane", F.lit("raw").alias("kind"), "turn")
 
 
 def chosen(items: DataFrame, channel: int = 0, time: int = 0) -> DataFrame:
