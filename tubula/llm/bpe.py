@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
 Texts are split into words inside Spark tasks (see spans). About CHUNK bytes of texts form a chunk: a row with its documents, its
-distinct words and, for every word of every document, the word's number in that list. The chunks' words are dealt out by word
-once, into a bucketed table, and there make the distinct-word table, in which each word is encoded once; its ids are joined to
+distinct words and, for every word of every document, the word's number in that list. The chunks' words are dealt out by word,
+in ROUNDS shuffles of a share each, into a bucketed table, and there make the distinct-word table, in which each word is encoded once; its ids are joined to
 the table of pieces. Ids go back to the chunks by word and number, packed by chunk, and with them each id's piece, once. A
 document takes up its ids by position, and its text is decoded from those ids by their pieces. Only distinct words of chunks are
 shuffled, never all words or tokens; the chunks stay where they are, in a bucketed table, whose buckets grow in number with the
@@ -32,6 +32,8 @@ from .spans import cuts, spelled
 
 #: Bytes of text in a chunk: what a task holds at once while it puts ids to the chunk's documents.
 CHUNK = 8_000_000
+#: Shuffles in which the chunks' words are dealt out, so that the disk holds one share of them beside the tables.
+ROUNDS = 2
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -69,6 +71,20 @@ def _numbers(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+def _named(rank: np.ndarray) -> np.ndarray:
+    """Words' numbers with those of words that are there once, the last ones in the order of their places, as 0, and others from 1 on."""
+    often = np.count_nonzero(np.bincount(rank) > 1)
+    return np.where(rank < often, rank + 1, 0)
+
+
+def _ranked(names: np.ndarray) -> np.ndarray:
+    """The inverse of _named()."""
+    once = names == 0
+    rank = names.astype(np.int64) - 1
+    rank[once] = names.max(initial=0) + np.arange(np.count_nonzero(once))
+    return rank
+
+
 def _chunks(content: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, part, n = tuple(a.encode() for a in _tokenizer(content)[1]), TaskContext.get().partitionId(), 0
@@ -80,7 +96,7 @@ def _chunks(content: str):
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             words = list(codes)
-            row = [[f"{part}-{n}"], [ids], [sizes], [_numbers_packed(rank[numbers])], [[words[i].decode("utf-8", "replace") for i in order.tolist()]]]
+            row = [[f"{part}-{n}"], [ids], [sizes], [_numbers_packed(_named(rank[numbers]))], [[words[i].decode("utf-8", "replace") for i in order.tolist()]]]
             kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "sizes", "codes", "words"])
 
@@ -216,7 +232,7 @@ def _assembled(key: tuple, chunk: pa.Table, packs: pa.Table) -> pa.Table:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
     out: list[list] = [[], [], [], []]
     for row in chunk.select(["ids", "sizes", "codes"]).to_pylist():
-        codes = _numbers(row["codes"])
+        codes = _ranked(_numbers(row["codes"]))
         at = 0
         for doc, words in zip(row["ids"], row["sizes"], strict=True):
             own = codes[at : at + words]
@@ -240,7 +256,10 @@ def encode(docs: DataFrame, content: str | None = None) -> DataFrame:
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (4 * CHUNK)))
     chunks = cut(texts.mapInArrow(_chunks(content), "chunk string, ids array<long>, sizes array<long>, codes binary, words array<string>"), "chunks", "chunk", buckets=n)
     placed = chunks.select(F.col("chunk").alias("of"), F.posexplode("words").alias("code", "word"))
-    placed = cut(placed.repartition(n, "word").sortWithinPartitions("word"), "placed", "word", buckets=n)
+    words, placed = placed, None
+    for k in range(ROUNDS):
+        share = words.where(F.pmod(F.xxhash64("word"), F.lit(ROUNDS)) == k)
+        placed = cut(share.repartition(n, "word").sortWithinPartitions("word"), "placed", "word", buckets=n, onto=placed)
     ids = cut(placed.select("word").distinct().mapInArrow(_encoded(content), "word string, ids array<int>"), "words", "word", buckets=n)
     table = cut(with_pieces(ids, content, "word"), "pieces", "word", buckets=n)
     named = placed.join(table.withColumnRenamed("word", "w"), F.col("word") == F.col("w")).select("of", "code", "ids", "pieces")

@@ -48,23 +48,26 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def cut(df: DataFrame, name: str, bucket: str | None = None, level: int = 3, buckets: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, bucket: str | None = None, level: int = 3, buckets: int | None = None, onto: DataFrame | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, so that a lost executor costs no
     recomputation, and every reader sees the same rows. The files go when the driver's JVM exits, or by drop().
 
     While it writes, the session cleans up shuffle files behind finished queries, others too; the setting is put back after.
 
     With a column as `bucket` the table is bucketed by it, by default into the session's number of shuffle partitions, so that grouping or joining by that column needs no shuffle.
-    Each task writes a file for each bucket it has rows of: for tables of few rows a task, or dealt out by the column."""
+    Each task writes a file for each bucket it has rows of: for tables of few rows a task, or dealt out by the column.
+    With `onto`, a table bucketed in the same way, the rows are added to that one, and it is read anew."""
     spark = df.sparkSession
     path, table = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", None
+    if onto is not None:
+        path = onto._cut_path
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # the shuffle files behind a table that is written are of no more use
     try:
         to = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level))
         if bucket:
-            table = f"{name}_{uuid.uuid4().hex}"
-            to.option("path", path).bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), bucket).format("parquet").saveAsTable(table)
+            table = f"{name}_{uuid.uuid4().hex}" if onto is None else onto._cut_table
+            to.mode("error" if onto is None else "append").option("path", path).bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), bucket).format("parquet").saveAsTable(table)
         else:
             to.parquet(path)
     finally:
