@@ -102,8 +102,16 @@ def status(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("n"), F.count_if(F.col("type") != "NORMAL").alias("suspected"), F.count_if(F.col("score") > 70).alias("high_risk"))
 
 
-# The format of a candidate's line and of its details.
-LINE = "Score: %5.1f | Aneurysm [%s] at (X:%d, Y:%d, Z:%d) | BulgeRatio: %5.2f | ShapeIndex: %.2f"
+def decimals(c: Column, digits: int, width: int = 0) -> Column:
+    """c as printf's %width.digitsf writes it: rounded by the value it has, halves of that to even. format_string would round the
+    digits of its shortest form, which for 1.005 (a little less than it says) is up."""
+    text = F.call_function("format_number", c, F.lit("0." + "0" * digits))
+    text = F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(text)
+    return F.format_string(f"%{width}s", text) if width else text
+
+
+# The format of a candidate's line, with decimals() as text, and of its details.
+LINE = "Score: %s | Aneurysm [%s] at (X:%d, Y:%d, Z:%d) | BulgeRatio: %s | ShapeIndex: %s"
 DETAILS = (
     "=== Aneurysm Candidate Details ===\n\n"
     "Voxel Position : (X: %d, Y: %d, Z: %d)\n"
@@ -132,5 +140,5 @@ def details(found: DataFrame) -> DataFrame:
 def report(found: DataFrame) -> DataFrame:
     """found (score, type, x, y, z, max_br, max_si) with line, a line of text."""
     whole = (F.col(a).cast("int") for a in "xyz")
-    line = F.format_string(LINE, "score", "type", *whole, "max_br", "max_si")
+    line = F.format_string(LINE, decimals(F.col("score"), 1, 5), "type", *whole, decimals(F.col("max_br"), 2, 5), decimals(F.col("max_si"), 2))
     return found.withColumn("line", line)
