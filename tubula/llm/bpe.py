@@ -3,10 +3,11 @@
 Texts are split into words inside Spark tasks (see spans). About CHUNK bytes of texts form a chunk: a row with its documents, its
 distinct words and, for every word of every document, the word's number in that list. The chunks' words are dealt out by word,
 in ROUNDS shuffles of a share each, into a bucketed table, and there make the distinct-word table, in which each word is encoded once; its ids are joined to
-the table of pieces. Ids go back to the chunks by word and number, packed by chunk, and with them each id's piece, once. A
-document takes up its ids by position, and its text is decoded from those ids by their pieces. Only distinct words of chunks are
-shuffled, never all words or tokens; the chunks stay where they are, in a bucketed table, whose buckets grow in number with the
-texts.
+the table of pieces. Ids go back to the chunks by word and number, packed by chunk, and with them each id's piece, once, again in
+ROUNDS shuffles, into a bucketed table. A document takes up its ids by position, and its text is decoded from those ids by their
+pieces. Only distinct words of chunks are shuffled, never all words or tokens; the chunks stay where they are, in a bucketed table,
+whose buckets grow in number with the texts. What no later step reads is deleted at once: chunks keep no words once these are dealt
+out, and while the result is made, nothing is on the disk beside it but the chunks' numbers and the packed ids.
 
 Works for tokenizer files of the byte-level BPE kind without normalizer, whose added tokens are plain strings; such a string
 in a text becomes its id. The file's truncation and padding are not used.
@@ -32,7 +33,7 @@ from .spans import cuts, spelled
 
 #: Bytes of text in a chunk: what a task holds at once while it puts ids to the chunk's documents.
 CHUNK = 8_000_000
-#: Shuffles in which the chunks' words are dealt out, so that the disk holds one share of them beside the tables.
+#: Shuffles in which the chunks' words are dealt out, and the packed ids, so that the disk holds one share of them beside the tables.
 ROUNDS = 2
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -260,13 +261,18 @@ def encode(docs: DataFrame, content: str | None = None) -> DataFrame:
     for k in range(ROUNDS):
         share = words.where(F.pmod(F.xxhash64("word"), F.lit(ROUNDS)) == k)
         placed = cut(share.repartition(n, "word").sortWithinPartitions("word"), "placed", "word", buckets=n, onto=placed)
+    known = cut(chunks.select("chunk", "ids", "sizes", "codes"), "numbers", "chunk", buckets=n)
+    drop(chunks)
     ids = cut(placed.select("word").distinct().mapInArrow(_encoded(content), "word string, ids array<int>"), "words", "word", buckets=n)
     table = cut(with_pieces(ids, content, "word"), "pieces", "word", buckets=n)
-    named = placed.join(table.withColumnRenamed("word", "w"), F.col("word") == F.col("w")).select("of", "code", "ids", "pieces")
-    packs = named.mapInArrow(_packed, ", ".join(f"{f.name} {'string' if f.name == 'of' else 'binary'}" for f in PACK))
     drop(ids)
-    known = chunks.select("chunk", "ids", "sizes", "codes").groupBy("chunk")
-    return known.cogroup(packs.groupBy("of")).applyInArrow(_assembled, "doc_id long, n_tokens long, ids binary, decoded string")
+    schema, packs = ", ".join(f"{f.name} {'string' if f.name == 'of' else 'binary'}" for f in PACK), None
+    for k in range(ROUNDS):
+        share = placed.where(F.pmod(F.xxhash64("of"), F.lit(ROUNDS)) == k)
+        named = share.join(table.withColumnRenamed("word", "w"), F.col("word") == F.col("w")).select("of", "code", "ids", "pieces")
+        packs = cut(named.mapInArrow(_packed, schema).repartition(n, "of"), "packs", "of", buckets=n, onto=packs)
+    drop(placed, table)
+    return known.groupBy("chunk").cogroup(packs.groupBy("of")).applyInArrow(_assembled, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

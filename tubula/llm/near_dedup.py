@@ -172,16 +172,15 @@ def _unrefuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links. A document in very many pairs, as a leader is, gets no task of its own: see spread_join."""
+def _confirmed(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links, by known(doc_id, sketch, n_shingles) and texts(doc_id, text). A document in very many pairs, as a leader is, gets no task of its own: see spread_join."""
 
     def side(x: str, of: DataFrame, **cols) -> DataFrame:
         return of.select(F.col(of.columns[0]).alias(x), *(F.col(c).alias(n) for n, c in cols.items()))
 
-    rep = reps.select("rep", "sketch", "n_shingles")
     hot = {x: hot_keys(pairs, x, pairs.count()) for x in "ab"}
-    both = spread_join(pairs, side("a", rep, sa="sketch", na="n_shingles"), "a", "b", hot["a"])
-    both = spread_join(both, side("b", rep, sb="sketch", nb="n_shingles"), "b", "a", hot["b"])
+    both = spread_join(pairs, side("a", known, sa="sketch", na="n_shingles"), "a", "b", hot["a"])
+    both = spread_join(both, side("b", known, sb="sketch", nb="n_shingles"), "b", "a", hot["b"])
     likely = cut(both.mapInArrow(_unrefuted, "a long, b long"), "likely")
     full = spread_join(likely, side("a", texts, ta="text"), "a", "b", hot["a"])
     full = spread_join(full, side("b", texts, tb="text"), "b", "a", hot["b"])
@@ -192,12 +191,26 @@ def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
 
 
-def _likely_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs(doc_id, text) whose id is among ids, and some others: by a bit map of hashed ids, of bounded size."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS))
-    mark = {"word": F.floor(h / 64), "bit": F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {1 << BITS}L) % 64 AS INT))")}
-    table = ids.select("doc_id").withColumns(mark).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    return docs.withColumns(mark).join(F.broadcast(table), "word").where("bits & bit <> 0").select(*docs.columns)
+def _likely_in(rows: DataFrame, ids: DataFrame, key: str = "doc_id", others: bool = False) -> DataFrame:
+    """The rows whose id in `key` is among ids(doc_id), and some others: by a bit map of hashed ids, of bounded size. With `others`,
+    the rest of the rows instead."""
+    word, bit, bits = unused(rows.columns, "word", "bit", "bits")
+
+    def marked(df: DataFrame, column: str) -> DataFrame:
+        h = f"pmod(xxhash64(CAST({quoted(column)} AS BIGINT)), {1 << BITS}L)"
+        return df.withColumns({word: F.expr(f"floor({h} / 64)"), bit: F.expr(f"shiftleft(1L, CAST({h} % 64 AS INT))")})
+
+    table = marked(ids.select("doc_id"), "doc_id").groupBy(word).agg(F.bit_or(bit).alias(bits))
+    there = F.coalesce(F.col(bits).bitwiseAND(F.col(bit)), F.lit(0)) != 0
+    return marked(rows, key).join(F.broadcast(table), word, "left").where(~there if others else there).drop(word, bit, bits)
+
+
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id, never null, isn't among ids(doc_id), all columns. Only those that the bit map can't tell from them are
+    joined, so that the others are not shuffled."""
+    (gone,) = unused(rows.columns, "gone_")
+    doubtful = _likely_in(rows, ids).join(ids.select(F.col("doc_id").alias(gone)), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    return _likely_in(rows, ids, others=True).unionByName(doubtful)
 
 
 def _split(members: DataFrame) -> DataFrame:
@@ -273,8 +286,9 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = cut(_pairs(members, "rep", "leader"), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = cut(ids, "ids")
+    known = cut(_likely_in(reps.select(F.col("rep").alias("doc_id"), "sketch", "n_shingles"), ids), "known")
     texts = cut(_likely_in(docs, ids).join(ids, "doc_id", "left_semi").select("doc_id", "text"), "texts")
-    links = cut(_confirmed(pairs, reps, texts), "links")
+    links = cut(_confirmed(pairs, known, texts), "links")
     labels = cut(components(links), "labels")
     # What is left to look at: members of one bucket whose components differ.
     open_ = cut(_split(_placed(members.select("key", "rep"), labels)), "open")
@@ -285,10 +299,10 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     leads = rare.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("place", "rep"))["rep"].alias("leader")).where("times > 1")
     leads = cut(leads, "leads")
     met = lookup_join(rare.select("key", "rep"), leads, ["key"], "times", rare.count())
-    links = cut(links.unionByName(_confirmed(cut(more.unionByName(_pairs(met, "rep", "leader")).distinct(), "more"), reps, texts)), "links")
+    links = cut(links.unionByName(_confirmed(cut(more.unionByName(_pairs(met, "rep", "leader")).distinct(), "more"), known, texts)), "links")
     labels = cut(components(links), "labels")
     meeting = cut(_split(_placed(rare, labels)), "meeting")
-    links = links.unionByName(_confirmed(cut(_pairs(_meetings(meeting), "rep", "rep2"), "last"), reps, texts))
+    links = links.unionByName(_confirmed(cut(_pairs(_meetings(meeting), "rep", "rep2"), "last"), known, texts))
     labels = components(links)
     named = reps.join(labels, reps["rep"] == labels["node"], "left").select("set_id", "n", F.coalesce("component", "rep").alias("component_id"))
     named = cut(named, "named")
@@ -308,8 +322,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     names = known.groupBy(F.col("doc_id").cast("long").alias(key), text.alias(digest)).agg(F.count("*").alias(times))
     names = cut(names, "names")
     if names.groupBy(key).agg(F.sum(times).alias(times)).where(F.col(times) > 1).isEmpty():
-        won = near_duplicates(known).where("kept").select(F.col("doc_id").alias(key))
-        return known.join(won, F.col("doc_id") == F.col(key), "left_semi").unionByName(other)
+        return _without(known, near_duplicates(known).where("NOT kept").select("doc_id")).unionByName(other)
     # Documents are numbered by doc_id and digest, so that each text has an id of its own.
     placed = names.select(F.lit(0).alias("group"), F.concat(ordered_long(F.col(key)), F.unhex(digest)).alias("key"), F.lit(1).cast("long").alias("n"), F.col(key).alias("id"), F.col(digest).alias("digest"))
     numbers = cut(ranked(placed).select(F.col("id").alias(key), F.col("digest").alias(digest), F.col("before").alias(number)), "numbers").join(names, [key, digest])
