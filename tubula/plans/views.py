@@ -83,15 +83,16 @@ def phantom(spark: SparkSession, ball: bool = True, middle: int = 17, size: int
 def tubes(spark: SparkSession, sf_dir: str, middle: int = 12, size: int = 30) -> DataFrame:
     """A volume per label, 25 x 32 voxels a slice and a slice per vector: a tube of radius 3 along all slices with a ball of squared
     radius `size` around it, or at its side; the vectors give the noise, and their numbers the ball's slice: (..., v, inside, ball)."""
-    z = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
-    vectors = table(spark, sf_dir, "embeddings")
-    ball = 10 + F.sum("vec_id") % F.greatest(F.lit(1), F.count("*") - 20)
-    places = vectors.groupBy("label").agg(ball.cast("int").alias("ball"))
-    rows = vectors.select("label", z.alias("z"), "embedding").join(places, "label")
+    label = W.partitionBy("label")
+    z = F.row_number().over(label.orderBy("vec_id")) - 1
+    vectors = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    ball = 10 + F.sum("vec_id").over(label) % F.greatest(F.lit(1), F.count("*").over(label) - 20)
+    # Slices are dealt out before their voxels are made: a join to a row per label could make all of a study's from that one row.
+    rows = vectors.select("label", z.alias("z"), ball.cast("int").alias("ball"), "embedding").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "z")
     rows = rows.select(F.col("label").alias("study"), "z", "ball", "embedding", F.explode(F.sequence(F.lit(0), F.lit(799))).alias("p"))
     rows = rows.select("study", "z", F.floor(F.col("p") / 32).cast("int").alias("y"), (F.col("p") % 32).alias("x"), "ball", "embedding")
     noise = F.floor(F.abs(F.expr("element_at(embedding, (y * 8 + x) % 64 + 1)")).cast("double") * 1000) % 11
-    inside = F.expr(f"(x - 12) * (x - 12) + (y - 12) * (y - 12) <= 9 OR (x - {middle}) * (x - {middle}) + (y - 12) * (y - 12) + (z - ball) * (z - ball) <= {size}")
+    inside = F.expr(f"(x - 12) * (x - 12) + (y - 12) * (y - 12) <= 9 OR (x - {middle}) * (x - {middle}) + (y - 12) * (y - 12) + CAST(z - ball AS BIGINT) * (z - ball) <= {size}")
     return rows.select("study", "z", "y", "x", (20 + F.when(inside, 178.5).otherwise(0.0) + noise).alias("v"), inside.alias("inside"), "ball")
 
 
