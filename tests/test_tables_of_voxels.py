@@ -29,3 +29,13 @@ def test_bricks_are_joined_where_they_lie(spark):
     table = blocks.from_voxels(vox)
     found = plan(blocks.to_voxels(table, "v").join(blocks.to_voxels(table, "v").withColumn("w", F.lit(1)).drop("v"), ["study", "z", "y", "x"]))
     assert "BroadcastHashJoin" not in found
+
+
+def test_a_task_does_not_read_all_bricks_of_a_bucket_at_once(spark):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(400).coalesce(1).selectExpr("1 AS study", "CAST(id AS INT) AS bz", "0 AS by", "0 AS bx", "array(CAST(id * 4 AS INT), 0, 0) AS low", "array(4, 4, 4) AS shape", "array_repeat(255.0D, 64) AS v")
+    for table in (blocks.kept(rows), tables.settled(rows, bricks=True)):
+        parts = [pq.ParquetFile("/" + p.removeprefix("file:").lstrip("/")).metadata for p in table.inputFiles()]
+        groups = [m.row_group(i).num_rows for m in parts for i in range(m.num_row_groups)]
+        assert sum(groups) == 400 == table.count() and max(groups) <= tables.BRICK_ROWS
